@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, sharding
+from . import avi, bpe, fingerprints, packing, pii, sharding, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.digests(documents(spark, sf_dir))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir))
+
+
 def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), shards=8)
 
@@ -29,5 +38,13 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bpe_round_trip, op7_jump_shards, op8_best_fit_packing, op9_pii_spans)}
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op2_avi_clips, op5_bpe_round_trip, op6_bottom_k, op7_jump_shards, op8_best_fit_packing, op9_pii_spans, op10_simhash_components)
+}
 ORACLES: dict[str, str] = {}
