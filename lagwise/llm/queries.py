@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, fingerprints, packing, pii, sharding, simhash
+from . import avi, bpe, fingerprints, lines, packing, pii, sharding, simhash, substrings
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,15 @@ def op2_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digests(documents(spark, sf_dir))
 
 
+def op3_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf_dir))
+
+
+def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).where("doc_id is not null")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -45,6 +54,6 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_avi_clips, op5_bpe_round_trip, op6_bottom_k, op7_jump_shards, op8_best_fit_packing, op9_pii_spans, op10_simhash_components)
+    for f in (op2_avi_clips, op3_repeated_words, op4_line_windows, op5_bpe_round_trip, op6_bottom_k, op7_jump_shards, op8_best_fit_packing, op9_pii_spans, op10_simhash_components)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_windows": lines.ORACLE}
