@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, fingerprints, lines, packing, pii, sharding, simhash, substrings
+from . import avi, bpe, fingerprints, lines, packing, pii, sharding, simhash, substrings, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digests(documents(spark, sf_dir))
 
@@ -54,6 +58,6 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_avi_clips, op3_repeated_words, op4_line_windows, op5_bpe_round_trip, op6_bottom_k, op7_jump_shards, op8_best_fit_packing, op9_pii_spans, op10_simhash_components)
+    for f in (op1_toxicity_scores, op2_avi_clips, op3_repeated_words, op4_line_windows, op5_bpe_round_trip, op6_bottom_k, op7_jump_shards, op8_best_fit_packing, op9_pii_spans, op10_simhash_components)
 }
 ORACLES: dict[str, str] = {"op4_line_windows": lines.ORACLE}
