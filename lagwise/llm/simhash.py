@@ -7,10 +7,16 @@ pairs of a list. So the lists are intersected first: a posting is a choice of 8
 a pair meets in a list just if its tally is at least the minimum. Within a list only `distance` bytes are free,
 which bounds it (65,536 different fingerprints for two), whatever the number of documents. Equal fingerprints are one
 entry. A list gives links that connect it as all its links would, not every pair.
+
+near_duplicates() follows fingerprints of word shingles to their components. similar_texts() finds texts whose
+five-word shingles overlap by 0.8 or more: candidates share a fingerprint of single words up to two bits in one of
+several tables (a shingle's fingerprint turns too many bits for that overlap), and are verified by 512 bits of SimHash
+over the five-word shingles, whose share of unequal bits tells the overlap.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,6 +30,9 @@ from .common import partitions, scratch, texts
 from .components import components
 
 SEED = 42
+#: Tables of single-word fingerprints, and numbers of 64 bits of the verifying SimHash, in similar_texts().
+TABLES, LONG = 3, 8
+SIMILARITY = 0.8
 DISTANCE = 2
 SHINGLE = 3
 #: Bytes of shingle hashes whose bits are counted at a time.
@@ -79,25 +88,30 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
+def pairs(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of one list's different fingerprints within `distance`; each has few such neighbours."""
+    n = len(values)
+    if n <= 512:
+        return np.nonzero(np.triu(popcount(values[:, None] ^ values[None, :]) <= distance, 1))
+    # look up every value that differs in up to `distance` of the bits that vary in this list
+    vary = int(np.bitwise_or.reduce(values ^ values[0])) & (1 << 64) - 1
+    bits = [np.uint64(1 << i) for i in range(64) if vary >> i & 1]
+    order = values.argsort()
+    ranked = values[order]
+    found = []
+    for k in range(1, distance + 1):
+        for some in combinations(bits, k):
+            other = values ^ np.bitwise_or.reduce(np.array(some, np.uint64)).astype(np.int64)
+            at = np.minimum(np.searchsorted(ranked, other), n - 1)
+            hit = np.flatnonzero((ranked[at] == other) & (values < other))
+            found.append(np.stack((hit, order[at[hit]])))
+    return tuple(np.concatenate(found, axis=1))
+
+
 def connect(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links of one list's different fingerprints: each to the smallest that it reaches within the list."""
     n = len(values)
-    if n <= 512:
-        near = popcount(values[:, None] ^ values[None, :]) <= distance
-        left, right = np.nonzero(np.triu(near, 1))
-    else:  # look up every value that differs in up to `distance` of the bits that vary in this list
-        vary = int(np.bitwise_or.reduce(values ^ values[0])) & (1 << 64) - 1
-        bits = [np.uint64(1 << i) for i in range(64) if vary >> i & 1]
-        order = values.argsort()
-        ranked = values[order]
-        found = []
-        for k in range(1, distance + 1):
-            for some in combinations(bits, k):
-                other = values ^ np.bitwise_or.reduce(np.array(some, np.uint64)).astype(np.int64)
-                at = np.minimum(np.searchsorted(ranked, other), n - 1)
-                hit = np.flatnonzero(ranked[at] == other)
-                found.append(np.stack((hit, order[at[hit]])))
-        left, right = np.concatenate(found, axis=1)
+    left, right = pairs(values, distance)
     label = np.arange(n)
     while True:  # labels fall to the smallest reachable index, by hooking and shortcuts
         new = label.copy()
@@ -110,8 +124,12 @@ def connect(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return [(int(values[i]), int(values[label[i]])) for i in np.flatnonzero(label != np.arange(n))]
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between different values of `fp` that connect what differs in at most `distance` bits."""
+def links(fps: DataFrame, distance: int = DISTANCE, every: bool = False) -> DataFrame:
+    """(a, b): links between different values of `fp` that connect what differs in at most `distance` bits.
+
+    With `every`, all such pairs, some more than once: a value has at most as many as there are ways to change
+    `distance` bits.
+    """
     postings = fps.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(distance)])).alias("places", "bytes"), "fp")
     lists = postings.repartition(partitions(fps.sparkSession), "places", "bytes").sortWithinPartitions("places", "bytes")
 
@@ -122,14 +140,14 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             rows = np.concatenate((rest, rows))
             new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
             last = new[-1] if len(new) else 0
-            yield _linked(rows[:last], distance)
+            yield _linked(rows[:last], distance, every)
             rest = rows[last:]  # the list that the next batch may go on with
-        yield _linked(rest, distance)
+        yield _linked(rest, distance, every)
 
     return lists.mapInArrow(run, "a long, b long")
 
 
-def _linked(rows: np.ndarray, distance: int) -> pa.RecordBatch:
+def _linked(rows: np.ndarray, distance: int, every: bool) -> pa.RecordBatch:
     """The links of whole lists, sorted by list."""
     out: list[tuple[int, int]] = []
     if len(rows):
@@ -141,7 +159,12 @@ def _linked(rows: np.ndarray, distance: int) -> pa.RecordBatch:
         near = popcount(a ^ b) <= distance
         out = list(zip(a[near].tolist(), b[near].tolist(), strict=True))
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            out += connect(rows[s : s + n, 2], distance)
+            values = rows[s : s + n, 2]
+            if every:
+                left, right = pairs(values, distance)
+                out += zip(values[left].tolist(), values[right].tolist(), strict=True)
+            else:
+                out += connect(values, distance)
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -159,3 +182,72 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def unequal_bits(similarity: float, bits: int) -> int:
+    """How many of `bits` SimHash bits differ, on average, between sets of that overlap (Jaccard): their angle's share."""
+    return int(round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits))
+
+
+def marks(df: DataFrame) -> DataFrame:
+    """(doc_id, t0.. of single words, v0.. of five-word shingles, text_key) of every text."""
+    names = [*[f"t{i}" for i in range(TABLES)], *[f"v{i}" for i in range(LONG)]]
+
+    def several(h: np.ndarray, n: int) -> list[int]:
+        """Fingerprints by n independent hashes, made from one."""
+        out = []
+        for i in range(n):
+            x = h ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            out.append(simhash(x ^ x >> np.uint64(32)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys = [], []
+            for t in batch.column("text"):
+                text = t.as_py()
+                rows.append(several(shingle_hashes(text, 1), TABLES) + several(shingle_hashes(text, 5), LONG))
+                keys.append(xxhash.xxh128_hexdigest(text.encode("utf-8", "surrogatepass")))
+            columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in columns], pa.array(keys, pa.string())], names=["doc_id", *names, "text_key"])
+
+    return texts(df).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} long" for n in names], "text_key string"]))
+
+
+def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, component_id): components of documents with equal texts or verified links; the id is the smallest doc_id.
+
+    A node is a text, named by its smallest doc_id. In each table a fingerprint's texts are linked to the smallest of
+    them, and the smallest of fingerprints within `distance` to each other; no list gives all its pairs. Texts without
+    words are alike to each other only. Rows of equal doc_id should not differ in text; if so, they share the groups of both.
+    """
+    rows = scratch(marks(df), "marks")
+    data = [c for c in rows.columns if c not in ("doc_id", "text_key")]
+    nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in data])
+    nodes = scratch(nodes, "texts")
+    found = None
+    for i in range(TABLES):
+        heads = nodes.groupBy(F.col(f"t{i}").alias("fp")).agg(F.min("node").alias("head"))
+        close = links(heads.select("fp"), distance, every=True)
+        a, b = heads.withColumnsRenamed({"fp": "a", "head": "x"}), heads.withColumnsRenamed({"fp": "b", "head": "y"})
+        across = close.join(a, "a").join(b, "b").select("x", "y")
+        within = nodes.join(heads, F.col(f"t{i}") == F.col("fp")).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+        both = across.union(within)
+        found = both if found is None else found.union(both)
+    found = scratch(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    long = [f"v{i}" for i in range(LONG)]
+    left = nodes.select(F.col("node").alias("x"), *[F.col(v).alias(f"x{v}") for v in long])
+    right = nodes.select(F.col("node").alias("y"), *[F.col(v).alias(f"y{v}") for v in long])
+    unequal = sum((F.bit_count(F.col(f"x{v}").bitwiseXOR(F.col(f"y{v}"))) for v in long), F.lit(0))
+    sure = found.join(left, "x").join(right, "y").where(unequal <= unequal_bits(similarity, 64 * LONG)).select("x", "y")
+    roots = components(sure, "x", "y")
+    named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "component_id")
+
+
+def keep_one(df: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
+    """df without the documents that are not the smallest doc_id of their group; rows without a doc_id stay."""
+    gone = similar_texts(df, similarity, distance).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
