@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import series
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+PARTS = (series,)
+QUERIES = {name: f for part in PARTS for name, f in part.Q.items()}
+ORACLES = {name: text for part in PARTS for name, text in part.O.items()}
