@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 #: Chunks whose ids a worker remembers at most; beyond that it forgets all and starts anew. No result depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Characters of text that are encoded together.
 TOGETHER = 8_000_000
 #: The rank of a pair that does not merge.
 NEVER = 1 << 40
 #: What \s means to the tokenizers: Unicode white space, without the separators \x1c-\x1f.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
-#: A chunk that starts with one of these, or is empty, is not cut from what stands before it.
-MAY_BE_WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+#: A blank that white space or the end follows: there the chunk goes on.
+LOOSE = re.compile(r" (?:\s|\Z)")
 
 
 def compiled(pattern: str) -> regex.Pattern:
@@ -43,27 +44,55 @@ def compiled(pattern: str) -> regex.Pattern:
 def chunks(text: str) -> list[str]:
     """The text cut before each blank that a character other than white space follows; those blanks are left out."""
     found = text.split(" ")
-    if all(c and c[0] not in MAY_BE_WHITE for c in found[1:]):
+    if not LOOSE.search(text):
         return found
     out = found[:1]
     for c in found[1:]:
-        if c and c[0] not in MAY_BE_WHITE:
+        if c and not c[0].isspace():
             out.append(c)
         else:
             out[-1] += " " + c
     return out
 
 
-def keys(text: str) -> list[str]:
-    """The text's chunks, each but the first with the blank before it."""
-    first, *rest = chunks(text)
-    return [first, *[" " + x for x in rest]]
+class Chunked:
+    """Encodes texts through what it remembers of their chunks; `learn` encodes new ones, each with its blank, if any."""
 
+    def __init__(self) -> None:
+        self.known: dict[str, bytes] = {}  # from a chunk that follows a blank to the ids of both
+        self.first: dict[str, bytes] = {}  # from a text's first chunk to its ids
 
-class Ranks:
+    def learn(self, new: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.first.clear()
+
+    def encode(self, batch: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        if len(self.known) + len(self.first) > REMEMBERED:
+            self.forget()
+        new, heads = set(), set()
+        for t in batch:
+            head, *rest = chunks(t)
+            new.update(set(rest).difference(self.known))
+            heads.add(head)
+        fresh, heads = list(new), list(heads.difference(self.first))
+        ids = self.learn([" " + c for c in fresh] + heads)
+        self.known.update(zip(fresh, ids[: len(fresh)], strict=True))
+        self.first.update(zip(heads, ids[len(fresh) :], strict=True))
+        get = self.known.__getitem__
+        for t in batch:
+            head, *rest = chunks(t)
+            yield self.first[head] + b"".join(map(get, rest))
+
+
+class Ranks(Chunked):
     """A rank file: `tokens` from rank to bytes, `pairs` (sorted) of left and right and what each pair is `merged` into."""
 
     def __init__(self, path: str, pattern: str) -> None:
+        super().__init__()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         self.base = max(ranks.values()) + 1
@@ -79,7 +108,6 @@ class Ranks:
         keys = np.array(sorted(pairs.items()))
         self.pairs, self.merged = keys[:, 0].copy(), keys[:, 1].copy()
         self.cut = compiled(pattern)
-        self.known: dict[str, bytes] = {}  # from chunk, its blank before it, to ids
         self.words: dict[str, bytes] = {}  # from word to ids
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -144,28 +172,17 @@ class Ranks:
         flat = token[:n][live].astype("<u4").tobytes()
         return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def learn(self, new: Iterable[str]) -> None:
-        """Adds chunks (each with its blank, if it has one) to those known."""
-        ids, cut = self.words, self.cut.findall
-        parts = [(c, cut(c)) for c in new]
-        missing = list({w for _, ws in parts for w in ws if w not in ids})
-        ids.update(zip(missing, self.replay([w.encode() for w in missing]), strict=True))
-        for c, ws in parts:
-            self.known[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+    def forget(self) -> None:
+        super().forget()
+        self.words.clear()
 
-    def encode(self, batch: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.words.clear()
-        known = self.known
-        new: set[str] = set()
-        for t in batch:
-            new.update([k for k in keys(t) if k not in known])
-        if new:
-            self.learn(new)
-        for t in batch:
-            yield b"".join([known[k] for k in keys(t)])
+    def learn(self, new: list[str]) -> list[bytes]:
+        ids, cut = self.words, self.cut.findall
+        parts = [cut(c) for c in new]
+        missing = list({w for ws in parts for w in ws if w not in ids})
+        if missing:
+            ids.update(zip(missing, self.replay([w.encode() for w in missing]), strict=True))
+        return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join([self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED, keys, together
+from .bpe import Chunked, together
 from .common import numbered, scratch, texts
 
 LENGTH = 1024
@@ -36,10 +36,11 @@ END = 2
 WEIGHTS = (1.0, 0.05, 0.05)
 
 
-class Words:
+class Words(Chunked):
     """Ids by the tokenizer, remembered for each blank-separated chunk (at whose borders byte-level BPE always cuts)."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,34 +48,22 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids whose token starts with a blank
         self.starts[[i for t, i in vocabulary.items() if t[0] == BLANK]] = True
-        self.known: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> None:
-        """Adds chunks. Those whose only blank is the first are joined before encoding, and their ids cut at each blank."""
+    def learn(self, new: list[str]) -> list[bytes]:
+        """Chunks whose only blank is the first are joined before encoding, and their ids cut at each blank."""
         joined = [c for c in new if c.rfind(" ") == 0]
         alone = [c for c in new if c.rfind(" ") != 0]
+        out = {}
         for at in range(0, len(joined), 100_000):
             part = joined[at : at + 100_000]
-            found = self.tokenizer.encode_batch_fast(["".join(part[k : k + 200]) for k in range(0, len(part), 200)], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(["".join(part[k : k + 50]) for k in range(0, len(part), 50)], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
-            cuts = np.flatnonzero(self.starts[ids]) * 4
+            cuts = (np.flatnonzero(self.starts[ids]) * 4).tolist()
             flat = ids.tobytes()
-            self.known.update(zip(part, [flat[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(flat)], strict=True)], strict=True))
+            out.update(zip(part, [flat[a:b] for a, b in zip(cuts, [*cuts[1:], len(flat)], strict=True)], strict=True))
         for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, batch: list[str]) -> Iterator[bytes]:
-        """Each text's ids, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new: set[str] = set()
-        for t in batch:
-            new.update([k for k in keys(t) if k not in known])
-        if new:
-            self.learn(list(new))
-        for t in batch:
-            yield b"".join([known[k] for k in keys(t)])
+            out[c] = np.array(e.ids, "<u4").tobytes()
+        return [out[c] for c in new]
 
 
 @lru_cache(maxsize=2)
