@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import series
+from . import quality, series
 
-PARTS = (series,)
+PARTS = (series, quality)
 QUERIES = {name: f for part in PARTS for name, f in part.Q.items()}
 ORACLES = {name: text for part in PARTS for name, text in part.O.items()}
