@@ -50,15 +50,15 @@ def chunk_bounds(frames: DataFrame, by: list[str], starts: list[float], chunk: i
     size = max(chunk, least)
     k = listed(by)
     shares = ", ".join(repr(float(s)) + "D" for s in starts)
+    sizes = sql(f"select {k}, count(distinct t) as n, min(t) as t0 from {{frames}} group by {k}", frames=frames)
+    each = sql(f"select *, posexplode(array({shares})) as (i, share) from {{sizes}}", sizes=sizes)
     return sql(
         f"""
-        with n as (select {k}, count(distinct t) as n, min(t) as t0 from {{frames}} group by {k}),
-             c as (select *, posexplode(array({shares})) as (i, share) from n)
         select {k}, i as chunk, case when n <= {size} then t0 else t0 + floor(share * (n - {size})) end as s,
                case when n <= {size} then t0 + n - 1 else t0 + floor(share * (n - {size})) + {size} - 1 end as e
-        from c where n > {size} or i = 0
+        from {{each}} where n > {size} or i = 0
         """,
-        frames=frames,
+        each=each,
     )
 
 

@@ -6,7 +6,8 @@ whole cents; NULL where no event fell. The first 432 hours train, the rest test.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..functions.frames import sql
 from ..operators import ingest
@@ -30,15 +31,9 @@ def events(spark: SparkSession, sf_dir: str, entity: str = f"user_id % {ENTITIES
 
 def cells(spark: SparkSession, sf_dir: str, entity: str = f"user_id % {ENTITIES}") -> DataFrame:
     ev = events(spark, sf_dir, entity)
-    return sql(
-        f"""
-        with k as (select distinct entity from {{ev}}),
-             g as (select entity, t, v as var from k lateral view explode(sequence(0L, {HOURS - 1}L)) as t lateral view explode(sequence(0, {VARS - 1})) as v),
-             s as (select entity, t, var, sum(c) as x from {{ev}} group by entity, t, var)
-        select g.entity, g.t, g.var, s.x from g left join s on g.entity = s.entity and g.t = s.t and g.var = s.var
-        """,
-        ev=ev,
-    )
+    grid = ev.select("entity").distinct().select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("t"))
+    grid = grid.select("entity", "t", F.explode(F.sequence(F.lit(0), F.lit(VARS - 1))).alias("var"))
+    return grid.join(ev.groupBy("entity", "t", "var").agg(F.sum("c").alias("x")), ["entity", "t", "var"], "left")
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,26 +43,17 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, t, y) of test hours: whether the errors of three hours exceed their 0.9 quantile."""
-    return sql(
-        f"""
-        with s as (select entity, t, sum(coalesce(x, 0)) over (partition by entity order by t rows between 2 preceding and current row) as s3 from {{c}} where var = 1),
-             q as (select entity, percentile(s3, 0.9) as q from s where t >= {SPLIT} group by entity)
-        select s.entity, s.t, cast(s3 > q as int) as y from s join q on s.entity = q.entity where t >= {SPLIT}
-        """,
-        c=cells(spark, sf_dir),
-    )
+    errors = cells(spark, sf_dir).where("var = 1")
+    three = Window.partitionBy("entity").orderBy("t").rowsBetween(-2, 0)
+    s3 = errors.select("entity", "t", F.sum(F.coalesce("x", F.lit(0))).over(three).alias("s3")).where(f"t >= {SPLIT}")
+    q = s3.groupBy("entity").agg(F.expr("percentile(s3, 0.9)").alias("q"))
+    return s3.join(q, "entity").select("entity", "t", (F.col("s3") > F.col("q")).cast("int").alias("y"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, t, y, score) of test hours: the mean absolute z over variables, to six places."""
-    return sql(
-        f"""
-        with s as (select entity, t, round(avg(abs(z)), 6) as score from {{z}} where t >= {SPLIT} group by entity, t)
-        select s.entity, s.t, l.y, s.score from s join {{l}} l on s.entity = l.entity and s.t = l.t
-        """,
-        z=scaled(spark, sf_dir),
-        l=labels(spark, sf_dir),
-    )
+    s = scaled(spark, sf_dir).where(f"t >= {SPLIT}").groupBy("entity", "t").agg(F.round(F.avg(F.abs("z")), 6).alias("score"))
+    return s.join(labels(spark, sf_dir), ["entity", "t"]).select("entity", "t", "y", "score")
 
 
 CELLS = f"""

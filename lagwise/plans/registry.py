@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality, series
+from . import priors, quality, series
 
-PARTS = (series, quality)
+PARTS = (series, quality, priors)
 QUERIES = {name: f for part in PARTS for name, f in part.Q.items()}
 ORACLES = {name: text for part in PARTS for name, text in part.O.items()}
