@@ -7,6 +7,8 @@ others are extended to the window's length and judged by their own hash, and so
 candidate survives. Removal needs the window's length only: a longer repeat consists of repeated windows.
 
 A window's first occurrence (smallest doc_id, then earliest start) stays, and each word that another one covers goes.
+A text that equals one of a smaller doc_id has no first occurrence; it is found by the hash of the whole text and takes
+no part in the levels, so that groups of exact copies cost one text's windows.
 A text without words, an empty or a null one has nothing to remove; one shorter than a window keeps all. Rows of equal
 doc_id and text give equal rows; if their texts differ, places found in one count for the other as well. No rows: none.
 """
@@ -131,18 +133,33 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def later(found: DataFrame) -> DataFrame:
     """(doc_id, places): where a window starts that also starts earlier. Windows that occur once are no candidates more."""
-    first = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").drop("n")
-    again = found.join(first, ["h", "g"]).where("struct(doc_id, place) <> first")
-    return again.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    # doc_id and place in one number: its minimum is a hash aggregate, that of a struct would sort all windows
+    found = found.withColumn("spot", F.expr("cast(doc_id as decimal(20,0)) * 4294967296 + place"))
+    first = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("first")).where("n > 1").drop("n")
+    again = found.drop("spot").join(first, ["h", "g"]).where("cast(doc_id as decimal(20,0)) * 4294967296 + place <> first")
+    return again.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_ids of texts that equal, by two 64-bit hashes, one of a smaller doc_id."""
+    keys = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    first = keys.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return keys.join(first, ["h", "g"]).where("doc_id > first").select("doc_id").distinct()
+
+
+#: Among places: the whole text repeats.
+WHOLE = -1
 
 
 def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text, places): every document, and where its repeated windows start that are to go (null: none)."""
     docs = texts(df)
-    hits = scratch(candidates(docs, window), "candidates")
+    again = scratch(copies(docs), "copies")
+    hits = scratch(candidates(docs, window).join(again, "doc_id", "left_anti"), "candidates")
     # the texts' shuffle by doc_id serves both sides of later() and the join with its result
     found = windows(docs.join(hits, "doc_id"), window)
-    return docs.join(later(found), "doc_id", "left")
+    gone = later(found).union(again.select("doc_id", F.array(F.lit(WHOLE)).alias("places")))
+    return docs.join(gone, "doc_id", "left")
 
 
 def kept(text: str | None, places: list[int] | None, window: int) -> tuple[list[bytes], int]:
@@ -150,6 +167,8 @@ def kept(text: str | None, places: list[int] | None, window: int) -> tuple[list[
     found = words(text)
     if not places:
         return found, len(found)
+    if places[0] == WHOLE:
+        return (found if len(found) < window else []), len(found)
     edge = np.zeros(len(found) + window + 1, np.int64)
     at = np.array(places)
     at = at[at + window <= len(found)]
