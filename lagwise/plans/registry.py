@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import forecasts, priors, quality, series
+from . import forecasts, models, priors, quality, series
 
-PARTS = (series, quality, priors, forecasts)
+PARTS = (series, quality, priors, forecasts, models)
 QUERIES = {name: f for part in PARTS for name, f in part.Q.items()}
 ORACLES = {name: text for part in PARTS for name, text in part.O.items()}
