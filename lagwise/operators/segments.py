@@ -37,7 +37,7 @@ def median_length(segments: DataFrame, entities: DataFrame, by: list[str], defau
     return sql(
         f"""
         with m as (select {listed(by)}, percentile(e - s + 1, 0.5) as m from {{segments}} group by {listed(by)})
-        select {listed(by, 'a.')}, coalesce(greatest(cast(floor(m.m) as int), 1), {default}) as width from {{entities}} a left join m on {same(by, 'a', 'm')}
+        select {listed(by, 'a.')}, case when m.m is null then {default} else greatest(cast(floor(m.m) as int), 1) end as width from {{entities}} a left join m on {same(by, 'a', 'm')}
         """,
         segments=segments,
         entities=entities,

@@ -171,7 +171,7 @@ def count_segments(spark: SparkSession, d: str) -> DataFrame:
     return segments.count_segments(fx.cells(spark, d).fillna({"x": 0}), fx.BY, "x")
 
 
-@query("e06_median_length", f"with {LS} select k.entity, coalesce(greatest(cast(floor(m.m) as int), 1), 100) as width from (select distinct entity from cells) k left join (select entity, quantile_cont(e - s + 1, 0.5) as m from segments where entity <> 1 group by all) m using (entity)")
+@query("e06_median_length", f"with {LS} select k.entity, case when m.m is null then 100 else greatest(cast(floor(m.m) as int), 1) end as width from (select distinct entity from cells) k left join (select entity, quantile_cont(e - s + 1, 0.5) as m from segments where entity <> 1 group by all) m using (entity)")
 def median_length(spark: SparkSession, d: str) -> DataFrame:
     return segments.median_length(segments.runs(fx.labels(spark, d), ENTITY).where("entity <> 1"), fx.cells(spark, d).select("entity").distinct(), ENTITY)
 
