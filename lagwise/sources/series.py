@@ -26,7 +26,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     """(entity, t, xs) of headerless text matrices, one file an entity, values parted by commas or blanks; a single column is an array of one."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("entity"), "value")
-    rows = files.select("entity", F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("t", "line")).where("trim(line) <> ''")
+    rows = files.select("entity", F.posexplode(F.split("value", r"\r?\n")).alias("t", "line")).where("trim(line) <> ''")
     cells = F.transform(F.split(F.trim("line"), r"\s*,\s*|\s+"), lambda v: finite(v.try_cast("double")))
     return rows.select("entity", F.col("t").cast("long").alias("t"), cells.alias("xs"))
 
@@ -102,5 +102,5 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """(dataset, algorithm, t, y) of {dataset}_{algorithm}.gz files of one digit a line."""
     files = spark.read.option("pathGlobFilter", "*.gz").text(path, wholetext=True)
     name = r"^(.*)_([^_]*)\.gz$"
-    rows = files.select(F.regexp_extract("_metadata.file_name", name, 1).alias("dataset"), F.regexp_extract("_metadata.file_name", name, 2).alias("algorithm"), F.posexplode(F.split(F.rtrim("value"), r"\s+")).alias("t", "y"))
+    rows = files.select(F.regexp_extract("_metadata.file_name", name, 1).alias("dataset"), F.regexp_extract("_metadata.file_name", name, 2).alias("algorithm"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\s+")).alias("t", "y"))
     return rows.select("dataset", "algorithm", F.col("t").cast("long").alias("t"), F.col("y").cast("int").alias("y"))
