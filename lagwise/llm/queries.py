@@ -60,4 +60,4 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_toxicity_scores, op2_avi_clips, op3_repeated_words, op4_line_windows, op5_bpe_round_trip, op6_bottom_k, op7_jump_shards, op8_best_fit_packing, op9_pii_spans, op10_simhash_components)
 }
-ORACLES: dict[str, str] = {"op4_line_windows": lines.ORACLE}
+ORACLES: dict[str, str] = {"op3_repeated_words": substrings.ORACLE, "op4_line_windows": lines.ORACLE}

@@ -233,3 +233,25 @@ def _extended(docs: DataFrame, length: int) -> DataFrame:
         return at, mix(a, b).view(np.int64), (mix(b, a) >> np.uint64(33)).astype(np.int32)
 
     return _mapped(docs, "doc_id long, place int, h long, g int", of)
+
+
+#: The rows of digests() in DuckDB.
+ORACLE = r"""
+with t as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents where doc_id is not null
+), w as (
+  select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from t
+), v as (
+  select doc_id, i, string_agg(word, ' ') over f as words, count(*) over f as n from w
+  window f as (partition by doc_id order by i rows between current row and 19 following)
+), s as (
+  select doc_id, i, row_number() over (partition by words order by doc_id, i) as k from v where n = 20
+), gone as (
+  select distinct doc_id, i + o.x as i from s, range(20) as o(x) where k > 1
+), kept as (
+  select w.doc_id, count(*) as n, count(g.i) as gone, string_agg(word, ' ' order by w.i) filter (where g.i is null) as text
+  from w left join gone g on w.doc_id = g.doc_id and w.i = g.i group by w.doc_id
+)
+select t.doc_id, coalesce(n, 0)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from t left join kept on t.doc_id = kept.doc_id
+"""
