@@ -171,3 +171,24 @@ def test_ingest_edges(spark):
         ingest.scaler(c, BY, "true", "other")
     with pytest.raises(ValueError):
         report.require(c)
+
+
+def confounded(r, n):
+    x = r.normal(size=(n, 4))
+    for t in range(2, n):
+        x[t, 0] += 1.5 * x[t - 1, 2]
+        x[t, 1] += 1.5 * x[t - 2, 2]
+    return x
+
+
+def test_confounder_is_found_and_explains_the_edge(spark):
+    bins = prior.digitise(cells(spark, confounded, 3000), BY, 4).withColumn("chunk", F.lit(0)).cache()
+    te = prior.transfer_entropy(bins, BY, 2).cache()
+    found = prior.confounders(te, BY)
+    assert (0, 1, 2) in {(x["src"], x["tgt"], x["z"]) for x in found.collect()}
+    plain = {(x["tau"], x["src"], x["tgt"]): x["te"] for x in te.collect()}
+    given = {(x["tau"], x["src"], x["tgt"]): x["te"] for x in prior.conditional_entropy(bins, found, BY, 2, 4).collect()}
+    assert set(given) == {(t, x["src"], x["tgt"]) for t in (1, 2) for x in found.collect()}
+    assert plain[(1, 0, 1)] > 0.05
+    two = {(x["tau"], x["src"], x["tgt"]): x["raw"] for x in prior.build("cte", bins, BY, 2, 4).collect()}
+    assert all(math.isclose(two[k], v) for k, v in given.items()) and math.isclose(two[(2, 2, 1)], plain[(2, 2, 1)])
