@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 #: Chunks whose ids a worker remembers at most; beyond that it forgets all and starts anew. No result depends on it.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Characters of text that are encoded together.
-TOGETHER = 8_000_000
+TOGETHER = 3_000_000
 #: The rank of a pair that does not merge.
 NEVER = 1 << 40
 #: What \s means to the tokenizers: Unicode white space, without the separators \x1c-\x1f.
@@ -193,12 +193,12 @@ def ranks(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
-def together(batch: list[str | None], limit: int = TOGETHER) -> Iterator[list[str]]:
+def together(column: pa.Array, limit: int = TOGETHER) -> Iterator[list[str]]:
     """Runs of neighbouring texts (null: empty) of about `limit` characters."""
     out, size = [], 0
-    for t in batch:
-        out.append(t or "")
-        size += len(t or "") + 1
+    for value in column:
+        out.append(t := value.as_py() or "")
+        size += len(t) + 1
         if size >= limit:
             yield out
             out, size = [], 0
@@ -212,7 +212,7 @@ def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ranks(path, pattern)
         for batch in batches:
-            ids = [x for part in together(batch.column("text").to_pylist()) for x in coder.encode(part)]
+            ids = [x for part in together(batch.column("text")) for x in coder.encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return texts(df).mapInArrow(run, "doc_id long, ids binary")
@@ -240,7 +240,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
         coder = ranks(path, pattern)
         for batch in batches:
             n, a, b = [], [], []
-            for part in together(batch.column("text").to_pylist()):
+            for part in together(batch.column("text")):
                 for ids in coder.encode(part):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())

@@ -90,7 +90,7 @@ def tokenized(df: DataFrame, path: str, length: int = LENGTH, end: int = END, ke
         coder = words(path)
         for batch in batches:
             doc_ids = iter(batch.column("doc_id").to_pylist())
-            for part in together(batch.column("text").to_pylist()):
+            for part in together(batch.column("text")):
                 rows = []
                 for ids in coder.encode(part):
                     d = next(doc_ids)
