@@ -74,18 +74,18 @@ class Chunked:
         if len(self.known) + len(self.first) > REMEMBERED:
             self.forget()
         new, heads = set(), set()
-        for t in batch:
-            head, *rest = chunks(t)
-            new.update(set(rest).difference(self.known))
-            heads.add(head)
+        cut = [chunks(t) for t in batch]
+        known = self.known
+        for c in cut:
+            heads.add(c[0])
+            new.update([x for x in c[1:] if x not in known])
         fresh, heads = list(new), list(heads.difference(self.first))
         ids = self.learn([" " + c for c in fresh] + heads)
         self.known.update(zip(fresh, ids[: len(fresh)], strict=True))
         self.first.update(zip(heads, ids[len(fresh) :], strict=True))
         get = self.known.__getitem__
-        for t in batch:
-            head, *rest = chunks(t)
-            yield self.first[head] + b"".join(map(get, rest))
+        for c in cut:
+            yield self.first[c[0]] + b"".join(map(get, c[1:]))
 
 
 class Ranks(Chunked):
@@ -178,7 +178,7 @@ class Ranks(Chunked):
 
     def learn(self, new: list[str]) -> list[bytes]:
         ids, cut = self.words, self.cut.findall
-        parts = [cut(c) for c in new]
+        parts = [[c] if (c[1:] if c[:1] == " " else c).isalpha() else cut(c) for c in new]
         missing = list({w for ws in parts for w in ws if w not in ids})
         if missing:
             ids.update(zip(missing, self.replay([w.encode() for w in missing]), strict=True))

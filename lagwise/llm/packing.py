@@ -29,8 +29,10 @@ from .bpe import Chunked, together
 from .common import numbered, scratch, texts
 
 LENGTH = 1024
-#: How byte-level vocabularies write a blank.
-BLANK = "\u0120"
+#: How byte-level vocabularies write each byte: a printable one as its Latin-1 character, the others in turn from U+0100.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+BLANK = chr(BYTES[0x20])
 END = 2
 #: Weights of tokens, documents and cost in the norm and the dot product; tokens decide, the others break ties.
 WEIGHTS = (1.0, 0.05, 0.05)
@@ -46,14 +48,23 @@ class Words(Chunked):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
+        self.four = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids whose token starts with a blank
         self.starts[[i for t, i in vocabulary.items() if t[0] == BLANK]] = True
 
     def learn(self, new: list[str]) -> list[bytes]:
-        """Chunks whose only blank is the first are joined before encoding, and their ids cut at each blank."""
-        joined = [c for c in new if c.rfind(" ") == 0]
-        alone = [c for c in new if c.rfind(" ") != 0]
-        out = {}
+        """Chunks of letters alone are one word for the model; others pass the whole tokenizer.
+
+        Of those, the ones whose only blank is the first are joined before encoding, and their ids cut at each blank.
+        """
+        out, four, model = {}, self.four, self.tokenizer.model
+        joined, alone = [], []
+        for c in new:
+            if (c[1:] if c[:1] == " " else c).isalpha():
+                word = c if c.isascii() else c.encode().decode("latin-1")
+                out[c] = b"".join([four[t.id] for t in model.tokenize(word.translate(BYTES))])
+            else:
+                (joined if c.rfind(" ") == 0 else alone).append(c)
         for at in range(0, len(joined), 100_000):
             part = joined[at : at + 100_000]
             found = self.tokenizer.encode_batch_fast(["".join(part[k : k + 50]) for k in range(0, len(part), 50)], add_special_tokens=False)
