@@ -10,8 +10,9 @@ entry. A list gives links that connect it as all its links would, not every pair
 
 near_duplicates() follows fingerprints of word shingles to their components. similar_texts() finds texts whose
 five-word shingles overlap by 0.8 or more: candidates share a fingerprint of single words up to two bits in one of
-several tables (a shingle's fingerprint turns too many bits for that overlap), and are verified by 512 bits of SimHash
-over the five-word shingles, whose share of unequal bits tells the overlap.
+several tables (a shingle's fingerprint turns too many bits for that overlap) or a band of MinHashes of the five-word
+shingles, and are verified by 512 bits of SimHash over the five-word shingles, whose share of unequal bits tells the
+overlap. A band's texts meet pivots in rounds, until all that are left are linked.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ from .components import components
 SEED = 42
 #: Tables of single-word fingerprints, and numbers of 64 bits of the verifying SimHash, in similar_texts().
 TABLES, LONG = 3, 8
+#: Bands of MinHashes of five-word shingles, and MinHashes of a band: of pairs of 0.8 all but 1 in 300,000 share a band.
+BANDS, ROWS = 24, 4
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: By how much the pivots of a band's texts grow with each round.
+MORE = 4
 SIMILARITY = 0.8
 DISTANCE = 2
 SHINGLE = 3
@@ -189,9 +195,17 @@ def unequal_bits(similarity: float, bits: int) -> int:
     return int(round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits))
 
 
+def bands(hashes: np.ndarray) -> list[int]:
+    """For each band a hash of its number and its MinHashes; texts without words share all."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + 1024]).min(axis=1))
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
 def marks(df: DataFrame) -> DataFrame:
-    """(doc_id, t0.. of single words, v0.. of five-word shingles, text_key) of every text."""
-    names = [*[f"t{i}" for i in range(TABLES)], *[f"v{i}" for i in range(LONG)]]
+    """(doc_id, t0.. of single words, v0.. and bands b0.. of five-word shingles, their number n, text_key) of every text."""
+    names = [*[f"t{i}" for i in range(TABLES)], *[f"v{i}" for i in range(LONG)], *[f"b{i}" for i in range(BANDS)], "n"]
 
     def several(h: np.ndarray, n: int) -> list[int]:
         """Fingerprints by n independent hashes, made from one."""
@@ -208,7 +222,8 @@ def marks(df: DataFrame) -> DataFrame:
             rows, keys = [], []
             for t in batch.column("text"):
                 text = t.as_py()
-                rows.append(several(shingle_hashes(text, 1), TABLES) + several(shingle_hashes(text, 5), LONG))
+                h = np.unique(shingle_hashes(text, 5))
+                rows.append([*several(shingle_hashes(text, 1), TABLES), *several(shingle_hashes(text, 5), LONG), *bands(h), len(h)])
                 keys.append(xxhash.xxh128_hexdigest(text.encode("utf-8", "surrogatepass")))
             columns = np.array(rows, np.int64).reshape(-1, len(names)).T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in columns], pa.array(keys, pa.string())], names=["doc_id", *names, "text_key"])
@@ -216,17 +231,17 @@ def marks(df: DataFrame) -> DataFrame:
     return texts(df).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} long" for n in names], "text_key string"]))
 
 
-def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, component_id): components of documents with equal texts or verified links; the id is the smallest doc_id.
+def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose SimHash bits tell that overlap or more."""
+    long = [f"v{i}" for i in range(LONG)]
+    left = nodes.select(F.col("node").alias("x"), *[F.col(v).alias(f"x{v}") for v in long])
+    right = nodes.select(F.col("node").alias("y"), *[F.col(v).alias(f"y{v}") for v in long])
+    unequal = sum((F.bit_count(F.col(f"x{v}").bitwiseXOR(F.col(f"y{v}"))) for v in long), F.lit(0))
+    return pairs.join(left, "x").join(right, "y").where(unequal <= unequal_bits(similarity, 64 * LONG)).select("x", "y")
 
-    A node is a text, named by its smallest doc_id. In each table a fingerprint's texts are linked to the smallest of
-    them, and the smallest of fingerprints within `distance` to each other; no list gives all its pairs. Texts without
-    words are alike to each other only. Rows of equal doc_id should not differ in text; if so, they share the groups of both.
-    """
-    rows = scratch(marks(df), "marks")
-    data = [c for c in rows.columns if c not in ("doc_id", "text_key")]
-    nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in data])
-    nodes = scratch(nodes, "texts")
+
+def close_fingerprints(nodes: DataFrame, distance: int) -> DataFrame:
+    """(x, y): in each table a fingerprint's texts with the smallest of them, and the smallest of close fingerprints."""
     found = None
     for i in range(TABLES):
         heads = nodes.groupBy(F.col(f"t{i}").alias("fp")).agg(F.min("node").alias("head"))
@@ -236,13 +251,47 @@ def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int =
         within = nodes.join(heads, F.col(f"t{i}") == F.col("fp")).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
         both = across.union(within)
         found = both if found is None else found.union(both)
-    found = scratch(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    long = [f"v{i}" for i in range(LONG)]
-    left = nodes.select(F.col("node").alias("x"), *[F.col(v).alias(f"x{v}") for v in long])
-    right = nodes.select(F.col("node").alias("y"), *[F.col(v).alias(f"y{v}") for v in long])
-    unequal = sum((F.bit_count(F.col(f"x{v}").bitwiseXOR(F.col(f"y{v}"))) for v in long), F.lit(0))
-    sure = found.join(left, "x").join(right, "y").where(unequal <= unequal_bits(similarity, 64 * LONG)).select("x", "y")
-    roots = components(sure, "x", "y")
+    return found
+
+
+def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, component_id): components of documents with equal texts or verified links; the id is the smallest doc_id.
+
+    A node is a text, named by its smallest doc_id. Candidates come from close_fingerprints() and from the bands. In a
+    round a band's texts meet its pivots, those that share most bands with others; then the links are verified, and the
+    pivots, which have met all, go. A band is settled when the texts left are of one component, so each two texts of a
+    band are linked, or were compared, or are in one component; no list gives all its pairs unless hardly any is alike.
+    Texts without words are alike to each other only. Rows of equal doc_id should not differ in text; if so, they share
+    the groups of both.
+    """
+    rows = scratch(marks(df), "marks")
+    data = [c for c in rows.columns if c not in ("doc_id", "text_key")]
+    nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in data])
+    nodes = scratch(nodes, "texts")
+    lists = nodes.select("node", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
+    shared = lists.join(lists.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band")
+    central = shared.groupBy("node").agg(F.sum("size").alias("score"))
+    left = scratch(shared.drop("size").join(central, "node").withColumn("root", F.col("node")), "bands")
+    met = scratch(close_fingerprints(nodes, distance).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    sure, pivots = None, 1
+    while True:
+        cell = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("cell")
+        chosen = left.groupBy("band", cell).agg(F.max(F.struct("score", "node", "n", "root")).alias("p"))
+        chosen = scratch(chosen.select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.root").alias("pivot_root")), "pivots")
+        # sets that differ more in size cannot overlap enough
+        fit = F.least("n", "pivot_n") >= F.lit(similarity) * F.greatest("n", "pivot_n") - 1e-9
+        pairs = left.join(chosen, "band").where((F.col("root") != F.col("pivot_root")) & fit).select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
+        pairs = scratch((pairs if sure is not None else pairs.union(met)).distinct(), "candidates")
+        new = scratch(verified(pairs, nodes, similarity), "links")
+        sure = new if sure is None else sure.union(new)
+        roots = scratch(components(sure, "x", "y"), "roots")
+        left = left.join(chosen.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti").drop("root")
+        left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        unsettled = left.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
+        left = scratch(left.join(unsettled, "band"), "bands")
+        if left.isEmpty():
+            break
+        pivots *= MORE
     named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "component_id")
 

@@ -168,6 +168,21 @@ def test_similar_texts_keep_one(spark):
     assert ids >= {*range(8), 201, None} and not ids & {200, 202} and len([i for i in ids if i and 100 <= i < 140]) <= 2
 
 
+def edited(r, words, places):
+    """The words with new ones at places far from each other."""
+    ws, step = list(words), len(words) // places
+    for i in range(places):
+        ws[i * step + r.randrange(step - 5)] = f"edit{r.randrange(10**9)}"
+    return " ".join(ws)
+
+
+def test_variants_meet_a_base_that_is_not_the_smallest(spark):
+    r = random.Random(9)
+    base = prose(r, 300)
+    rows = [(i, edited(r, base.split(), 4)) for i in range(40)] + [(1000, base)]
+    assert {x["component_id"] for x in simhash.similar_texts(table(spark, rows)).collect()} == {0}
+
+
 def test_lines_match_the_sql(spark):
     r = random.Random(6)
     pool = [f"line {i}" for i in range(12)] + ["", "  "]
