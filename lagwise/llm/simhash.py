@@ -11,13 +11,12 @@ entry. A list gives links that connect it as all its links would, not every pair
 near_duplicates() follows fingerprints of word shingles to their components. similar_texts() finds texts whose
 five-word shingles overlap by 0.8 or more: candidates share a fingerprint of single words up to two bits in one of
 several tables (a shingle's fingerprint turns too many bits for that overlap) or a band of MinHashes of the five-word
-shingles, and are verified by 512 bits of SimHash over the five-word shingles, whose share of unequal bits tells the
-overlap. A band's texts meet pivots in rounds, until all that are left are linked.
+shingles, and are verified by the exact overlap of their sets of five-word shingles. A band's texts meet pivots in rounds, until all that are left are linked.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,13 +30,15 @@ from .common import partitions, scratch, texts
 from .components import components
 
 SEED = 42
-#: Tables of single-word fingerprints, and numbers of 64 bits of the verifying SimHash, in similar_texts().
-TABLES, LONG = 3, 8
+#: Tables of single-word fingerprints in similar_texts().
+TABLES = 3
 #: Bands of MinHashes of five-word shingles, and MinHashes of a band: of pairs of 0.8 all but 1 in 300,000 share a band.
 BANDS, ROWS = 24, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 #: By how much the pivots of a band's texts grow with each round.
 MORE = 4
+#: Parts in which a text meets its candidates.
+PARTS = 64
 SIMILARITY = 0.8
 DISTANCE = 2
 SHINGLE = 3
@@ -45,9 +46,9 @@ SHINGLE = 3
 TOGETHER = 1 << 18
 
 
-def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+def shingle_hashes(text: str | bytes, shingle: int) -> np.ndarray:
     """XXH64 of each run of `shingle` words, A-Z in lower case; of all words, if there are fewer; none without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -190,11 +191,6 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def unequal_bits(similarity: float, bits: int) -> int:
-    """How many of `bits` SimHash bits differ, on average, between sets of that overlap (Jaccard): their angle's share."""
-    return int(round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits))
-
-
 def bands(hashes: np.ndarray) -> list[int]:
     """For each band a hash of its number and its MinHashes; texts without words share all."""
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
@@ -204,8 +200,8 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def marks(df: DataFrame) -> DataFrame:
-    """(doc_id, t0.. of single words, v0.. and bands b0.. of five-word shingles, their number n, text_key) of every text."""
-    names = [*[f"t{i}" for i in range(TABLES)], *[f"v{i}" for i in range(LONG)], *[f"b{i}" for i in range(BANDS)], "n"]
+    """(doc_id, t0.. of single words, bands b0.. of five-word shingles, the number n of these, text_key) of every text."""
+    names = [*[f"t{i}" for i in range(TABLES)], *[f"b{i}" for i in range(BANDS)], "n"]
 
     def several(h: np.ndarray, n: int) -> list[int]:
         """Fingerprints by n independent hashes, made from one."""
@@ -223,7 +219,7 @@ def marks(df: DataFrame) -> DataFrame:
             for t in batch.column("text"):
                 text = t.as_py()
                 h = np.unique(shingle_hashes(text, 5))
-                rows.append([*several(shingle_hashes(text, 1), TABLES), *several(shingle_hashes(text, 5), LONG), *bands(h), len(h)])
+                rows.append([*several(shingle_hashes(text, 1), TABLES), *bands(h), len(h)])
                 keys.append(xxhash.xxh128_hexdigest(text.encode("utf-8", "surrogatepass")))
             columns = np.array(rows, np.int64).reshape(-1, len(names)).T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in columns], pa.array(keys, pa.string())], names=["doc_id", *names, "text_key"])
@@ -231,13 +227,51 @@ def marks(df: DataFrame) -> DataFrame:
     return texts(df).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} long" for n in names], "text_key string"]))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose SimHash bits tell that overlap or more."""
-    long = [f"v{i}" for i in range(LONG)]
-    left = nodes.select(F.col("node").alias("x"), *[F.col(v).alias(f"x{v}") for v in long])
-    right = nodes.select(F.col("node").alias("y"), *[F.col(v).alias(f"y{v}") for v in long])
-    unequal = sum((F.bit_count(F.col(f"x{v}").bitwiseXOR(F.col(f"y{v}"))) for v in long), F.lit(0))
-    return pairs.join(left, "x").join(right, "y").where(unequal <= unequal_bits(similarity, 64 * LONG)).select("x", "y")
+def packed_texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, packed): the compressed texts whose doc_id is a node of wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [zlib.compress(t.as_py().encode("utf-8", "surrogatepass"), 3) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["node", "packed"])
+
+    return texts(df).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, packed binary")
+
+
+def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) whose sets of five-word shingles have that overlap (Jaccard) or more; two empty sets do.
+
+    A text may have very many candidates; it meets them in parts, so that no key holds all. A part is a run of sorted
+    rows, x before each y, and of a run only the set of x is kept.
+    """
+    part = F.pmod(F.xxhash64("y"), F.lit(PARTS)).cast("long").alias("part")
+    sides = pairs.select("x", part, F.lit(0).alias("side"), F.col("x").alias("node")).distinct()
+    sides = scratch(sides.union(pairs.select("x", part, F.lit(1), F.col("y"))), "sides")
+    met = sides.join(packed, "node").select("x", "part", "side", "node", "packed")
+    met = met.repartition(partitions(met.sparkSession), "x", "part").sortWithinPartitions("x", "part", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads = None, []
+        for batch in batches:
+            found = []
+            for x, part, side, node, data in zip(*batch.columns, strict=True):
+                here = (x.as_py(), part.as_py())
+                if here != at:
+                    at, heads = here, []
+                mine = np.unique(shingle_hashes(zlib.decompress(data.as_py()), 5))
+                if side.as_py() == 0:
+                    heads.append(mine)  # more than one only where texts share a doc_id
+                    continue
+                for other in heads:
+                    common = len(np.intersect1d(mine, other, assume_unique=True))
+                    union = len(mine) + len(other) - common
+                    if not union or common / union >= similarity:
+                        found.append((here[0], node.as_py()))
+                        break
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
+
+    return met.mapInArrow(run, "x long, y long")
 
 
 def close_fingerprints(nodes: DataFrame, distance: int) -> DataFrame:
@@ -257,7 +291,7 @@ def close_fingerprints(nodes: DataFrame, distance: int) -> DataFrame:
 def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, component_id): components of documents with equal texts or verified links; the id is the smallest doc_id.
 
-    A node is a text, named by its smallest doc_id. Candidates come from close_fingerprints() and from the bands. In a
+    A node is a text, named by its smallest doc_id. Candidates come from the bands, then from close_fingerprints(). In a
     round a band's texts meet its pivots, those that share most bands with others; then the links are verified, and the
     pivots, which have met all, go. A band is settled when the texts left are of one component, so each two texts of a
     band are linked, or were compared, or are in one component; no list gives all its pairs unless hardly any is alike.
@@ -272,18 +306,21 @@ def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int =
     shared = lists.join(lists.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band")
     central = shared.groupBy("node").agg(F.sum("size").alias("score"))
     left = scratch(shared.drop("size").join(central, "node").withColumn("root", F.col("node")), "bands")
-    met = scratch(close_fingerprints(nodes, distance).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    met = scratch(close_fingerprints(nodes, distance).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "close")
+    wanted = left.select("node").union(met.select("x")).union(met.select("y")).distinct()
+    packed = scratch(packed_texts(df, wanted), "packed")
     sure, pivots = None, 1
+    # sets that differ more in size cannot overlap enough
+    fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
     while True:
         cell = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("cell")
         chosen = left.groupBy("band", cell).agg(F.max(F.struct("score", "node", "n", "root")).alias("p"))
         chosen = scratch(chosen.select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.root").alias("pivot_root")), "pivots")
-        # sets that differ more in size cannot overlap enough
-        fit = F.least("n", "pivot_n") >= F.lit(similarity) * F.greatest("n", "pivot_n") - 1e-9
-        pairs = left.join(chosen, "band").where((F.col("root") != F.col("pivot_root")) & fit).select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
-        pairs = scratch((pairs if sure is not None else pairs.union(met)).distinct(), "candidates")
-        new = scratch(verified(pairs, nodes, similarity), "links")
-        sure = new if sure is None else sure.union(new)
+        # the pivot is x, as it may have many candidates; of two pivots the smaller
+        pairs = left.join(chosen, "band").where((F.col("root") != F.col("pivot_root")) & fit("n", "pivot_n"))
+        pairs = pairs.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.min("pivot").alias("x"))
+        new = verified(pairs.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), packed, similarity)
+        sure = scratch(new if sure is None else sure.union(new), "links")
         roots = scratch(components(sure, "x", "y"), "roots")
         left = left.join(chosen.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti").drop("root")
         left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -292,6 +329,10 @@ def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int =
         if left.isEmpty():
             break
         pivots *= MORE
+    known = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    ends = [known.withColumnsRenamed({"node": e, "n": f"{e}_n", "root": f"{e}_root"}) for e in "xy"]
+    more = met.join(ends[0], "x").join(ends[1], "y").where((F.col("x_root") != F.col("y_root")) & fit("x_n", "y_n")).select("x", "y").distinct()
+    roots = components(sure.union(verified(more, packed, similarity)), "x", "y")
     named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "component_id")
 

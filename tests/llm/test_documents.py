@@ -183,6 +183,28 @@ def test_variants_meet_a_base_that_is_not_the_smallest(spark):
     assert {x["component_id"] for x in simhash.similar_texts(table(spark, rows)).collect()} == {0}
 
 
+def overlap(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_are_those_of_exact_overlap(spark):
+    r = random.Random(10)
+    rows, want = [], {}
+    for i in range(240):
+        n, places = r.choice([(49, 1), (60, 1), (99, 2), (200, 3), (200, 4), (200, 5), (350, 7), (350, 8), (350, 9)])
+        base = prose(r, n)
+        other = edited(r, base.split(), places)
+        rows += [(2 * i, base), (2 * i + 1, other)]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if overlap(base, other) >= 0.8 else 2 * i + 1}
+    five = " ".join(f"w{i}" for i in range(49))  # 45 shingles: 40 of 50 are shared
+    rows += [(1000, five), (1001, five.replace("w20", "x20")), (1002, " "), (1003, "\t"), (1004, "one two"), (1005, "One  two")]
+    want |= {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002, 1004: 1004, 1005: 1004}
+    assert overlap(five, rows[-5][1]) == 0.8 and 60 < sum(d != c for d, c in want.items()) < 200
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(table(spark, rows)).collect()} == want
+    assert simhash.similar_texts(table(spark, [])).count() == 0
+
+
 def test_lines_match_the_sql(spark):
     r = random.Random(6)
     pool = [f"line {i}" for i in range(12)] + ["", "  "]
