@@ -50,6 +50,8 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+#: What (?i) takes for s and i, but lower() does not.
+FOLDED = {0x17F: "s", 0x130: "i"}
 AT = r"at|arroba|arobase|arrobase|klammeraffe"
 DOT = r"dot|punkt|punto|point"
 TLDS = "com|org|net|edu|gov|info|io|dev|co|uk|de|fr|es|eu|us|ca|ch|at|nl|it"
@@ -59,13 +61,27 @@ SPELLED = rf"(?<!\w)(?:(?P<plus>plus|más|mas)[\s]+)?{_digit}(?:[\s,.-]{{1,3}}{_
 _name = r"[A-Za-z0-9_%+-]+"
 _dot = rf"(?:\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*|\s+(?:{DOT})\s+|\s*\.\s*)"
 _at = rf"(?:\s*[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*|\s+(?:{AT})\s+|\s*@\s*)"
+_marked_at, _marked_dot = rf"\s*[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*", rf"\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*"
+#: A full stop with a blank just behind it ends a sentence too ("at noon. It"): after a bare word for @ it counts as a
+#: dot only before those domains that start no sentence.
+_after_word = rf"(?:{_marked_dot}|\s+(?:{DOT})\s+|\s+\.\s*|\.)"
+_sure = rf"(?:{_after_word}(?:{TLDS})|\s*\.\s*(?:com|org|edu|gov))"
+_label = r"[A-Za-z](?:[A-Za-z0-9-]*[A-Za-z0-9])"
+_known = rf"(?:{_dot}{_name}){{0,3}}{_dot}(?:{TLDS})(?![\w])"
 #: local at domain dot ... top-level domain, of which a sign at least is disguised (a plain address matches base rules).
-DISGUISED = rf"(?<![\w.@]){_name}(?:{_dot}{_name}){{0,3}}{_at}{_name}(?:{_dot}{_name}){{0,3}}{_dot}(?:{TLDS})(?![\w])"
-#: What must be there before a text is worth rewriting (for Arrow's linear-time search over a whole batch).
-SIGN = (
-    "(?i)[" + "".join(rf"\x{{{c:x}}}" for c in CHARS) + "]"
-    rf"|[\[({{<]\s*(?:{AT}|{DOT}|@|\.)\s*[\])}}>]|\s(?:{DOT})\s|\s@|@\s|{_digit}(?:[\s,.-]{{1,3}}{_digit}){{3}}"
+#: Where the at and the last dot are bracketed, any top-level domain will do.
+DISGUISED = (
+    rf"(?<![\w.@]){_name}(?:{_dot}{_name}){{0,3}}(?:"
+    rf"{_marked_at}{_name}(?:{_known}(?:{_marked_dot}{_label}(?!\w))*|(?:(?:{_marked_dot}|\.){_name}){{0,3}}{_marked_dot}{_label}(?!\w))"
+    rf"|\s*@\s*{_name}{_known}"
+    rf"|\s+(?:{AT})\s+{_name}(?:{_after_word}{_name}){{0,3}}{_sure}(?![\w]))"
 )
+#: What must be there before a text is worth rewriting (for Arrow's linear-time search over a whole batch): a character
+#: of the first transducer, or the patterns of the second without what stands around them and after the first dot. \s is
+#: ASCII's there, and the dotted capital I no i, as it is in Python.
+_BLANK = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_signs = rf"{_name}{_at}{_name}{_dot}[A-Za-z0-9_%+-]|{_digit}(?:[\s,.-]{{1,3}}{_digit}){{3}}"
+SIGN = "(?i)[" + "".join(rf"\x{{{c:x}}}" for c in [*CHARS, 0x130]) + "]|" + re.sub(r"(\[?)\\s", lambda m: f"[{_BLANK}" if m[1] else f"[{_BLANK}]", _signs)
 WORDS = re.compile(rf"(?i)(?P<spelled>{SPELLED})|(?P<mail>{DISGUISED})")
 ONE_DIGIT, DOT_SIGN, AT_SIGN = re.compile(f"(?i){_digit}"), re.compile(f"(?i){_dot}"), re.compile(f"(?i){_at}")
 
@@ -101,7 +117,7 @@ def _pieces(m: re.Match) -> Iterator[tuple[int, int, str]]:
     if m["spelled"] is not None:
         first = True
         for d in ONE_DIGIT.finditer(m.string, a + len(m["plus"] or ""), m.end()):
-            yield (a if first else d.start(), d.end(), ("+" if m["plus"] and first else "") + DIGIT_WORDS[d[0].lower()])
+            yield (a if first else d.start(), d.end(), ("+" if m["plus"] and first else "") + DIGIT_WORDS[d[0].translate(FOLDED).lower()])
             first = False
         return
     # Of a disguised address the signs alone change; the first at sign splits local part and domain.

@@ -247,6 +247,34 @@ def test_pii_base_and_disguises(spark):
     assert masked[4]["text"] == "write to <EMAIL> now" and masked[4]["n_chars"] == 20 and masked[2]["text"] is None
 
 
+def test_pii_gate_lets_all_through_that_the_rewriter_changes(spark):
+    cases = {
+        "write to jane at example.com now": "jane at example.com",
+        "mail jane.doe at mail.example.org today": "jane.doe at mail.example.org",
+        "jane@example . com": "jane@example . com",
+        "to jane [at] firma [dot] se or": "jane [at] firma [dot] se",
+        "to jane (at) mail.firma (dot) com (dot) br.": "jane (at) mail.firma (dot) com (dot) br",
+        "to jane [at] shop [dot] example": "jane [at] shop [dot] example",
+        "jane\u2003at\u2003mail\x85dot\x0bcom": "jane\u2003at\u2003mail\x85dot\x0bcom",
+    }
+    rows = list(enumerate(cases))
+    got = {x["doc_id"]: x["spans"] for x in pii.find_pii(table(spark, rows)).collect()}
+    assert got == {i: f"email:{t.index(cases[t])}:{t.index(cases[t]) + len(cases[t])}" for i, t in rows}
+    for clean in ("we came at noon. It rained", "look at home. At last", "he was at work. De facto", "be at last (see (2)) [dot] x"):
+        assert pii.spans(clean, True)[1] == [], clean
+    r = random.Random(12)
+    blanks, changed = ["", " ", " ", "\u2003", "\x0b", "\x85", "\n", "\x1c", "\u3000"], 0
+    for _ in range(4000):
+        parts = ["jane", r.choice(["at", "AT", "@", "[at]", "( @ )", "arroba"]), r.choice(["x", "a.b"]), r.choice(["dot", "Punkt", ".", "[dot]", "{ . }"]), r.choice(["com", "se", "It"])]
+        if r.random() < 0.3:
+            parts = [r.choice(["one", "f\u0130ve", "\u017feven", "plus", "acht", "x"]) for _ in range(5)]
+        text = "".join(w + r.choice(blanks) for w in parts)
+        if pii.rewrite(text)[0] != text:
+            changed += 1
+            assert pii.disguised(pa.array([text])) == [True], text
+    assert changed > 500
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(8)
     bad = ["dolt", "grobnik", "grobling", "swine"]
