@@ -78,6 +78,7 @@ def query(name: str, keys: list[str], columns: list[str], make, body: str, befor
 query("f01_edge_logits", _EDGE, ["logit"], lambda t: ed.run(ed.LOGITS, BY, {"prior": t.prior}), d_(ed.LOGITS).format(prior="prior"), _ONE)
 query("f02_edge_gates", _EDGE, ["gate"], lambda t: ed.run(ed.GATES, BY, {"prior": t.prior}), d_(ed.GATES).format(prior="prior"), _ONE)
 query("f03_similarity", ["entity", "t", "tau", "src", "tgt"], ["similarity"], lambda t: ed.run(ed.SIMILARITY, BY, {"series": t.series}, TAU=2, FIRST=5, H=4).where("t >= 600"), f"select * from ({d_(ed.SIMILARITY, TAU=2, FIRST=5, H=4).format(series='scaled')}) q where t >= 600", fx.SCALED)
+query("f03_similarity_whole", ["entity", "t", "tau", "src", "tgt"], ["similarity"], lambda t: ed.run(ed.SIMILARITY, BY, {"series": t.series}, TAU=TAU, FIRST=5, H=4), d_(ed.SIMILARITY, TAU=TAU, FIRST=5, H=4).format(series="scaled"), fx.SCALED)
 query("f04_edge_weights", _EDGE, ["weight", "gate"], lambda t: t.weights, "select * from weights", _W)
 query("f05_forecast", ["entity", "t", "tgt"], ["actual", "predicted", "err"], lambda t: t.errors, "select * from errors", _E)
 query("f07_reference", _EDGE, ["v"], lambda t: t.reference, _REF, _E)

@@ -49,6 +49,13 @@ def test_against_sql(spark, con, name):
     assert all(alike(x, y) for a, b in zip(got, expected, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_similarity_covers_all_hours_and_lags(spark, con):
+    test_against_sql(spark, con, "f03_similarity_whole")
+    got = registry.QUERIES["f03_similarity_whole"](spark, SF).agg({"t": "min", "tau": "max", "*": "count"}).first()
+    part = registry.QUERIES["f03_similarity"](spark, SF).count()
+    assert got["min(t)"] < 600 and got["max(tau)"] == 3 and got["count(1)"] > 5 * part
+
+
 def test_entry_points(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(registry.QUERIES) > 90
