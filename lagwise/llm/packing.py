@@ -1,7 +1,9 @@
 """Vector best-fit packing of documents into sequences of bounded length.
 
-A piece of a document has three sizes: its tokens, 1 document, and its attention cost (tokens squared); a sequence has
-a capacity for each. Pieces go in order of falling length into the sequence that they leave with the smallest weighted
+A piece of a document has three sizes: its tokens, 1 document, and its attention cost, the tiles of TILE x TILE tokens
+that its own attention fills (those of its length, rounded up, squared); a sequence has a capacity for each. The cost's
+is little more than that of one piece of full length, so that short documents, which fill tiles badly, spread over
+sequences. Pieces go in order of falling length into the sequence that they leave with the smallest weighted
 norm of what is free (or with which they have the largest weighted dot product), among those where all three fit.
 
 Pieces of one length are alike, so the choice is made for counts of pieces and counts of alike sequences: what is
@@ -15,6 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import insort
 from collections.abc import Iterable, Iterator
@@ -25,33 +28,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Chunked, together
 from .common import numbered, scratch, texts
 
 LENGTH = 1024
+#: Tokens on a side of a tile of attention; tiles that a sequence may fill beyond those of one piece of full length; and
+#: documents that it may hold.
+TILE, EXTRA, DOCUMENTS = 128, 2, 12
 #: How byte-level vocabularies write each byte: a printable one as its Latin-1 character, the others in turn from U+0100.
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 BLANK = chr(BYTES[0x20])
 END = 2
+#: Bytes, roughly, of chunks and their ids that a worker remembers at most; beyond that it forgets all and starts anew. No result depends on it.
+REMEMBERED = 120_000_000
+#: Characters of text that are encoded together.
+TOGETHER = 3_000_000
+#: A blank that white space or the end follows: there the chunk goes on.
+LOOSE = re.compile(r" (?:\s|\Z)")
 #: Weights of tokens, documents and cost in the norm and the dot product; tokens decide, the others break ties.
 WEIGHTS = (1.0, 0.05, 0.05)
 
 
-class Words(Chunked):
-    """Ids by the tokenizer, remembered for each blank-separated chunk (at whose borders byte-level BPE always cuts)."""
+def chunks(text: str) -> list[str]:
+    """The text cut before each blank that a character other than white space follows; those blanks are left out."""
+    found = text.split(" ")
+    if not LOOSE.search(text):
+        return found
+    out = found[:1]
+    for c in found[1:]:
+        if c and not c[0].isspace():
+            out.append(c)
+        else:
+            out[-1] += " " + c
+    return out
+
+
+def together(column: pa.Array, limit: int = TOGETHER) -> Iterator[list[str]]:
+    """Runs of neighbouring texts (null: empty) of about `limit` characters."""
+    out, size = [], 0
+    for value in column:
+        out.append(t := value.as_py() or "")
+        size += len(t) + 1
+        if size >= limit:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+class Words:
+    """Ids by the tokenizer, remembered for each blank-separated chunk (at whose borders byte-level BPE always cuts).
+
+    A text that holds one of the vocabulary's special strings passes the tokenizer whole, as the library takes such a
+    string for one token (`special`), unless it is to be ordinary text.
+    """
 
-    def __init__(self, path: str) -> None:
-        super().__init__()
+    def __init__(self, path: str, special: bool = True) -> None:
         from tokenizers import Tokenizer
 
+        self.known: dict[str, bytes] = {}  # from a chunk that follows a blank to the ids of both
+        self.first: dict[str, bytes] = {}  # from a text's first chunk to its ids
+        self.bytes = 0
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.special = re.compile("|".join(map(re.escape, strings)) if strings else r"(?!)")
         vocabulary = self.tokenizer.get_vocab()
         self.four = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids whose token starts with a blank
         self.starts[[i for t, i in vocabulary.items() if t[0] == BLANK]] = True
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, batch: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        if self.bytes > REMEMBERED:
+            self.forget()
+        new, heads = set(), set()
+        cut = [t if self.special.search(t) else chunks(t) for t in batch]
+        known = self.known
+        for c in cut:
+            if isinstance(c, list):
+                heads.add(c[0])
+                new.update([x for x in c[1:] if x not in known])
+        fresh, heads = list(new), list(heads.difference(self.first))
+        ids = self.learn([" " + c for c in fresh] + heads)
+        self.bytes += sum(map(len, ids)) + sum(map(len, fresh)) + sum(map(len, heads)) + 200 * len(ids)
+        known.update(zip(fresh, ids[: len(fresh)], strict=True))
+        self.first.update(zip(heads, ids[len(fresh) :], strict=True))
+        get = known.__getitem__
+        for c in cut:
+            yield self.first[c[0]] + b"".join(map(get, c[1:])) if isinstance(c, list) else self.whole(c)
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.first.clear()
+        self.bytes = 0
+
     def learn(self, new: list[str]) -> list[bytes]:
         """Chunks of letters alone are one word for the model; others pass the whole tokenizer.
 
@@ -112,14 +186,18 @@ def tokenized(df: DataFrame, path: str, length: int = LENGTH, end: int = END, ke
     return texts(df).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
+def cost(size: int) -> int:
+    return (-(-size // TILE)) ** 2
+
+
 def plan(
-    counts: Iterable[tuple[int, int]], length: int = LENGTH, max_documents: int = LENGTH, max_cost: float = LENGTH**2, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm"
+    counts: Iterable[tuple[int, int]], length: int = LENGTH, max_documents: int = DOCUMENTS, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm"
 ) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset), by length and rank, from (length, number of pieces).
 
     A row holds up to the next rank of the same length. A piece that alone exceeds a capacity is an error.
     """
-    caps = np.array([length, max_documents, max_cost], float)
+    caps = np.array([length, max_documents, cost(length) + EXTRA if max_cost is None else max_cost], float)
     scale = np.array(weights) ** 0.5 / caps
     free = np.empty((0, 3))  # what is free in each kind of open sequence
     holds: list[list[tuple[int, int]]] = []  # for each kind its runs of sequences: (first, how many)
@@ -140,7 +218,7 @@ def plan(
             insort(holds[k], run)
 
     for size, count in sorted(counts, reverse=True):
-        item = np.array([size, 1, float(size) ** 2])
+        item = np.array([size, 1, cost(size)], float)
         if (item > caps).any():
             raise ValueError(f"a piece of {size} tokens exceeds a sequence's capacity")
         rank = 0
@@ -177,7 +255,7 @@ def plan(
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def place_pieces(pieces: DataFrame, length: int = LENGTH, max_documents: int = LENGTH, max_cost: float = LENGTH**2, by: str = "norm") -> DataFrame:
+def place_pieces(pieces: DataFrame, length: int = LENGTH, max_documents: int = DOCUMENTS, max_cost: int | None = None, by: str = "norm") -> DataFrame:
     """Adds sequence_id and offset to the pieces that tokenized() gives."""
     counts = [(r["length"], r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()]
     table = plan(counts, length, max_documents, max_cost, by=by)  # `counts` has at most `length` rows

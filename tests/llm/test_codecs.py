@@ -45,16 +45,70 @@ def test_bpe_equals_the_library(spark, library):
     assert bpe.round_trip(table(spark, []).where("doc_id is not null"), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_words_and_odd_vocabularies(tmp_path, library):
+    import random
+    import time
+
+    coder = bpe.ranks(RANKS, public_tokenizers.PATTERN)
+    words = [b"ab" * 200_000, b"a" * 400_000, b"thetion" * 60_000, bytes(random.Random(1).choices(b"abcdeth", k=300_000))]
+    began = time.time()
+    flat, ends = coder.replay(words)
+    assert time.time() - began < 20
+    for k, w in enumerate(words):
+        assert flat[ends[k] : ends[k + 1]].tolist() == library.encode_ordinary(w.decode())
+    # ranks in any order: a merge may then make a pair of a lower rank
+    for seed in range(40):
+        r = random.Random(seed)
+        tokens = {bytes(r.choices(b"ab", k=r.randint(2, 5))) for _ in range(14)}
+        tokens = [*[bytes([b]) for b in range(256)], *r.sample(sorted(tokens), len(tokens))]
+        path = tmp_path / f"odd{seed}"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+        odd = bpe.Ranks(str(path), public_tokenizers.PATTERN)
+        other = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=odd.ranks, special_tokens={})
+        words = [w for n in range(1, 40) if (w := "".join(r.choices("ab", k=n))) not in odd.words]
+        flat, ends = odd.replay([w.encode() for w in words])
+        for k, w in enumerate(words):
+            want = other.encode_ordinary(w)
+            assert flat[ends[k] : ends[k + 1]].tolist() == want == odd.one(w.encode())
+
+
+def test_bpe_repeated_ids_and_clashing_columns(spark, library):
+    rows = [(7, "some wrds xyzzy", 1, 2), (7, "other wrds", 3, 4), (7, "some wrds xyzzy", 1, 2), (8, None, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slice long, part int")
+    got = sorted((r["doc_id"], bytes(r["ids"])) for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect())
+    assert got == sorted((d, np.array(library.encode_ordinary(t or ""), "<u4").tobytes()) for d, t, *_ in rows)
+
+
+def test_words_of_many_slices_are_encoded_once(spark, library, monkeypatch):
+    texts = [f"qu{i % 50}zz wrd{i} " * 3 for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/many")
+    df = spark.read.parquet(path)
+    words = bpe.new_words(bpe.texts(df).selectExpr("*", "spark_partition_id() as part"), RANKS, public_tokenizers.PATTERN)
+    assert words.select("slice").distinct().count() > 1 and words.count() > words.select("word").distinct().count()
+    got = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()}
+    assert got == {i: np.array(library.encode_ordinary(t), "<u4").tobytes() for i, t in enumerate(texts)}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t 'aehlnost.!0"), st.characters(codec="utf-8")), max_size=60), max_size=4))
 def test_any_text(texts):
     coder = bpe.ranks(RANKS, public_tokenizers.PATTERN)
     ranks = {t: i for i, t in enumerate(coder.tokens)}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    tokenizer = packing.words(JSON)
-    for t, mine, other in zip(texts, coder.encode(texts), tokenizer.encode(texts), strict=True):
-        assert mine == np.array(library.encode_ordinary(t), "<u4").tobytes()
-        assert other == np.array(tokenizer.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    plain = Tokenizer.from_file(JSON)
+    for t, other in zip(texts, packing.words(JSON).encode(texts), strict=True):
+        flat, ends = coder.replay([w.encode() for w in coder.cut(t)]) if t else ([], [])
+        assert list(flat) == library.encode_ordinary(t)
+        assert other == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_special_strings_are_as_the_library_takes_them():
+    plain, mine = Tokenizer.from_file(JSON), packing.words(JSON)
+    texts = ["hello <|endoftext|> bye", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>", "hello <|endoftext> bye"]
+    for t, ids in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert 50256 not in np.frombuffer(next(packing.Words(JSON, special=False).encode(texts[:1])), "<u4")
 
 
 def test_packing(spark):
@@ -93,7 +147,7 @@ def test_plan_keeps_every_capacity():
     lengths = r.integers(1, 65, 4000)
     counts = [(int(n), int(c)) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)]
     for by in ("norm", "dot"):
-        table = packing.plan(counts, 64, max_documents=5, max_cost=4096, by=by)
+        table = packing.plan(counts, 64, max_documents=5, max_cost=4, by=by)
         used = defaultdict(list)
         for n, c in counts:
             rows = table[table[:, 0] == n]
@@ -105,7 +159,19 @@ def test_plan_keeps_every_capacity():
         for items in used.values():
             items.sort()
             assert all(a + n == b for (a, n), (b, _) in zip(items, items[1:], strict=False))
-            assert items[0][0] == 0 and sum(n for _, n in items) <= 64 and len(items) <= 5 and sum(n * n for _, n in items) <= 4096
+            assert items[0][0] == 0 and sum(n for _, n in items) <= 64 and len(items) <= 5 and sum(packing.cost(n) for _, n in items) <= 4
+
+
+def test_capacities_bind_and_repeated_ids_are_documents(spark):
+    def used(n, size):
+        rows = packing.pack(table(spark, ["w " * size] * n).selectExpr("1L as doc_id", "text", "ids as length", "length as piece"), JSON).collect()
+        assert len(rows) == n + 1  # table() adds a row
+        return max(sum(r["sequence_id"] == s for r in rows) for s in {r["sequence_id"] for r in rows})
+
+    assert used(40, 1) == packing.DOCUMENTS
+    assert used(40, 130) == 7 and packing.cost(131) == 4  # 7 * 131 tokens; the eighth would not fit
+    long = packing.plan([(130, 16)], 1024, max_documents=99, max_cost=16)
+    assert len({s + i for (_, r, s, _), e in zip(long.tolist(), [*long[1:, 1].tolist(), 16], strict=True) for i in range(e - r)}) == 4
 
 
 def test_avi_round_trip(spark):
