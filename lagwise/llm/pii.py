@@ -4,13 +4,17 @@ Two transducers rewrite a text and keep, for each character they put out, the sp
 replaces homoglyphs and foreign digits and drops invisible characters, the second spelled digits and at/dot
 disguises. The same detectors then run over the source and over the rewritten text; spans found there map back.
 
-Null and empty texts have no spans. Only texts with a sign of disguise are rewritten.
+Null and empty texts have no spans; a text's time grows with its length, whatever it holds (a megabyte of one character
+too). Only texts with a sign of disguise are rewritten. Each row stands for itself, so ties and repeated rows give equal
+rows; a row without a doc_id is no document for find_pii(), mask_pii() masks it all the same. No rows: none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +27,9 @@ KINDS = ("email", "ip", "card", "phone")
 # The four detectors, as the contract of the query states them.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")  # matches as [0-9]([\x20-]?[0-9])+ does, without going back
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+LOCAL_SIGNS = frozenset(string.ascii_letters + string.digits + "._%+-")
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -59,31 +64,44 @@ _digit = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 #: Four or more number words in a row, a plus word before them or not.
 SPELLED = rf"(?<!\w)(?:(?P<plus>plus|más|mas)[\s]+)?{_digit}(?:[\s,.-]{{1,3}}{_digit}){{3,}}(?!\w)"
 _name = r"[A-Za-z0-9_%+-]+"
-_dot = rf"(?:\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*|\s+(?:{DOT})\s+|\s*\.\s*)"
-_at = rf"(?:\s*[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*|\s+(?:{AT})\s+|\s*@\s*)"
-_marked_at, _marked_dot = rf"\s*[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*", rf"\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*"
+_open, _close = r"[\[({<]", r"[\])}>]"
+_marked_dot = rf"\s*{_open}\s*(?:{DOT}|\.)\s*{_close}\s*"
+_dot = rf"(?:{_marked_dot}|\s+(?:{DOT})\s+|\s*\.\s*)"
+_at = rf"(?:\s*{_open}\s*(?:{AT}|@)\s*{_close}\s*|\s+(?:{AT})\s+|\s*@\s*)"
 #: A full stop with a blank just behind it ends a sentence too ("at noon. It"): after a bare word for @ it counts as a
 #: dot only before those domains that start no sentence.
 _after_word = rf"(?:{_marked_dot}|\s+(?:{DOT})\s+|\s+\.\s*|\.)"
 _sure = rf"(?:{_after_word}(?:{TLDS})|\s*\.\s*(?:com|org|edu|gov))"
 _label = r"[A-Za-z](?:[A-Za-z0-9-]*[A-Za-z0-9])"
 _known = rf"(?:{_dot}{_name}){{0,3}}{_dot}(?:{TLDS})(?![\w])"
-#: local at domain dot ... top-level domain, of which a sign at least is disguised (a plain address matches base rules).
-#: Where the at and the last dot are bracketed, any top-level domain will do.
-DISGUISED = (
-    rf"(?<![\w.@]){_name}(?:{_dot}{_name}){{0,3}}(?:"
-    rf"{_marked_at}{_name}(?:{_known}(?:{_marked_dot}{_label}(?!\w))*|(?:(?:{_marked_dot}|\.){_name}){{0,3}}{_marked_dot}{_label}(?!\w))"
-    rf"|\s*@\s*{_name}{_known}"
-    rf"|\s+(?:{AT})\s+{_name}(?:{_after_word}{_name}){{0,3}}{_sure}(?![\w]))"
-)
+#: What stands for the sign of a disguised address. Each is looked for by itself, and the address grows from it to both
+#: sides, so that no stretch of text is tried from each of its characters.
+SIGNS = re.compile(rf"(?i)(?P<marked>{_open}\s*(?:{AT}|@)\s*{_close})|(?P<plain>@)|(?P<word>(?<=\s)(?:{AT})(?=\s))")
+#: domain dot ... top-level domain, after the sign. Where the sign and the last dot are bracketed, any top-level domain will do.
+DOMAINS = {
+    "marked": re.compile(rf"(?i)\s*{_name}(?:{_known}(?:{_marked_dot}{_label}(?!\w))*|(?:(?:{_marked_dot}|\.){_name}){{0,3}}{_marked_dot}{_label}(?!\w))"),
+    "plain": re.compile(rf"(?i)\s*{_name}{_known}"),
+    "word": re.compile(rf"(?i)\s+{_name}(?:{_after_word}{_name}){{0,3}}{_sure}(?![\w])"),
+}
+
+
+def _backwards(words: str) -> str:
+    return "|".join(w[::-1] for w in words.split("|"))
+
+
+_back_name = r"[A-Za-z0-9_%+-]++"
+_back_dot = rf"(?:\s*{_close}\s*(?:{_backwards(DOT)}|\.)\s*{_open}\s*|\s+(?:{_backwards(DOT)})\s+|\s*\.\s*)"
+#: The local part before the sign, in the reversed text: up to three more names with dots; no letter, dot or @ before it.
+LOCAL = re.compile(rf"(?i)\s*({_back_name}(?:{_back_dot}{_back_name}){{0,3}})(?![\w.@])")
 #: What must be there before a text is worth rewriting (for Arrow's linear-time search over a whole batch): a character
 #: of the first transducer, or the patterns of the second without what stands around them and after the first dot. \s is
 #: ASCII's there, and the dotted capital I no i, as it is in Python.
 _BLANK = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _signs = rf"{_name}{_at}{_name}{_dot}[A-Za-z0-9_%+-]|{_digit}(?:[\s,.-]{{1,3}}{_digit}){{3}}"
 SIGN = "(?i)[" + "".join(rf"\x{{{c:x}}}" for c in [*CHARS, 0x130]) + "]|" + re.sub(r"(\[?)\\s", lambda m: f"[{_BLANK}" if m[1] else f"[{_BLANK}]", _signs)
-WORDS = re.compile(rf"(?i)(?P<spelled>{SPELLED})|(?P<mail>{DISGUISED})")
-ONE_DIGIT, DOT_SIGN, AT_SIGN = re.compile(f"(?i){_digit}"), re.compile(f"(?i){_dot}"), re.compile(f"(?i){_at}")
+NUMBERS, ONE_DIGIT = re.compile(f"(?i){SPELLED}"), re.compile(f"(?i){_digit}")
+#: A dot's disguise, found by what it must hold and then widened by the blanks around it.
+DOT_CORE = re.compile(rf"(?i){_open}\s*(?:{DOT}|\.)\s*{_close}|(?<=\s)(?:{DOT})(?=\s)|\.")
 
 
 def luhn(digits: str) -> bool:
@@ -91,13 +109,43 @@ def luhn(digits: str) -> bool:
     return (odd + sum(int("0246813579"[int(d)]) for d in digits[-2::-2])) % 10 == 0
 
 
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+PARTS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of EMAIL: from each @ to both sides, as a local part has no @."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        if m := DOMAIN.match(text, at):
+            begin = at
+            while begin > last and text[begin - 1] in LOCAL_SIGNS:
+                begin -= 1
+            if begin < at:
+                yield begin, (last := m.end())
+        at = text.find("@", at + 1)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of IP: of numbers with dots between them always four together; each 255 at most."""
+    for m in PARTS.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x) <= 3 or not x[:-3].strip("0") for x in four) and all(int(x[-3:]) <= 255 for x in four):
+                yield at, end
+            at = end + 1
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, index in KINDS) of each identifier, by start and kind. A match that fails its test is passed over."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text)]
+    """(start, end, index in KINDS) of each identifier, by start and kind. A match that fails its test is passed over.
+
+    The matches are those of the four patterns; each takes time in proportion to the text, whatever it holds.
+    """
+    out = [(a, b, 0) for a, b in emails(text)] if "@" in text else []
     if "." in text:
-        out += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in m[0].split("."))]
+        out += [(a, b, 1) for a, b in addresses(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -111,38 +159,71 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _pieces(m: re.Match) -> Iterator[tuple[int, int, str]]:
-    """What the second transducer puts for a match: (start, end, replacement) within the text."""
-    a = m.start()
-    if m["spelled"] is not None:
+def _widened(text: str, a: int, b: int) -> tuple[int, int]:
+    """[a, b) and the blanks around it."""
+    while a and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    return a, b
+
+
+def disguised_mails(text: str) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]]:
+    """(start, end, replacements) of each disguised address, from left to right; the sign and the dots alone are replaced."""
+    last, back = 0, None
+    for sign in SIGNS.finditer(text):
+        if sign.start() < last or not (after := DOMAINS[sign.lastgroup].match(text, sign.end())):
+            continue
+        back = back or text[::-1]
+        local = LOCAL.match(back, len(text) - sign.start(), len(text) - last)
+        if not local or last and local.end() == len(text) - last and re.match(r"[\w.@]", text[last - 1]):
+            continue
+        a, b = len(text) - local.end(), after.end()
+        at = _widened(text, *sign.span())
+        dots = [(*_widened(text, *d.span()), ".") for lo, hi in ((a, at[0]), (at[1], b)) for d in DOT_CORE.finditer(text, lo, hi)]
+        yield a, b, sorted([*dots, (*at, "@")])
+        last = b
+
+
+def _pieces(text: str) -> Iterator[tuple[int, int, str]]:
+    """What the second transducer puts: (start, end, replacement), from left to right."""
+    found = [(m.start(), m.end(), None, m) for m in NUMBERS.finditer(text)]
+    if "@" in text or SIGNS.search(text):
+        found += [(a, b, pieces, None) for a, b, pieces in disguised_mails(text)]
+    found.sort(key=lambda x: x[:2])
+    last = 0
+    for a, b, pieces, m in found:
+        if a < last:
+            continue
+        last = b
+        if pieces:
+            yield from pieces
+            continue
         first = True
-        for d in ONE_DIGIT.finditer(m.string, a + len(m["plus"] or ""), m.end()):
+        for d in ONE_DIGIT.finditer(text, a + len(m["plus"] or ""), b):
             yield (a if first else d.start(), d.end(), ("+" if m["plus"] and first else "") + DIGIT_WORDS[d[0].translate(FOLDED).lower()])
             first = False
-        return
-    # Of a disguised address the signs alone change; the first at sign splits local part and domain.
-    at = next(x for x in AT_SIGN.finditer(m.string, a, m.end()))
-    signs = [(x.start(), x.end(), ".") for lo, hi in ((a, at.start()), (at.end(), m.end())) for x in DOT_SIGN.finditer(m.string, lo, hi)]
-    yield from sorted([*signs, (at.start(), at.end(), "@")])
 
 
 def rewrite(text: str) -> tuple[str, list[int], list[int]]:
-    """The normalised text, and for each of its characters where its source starts and ends."""
+    """The normalised text, and for each of its characters where its source starts and ends; of an unchanged text nothing."""
     if CHAR.search(text):
         kept = [(i, CHARS.get(ord(c), c)) for i, c in enumerate(text)]
         kept = [(i, c) for i, c in kept if c]
         text, begin = "".join(c for _, c in kept), [i for i, _ in kept]
-    else:
+        pieces = list(_pieces(text))
+    elif pieces := list(_pieces(text)):
         begin = list(range(len(text)))
+    else:
+        return text, [], []
     end = [i + 1 for i in begin]
     out, starts, ends, last = [], [], [], 0
-    for m in WORDS.finditer(text):
-        for a, b, new in _pieces(m):
-            out.append(text[last:a])
-            starts += begin[last:a] + [begin[a]] * len(new)
-            ends += end[last:a] + [end[b - 1]] * len(new)
-            out.append(new)
-            last = b
+    for a, b, new in pieces:
+        out.append(text[last:a])
+        starts += begin[last:a] + [begin[a]] * len(new)
+        ends += end[last:a] + [end[b - 1]] * len(new)
+        out.append(new)
+        last = b
     out.append(text[last:])
     return "".join(out), starts + begin[last:], ends + end[last:]
 
@@ -158,12 +239,15 @@ def spans(text: str, sign: bool) -> tuple[list[tuple[int, int, int]], list[tuple
     if not sign:
         return base, base
     new, starts, ends = rewrite(text)
+    if not starts:
+        return base, base
     taken = [[(a, b) for a, b, k in base if k == kind] for kind in range(len(KINDS))]
-    added = []
-    for a, b, k in find(new):
+    added, last = [], [0] * len(KINDS)
+    for a, b, k in find(new):  # both go from left to right, and spans of a kind do not overlap
         s, e = starts[a], ends[b - 1]
-        if all(e <= x or y <= s for x, y in taken[k]):
-            taken[k].append((s, e))
+        at = bisect_left(taken[k], (s, e))
+        if s >= last[k] and (not at or taken[k][at - 1][1] <= s) and (at == len(taken[k]) or e <= taken[k][at][0]):
+            last[k] = e
             added.append((s, e, k))
     return base, sorted([*base, *added], key=lambda s: (s[0], s[2]))
 

@@ -275,6 +275,54 @@ def test_pii_gate_lets_all_through_that_the_rewriter_changes(spark):
     assert changed > 500
 
 
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def by_the_rules(text):
+    """The base spans by plain search with the rules as they are written."""
+
+    def passes(kind, found):
+        digits = [int(c) for c in found if c.isdigit()]
+        doubled = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits)))
+        return {"email": True, "ip": all(int(x) <= 255 for x in found.split(".")) if kind == "ip" else 0, "card": 12 <= len(digits) <= 19 and doubled % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]
+
+    return sorted((m.start(), m.end(), k) for k, (kind, rule) in enumerate(RULES.items()) for m in re.finditer(rule, text) if passes(kind, m[0]))
+
+
+def test_pii_base_spans_are_those_of_the_rules(spark):
+    r = random.Random(21)
+    parts = ["a", "b9", ".", "@", "-", "+", "1", "23", "255", "256", " ", "_", "%", "é", "0", "4111 1111 1111 1111", "(", ")", "12345678", "x@y.z", "1.2.3.4", "٣"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(20000)]
+    for t in texts:
+        base = by_the_rules(t)
+        assert sorted(pii.find(t)) == base, t
+        assert set(base) <= set(pii.spans(t, True)[1])
+    rows = [*enumerate(texts[:300]), (5, texts[6]), (5, texts[6]), (None, "a@b.c")]
+    clash = table(spark, rows).withColumnsRenamed({"lang": "spans", "source": "n_email"})
+    got = sorted((x["doc_id"], x["n_email"] + x["n_ip"] + x["n_card"] + x["n_phone"], x["base_sha256"]) for x in pii.find_pii(clash).collect())
+    listed = lambda t: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in sorted(by_the_rules(t), key=lambda s: (s[0], s[2])))
+    assert got == sorted((d, len(by_the_rules(t)), hashlib.sha256(listed(t).encode()).hexdigest()) for d, t in rows if d is not None)
+    assert pii.find_pii(table(spark, [])).count() == 0 and pii.mask_pii(table(spark, [])).count() == 0
+    assert [x["text"] for x in pii.mask_pii(table(spark, [(None, "a@b.c"), (1, None)])).orderBy("doc_id").collect()] == ["<EMAIL>", None]
+
+
+def test_pii_time_grows_with_the_text_only():
+    import time
+
+    n = 100_000
+    for unit in ["-", "a", "1", ".", "@", " ", "+", "(", "é", "1.", "one ", "[at] ", " at", "a@b.c ", "a at b dot com ", "+1", "[ ", "plus ", "1 ", " dot", "\u200b"]:
+        for end in ("", "@", " at ", ".", "@b.com"):
+            text = unit * (n // len(unit)) + end
+            began = time.time()
+            pii.spans(text, True)
+            assert time.time() - began < 2, (unit, end)
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(8)
     bad = ["dolt", "grobnik", "grobling", "swine"]
