@@ -163,15 +163,14 @@ def test_plan_keeps_every_capacity():
 
 
 def test_capacities_bind_and_repeated_ids_are_documents(spark):
-    def used(n, size):
-        rows = packing.pack(table(spark, ["w " * size] * n).selectExpr("1L as doc_id", "text", "ids as length", "length as piece"), JSON).collect()
-        assert len(rows) == n + 1  # table() adds a row
-        return max(sum(r["sequence_id"] == s for r in rows) for s in {r["sequence_id"] for r in rows})
-
-    assert used(40, 1) == packing.DOCUMENTS
-    assert used(40, 130) == 7 and packing.cost(131) == 4  # 7 * 131 tokens; the eighth would not fit
-    long = packing.plan([(130, 16)], 1024, max_documents=99, max_cost=16)
-    assert len({s + i for (_, r, s, _), e in zip(long.tolist(), [*long[1:, 1].tolist(), 16], strict=True) for i in range(e - r)}) == 4
+    rows = packing.pack(table(spark, ["w "] * 40).selectExpr("1L as doc_id", "text", "ids as length", "length as piece"), JSON).collect()
+    assert len(rows) == 41  # table() adds a row
+    assert max(sum(r["sequence_id"] == s for r in rows) for s in {r["sequence_id"] for r in rows}) == packing.DOCUMENTS
+    assert packing.cost(128) == 1 and packing.cost(129) == 4
+    for most, sequences in ((16, 4), (32, 3), (1000, 3)):  # 16 pieces of 4 tiles; 7 of 130 tokens fill a sequence
+        table_ = packing.plan([(130, 16)], 1024, max_documents=99, max_cost=most)
+        ends = [*table_[1:, 1].tolist(), 16]
+        assert len({s + i for (_, r, s, _), e in zip(table_.tolist(), ends, strict=True) for i in range(e - r)}) == sequences
 
 
 def test_avi_round_trip(spark):
