@@ -3,8 +3,8 @@
 Conventions of every operator in this subpackage
 
 * `doc_id` is a document's key. A row without one is no document and is left out; an operator says so
-  where it does otherwise. Of rows that share a doc_id, each is treated as a row of its own unless the
-  operator says that one of them stands for all.
+  where it does otherwise. Rows that share a doc_id are documents of their own, in the order of their texts'
+  hashes; if their texts are equal as well, they are one document given twice, and give equal rows.
 * A null text is an empty text.
 * Only the columns that an operator names are read, so further columns, whatever they are called, do not matter.
 """
@@ -33,21 +33,65 @@ def texts(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds `key`, which differs between documents (doc_id and text) and has the order of doc_id: doc_id itself if it will do.
+
+    docs has doc_id and text, no nulls. Where a doc_id stands for several texts, documents are numbered by range instead.
+    """
+    ids = scratch(docs.select("doc_id", F.xxhash64("text").alias("h")), "ids")
+    if ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty():
+        return docs.withColumn("key", F.col("doc_id"))
+    numbers = scratch(numbered(ids.distinct(), [], ["doc_id", "h"], "key"), "keys")
+    return docs.withColumn("h", F.xxhash64("text")).join(numbers, ["doc_id", "h"]).drop("h")
+
+
+#: Keys that join_back() broadcasts at most.
+FREQUENT = 20_000
+
+
+def join_back(rows: DataFrame, totals: DataFrame, key: str, count: str, number: int) -> DataFrame:
+    """rows (`number` of them) joined to the one row that totals has for a key, with `count`, the key's number of rows.
+
+    Only FREQUENT keys can have more than number / FREQUENT rows: their totals are broadcast, so that a key never meets
+    its rows in one task. All other keys are shuffled.
+    """
+    limit = max(number // FREQUENT, 1000)
+    often = F.broadcast(totals.where(F.col(count) > limit))
+    rest = rows.join(often.select(key), key, "left_anti").join(totals.where(F.col(count) <= limit), key)
+    return rows.join(often, key).unionByName(rest)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for tables between jobs: spark.checkpoint.dir, and only if that is unset one of our own."""
+    """The shared folder for tables between jobs: spark.checkpoint.dir; if that is unset, one of our own, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{tempfile.gettempdir()}/lagwise-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def scratch(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows as a Parquet table in the shared folder: it survives lost executors and cuts the lineage."""
+    """The rows as a Parquet table in the shared folder: it survives lost executors and cuts the lineage.
+
+    Tables are small beside the texts. drop() deletes those that nothing reads any more; the others, which the result
+    reads, go when the folder is cleared.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
+    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes scratch tables whose readers' results are all written."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,16 +1,22 @@
 """Substring dedup: repeated word windows, found level by level at doubled lengths.
 
-A window of 2L words can repeat only if what it contains repeats. At the first level (half the window) a document
-offers, of the runs of half length within each window, the one with the least hash: equal windows choose equal runs at
-equal places, so none is missed, and about a sixth of the runs are shuffled. Windows whose run occurs once are out; the
-others are extended to the window's length and judged by their own hash, and so on at twice that length while any
-candidate survives. Removal needs the window's length only: a longer repeat consists of repeated windows.
+A window can repeat only if what it contains repeats. The levels are the window's length halved again and again (20: 5
+and 10 before it). At each one a document offers, of the runs of that length within each window, the one with the least
+hash: equal windows choose equal runs at equal places, so none is missed, and few runs are shuffled. What occurs once,
+alone, is out; windows whose run repeats go on to twice the length, until the window's own. passages() doubles on from
+there until no candidate survives.
+
+No row is joined with the others of its run or window, which a third of all documents may hold: a run's first place is
+an aggregate that is summed before the shuffle; runs that occur in one document only are told to that document, and of
+windows the first occurrence (smallest doc_id, then earliest start) is told to its document. A document knows its own
+windows; all of them go that are no first ones, with each word that they cover. Removal needs the window's length only:
+a longer repeat consists of repeated windows.
 
-A window's first occurrence (smallest doc_id, then earliest start) stays, and each word that another one covers goes.
 A text that equals one of a smaller doc_id has no first occurrence; it is found by the hash of the whole text and takes
 no part in the levels, so that groups of exact copies cost one text's windows.
 A text without words, an empty or a null one has nothing to remove; one shorter than a window keeps all. Rows of equal
-doc_id and text give equal rows; if their texts differ, places found in one count for the other as well. No rows: none.
+doc_id and text are one document and give equal rows; rows of equal doc_id with different texts are documents of their
+own, in the order of their hashes. No rows: none.
 """
 
 from __future__ import annotations
@@ -24,9 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, texts
+from .common import drop, keyed, scratch, texts
 
 WINDOW = 20
+#: Words of the shortest runs of the first level, at least.
+SHORTEST = 4
 
 
 def words(text: str | None) -> list[bytes]:
@@ -67,8 +75,8 @@ def chosen(runs: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _mapped(df: DataFrame, schema: str, of: Callable[[dict], list[tuple] | tuple[np.ndarray, ...]]) -> DataFrame:
-    """Rows of `schema` from each row of df: `of` gives one array a column for it, the doc_id apart."""
+def _mapped(df: DataFrame, schema: str, of: Callable[[dict], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Rows of `schema`, key first, from each row of df: `of` gives one array a further column for it."""
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32()}
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
@@ -80,7 +88,7 @@ def _mapped(df: DataFrame, schema: str, of: Callable[[dict], list[tuple] | tuple
                 columns = of(row)
                 if not len(columns[0]):
                     continue
-                parts.append([np.full(len(columns[0]), row["doc_id"], np.int64), *columns])
+                parts.append([np.full(len(columns[0]), row["key"], np.int64), *columns])
                 rows += len(columns[0])
                 if rows > 200_000:
                     yield _batch(parts, types, names)
@@ -100,139 +108,210 @@ def _batch(parts: list[list[np.ndarray]], types: list[pa.DataType], names: list[
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
 
 
-def candidates(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, places): the places of chosen runs of half a window that occur more than once anywhere."""
-    half = window // 2
+def levels(window: int) -> list[int]:
+    """The lengths before the window's own."""
+    out = []
+    while window // 2 >= SHORTEST:
+        out.insert(0, window := window // 2)
+    return out
+
+
+class Words:
+    """A document's words by their hashes, and what the levels passed so far leave of its windows."""
+
+    def __init__(self, text: str | None, window: int) -> None:
+        self.hashes, self.window = word_hashes(words(text)), window
+        self.alive = np.ones(max(len(self.hashes) - window + 1, 0), bool)
+
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows alive: each one's chosen run's place; and of their different runs hash, first place and number."""
+        if not self.alive.any():
+            none = np.zeros(0, np.int64)
+            return none, none.astype(np.uint64), none, none
+        every = run_hashes(self.hashes, length)
+        mine = chosen(every, self.window - length + 1)[self.alive]
+        places = np.unique(mine)
+        values, first, number = np.unique(every[places], return_index=True, return_counts=True)
+        return mine, values, places[first], number
+
+    def pass_level(self, length: int, alone: list[int] | None) -> None:
+        """Windows whose run occurs once, here and anywhere, are out; alone: the first places of runs of this document only."""
+        mine, _, first, number = self.runs(length)
+        if alone and len(mine):
+            self.alive[self.alive] = ~np.isin(mine, np.intersect1d(first[number == 1], alone))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows alive: places and two hashes."""
+        at, half = np.flatnonzero(self.alive), self.window // 2
+        if not len(at):
+            return at, at, at
+        runs = run_hashes(self.hashes, half)
+        a, b = runs[at], runs[at + half]
+        h = mix(a, b)
+        if self.window % 2:
+            h = mix(h, self.hashes[at + self.window - 1])
+        # a second hash, of the halves in turn: two different windows hardly share both
+        return at, h.view(np.int64), (mix(b, a) >> np.uint64(33)).astype(np.int64)
+
+    def own_first(self) -> np.ndarray:
+        """Which of windows() do not start earlier in this document."""
+        at, h, g = self.windows()
+        first = np.zeros(len(at), bool)
+        first[np.unique(np.stack((h, g), axis=1), axis=0, return_index=True)[1]] = True
+        return first
+
+
+def _at_level(row: dict, window: int, passed: list[int]) -> Words:
+    w = Words(row["text"], window)
+    for length in passed:
+        found = row[f"alone{length}"]
+        w.pass_level(length, found and found["places"])
+    return w
+
+
+def alone(docs: DataFrame, window: int, passed: list[int], length: int) -> DataFrame:
+    """(key, alone<length>: (places, n)): where runs of this document only start first, and how many runs it chose.
+
+    n is larger than there are places if a run repeats within the document.
+    """
 
     def of(row: dict) -> tuple[np.ndarray, ...]:
-        runs = run_hashes(word_hashes(words(row["text"])), half)
-        at = np.unique(chosen(runs, window - half + 1)) if len(runs) > window - half else np.zeros(0, np.int64)
-        return at, runs[at].view(np.int64)
+        _, values, first, number = _at_level(row, window, passed).runs(length)
+        n = len(first) + int((number > 1).any())
+        return first, values.view(np.int64), np.full(len(first), n)
 
-    runs = _mapped(docs, "doc_id long, place int, run long", of)
-    often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
-    return runs.join(often, "run").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    runs = _mapped(docs, "key long, place int, run long, n int", of)
+    once = runs.groupBy("run").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.min("place").alias("place"), F.min("n").alias("n"))
+    # rows of one document given twice have its key both
+    once = once.where("key = last").groupBy("key").agg(F.collect_list("place").alias("places"), F.min("n").alias("n"))
+    return once.select("key", F.struct("places", "n").alias(f"alone{length}"))
 
 
-def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, place, h, g) of each window whose chosen run is at one of its document's `places`."""
-    half = window // 2
+def first_places(docs: DataFrame, window: int, passed: list[int]) -> DataFrame:
+    """(key, firsts): where windows start of which that is the first occurrence anywhere."""
 
     def of(row: dict) -> tuple[np.ndarray, ...]:
-        h = word_hashes(words(row["text"]))
-        runs = run_hashes(h, half)
-        at = np.flatnonzero(np.isin(chosen(runs, window - half + 1), row["places"])) if len(runs) > window - half else np.zeros(0, np.int64)
-        whole = mix(runs[at], runs[at + half])
-        if window % 2:
-            whole = mix(whole, h[at + window - 1])
-        # a second hash, of the halves in turn: two different windows hardly share both
-        return at, whole.view(np.int64), (mix(runs[at + half], runs[at]) >> np.uint64(33)).astype(np.int32)
+        w = _at_level(row, window, passed)
+        first = w.own_first()
+        return tuple(x[first] for x in w.windows())
 
-    return _mapped(docs, "doc_id long, place int, h long, g int", of)
+    found = _mapped(docs, "key long, place int, h long, g int", of)
+    # a document has a window once here, so the place of the smallest key is the first one
+    first = found.groupBy("h", "g").agg(F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
+    return first.groupBy("key").agg(F.collect_list("place").alias("firsts"))
 
 
-def later(found: DataFrame) -> DataFrame:
-    """(doc_id, places): where a window starts that also starts earlier. Windows that occur once are no candidates more."""
-    # doc_id and place in one number: its minimum is a hash aggregate, that of a struct would sort all windows
-    found = found.withColumn("spot", F.expr("cast(doc_id as decimal(20,0)) * 4294967296 + place"))
-    first = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("first")).where("n > 1").drop("n")
-    again = found.drop("spot").join(first, ["h", "g"]).where("cast(doc_id as decimal(20,0)) * 4294967296 + place <> first")
-    return again.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+def heads(docs: DataFrame) -> DataFrame:
+    """(key, head): of equal texts, by two 64-bit hashes, the smallest key."""
+    marks = docs.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    return marks.groupBy("h", "g").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("head"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_ids of texts that equal, by two 64-bit hashes, one of a smaller doc_id."""
-    keys = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
-    first = keys.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return keys.join(first, ["h", "g"]).where("doc_id > first").select("doc_id").distinct()
+def survivors(docs: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
+    """docs (key, text, head ...) with what each level found alone, and the levels."""
+    passed: list[int] = []
+    for length in levels(window):
+        docs = docs.join(alone(_open(docs, passed), window, passed, length), "key", "left")
+        passed.append(length)
+    return docs, passed
 
 
-#: Among places: the whole text repeats.
-WHOLE = -1
+def _open(docs: DataFrame, passed: list[int]) -> DataFrame:
+    """Documents of which a run of the last level is not alone, or that have none."""
+    open_ = docs.where("head")
+    for length in passed:
+        open_ = open_.where(f"alone{length} is null or size(alone{length}.places) < alone{length}.n")
+    return open_
 
 
-def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, places): every document, and where its repeated windows start that are to go (null: none)."""
-    docs = texts(df)
-    again = scratch(copies(docs), "copies")
-    hits = scratch(candidates(docs, window).join(again, "doc_id", "left_anti"), "candidates")
-    # the texts' shuffle by doc_id serves both sides of later() and the join with its result
-    found = windows(docs.join(hits, "doc_id"), window)
-    gone = later(found).union(again.select("doc_id", F.array(F.lit(WHOLE)).alias("places")))
-    return docs.join(gone, "doc_id", "left")
+def repeats(df: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
+    """(doc_id, text, head, what the levels found, firsts) of every document, and the levels."""
+    docs = keyed(texts(df))
+    docs = docs.join(scratch(heads(docs), "heads"), "key", "left")
+    # the texts' shuffle by key serves every level
+    docs, passed = survivors(docs, window)
+    return docs.join(first_places(_open(docs, passed), window, passed), "key", "left"), passed
 
 
-def kept(text: str | None, places: list[int] | None, window: int) -> tuple[list[bytes], int]:
+def kept(row: dict, window: int, passed: list[int]) -> tuple[list[bytes], int]:
     """The words that stay, and the number of all."""
-    found = words(text)
-    if not places:
-        return found, len(found)
-    if places[0] == WHOLE:
+    found = words(row["text"])
+    if not row["head"]:
         return (found if len(found) < window else []), len(found)
-    edge = np.zeros(len(found) + window + 1, np.int64)
-    at = np.array(places)
-    at = at[at + window <= len(found)]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
+    if any(row[f"alone{n}"] and len(row[f"alone{n}"]["places"]) == row[f"alone{n}"]["n"] for n in passed) or len(found) < window:
+        return found, len(found)
+    w = _at_level(row, window, passed)
+    at = np.flatnonzero(w.alive)
+    at = at[~(w.own_first() & np.isin(at, row["firsts"] or []))]
+    edge = np.zeros(len(found) + 1, np.int64)
+    edge[at] += 1
+    edge[at + window] -= 1
     stays = edge.cumsum()[: len(found)] == 0
     return [found[i] for i in np.flatnonzero(stays).tolist()], len(found)
 
 
 def dedup_words(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, text): the words that stay, joined by one blank."""
-    return _removed(repeats(df, window), window, lambda ws: b" ".join(ws).decode("utf-8", "surrogatepass"), "text")
+    return _removed(df, window, lambda ws: b" ".join(ws).decode("utf-8", "surrogatepass"), "text")
 
 
 def digests(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of what dedup_words() keeps."""
-    return _removed(repeats(df, window), window, lambda ws: hashlib.sha256(b" ".join(ws)).hexdigest(), "kept_sha256")
+    return _removed(df, window, lambda ws: hashlib.sha256(b" ".join(ws)).hexdigest(), "kept_sha256")
 
 
 def _removed(df: DataFrame, window: int, show: Callable[[list[bytes]], str], name: str) -> DataFrame:
+    docs, passed = repeats(df, window)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, out = [], [], []
             for row in _rows(batch):
-                stay, every = kept(row["text"], row["places"], window)
+                stay, every = kept(row, window, passed)
                 n.append(every)
                 gone.append(every - len(stay))
                 out.append(show(stay))
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", name])
 
-    return df.select("doc_id", "text", "places").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
+    return docs.drop("key").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
 
 
-def passages(df: DataFrame, window: int = WINDOW, levels: int = 16) -> DataFrame:
+def passages(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, place, length): at each level, window, twice it and so on, the windows that occur more than once.
 
-    A level's windows are the next one's candidates; it ends when none is left, after `levels` doublings at most.
+    A level's windows are the next one's candidates; it ends when none is left, whatever the length.
     """
-    docs = texts(df)
+    docs = keyed(texts(df)).withColumn("head", F.lit(True))
+    state, passed = survivors(docs, window)
+    found = _mapped(_open(state, passed), "key long, place int, h long, g int", lambda row: _at_level(row, window, passed).windows())
     out, length = None, window
-    hits = scratch(candidates(docs, window), "candidates")
-    for _ in range(levels):
-        found = windows(docs.join(hits, "doc_id"), length) if length == window else _extended(docs.join(hits, "doc_id"), length)
-        often = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        level = scratch(found.join(often, ["h", "g"]).select("doc_id", "place", F.lit(length).alias("length")), "level")
-        if not level.take(1):
+    while True:
+        once = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("place").alias("place")).where("n = 1")
+        level = scratch(found.select("key", "place").join(once.select("key", "place"), ["key", "place"], "left_anti").distinct(), "level")
+        if level.isEmpty():
+            drop(level)
             break
+        level = level.withColumn("length", F.lit(length))
         out = level if out is None else out.union(level)
-        hits = level.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
         length *= 2
-    return out if out is not None else level
+        both = docs.join(level.groupBy("key").agg(F.collect_list("place").alias("places")), "key")
+        found = _mapped(both, "key long, place int, h long, g int", _extended(length))
+    if out is None:
+        return docs.where("false").select("doc_id", F.lit(0).alias("place"), F.lit(0).alias("length"))
+    return out.join(docs.select("key", "doc_id").distinct(), "key").select("doc_id", "place", "length")
 
 
-def _extended(docs: DataFrame, length: int) -> DataFrame:
+def _extended(length: int) -> Callable[[dict], tuple[np.ndarray, ...]]:
     """Windows of `length` words both of whose halves start at the document's `places`."""
 
     def of(row: dict) -> tuple[np.ndarray, ...]:
         halves = run_hashes(word_hashes(words(row["text"])), length // 2)
         at = np.intersect1d(row["places"], np.array(row["places"]) - length // 2)
         a, b = halves[at], halves[at + length // 2]
-        return at, mix(a, b).view(np.int64), (mix(b, a) >> np.uint64(33)).astype(np.int32)
+        return at, mix(a, b).view(np.int64), (mix(b, a) >> np.uint64(33)).astype(np.int64)
 
-    return _mapped(docs, "doc_id long, place int, h long, g int", of)
+    return of
 
 
 #: The rows of digests() in DuckDB.

@@ -40,6 +40,25 @@ def test_brute_force(spark):
         assert got == brute(rows, window)
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Their texts are documents of their own; equal ones are one document."""
+    one, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (1, other), (1, one), (2, one), (3, "x " + other)]
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, key string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.digests(df).collect())
+    assert got == [(1, 30, 0), (1, 30, 0), (1, 30, 0), (2, 30, 30), (3, 31, 30)]
+
+
+def test_levels_and_a_passage_that_half_the_documents_hold(spark):
+    assert substrings.levels(20) == [5, 10] and substrings.levels(7) == [] and substrings.levels(16) == [4, 8]
+    r = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(30)) + (f" {passage} " if i % 2 else "") + "end of it") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.digests(df).collect()}
+    assert got == brute(rows, 20) and sum(n for _, n, _ in got.values()) == 199 * 28
+
+
 def test_empty_table_and_texts(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert substrings.digests(empty).count() == 0
