@@ -1,12 +1,14 @@
 """SimHash near-duplicates through an inverted index on the fingerprint's positional bytes, with count filtering.
 
 Two fingerprints of 8 bytes that differ in at most `distance` bits share at least 8 - distance bytes at their places;
-that is the guaranteed minimum of shared postings. A pair whose tally reaches it is retained and verified bit by bit.
-With single-byte postings each of the 2048 lists would hold 1/256 of all fingerprints and the tally would see all
-pairs of a list. So the lists are intersected first: a posting is a choice of 8 - distance places with its bytes, and
-a pair meets in a list just if its tally is at least the minimum. Within a list only `distance` bytes are free,
-which bounds it (65,536 different fingerprints for two), whatever the number of documents. Equal fingerprints are one
-entry. A list gives links that connect it as all its links would, not every pair.
+that is the guaranteed minimum of shared bytes. Lists of a single byte's value would pair all fingerprints that share one
+byte, 1/256 of all, so lists are met in combination: a posting is the value of some pairs of neighbouring bytes, as many
+as two close fingerprints must share (two of four, for a distance of two). In a list the shared bytes of each pair are
+tallied, pairs that reach the guaranteed minimum are retained and verified bit by bit. A list of more than LIGHT
+fingerprints is split by further bytes until a posting holds 8 - distance of them: two that reach the minimum share such
+a posting too, and only `distance` bytes are free in it, which bounds it (65,536 different fingerprints for two),
+whatever the number of documents. Long lists are found by their sums and never meet in one task whole. Equal
+fingerprints are one entry. A list gives links that connect it as all its links would, not every pair.
 
 near_duplicates() follows fingerprints of word shingles to their components. similar_texts() finds texts whose
 five-word shingles overlap by 0.8 or more: candidates share a fingerprint of single words up to two bits in one of
@@ -17,7 +19,7 @@ shingles, and are verified by the exact overlap of their sets of five-word shing
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, texts
+from .common import drop, join_back, keyed, partitions, scratch, texts
 from .components import components
 
 SEED = 42
@@ -41,6 +43,8 @@ MORE = 4
 PARTS = 64
 SIMILARITY = 0.8
 DISTANCE = 2
+#: Fingerprints of a list that are tallied pair by pair.
+LIGHT = 512
 SHINGLE = 3
 #: Bytes of shingle hashes whose bits are counted at a time.
 TOGETHER = 1 << 18
@@ -82,12 +86,21 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return texts(df).mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks(distance: int) -> list[int]:
-    """For each choice of 8 - distance byte places the mask that keeps them, as a signed number."""
+def _signed(places: Iterable[int]) -> int:
+    """The mask of these byte places, as a signed number."""
+    m = sum(0xFF << 8 * p for p in places)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _masks(distance: int) -> list[tuple[int, list[int]]]:
+    """For each choice of pairs of neighbouring bytes the mask that keeps them, and the masks of 8 - distance bytes that split its lists."""
+    if not 0 <= distance <= 3:
+        raise ValueError("distance must be 0 to 3")
     out = []
-    for free in combinations(range(8), distance):
-        m = ~sum(0xFF << 8 * p for p in free) & (1 << 64) - 1
-        out.append(m - (1 << 64) if m >> 63 else m)
+    for pairs_ in combinations(range(4), 4 - distance):
+        kept = [2 * p + k for p in pairs_ for k in (0, 1)]
+        free = [p for p in range(8) if p not in kept]
+        out.append((_signed(kept), [_signed([*kept, *more]) for more in combinations(free, 8 - distance - len(kept))]))
     return out
 
 
@@ -95,11 +108,21 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
+def retained(values: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs those whose tally of shared bytes reaches 8 - distance and that are within `distance` bits."""
+    differ = values[left] ^ values[right]
+    tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    at = np.flatnonzero(tally >= 8 - distance)
+    at = at[popcount(differ[at]) <= distance]
+    return left[at], right[at]
+
+
 def pairs(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of all pairs of one list's different fingerprints within `distance`; each has few such neighbours."""
     n = len(values)
-    if n <= 512:
-        return np.nonzero(np.triu(popcount(values[:, None] ^ values[None, :]) <= distance, 1))
+    if n <= LIGHT:
+        left, right = np.triu_indices(n, 1)
+        return retained(values, left, right, distance)
     # look up every value that differs in up to `distance` of the bits that vary in this list
     vary = int(np.bitwise_or.reduce(values ^ values[0])) & (1 << 64) - 1
     bits = [np.uint64(1 << i) for i in range(64) if vary >> i & 1]
@@ -137,8 +160,18 @@ def links(fps: DataFrame, distance: int = DISTANCE, every: bool = False) -> Data
     With `every`, all such pairs, some more than once: a value has at most as many as there are ways to change
     `distance` bits.
     """
-    postings = fps.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(distance)])).alias("places", "bytes"), "fp")
-    lists = postings.repartition(partitions(fps.sparkSession), "places", "bytes").sortWithinPartitions("places", "bytes")
+    masks = _masks(distance)
+    kept = F.array(*[F.struct(F.lit(i).alias("places"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, (m, _) in enumerate(masks)])
+    postings = fps.select(F.explode(kept).alias("list"), "fp")
+    sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = join_back(postings, sizes, "list", "n", len(masks) * fps.count())
+    split = F.lit(None)
+    for i, (_, more) in enumerate(masks):
+        finer = F.array(*[F.struct(F.lit(100 + 100 * i + k).alias("places"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(more)])
+        split = F.when(F.col("list.places") == i, finer).otherwise(split)
+    lists = sized.where(f"n <= {LIGHT}").select("list.places", "list.bytes", "fp")
+    longer = sized.where(f"n > {LIGHT}").select(F.explode(split).alias("list"), "fp").select("list.places", "list.bytes", "fp")
+    lists = lists.union(longer).repartition(partitions(fps.sparkSession), "places", "bytes").sortWithinPartitions("places", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((0, 3), np.int64)
@@ -161,10 +194,8 @@ def _linked(rows: np.ndarray, distance: int, every: bool) -> pa.RecordBatch:
         cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
         starts = np.append(0, cuts)
         sizes = np.diff(np.append(starts, len(rows)))
-        two = starts[sizes == 2]
-        a, b = rows[two, 2], rows[two + 1, 2]
-        near = popcount(a ^ b) <= distance
-        out = list(zip(a[near].tolist(), b[near].tolist(), strict=True))
+        left, right = retained(rows[:, 2].copy(), starts[sizes == 2], starts[sizes == 2] + 1, distance)
+        out = list(zip(rows[left, 2].tolist(), rows[right, 2].tolist(), strict=True))
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             values = rows[s : s + n, 2]
             if every:
@@ -186,8 +217,8 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     nodes = scratch(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), distance), "a", "b")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = scratch(join_back(rooted, lowest, "root", "n", nodes.count()).select("fp", "component_id"), "named")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -199,8 +230,8 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-def marks(df: DataFrame) -> DataFrame:
-    """(doc_id, t0.. of single words, bands b0.. of five-word shingles, the number n of these, text_key) of every text."""
+def marks(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, h, t0.. of single words, bands b0.. of five-word shingles, the number n of these, text_key) of every text."""
     names = [*[f"t{i}" for i in range(TABLES)], *[f"b{i}" for i in range(BANDS)], "n"]
 
     def several(h: np.ndarray, n: int) -> list[int]:
@@ -222,20 +253,22 @@ def marks(df: DataFrame) -> DataFrame:
                 rows.append([*several(shingle_hashes(text, 1), TABLES), *bands(h), len(h)])
                 keys.append(xxhash.xxh128_hexdigest(text.encode("utf-8", "surrogatepass")))
             columns = np.array(rows, np.int64).reshape(-1, len(names)).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in columns], pa.array(keys, pa.string())], names=["doc_id", *names, "text_key"])
+            given = [batch.column(c) for c in ("key", "doc_id", "h")]
+            yield pa.RecordBatch.from_arrays([*given, *[pa.array(c) for c in columns], pa.array(keys, pa.string())], names=["key", "doc_id", "h", *names, "text_key"])
 
-    return texts(df).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} long" for n in names], "text_key string"]))
+    docs = docs.select("key", "doc_id", F.xxhash64("text").alias("h"), "text")
+    return docs.mapInArrow(run, ", ".join(["key long", "doc_id long", "h long", *[f"{n} long" for n in names], "text_key string"]))
 
 
-def packed_texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, packed): the compressed texts whose doc_id is a node of wanted."""
+def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, packed): the compressed texts whose key is a node of wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [zlib.compress(t.as_py().encode("utf-8", "surrogatepass"), 3) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["node", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(packed, pa.binary())], names=["node", "packed"])
 
-    return texts(df).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, packed binary")
+    return docs.select("key", "text").join(wanted.withColumnRenamed("node", "key"), "key", "left_semi").mapInArrow(run, "node long, packed binary")
 
 
 def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
@@ -276,13 +309,13 @@ def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFram
 
 def close_fingerprints(nodes: DataFrame, distance: int) -> DataFrame:
     """(x, y): in each table a fingerprint's texts with the smallest of them, and the smallest of close fingerprints."""
-    found = None
+    found, number = None, nodes.count()
     for i in range(TABLES):
-        heads = nodes.groupBy(F.col(f"t{i}").alias("fp")).agg(F.min("node").alias("head"))
+        heads = nodes.groupBy(F.col(f"t{i}").alias("fp")).agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
         close = links(heads.select("fp"), distance, every=True)
-        a, b = heads.withColumnsRenamed({"fp": "a", "head": "x"}), heads.withColumnsRenamed({"fp": "b", "head": "y"})
+        a, b = heads.selectExpr("fp as a", "head as x"), heads.selectExpr("fp as b", "head as y")
         across = close.join(a, "a").join(b, "b").select("x", "y")
-        within = nodes.join(heads, F.col(f"t{i}") == F.col("fp")).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+        within = join_back(nodes.select("node", F.col(f"t{i}").alias("fp")), heads, "fp", "n", number).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
         both = across.union(within)
         found = both if found is None else found.union(both)
     return found
@@ -295,20 +328,25 @@ def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int =
     round a band's texts meet its pivots, those that share most bands with others; then the links are verified, and the
     pivots, which have met all, go. A band is settled when the texts left are of one component, so each two texts of a
     band are linked, or were compared, or are in one component; no list gives all its pairs unless hardly any is alike.
-    Texts without words are alike to each other only. Rows of equal doc_id should not differ in text; if so, they share
-    the groups of both.
+    Texts without words are alike to each other only. Documents that share a doc_id may be in different groups.
     """
-    rows = scratch(marks(df), "marks")
-    data = [c for c in rows.columns if c not in ("doc_id", "text_key")]
-    nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in data])
+    found = _groups(keyed(texts(df)), similarity, distance)
+    return found.select("doc_id", "component_id")
+
+
+def _groups(docs: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """(key, doc_id, h, component, component_id) of (key, doc_id, text); component is the smallest key, component_id its doc_id."""
+    rows = scratch(marks(docs), "marks")
+    data = [c for c in rows.columns if c not in ("key", "doc_id", "h", "text_key")]
+    nodes = rows.groupBy("text_key").agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in data])
     nodes = scratch(nodes, "texts")
     lists = nodes.select("node", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
-    shared = lists.join(lists.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band")
+    shared = join_back(lists, lists.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band", "size", BANDS * nodes.count())
     central = shared.groupBy("node").agg(F.sum("size").alias("score"))
     left = scratch(shared.drop("size").join(central, "node").withColumn("root", F.col("node")), "bands")
     met = scratch(close_fingerprints(nodes, distance).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "close")
     wanted = left.select("node").union(met.select("x")).union(met.select("y")).distinct()
-    packed = scratch(packed_texts(df, wanted), "packed")
+    packed = scratch(packed_texts(docs, wanted), "packed")
     sure, pivots = None, 1
     # sets that differ more in size cannot overlap enough
     fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
@@ -333,11 +371,22 @@ def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int =
     ends = [known.withColumnsRenamed({"node": e, "n": f"{e}_n", "root": f"{e}_root"}) for e in "xy"]
     more = met.join(ends[0], "x").join(ends[1], "y").where((F.col("x_root") != F.col("y_root")) & fit("x_n", "y_n")).select("x", "y").distinct()
     roots = components(sure.union(verified(more, packed, similarity)), "x", "y")
-    named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("component_id"))
-    return rows.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "component_id")
+    names = rows.select("key", F.col("doc_id").alias("component_id")).distinct()
+    named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("key"))
+    named = scratch(named.join(names, "key").withColumnRenamed("key", "component"), "named")
+    return rows.select("key", "doc_id", "h", "text_key").join(named, "text_key").drop("text_key")
 
 
 def keep_one(df: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
-    """df without the documents that are not the smallest doc_id of their group; rows without a doc_id stay."""
-    gone = similar_texts(df, similarity, distance).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """df with one document of each group, that of the smallest doc_id, all columns kept; rows without a doc_id stay.
+
+    A document given twice (equal doc_id and text) stays once.
+    """
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    found = scratch(_groups(keyed(texts(df)), similarity, distance), "groups")
+    gone = found.where("key <> component").select("doc_id", "h").distinct()
+    out = row.join(gone, ["doc_id", "h"], "left_anti")
+    if not found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        known = out.where("doc_id is not null").dropDuplicates(["doc_id", "h"])
+        out = known.unionByName(out.where("doc_id is null"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -168,6 +168,33 @@ def test_similar_texts_keep_one(spark):
     assert ids >= {*range(8), 201, None} and not ids & {200, 202} and len([i for i in ids if i and 100 <= i < 140]) <= 2
 
 
+def test_lists_longer_than_a_tally_are_split(spark, monkeypatch):
+    """All fingerprints share half of their bytes, so every first list is split; and documents that share a doc_id are apart."""
+    r = random.Random(31)
+    fps = {0x1234 << 48 | r.randrange(1 << 10) << 20 | r.choice([0, 1, 1 << 40, 3 << 8]) for _ in range(1500)} | {r.randrange(1 << 62) for _ in range(300)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
+    assert len(want) > 3000
+    got = {(min(x), max(x)) for x in map(tuple, simhash.links(df, 2, every=True).collect())}
+    assert got == want
+    roots = {x["node"]: x["root"] for x in components.components(simhash.links(df, 2), "a", "b").collect()}
+    assert roots == {x["node"]: x["root"] for x in components.components(spark.createDataFrame(sorted(want), "a long, b long"), "a", "b").collect()}
+    for distance in (0, 1, 3):
+        some = fps[::4]
+        found = {(min(x), max(x)) for x in map(tuple, simhash.links(df.where(df.fp.isin(some)), distance, every=True).collect())}
+        assert found == {(a, b) for i, a in enumerate(some) for b in some[i + 1 :] if (a ^ b).bit_count() <= distance}
+
+
+def test_keep_one_of_documents_that_share_a_doc_id(spark):
+    r = random.Random(32)
+    one, other = prose(r, 80), prose(r, 80)
+    rows = [(1, one), (1, other), (1, one), (2, other), (3, one), (None, one), (4, None)]
+    df = table(spark, rows).withColumnsRenamed({"lang": "key", "source": "row"})
+    kept = sorted((x["doc_id"] or 0, x["text"] or "") for x in simhash.keep_one(df).collect())
+    assert kept == sorted([(1, one), (1, other), (0, one), (4, "")]) and simhash.keep_one(df).columns == df.columns
+
+
 def edited(r, words, places):
     """The words with new ones at places far from each other."""
     ws, step = list(words), len(words) // places
