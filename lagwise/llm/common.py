@@ -45,8 +45,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("h", F.xxhash64("text")).join(numbers, ["doc_id", "h"]).drop("h")
 
 
-#: Keys that join_back() broadcasts at most.
-FREQUENT = 20_000
+#: Keys that join_back() broadcasts at most; and rows of a key that are no burden to a task.
+FREQUENT, BEARABLE = 20_000, 1_000
+
+
+def few(number: int) -> bool:
+    """Whether so few rows cannot hold a key that is a burden."""
+    return number <= BEARABLE
 
 
 def join_back(rows: DataFrame, totals: DataFrame, key: str, count: str, number: int) -> DataFrame:
@@ -55,7 +60,9 @@ def join_back(rows: DataFrame, totals: DataFrame, key: str, count: str, number:
     Only FREQUENT keys can have more than number / FREQUENT rows: their totals are broadcast, so that a key never meets
     its rows in one task. All other keys are shuffled.
     """
-    limit = max(number // FREQUENT, 1000)
+    if few(number):
+        return rows.join(totals, key)
+    limit = max(number // FREQUENT, BEARABLE)
     often = F.broadcast(totals.where(F.col(count) > limit))
     rest = rows.join(often.select(key), key, "left_anti").join(totals.where(F.col(count) <= limit), key)
     return rows.join(often, key).unionByName(rest)

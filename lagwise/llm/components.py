@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_back, scratch
+from .common import drop, few, join_back, scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = join_back(both, least, "a", "n", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch(large, "large")
+        large = large if few(2 * state[0]) else scratch(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = join_back(large, least, "a", "n", 2 * state[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
