@@ -2,8 +2,8 @@ r"""Byte-level BPE of a corpus: merge replay over its distinct words, on an inve
 
 1. Tasks cut texts into words by the pattern. A word that is a token is its id at once. The others of a slice (a run of
    a task's texts of about SLICE characters) are numbered in the order in which they come.
-2. These words go to partitions by word, each distinct one to one place only, and the merges are replayed there: the
-   bytes of a partition's words lie end to end, an index leads from token pair (by the rank of its merge) to the
+2. These words go to partitions by their hash, each distinct one to one place only, and the merges are replayed there:
+   the bytes of a partition's words lie end to end, an index leads from token pair (by the rank of its merge) to the
    positions where it stands, and the merges are applied in rank order. One merge visits its listed positions only,
    joins each to its right neighbour and lists the two pairs that arise.
 3. The ids go back to the slices, where each text's words are replaced by them.
@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 from .common import partitions, texts
 
 #: Characters of the texts of a slice, and codes of a row of it.
-SLICE, ROW = 16_000_000, 1 << 20
-#: Bytes of words that are replayed together.
-TOGETHER = 8_000_000
+SLICE, ROW = 32_000_000, 1 << 20
+#: Parts of the words, by hash.
+BUCKETS = 1024
+#: Bytes of words that are replayed together; words that a task remembers (beyond, some are replayed anew: no result depends on it).
+TOGETHER, REMEMBERED = 16_000_000, 1_000_000
 #: The rank of a pair that does not merge.
 NEVER = 1 << 40
 #: What \s means to the tokenizers: Unicode white space, without the separators \x1c-\x1f.
@@ -219,9 +221,9 @@ def _whole(planes: bytes | memoryview, kind: str) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of longs, their lengths in front."""
+    """Arrays, their lengths in front."""
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join([_planes(a) for a in arrays]))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join([_planes(a) for a in arrays]))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -243,15 +245,24 @@ PARTS = "slice long, kind int, data binary"
 
 
 def new_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, slice, at): the words of each slice that are no tokens, with their numbers."""
+    """(bucket, slice, data): the words of each slice that are no tokens, by a hash of the word; data: numbers, lengths, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, _, words in slices(batches, ranks(path, pattern)):
-            if words:
-                arrays = [pa.array(words, pa.string()), pa.array(np.full(len(words), number)), pa.array(np.arange(len(words), dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["word", "slice", "at"])
+            if not words:
+                continue
+            every = [w.encode() for w in words]
+            buckets = np.fromiter(map(xxhash.xxh32_intdigest, every), np.uint32, len(every)) % BUCKETS
+            order = buckets.argsort(kind="stable")
+            used, first = np.unique(buckets[order], return_index=True)
+            data = []
+            for at in np.split(order, first[1:]):
+                mine = [every[k] for k in at.tolist()]
+                data.append(_pack(np.diff(at, prepend=0).astype(np.uint32), np.fromiter(map(len, mine), np.uint32, len(mine)), np.frombuffer(b"".join(mine), np.uint8)))
+            arrays = [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), number)), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "slice", "data"])
 
-    return docs.mapInArrow(run, "word string, slice long, at int")
+    return docs.mapInArrow(run, "bucket int, slice long, data binary")
 
 
 def coded_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -273,41 +284,43 @@ def coded_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def replayed(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """PARTS of kind 0 (numbers of words, how many ids each has, ids), from (word, slice, at)."""
-    grouped = words.repartition(partitions(words.sparkSession), "word").sortWithinPartitions("word")
-
-    def encoded(held: list[pa.RecordBatch], coder: Ranks) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        distinct = table.column("word").combine_chunks().dictionary_encode()
-        distinct = distinct.combine_chunks() if isinstance(distinct, pa.ChunkedArray) else distinct
-        flat, ends = coder.replay([w.encode() for w in distinct.dictionary.to_pylist()])
-        word, number, at = distinct.indices.to_numpy(), table.column("slice").to_numpy(), table.column("at").to_numpy().astype(np.uint32)
-        order = number.argsort(kind="stable")
-        cuts = np.flatnonzero(np.diff(number[order])) + 1
-        rows = []
-        for some in np.split(order, cuts):
-            first, size = ends[word[some]], np.diff(ends)[word[some]]
-            rows.append((int(number[some[0]]), _pack(at[some], size.astype(np.uint32), flat[spread(first, size)])))
-        numbers, data = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array(data, pa.binary())], names=["slice", "kind", "data"])
+    """PARTS of kind 0 (numbers of words, how many ids each has, ids), from new_words()."""
+    grouped = words.repartition(partitions(words.sparkSession), "bucket")
+
+    def encoded(held: dict[int, list], known: dict[bytes, bytes], new: set[bytes], coder: Ranks) -> pa.RecordBatch:
+        fresh = list(new)
+        if fresh:
+            flat, ends = coder.replay(fresh)
+            raw, ends = flat.tobytes(), (ends * 4).tolist()
+            known.update(zip(fresh, [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+        data = []
+        for parts in held.values():
+            at = np.concatenate([a for a, _ in parts])
+            ids = [known[w] for _, ws in parts for w in ws]
+            order = at.argsort()
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join([ids[k] for k in order.tolist()]), np.uint32)
+            data.append(_pack(np.diff(at[order], prepend=0).astype(np.uint32), n[order].astype(np.uint32), flat))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([0] * len(data), pa.int32()), pa.array(data, pa.binary())], names=["slice", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held, size = ranks(path, pattern), [], 0
+        coder, known = ranks(path, pattern), {}
+        held, new, size = defaultdict(list), set(), 0
         for batch in batches:
-            while batch.num_rows:
-                # a word's rows stay together: those of the last word wait for the next ones
-                held.append(batch)
-                size += batch.column("word").nbytes
-                if size < TOGETHER:
-                    break
-                last = batch.column("word")[batch.num_rows - 1]
-                rest = int(np.argmax(batch.column("word").to_numpy(zero_copy_only=False) == last.as_py()))
-                rest = rest or batch.num_rows  # one word fills the batch: its rows may part, as it is encoded alike
-                held[-1] = batch.slice(0, rest)
-                yield encoded(held, coder)
-                batch, held, size = batch.slice(rest), [], 0
+            for number, data in zip(batch.column("slice").to_pylist(), batch.column("data"), strict=True):
+                at, lengths, text = _unpack(data.as_py(), "<u4", "<u4", "u1")
+                text, ends = text.tobytes(), np.cumsum(lengths.astype(np.int64)).tolist()
+                ws = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                held[number].append((np.cumsum(at.astype(np.int64)), ws))
+                new.update([w for w in ws if w not in known])
+                size += len(text)
+                if size >= TOGETHER:
+                    yield encoded(held, known, new, coder)
+                    held, new, size = defaultdict(list), set(), 0
+                    if len(known) > REMEMBERED:
+                        known.clear()
         if held:
-            yield encoded(held, coder)
+            yield encoded(held, known, new, coder)
 
     return grouped.mapInArrow(run, PARTS)
 
@@ -339,7 +352,8 @@ def each_text(df: DataFrame, path: str, pattern: str, schema: str, of: Callable[
                 if number != here:
                     here, given, size, flat = number, [], 0, None
                 if kind == 0:
-                    given.append(_unpack(data, "<u4", "<u4", "<u4"))
+                    at, n, ids = _unpack(data, "<u4", "<u4", "<u4")
+                    given.append((np.cumsum(at.astype(np.int64)), n, ids))
                     continue
                 if flat is None:  # tokens are their own ids; a new word's ids stand behind them, by its number
                     at, n, ids = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (zip(*given, strict=True) if given else ((), (), ())))
