@@ -79,11 +79,9 @@ def test_bpe_repeated_ids_and_clashing_columns(spark, library):
     assert got == sorted((d, np.array(library.encode_ordinary(t or ""), "<u4").tobytes()) for d, t, *_ in rows)
 
 
-def test_words_of_many_slices_are_encoded_once(spark, library, monkeypatch):
+def test_words_of_several_slices_and_buckets(spark, library):
     texts = [f"qu{i % 50}zz wrd{i} " * 3 for i in range(400)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
-    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/many")
-    df = spark.read.parquet(path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words = bpe.new_words(bpe.texts(df).selectExpr("*", "spark_partition_id() as part"), RANKS, public_tokenizers.PATTERN)
     assert words.select("slice").distinct().count() > 1 and words.select("bucket").distinct().count() > 1
     got = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()}
