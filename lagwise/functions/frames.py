@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -54,6 +56,20 @@ def sql(text: str, **frames: DataFrame) -> DataFrame:
     raise ValueError("a WITH list must end in a query")
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """The rows as a table in spark.checkpoint.dir, which the driver and all executors share: cuts the lineage, so that many readers cost one run."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/lagwise-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(found)
+    path = f"{found.rstrip('/')}/series-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def listed(keys: list[str], prefix: str = "") -> str:
     return ", ".join(f"{prefix}{k}" for k in keys)
 

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import listed, same, sql
 
-#: Names of columns that hold time (searched anywhere in the name, as letters only, hence `runtime` as well).
+# Fixed value: names of columns that hold time (searched anywhere in the name, as letters only, hence `runtime` as well).
 TIME_LIKE = re.compile("time|timestamp|date|index|idx", re.IGNORECASE)
 # Words that label a row as an anomaly or as normal; the first list is tested first.
 ANOMALOUS = "attack|anomaly|abnormal|fault|1|true|yes"
 NORMAL = "normal|0|false|no"
-#: Names under which a label column is looked for, in this order.
-LABEL_NAMES = ("normal/attack", "label", "attack", "anomaly", "is_anomaly", "status", "class", "y")
+# Names under which a label column is looked for.
+LABEL_NAMES = ("Normal/Attack", "Normal_Attack", "label", "Label", "Attack", "attack", "anomaly", "Anomaly")
 
 
 def drop_time_columns(df: DataFrame) -> DataFrame:
@@ -42,9 +42,8 @@ def common_columns(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def label_column(df: DataFrame, names: tuple[str, ...] = LABEL_NAMES) -> str:
-    """The name of the label column: the first of `names` that df has, blanks and case aside."""
-    have = {c.strip().lower(): c for c in df.columns}
-    found = next((have[n] for n in names if n in have), None)
+    """The first of df's columns whose name, stripped, is among `names`."""
+    found = next((c for c in df.columns if c.strip() in names), None)
     if found is None:
         raise ValueError(f"no label column among {df.columns}")
     return found

@@ -8,6 +8,7 @@ from __future__ import annotations
 from string import Template
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.frames import sql
 from .quality import text
@@ -60,8 +61,13 @@ select $k, tau, src, tgt, raw, case when sum(raw) over (partition by $k, tgt) >
 GRAPH = """
 select $k, greatest(lag, 1) as tau, src, tgt, max(case when edge_type = '-->' then abs(val) when edge_type in ('o-o', 'x-x') and lag > 0 then abs(val) / 2e0 else 0e0 end) as te,
        max(case when edge_type = '-->' then 1e0 when edge_type in ('o-o', 'x-x') and lag > 0 then 0.5e0 else 0e0 end) as gate from {graph} group by $k, greatest(lag, 1), src, tgt"""
-DENSITY = """
-select $k, count(case when edge_type = '-->' then 1 end) as directed, count(case when edge_type in ('o-o', 'x-x') then 1 end) as ambiguous, count(case when coalesce(edge_type, '') = '' then 1 end) as empty from {graph} group by $k"""
+#: That graph's prior: self mass, weights over (tau, src) per target; gates as the edges have them, a variable's own at lag 1 open.
+GRAPH_PRIOR = """
+with v as (select $k, var from {variables}),
+     g as (select $k, tau, src, tgt from (select $k, var as src from v) s join (select $k, var as tgt from v) t using ($k) cross join range(1, <T> + 1) l(tau)),
+     r as (select $k, tau, src, tgt, greatest(coalesce(te, 0e0), case when tau = 1 and src = tgt then <SELF> else 0e0 end) as raw, case when tau = 1 and src = tgt then 1e0 else coalesce(gate, 0e0) end as gate from g left join {edges} e using ($k, tau, src, tgt))
+select $k, tau, src, tgt, raw, case when sum(raw) over (partition by $k, tgt) > 1e-12 then raw / sum(raw) over (partition by $k, tgt) when tau = 1 and src = tgt then 1e0 else 0e0 end as weight, gate from r"""
+DENSITY = "select $k, count(case when gate = 1 then 1 end) as directed, count(case when gate > 0 and gate < 1 then 1 end) as ambiguous, count(case when gate = 0 then 1 end) as empty from {prior} group by $k"
 
 SPARK = {"MEDIAN": "percentile(te, 0.5)", "UPPER": "percentile(raw, 0.75)"}
 DUCK = {"MEDIAN": "quantile_cont(te, 0.5)", "UPPER": "quantile_cont(raw, 0.75)"}
@@ -104,30 +110,39 @@ def prior(te: DataFrame, variables: DataFrame, by: list[str], tau_max: int, leas
     return sql(fill(NORMALISE, by, T=tau_max, MIN=f"{least:e}", SELF=f"{self_mass:e}"), te=te, variables=variables)
 
 
-def build(kind: str, bins: DataFrame, by: list[str], tau_max: int, width: int = 8, least: float = 0.0, self_mass: float = 0.25) -> DataFrame:
-    """A prior by transfer entropy (te) or conditional on confounders (cte)."""
-    te = transfer_entropy(bins, by, tau_max)
+def build(kind: str, data: DataFrame, by: list[str], tau_max: int, width: int = 8, least: float = 0.0, self_mass: float = 0.25) -> DataFrame:
+    """A prior by transfer entropy (te), conditional on confounders (cte), both from bins; or from a graph's edges (graph).
+
+    A graph names each variable at least once, as source or target.
+    """
+    if kind == "graph":
+        variables = data.select(*by, F.col("src").alias("var")).union(data.select(*by, "tgt")).distinct()
+        return from_graph(data, variables, by, tau_max, self_mass)
+    if kind not in ("te", "cte"):
+        raise ValueError(f"unknown prior {kind!r}")
+    te = transfer_entropy(data, by, tau_max)
     if kind == "cte":
         rough = te
         found = confounders(rough, by)
-        te = sql(text(TWO_STAGE, by), te=rough, conditional=conditional_entropy(bins, found, by, tau_max, width))
-    elif kind != "te":
-        raise ValueError(f"unknown prior {kind!r}; graphs go through from_graph()")
-    return prior(te, bins.select(*by, "var").distinct(), by, tau_max, least, self_mass)
+        te = sql(text(TWO_STAGE, by), te=rough, conditional=conditional_entropy(data, found, by, tau_max, width))
+    return prior(te, data.select(*by, "var").distinct(), by, tau_max, least, self_mass)
 
 
 def from_graph(graph: DataFrame, variables: DataFrame, by: list[str], tau_max: int, self_mass: float = 0.25) -> DataFrame:
-    return prior(sql(text(GRAPH, by), graph=graph), variables, by, tau_max, 0.0, self_mass)
+    """The prior of a graph (by, src, tgt, lag, edge_type, val)."""
+    return sql(fill(GRAPH_PRIOR, by, T=tau_max, SELF=f"{self_mass:e}"), edges=sql(text(GRAPH, by), graph=graph), variables=variables)
 
 
-def density(graph: DataFrame, by: list[str]) -> DataFrame:
-    return sql(text(DENSITY, by), graph=graph)
+def density(prior_: DataFrame, by: list[str]) -> DataFrame:
+    """How many places of a graph's prior hold arrows (the variables' own at lag 1 with them), ambiguous edges, nothing."""
+    return sql(text(DENSITY, by), prior=prior_)
 
 
 def fingerprints(cells: DataFrame, by: list[str], parameters: str) -> DataFrame:
-    """(by, key): changes whenever a series' cells or the parameters do, whatever the order of rows."""
-    row = Template("select $k, sha2(concat_ws('|', '<P>', count(*), coalesce(sum(x), 0), coalesce(sum(x * (t + 1)), 0), coalesce(sum(x * (var + 1)), 0)), 256) as key from {cells} group by $k").substitute(k=", ".join(by))
-    return sql(row.replace("<P>", parameters), cells=cells)
+    """(by, key): changes whenever a series' cells or the parameters do, whatever the order of rows: a sum of the cells' hashes."""
+    cell = "cast(conv(substr(md5(concat_ws('|', t, var, coalesce(cast(x as string), ''))), 1, 15), 16, 10) as decimal(20,0))"
+    row = Template("select $k, sha2(concat_ws('|', '<P>', count(*), sum(<CELL>)), 256) as key from {cells} group by $k").substitute(k=", ".join(by))
+    return sql(row.replace("<P>", parameters).replace("<CELL>", cell), cells=cells)
 
 
 def to_compute(keys: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:

@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from string import Template
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.frames import sql
+from . import segments
+from .ingest import finite
 
 
 def text(template: str, by: list[str]) -> str:
@@ -149,18 +152,18 @@ with p0 as (select $k, t, y, score, cast(row_number() over (partition by $k orde
      sg as (select $k, seg, min(i) as s, max(i) as e, min(k0) as m0 from pts where y > 0 group by $k, seg),
      mg as (select $k, seg, d, i from (select $k, seg, d, e + d as i from sg cross join range(1, <W> / 2 + 1) r(d) union all select $k, seg, d, s - d from sg cross join range(1, <W> / 2 + 1) r(d)) u),
      mp as (select $k, m.seg as seg, d, i, k0, p.y as y from mg m join (select $k, i, k0, y from pts) p using ($k, i)),
-     ws as (select w from range(<W> + 1) r(w)),
-     lb as (select $k, w, i, k0, least(1e0, sum(sqrt(1 - d / (w * 1e0)))) as soft from mp join ws on 2 * d <= w where y = 0 group by $k, w, i, k0),
+     ws as (select $k, w from {windows} cross join range(<W> + 1) r(w) where w <= win),
+     lb as (select $k, w, i, k0, least(1e0, sum(sqrt(1 - d / (w * 1e0)))) as soft from mp join ws using ($k) where 2 * d <= w and y = 0 group by $k, w, i, k0),
      sl as (select $k, w, k0, sum(soft) as soft from lb group by $k, w, k0),
      hp as (select $k, k0, count(*) as n_pred, sum(y) as p_in from pts group by $k, k0),
-     mm as (select $k, seg, w, min(k0) as mk from mp join ws on 2 * d <= w group by $k, seg, w),
-     sw as (select $k, seg, w, s, e, m0 from sg cross join ws),
+     mm as (select $k, seg, w, min(k0) as mk from mp join ws using ($k) where 2 * d <= w group by $k, seg, w),
+     sw as (select $k, seg, w, s, e, m0 from sg join ws using ($k)),
      sm as (select $k, seg, w, s, e, least(m0, coalesce(mk, m0)) as mk, case when lag(e) over (partition by $k, w order by s) + floor(w / 2e0) < s - floor(w / 2e0) then 1 else 0 end as cut from sw left join mm using ($k, seg, w)),
      sc as (select $k, w, mk, sum(cut) over (partition by $k, w order by s) as grp from sm),
      me as (select $k, w, grp, min(mk) as mk from sc group by $k, w, grp),
      mc as (select $k, w, mk as k0, count(*) as m from me group by $k, w, mk),
      mt as (select $k, w, count(*) as merged from me group by $k, w),
-     gr as (select $k, w, n, pos, q as k0 from tot cross join ws cross join range(<K>) r(q)),
+     gr as (select $k, w, n, pos, q as k0 from tot join ws using ($k) cross join range(<K>) r(q)),
      al as (select $k, w, n, pos, k0, sum(coalesce(n_pred, 0)) over v as npred, sum(coalesce(p_in, 0)) over v as tp_in, sum(coalesce(soft, 0e0)) over v as tp_out, sum(coalesce(m, 0)) over v as found
             from gr left join hp using ($k, k0) left join sl using ($k, w, k0) left join mc using ($k, w, k0) window v as (partition by $k, w order by k0)),
      rt as (select $k, w, k0, least((tp_in + tp_out) / ((pos + pos + tp_out) / 2e0), 1e0) * found / merged as tpr, (npred - tp_in - tp_out) / (n - (pos + pos + tp_out) / 2e0) as fpr, (tp_in + tp_out) / npred as prec
@@ -233,22 +236,49 @@ def affiliation_f(scores: DataFrame, by: list[str]) -> DataFrame:
     return sql(text(AFFILIATION_F, by), affiliation=affiliation(scores, by))
 
 
-def vus(scores: DataFrame, by: list[str], window: int = 20, thresholds: int = 250) -> DataFrame:
-    return sql(_vus(VUS_MEAN, by, window, thresholds), scores=scores)
+def windows(scores: DataFrame, by: list[str], window: int | DataFrame) -> tuple[DataFrame, int]:
+    """(by, win) of each series and the largest: a fixed number, or a table such as evaluation_windows() gives."""
+    if isinstance(window, int):
+        return scores.select(*by).distinct().withColumn("win", F.lit(window)), window
+    return window, window.agg(F.max("win")).first()[0] or 0
+
 
+def vus(scores: DataFrame, by: list[str], window: int | DataFrame = 20, thresholds: int = 250) -> DataFrame:
+    table, most = windows(scores, by, window)
+    return sql(_vus(VUS_MEAN, by, most, thresholds), scores=scores, windows=table)
 
-def range_auc(scores: DataFrame, by: list[str], window: int = 20, thresholds: int = 250) -> DataFrame:
-    """Range AUC and AP of each margin 0 to `window`."""
-    return sql(_vus(VUS_AT, by, window, thresholds), scores=scores)
+
+def range_auc(scores: DataFrame, by: list[str], window: int | DataFrame = 20, thresholds: int = 250) -> DataFrame:
+    """Range AUC and AP of each margin 0 to the window."""
+    table, most = windows(scores, by, window)
+    return sql(_vus(VUS_AT, by, most, thresholds), scores=scores, windows=table)
 
 
 def vus_of_predictions(preds: DataFrame, by: list[str], window: int = 20) -> DataFrame:
     return sql(_vus(VUS_PRED, by, window), preds=preds)
 
 
-def report(scores: DataFrame, by: list[str], window: int = 20) -> DataFrame:
-    """All nine metrics of each series in one row. The scores should be cached or a table: each metric reads them."""
-    out = rank_metrics(scores, by)
-    for other in (adjusted_f1(scores, by), event_f1(scores, by), range_f1(scores, by), affiliation_f(scores, by), vus(scores, by, window)):
+def evaluation_slice(scores: DataFrame, by: list[str], start: int = 0) -> DataFrame:
+    """The rows at t >= start whose score is a finite number."""
+    return scores.where((F.col("t") >= start) & finite(F.col("score")).isNotNull())
+
+
+def evaluation_windows(scores: DataFrame, by: list[str], default: int = 100) -> DataFrame:
+    """(by, win): the median length of each series' segments of positive labels, by place in the slice; `default` without any."""
+    order = Window.partitionBy(*by).orderBy("t")
+    placed = scores.select(*by, "y", F.row_number().over(order).cast("bigint").alias("t"))
+    found = segments.median_length(segments.runs(placed, by), scores.select(*by).distinct(), by, default)
+    return found.withColumnRenamed("width", "win")
+
+
+def report(scores: DataFrame, by: list[str], window: int | DataFrame | None = None, start: int = 0) -> DataFrame:
+    """All nine metrics of each series in one row, of its evaluation slice; window None: the median length of its segments.
+
+    The scores should be a table or cached: each metric reads them.
+    """
+    rows = evaluation_slice(scores, by, start).select(*by, "t", "y", "score")
+    window = evaluation_windows(rows, by) if window is None else window
+    out = rank_metrics(rows, by)
+    for other in (adjusted_f1(rows, by), event_f1(rows, by), range_f1(rows, by), affiliation_f(rows, by), vus(rows, by, window)):
         out = out.join(other, by, "left")
     return out

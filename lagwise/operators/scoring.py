@@ -12,14 +12,21 @@ from .prior import fill
 ERROR = """
 with r as (select *, row_number() over (partition by $k, t order by abs(err) desc, tgt) as place from {errors})
 select $k, t, avg(abs(err)) as p_mean, max(abs(err)) as p_max, avg(case when place <= <N> then abs(err) end) as p_top from r group by $k, t"""
-#: Deviation of a time's normalised edge strengths from the reference: per lag, then over lags.
+#: Deviation of a time's normalised edge strengths from the reference: per lag, then over lags. Rows are sources.
 DEVIATION = """
 with n as (select $k, t, tau, src, tgt, case when sum(strength) over (partition by $k, t, tgt) > 1e-12 then strength / sum(strength) over (partition by $k, t, tgt) when tau = 1 and src = tgt then 1e0 else 0e0 end as v from {effects}),
-     d as (select $k, t, tau, src, tgt, v - ref as d from n join (select $k, tau, src, tgt, v as ref from {reference}) r using ($k, tau, src, tgt)),
+<FROM_VALUES>"""
+#: Deviation of a time's weights from the mean weights of the reference.
+WEIGHT_DEVIATION = """
+with n as (select $k, t, tau, src, tgt, weight as v from {weights}),
+<FROM_VALUES>"""
+_FROM_VALUES = """     d as (select $k, t, tau, src, tgt, v - ref as d from n join (select $k, tau, src, tgt, v as ref from {reference}) r using ($k, tau, src, tgt)),
      w as (select $k, t, tau, src, sum(d * d) as d2, sum(abs(d)) / count(*) as row_dev, count(*) as n from d group by $k, t, tau, src),
-     l as (select $k, t, tau, sqrt(sum(d2) / sum(n) + 1e-12) as fro, max(row_dev) as max_row from w group by $k, t, tau)
-select $k, t, avg(fro) as c_mean, max(fro) as c_max, avg(max_row) as row_mean from l group by $k, t"""
-COMBINE = "select $k, t, p_mean as p, c_mean as c, g, <ALPHA> * c_mean + <BETA> * g as s, p_mean * (<ALPHA> * c_mean + <BETA> * g) as a from {error} e join (select $k, t, c_mean from {deviation}) d using ($k, t) join (select $k, t, c_max as g from {deviation}) h using ($k, t)"
+     o as (select *, row_number() over (partition by $k, t, tau order by row_dev desc, src) as place from w),
+     l as (select $k, t, tau, sqrt(sum(d2) / sum(n) + 1e-12) as fro, max(row_dev) as max_row, avg(case when place <= <N> then row_dev end) as top_rows from o group by $k, t, tau)
+select $k, t, avg(fro) as c_mean, max(fro) as c_max, avg(max_row) as row_mean, avg(top_rows) as top_mean from l group by $k, t"""
+DEVIATION, WEIGHT_DEVIATION = (x.replace("<FROM_VALUES>", _FROM_VALUES) for x in (DEVIATION, WEIGHT_DEVIATION))
+COMBINE = "select $k, t, p_mean as p, c_mean as c, g, <ALPHA> * c_mean + <BETA> * g as s, p_mean * (<ALPHA> * c_mean + <BETA> * g) as a from {error} e join (select $k, t, c_mean from {deviation}) d using ($k, t) join (select $k, t, c_mean as g from {weights}) h using ($k, t)"
 #: Centre (median) and scale (1.4826 times the median deviation; else the deviation; else 1) of x over the rows that fit.
 ROBUST = """
 with m as (select $k, <MED:x> as centre, stddev_pop(x) as sd from {values} where <FIT> group by $k),
@@ -29,6 +36,8 @@ select $k, centre, case when mad >= 1e-6 then mad when sd >= 1e-6 then sd else 1
 ROBUST_Z = "select $k, t, greatest((x - centre) / greatest(scale, 1e-6), <CLIP>) as z from {values} v join {robust} r using ($k)"
 TIMELINE = "select $k, t, s.score as score from {times} q left join (select $k, win + <L> - 1 as t, score from {windows}) s using ($k, t)"
 THREE_SIGMA = "select $k, t, score > avg(score) over (partition by $k) + 3e0 * stddev_pop(score) over (partition by $k) as above from {scores}"
+#: The second form: at or above mean and deviation of the rows that <FIT>.
+THREE_SIGMA_OF = "select $k, t, score >= mu + 3e0 * sd as above from {scores} s join (select $k, avg(score) as mu, stddev_pop(score) as sd from {scores} where <FIT> group by $k) f using ($k)"
 #: Scores of a moving window of <W> rows set at its middle, the ends 0.
 PADDED = "select $k, t, coalesce(s.score, 0e0) as score from {times} q left join (select $k, t + cast(ceil(<W> / 2e0) as int) as t, score from {scores}) s using ($k, t)"
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import sql
+from ..functions.frames import scratch, sql
 from ..operators import edges as ed
 from ..operators import prior as pr
 from ..operators import quality as ql
@@ -31,35 +33,60 @@ _W = (
     f"weights as (select s.*, g.gate from ({d_(ed.SOFTMAX).format(logits='logits')}) s join gates g using (entity, tau, src, tgt))"
 )
 _E = _W + f", effects as ({d_(ed.EFFECTS, T=TAU).format(series='scaled', weights='weights')}), forecast as ({d_(ed.FORECAST).format(effects='effects')}), errors as ({d_(ed.ERRORS).format(forecast='forecast', series='scaled')})"
-_REF = d_(ed.NORMAL).format(edges=f"(select entity, tau, src, tgt, ref as v from ({d_(ed.REFERENCE, SPLIT=fx.SPLIT).format(effects='effects')}) q)")
 _GAIN = d_(ed.CONTRIBUTIONS, FILL="0e0").format(effects="effects", errors="errors", weights="weights")
 
 
+_NO = "select null"
+
+
 class Tables:
-    """The chain of tables, each made once a query."""
+    """The chain of tables. Each that others read is written once a query."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
-        self.series = fx.scaled(spark, d)
-        bins = pr.digitise(fx.cells(spark, d).fillna({"x": 0}), BY, pq.BINS).withColumn("chunk", F.lit(0))
-        self.prior = pr.prior(pr.transfer_entropy(bins, BY, TAU), bins.select("entity", "var").distinct(), BY, TAU, 0.0, 0.25).persist()
-        self.weights = ed.weights(self.prior, BY)
+        self.spark, self.dir = spark, d
 
-    @property
+    @cached_property
+    def series(self) -> DataFrame:
+        return scratch(fx.scaled(self.spark, self.dir))
+
+    @cached_property
+    def prior(self) -> DataFrame:
+        bins = pr.digitise(fx.cells(self.spark, self.dir).fillna({"x": 0}), BY, pq.BINS).withColumn("chunk", F.lit(0))
+        return scratch(pr.prior(pr.transfer_entropy(bins, BY, TAU), bins.select("entity", "var").distinct(), BY, TAU, 0.0, 0.25))
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return scratch(ed.weights(self.prior, BY))
+
+    @cached_property
+    def weights_at(self) -> DataFrame:
+        return scratch(ed.weights_at(self.series, self.prior, BY, TAU, 4))
+
+    @cached_property
     def effects(self) -> DataFrame:
-        return ed.effects(self.series, self.weights, BY, TAU)
+        return scratch(ed.effects(self.series, self.weights, BY, TAU))
 
-    @property
+    @cached_property
     def errors(self) -> DataFrame:
-        return ed.errors(self.effects, self.series, BY)
+        return scratch(ed.errors(self.effects, self.series, BY))
 
-    @property
+    def contributions(self, fill: str, where: str = "true") -> DataFrame:
+        part = {"effects": self.effects.where(where), "errors": self.errors.where(where), "weights": self.weights}
+        return ed.run(ed.CONTRIBUTIONS, BY, part, FILL=fill)
+
+    @cached_property
+    def gains(self) -> DataFrame:
+        return scratch(self.contributions("0e0"))
+
+    @cached_property
     def reference(self) -> DataFrame:
-        means = ed.run(ed.REFERENCE, BY, {"effects": self.effects}, SPLIT=fx.SPLIT).withColumnRenamed("ref", "v")
-        return ed.run(ed.NORMAL, BY, {"edges": means})
+        """Gains of the training hours on edges of even source and lag sum; the prior stands for the others."""
+        sampled = self.prior.where("(tau + src) % 2 = 0")
+        return scratch(ed.gain_reference(self.contributions("0e0", fx.TRAIN), self.prior, BY, sampled))
 
     @property
-    def gains(self) -> DataFrame:
-        return ed.run(ed.CONTRIBUTIONS, BY, {"effects": self.effects, "errors": self.errors, "weights": self.weights}, FILL="0e0")
+    def weight_reference(self) -> DataFrame:
+        return ed.run(ed.WEIGHT_REFERENCE, BY, {"weights": self.weights_at}, SPLIT=fx.SPLIT)
 
     @property
     def error(self) -> DataFrame:
@@ -67,7 +94,11 @@ class Tables:
 
     @property
     def deviation(self) -> DataFrame:
-        return sc.run(sc.DEVIATION, BY, {"effects": self.effects, "reference": self.reference})
+        return sc.run(sc.DEVIATION, BY, {"effects": self.effects, "reference": self.reference}, N=3)
+
+    @property
+    def weight_deviation(self) -> DataFrame:
+        return sc.run(sc.WEIGHT_DEVIATION, BY, {"weights": self.weights_at, "reference": self.weight_reference}, N=3)
 
 
 def query(name: str, keys: list[str], columns: list[str], make, body: str, before: str) -> None:
@@ -77,45 +108,41 @@ def query(name: str, keys: list[str], columns: list[str], make, body: str, befor
 
 query("f01_edge_logits", _EDGE, ["logit"], lambda t: ed.run(ed.LOGITS, BY, {"prior": t.prior}), d_(ed.LOGITS).format(prior="prior"), _ONE)
 query("f02_edge_gates", _EDGE, ["gate"], lambda t: ed.run(ed.GATES, BY, {"prior": t.prior}), d_(ed.GATES).format(prior="prior"), _ONE)
-query("f03_similarity", ["entity", "t", "tau", "src", "tgt"], ["similarity"], lambda t: ed.run(ed.SIMILARITY, BY, {"series": t.series}, TAU=2, FIRST=5, H=4).where("t >= 600"), f"select * from ({d_(ed.SIMILARITY, TAU=2, FIRST=5, H=4).format(series='scaled')}) q where t >= 600", fx.SCALED)
-query("f03_similarity_whole", ["entity", "t", "tau", "src", "tgt"], ["similarity"], lambda t: ed.run(ed.SIMILARITY, BY, {"series": t.series}, TAU=TAU, FIRST=5, H=4), d_(ed.SIMILARITY, TAU=TAU, FIRST=5, H=4).format(series="scaled"), fx.SCALED)
+query("f03_similarity", ["entity", "t", "tau", "src", "tgt"], ["similarity"], lambda t: ed.similarity(t.series, BY, TAU, 4), _NO, fx.SCALED)
+query("f03_weights_at", ["entity", "t", "tau", "src", "tgt"], ["weight"], lambda t: t.weights_at, _NO, fx.SCALED)
+query("f07_weight_reference", _EDGE, ["v"], lambda t: t.weight_reference, _NO, fx.SCALED)
 query("f04_edge_weights", _EDGE, ["weight", "gate"], lambda t: t.weights, "select * from weights", _W)
 query("f05_forecast", ["entity", "t", "tgt"], ["actual", "predicted", "err"], lambda t: t.errors, "select * from errors", _E)
-query("f07_reference", _EDGE, ["v"], lambda t: t.reference, _REF, _E)
-_NEW = "(select entity, tau, src, tgt, weight as v from weights)"
-query("f08_reference_ema", _EDGE, ["v"], lambda t: ed.run(ed.EMA, BY, {"new": t.weights.withColumnRenamed("weight", "v").drop("gate"), "old": t.reference}, BETA="0.9e0"), d_(ed.EMA, BETA="0.9e0").format(new=_NEW, old=f"({_REF})"), _E)
+query("f07_reference", _EDGE, ["v"], lambda t: t.reference, _NO, _E)
+query("f08_reference_ema", _EDGE, ["v"], lambda t: ed.run(ed.EMA, BY, {"new": t.weights.withColumnRenamed("weight", "v").drop("gate"), "old": t.reference}, BETA="0.9e0"), _NO, _E)
 query("i01_rotated_source", ["entity", "t"], ["before", "after"], lambda t: ed.run(ed.ROTATE, BY, {"series": t.series}, SRC=2, BLOCK=50, SHIFT=7), d_(ed.ROTATE, SRC=2, BLOCK=50, SHIFT=7).format(series="scaled"), fx.SCALED)
-query("i02_constant_fill", _EDGE, ["raw_delta", "positive_delta"], lambda t: ed.run(ed.CONTRIBUTIONS, BY, {"effects": t.effects, "errors": t.errors, "weights": t.weights}, FILL="0.5e0"), d_(ed.CONTRIBUTIONS, FILL="0.5e0").format(effects="effects", errors="errors", weights="weights"), _E)
-query("i04_contributions", _EDGE, ["raw_delta", "positive_delta"], lambda t: t.gains, _GAIN, _E)
-query("i05_rollups", ["entity", "src", "tgt"], ["lag_mean", "lag_max", "source_strength", "target_received"], lambda t: ed.run(ed.ROLLUP, BY, {"gains": t.gains}), d_(ed.ROLLUP).format(gains=f"({_GAIN}) g"), _E)
+query("i02_constant_fill", _EDGE, ["raw_delta", "positive_delta"], lambda t: t.contributions("0.5e0"), _NO, _E)
+query("i04_contributions", _EDGE, ["raw_delta", "positive_delta"], lambda t: t.gains, _NO, _E)
+query("i05_rollups", ["entity", "tau", "src", "tgt"], ["raw_mean", "raw_max", "positive_mean", "positive_max", "strength"], lambda t: ed.run(ed.ROLLUP, BY, {"gains": t.gains}), _NO, _E)
 query("i06_top_edges", ["entity", "place", "tau", "src", "tgt"], ["positive_delta"], lambda t: ed.run(ed.TOP, BY, {"gains": t.gains}, N=10), d_(ed.TOP, N=10).format(gains=f"({_GAIN}) g"), _E)
 query("i08_alignment", BY, ["loss"], lambda t: ed.run(ed.ALIGNMENT, BY, {"effects": t.effects, "gains": t.gains}), d_(ed.ALIGNMENT).format(effects="effects", gains=f"({_GAIN}) g"), _E)
 query("m01_error_size", BY, ["mean_abs", "mean_l2"], lambda t: ed.run(ed.ERROR_SIZE, BY, {"errors": t.errors}), d_(ed.ERROR_SIZE).format(errors="errors"), _E)
 _MON = ["js", "gate_bce", "sparsity", "monotone", "entropy", "stability", "structure_kl", "max_weight", "max_gate", "mean_weight", "std_weight"]
 query("m02_edge_monitors", BY, _MON, lambda t: ed.run(ed.MONITORS, BY, {"weights": t.weights, "prior": t.prior}), d_(ed.MONITORS).format(weights="weights", prior="prior"), _W)
 query("m07_environment_variance", BY, ["variance"], lambda t: ed.run(ed.ENVIRONMENTS, BY, {"effects": t.effects}, N=4), d_(ed.ENVIRONMENTS, N=4).format(effects="effects"), _E)
-_ERR, _DEV = sc.filled(sc.ERROR, BY, True, N=2).format(errors="errors"), sc.filled(sc.DEVIATION, BY, True).format(effects="effects", reference=f"({_REF})")
-query("g01_error_score", ["entity", "t"], ["p_mean", "p_max", "p_top"], lambda t: t.error, _ERR, _E)
-query("g04_strength_deviation", ["entity", "t"], ["c_mean", "c_max", "row_mean"], lambda t: t.deviation, _DEV, _E)
-_COMB = sc.filled(sc.COMBINE, BY, True, ALPHA="0.5e0", BETA="0.5e0").format(error="err_t", deviation="dev_t")
-_G = _E + f", err_t as ({_ERR}), dev_t as ({_DEV})"
+query("g01_error_score", ["entity", "t"], ["p_mean", "p_max", "p_top"], lambda t: t.error, _NO, _E)
+_C = ["c_mean", "c_max", "row_mean", "top_mean"]
+query("g04_strength_deviation", ["entity", "t"], _C, lambda t: t.deviation, _NO, _E)
+query("g05_weight_deviation", ["entity", "t"], _C, lambda t: t.weight_deviation, _NO, _E)
 
 
 def combined(t: Tables) -> DataFrame:
-    return sc.run(sc.COMBINE, BY, {"error": t.error, "deviation": t.deviation.persist()}, ALPHA="0.5e0", BETA="0.5e0")
+    return scratch(sc.run(sc.COMBINE, BY, {"error": t.error, "deviation": t.deviation, "weights": t.weight_deviation}, ALPHA="0.5e0", BETA="0.5e0"))
 
 
-query("g06_combined_score", ["entity", "t"], ["p", "c", "g", "s", "a"], combined, _COMB, _G)
-_VALUES = f"(select entity, t, round(a, 9) as x from ({_COMB}) q)"
-_ROB = sc.filled(sc.ROBUST, BY, True, FIT=f"t < {fx.SPLIT}")
+query("g06_combined_score", ["entity", "t"], ["p", "c", "g", "s", "a"], combined, _NO, _E)
 
 
 def values(t: Tables) -> DataFrame:
-    return combined(t).select("entity", "t", F.round("a", 9).alias("x")).persist()
+    return scratch(combined(t).select("entity", "t", F.round("a", 9).alias("x")))
 
 
-query("g07_robust_scale", BY, ["centre", "scale"], lambda t: sc.run(sc.ROBUST, BY, {"values": values(t)}, FIT=f"t < {fx.SPLIT}"), _ROB.format(values="vals"), _G + f", vals as {_VALUES}")
-_Z = sc.filled(sc.ROBUST_Z, BY, True, CLIP="-3e0").format(values="vals", robust=f"({_ROB.format(values='vals')})")
+query("g07_robust_scale", BY, ["centre", "scale"], lambda t: sc.run(sc.ROBUST, BY, {"values": values(t)}, FIT=f"t < {fx.SPLIT}"), _NO, _E)
 
 
 def robust_z(t: Tables) -> DataFrame:
@@ -123,8 +150,7 @@ def robust_z(t: Tables) -> DataFrame:
     return sc.run(sc.ROBUST_Z, BY, {"values": v, "robust": sc.run(sc.ROBUST, BY, {"values": v}, FIT=f"t < {fx.SPLIT}")}, CLIP="-3e0")
 
 
-query("g08_robust_z", ["entity", "t"], ["z"], robust_z, _Z, _G + f", vals as {_VALUES}")
-O["g10_scored_quality"] = f"with {fx.SCALED}{fx._LABELS}{_G[len(fx.SCALED):]}, vals as {_VALUES}, zs as (select z.entity, z.t, l.y, round(z.z, 6) as score from ({_Z}) z join labels l using (entity, t)) select entity, round(auc_roc, 7) as auc_roc, round(auc_pr, 7) as auc_pr, round(f1, 7) as f1 from ({ql.text(ql.RANK, BY).format(scores='zs')}) q"
+query("g08_robust_z", ["entity", "t"], ["z"], robust_z, _NO, _E)
 Q["g10_scored_quality"] = lambda spark, d: _quality(spark, d)
 
 
@@ -147,28 +173,28 @@ on_scores("q25_padded", sc.PADDED, lambda s, d: {"times": fx.labels(s, d).select
 #: Scores of three seeds and four epochs, of which one seed lacks an entity.
 _RUNS = "select entity, r.s as seed, e.e as epoch, t, y, round(score * (1e0 + ((t * (r.s + 2) * e.e) % 11) / 25e0), 6) as score from {scores} q cross join range(1, 4) r(s) cross join range(1, 5) e(e) where not (entity = 3 and r.s > 1)"
 _RUN_BY = ["entity", "seed", "epoch"]
-_RANKS = f"select entity, cast(seed as bigint) as seed, cast(epoch as bigint) as epoch, round(auc_roc, 9) as auc_roc, round(auc_pr, 9) as auc_pr, case when seed = 2 and epoch = 2 then null else round(f1, 9) end as f1 from ({ql.text(ql.RANK, _RUN_BY).format(scores=f'({_RUNS.format(scores='scores')}) z')}) q"
 
 
 def epoch_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = ql.rank_metrics(sql(_RUNS, scores=fx.scores(spark, d)), _RUN_BY)
-    f1 = F.when((F.col("seed") == 2) & (F.col("epoch") == 2), None).otherwise(F.round("f1", 9))
-    return rp.require(m.select("entity", "seed", "epoch", F.round("auc_roc", 9).alias("auc_roc"), F.round("auc_pr", 9).alias("auc_pr"), f1.alias("f1")))
+    """All nine metrics of every run, to nine places; some of seed 2 are missing or no finite numbers."""
+    m = ql.report(scratch(sql(_RUNS, scores=fx.scores(spark, d))), _RUN_BY, 4)
+    m = m.select(*_RUN_BY, *[F.round(F.col(c).cast("double"), 9).alias(c) for c in rp.METRICS])
+    odd = {"f1": None, "auc_pr": float("nan"), "vus_pr": float("inf")}
+    at = (F.col("seed") == 2) & (F.col("epoch") == 2)
+    return scratch(rp.require(m).withColumns({c: F.when(at, F.lit(v).cast("double")).otherwise(F.col(c)) for c, v in odd.items()}))
 
 
-_R = fx.SCORES + f", metrics as ({_RANKS})"
 _STATS = [f"{m}_{x}" for m in rp.METRICS for x in ("mean", "std")]
+_MEANS = [f"{m}_mean" for m in rp.METRICS]
 
 
-def results(name: str, keys: list[str], columns: list[str], make, body: str) -> None:
+def results(name: str, keys: list[str], columns: list[str], make) -> None:
     Q[name] = lambda spark, d: make(epoch_metrics(spark, d)).select(*keys, *[F.round(F.col(c).cast("double"), 7).alias(c) for c in columns])
-    O[name] = f"with {_R} select {', '.join(keys)}, {', '.join(f'round({c}, 7) as {c}' for c in columns)} from ({body}) q"
 
 
-results("a01_over_seeds", BY, _STATS, rp.over_seeds, rp.finite_stats("metrics", "entity"))
-results("a02_over_epochs", ["entity", "epoch"], _STATS, rp.over_epochs, rp.finite_stats("metrics", "entity, epoch", sample=True))
-_BEST = rp.best_epoch(f"({rp.finite_stats('metrics', 'entity, epoch', sample=True)})", "entity")
-results("a03_best_epoch", ["entity", "epoch"], ["total"], rp.best, _BEST)
-_MEANS = [f"{m}_mean" for m in rp.METRICS]
-results("a04_macro_average", ["name"], _MEANS, lambda m: rp.best(m).withColumn("name", F.col("entity").cast("string")).select("name", *_MEANS).unionByName(rp.best(m).agg(*[F.avg(c).alias(c) for c in _MEANS]).withColumn("name", F.lit("MACRO_AVG"))), f"select cast(entity as varchar) as name, {', '.join(_MEANS)} from ({_BEST}) b union all select 'MACRO_AVG', {', '.join(f'avg({m})' for m in _MEANS)} from ({_BEST}) b")
-results("a06_percent", ["entity", "epoch"], ["auc_pr_mean"], lambda m: rp.over_epochs(m).withColumn("auc_pr_mean", F.round(100 * F.col("auc_pr_mean"), 2)), f"select entity, epoch, round(100 * auc_pr_mean, 2) as auc_pr_mean from ({rp.finite_stats('metrics', 'entity, epoch', sample=True)}) q")
+results("a01_over_seeds", BY, _STATS, rp.over_seeds)
+results("a02_over_epochs", ["entity", "epoch"], _STATS, rp.over_epochs)
+results("a03_best_epoch", ["entity", "epoch"], ["total"], rp.best)
+results("a04_macro_average", ["name"], _MEANS, lambda m: rp.best(m).withColumn("name", F.col("entity").cast("string")).select("name", *_MEANS).unionByName(rp.best(m).agg(*[F.avg(c).alias(c) for c in _MEANS]).withColumn("name", F.lit("MACRO_AVG"))))
+results("a06_percent", ["entity", "epoch"], ["percent"], lambda m: rp.over_epochs(m).withColumn("percent", F.round(100 * F.col("auc_roc_mean"), 2)))
+results("a07_epoch_metrics", _RUN_BY, ["auc_roc", "pa_f1", "event_f1", "r_f", "aff_f", "vus_roc"], lambda m: m)

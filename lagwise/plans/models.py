@@ -76,5 +76,3 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 Q["q27_component_quality"] = diagnostics
-_LONG = " union all ".join(f"select entity, t, '{k.upper()}' as component, round({k}, 7) as score from comb" for k in "pcgsa")
-O["q27_component_quality"] = f"with {fx.SCALED}{fx._LABELS}{fc._G[len(fx.SCALED):]}, comb as ({fc._COMB}), cs as (select l.*, y from ({_LONG}) l join labels using (entity, t)) select entity, component, round(auc_roc, 6) as auc_roc, round(auc_pr, 6) as auc_pr, round(f1, 6) as f1 from ({ql.text(ql.RANK, ['entity', 'component']).format(scores='cs')}) q"

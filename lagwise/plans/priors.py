@@ -64,10 +64,35 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
     return sql(_GRAPH, te=pr.transfer_entropy(bins(spark, d), BY, TAU).withColumn("te", F.round("te", 10)))
 
 
-_DUCK_GRAPH = _GRAPH.format(te=f"(select entity, tau, src, tgt, round(te, 10) as te from ({TE}) x)")
-query("p11_graph_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.from_graph(graph(s, d), bins(s, d).select("entity", "var").distinct(), BY, TAU), normal(text(pr.GRAPH, BY).format(graph=f"({_DUCK_GRAPH})")))
-query("p15_density", ["entity", "directed", "ambiguous", "empty"], [], lambda s, d: pr.density(graph(s, d), BY), text(pr.DENSITY, BY).format(graph=f"({_DUCK_GRAPH})"))
-O["p15_density"] = f"with {BEFORE} {text(pr.DENSITY, BY).format(graph=f'({_DUCK_GRAPH})')}"
+_NO = "select null"
+query("p11_graph_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.from_graph(graph(s, d), bins(s, d).select("entity", "var").distinct(), BY, TAU), _NO)
+query("p13_built_from_graph", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("graph", graph(s, d), BY, TAU), _NO)
+query("p15_density", ["entity", "directed", "ambiguous", "empty"], [], lambda s, d: pr.density(pr.from_graph(graph(s, d), bins(s, d).select("entity", "var").distinct(), BY, TAU), BY), _NO)
+
+
+def driven(spark: SparkSession, d: str) -> DataFrame:
+    """Bins of events of which variable 0 drives 1 an hour and 2 two hours later, as the conditional entropies need."""
+    from ..functions.frames import sql
+
+    c = fx.cells(spark, d).fillna({"x": 0}).where("var = 0")
+    three = sql(
+        """
+        select entity, t, v.var, case v.var when 0 then noise when 1 then coalesce(lag(noise, 1) over w, 0) + noise % 2 else coalesce(lag(noise, 2) over w, 0) + noise div 2 % 2 end as x
+        from (select entity, t, (x * 7919 + t * 104729 + entity * 31) % 1009 % 4 as noise from {c}) n cross join (select explode(array(0, 1, 2)) as var) v
+        window w as (partition by entity, v.var order by t)
+        """,
+        c=c,
+    )
+    return pr.digitise(three, BY, 4).withColumn("chunk", F.lit(0))
+
+
+def driven_te(spark: SparkSession, d: str) -> DataFrame:
+    return pr.transfer_entropy(driven(spark, d), BY, 2)
+
+
+query("p05_driven_confounders", ["entity", "src", "tgt", "z"], ["score"], lambda s, d: pr.confounders(driven_te(s, d), BY), _NO)
+query("p04_driven_conditional_entropy", _EDGE, ["te"], lambda s, d: pr.conditional_entropy(driven(s, d), pr.confounders(driven_te(s, d), BY), BY, 2, 4), _NO)
+query("p06_driven_conditional_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("cte", driven(s, d), BY, 2, 4), _NO)
 
 
 def reuse(spark: SparkSession, d: str) -> DataFrame:
@@ -79,4 +104,3 @@ def reuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 Q["p14_priors_to_compute"] = reuse
-O["p14_priors_to_compute"] = f"with {fx.CELLS}, u as (select user_id as entity, cast(floor(epoch(ts - timestamp '2024-01-01') / 3600) as bigint) as t, case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 when 'view' then 4 end as var, sum(cast(round(value * 100) as bigint)) as x from events group by all) select entity, sha256(concat_ws('|', 'tau=3', count(*), sum(x), sum(x * (t + 1)), sum(x * (var + 1)))) as key from u where entity % 3 <> 0 group by entity"

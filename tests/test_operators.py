@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagwise.operators import ingest, linear, prior, report, segments, windows
+from lagwise.operators import edges, ingest, linear, prior, report, segments, windows
 from lagwise.operators import quality as ql
 
 BY = ["entity"]
@@ -166,7 +166,9 @@ def test_ingest_edges(spark):
     assert [r["y"] for r in got] == [y for _, y in raw]
     df = spark.createDataFrame([(1, 2.0, "x", 3)], "timestamp int, ` a ` double, note string, `Unnamed: 0` int")
     assert ingest.numeric_columns(df).columns == ["a"] and ingest.drop_time_columns(df).columns == [" a ", "note", "Unnamed: 0"]
-    assert ingest.label_column(spark.createDataFrame([(1,)], "` Label ` int")) == " Label "
+    assert ingest.label_column(spark.createDataFrame([(1, 2, 3)], "y int, ` Normal_Attack ` int, label int")) == " Normal_Attack "
+    with pytest.raises(ValueError):
+        ingest.label_column(spark.createDataFrame([(1,)], "y int"))
     with pytest.raises(ValueError):
         ingest.scaler(c, BY, "true", "other")
     with pytest.raises(ValueError):
@@ -192,3 +194,47 @@ def test_confounder_is_found_and_explains_the_edge(spark):
     assert plain[(1, 0, 1)] > 0.05
     two = {(x["tau"], x["src"], x["tgt"]): x["raw"] for x in prior.build("cte", bins, BY, 2, 4).collect()}
     assert all(math.isclose(two[k], v) for k, v in given.items()) and math.isclose(two[(2, 2, 1)], plain[(2, 2, 1)])
+
+
+def test_graph_priors_keep_the_edges_gates(spark):
+    edges = [(0, 0, 1, 1, "-->", -0.2), (0, 1, 2, 2, "o-o", 0.9), (0, 2, 0, 0, "-->", 0.3), (0, 0, 2, 0, "o-o", 0.8), (0, 1, 0, 1, "", 0.7)]
+    rows = prior.build("graph", spark.createDataFrame(edges, "entity int, src int, tgt int, lag int, edge_type string, val double"), BY, 2)
+    got = {(r["tau"], r["src"], r["tgt"]): (r["raw"], round(r["weight"], 6), r["gate"]) for r in rows.collect()}
+    assert got[(1, 0, 1)] == (0.2, round(0.2 / 0.45, 6), 1.0) and got[(2, 1, 2)] == (0.45, round(0.45 / 0.7, 6), 0.5)
+    assert got[(1, 2, 0)][2] == 1.0 and got[(1, 0, 2)] == (0.0, 0.0, 0.0) and got[(1, 1, 0)][2] == 0.0
+    assert all(got[(1, v, v)][2] == 1.0 and got[(2, v, v)][2] == 0.0 for v in range(3)) and len(got) == 18
+    d = prior.density(rows, BY).first()
+    assert (d["directed"], d["ambiguous"], d["empty"]) == (5, 1, 12)
+
+
+def test_prior_keys_follow_every_cell(spark):
+    base = [(0, t, v, 10 * t + v) for t in range(6) for v in range(2)]
+    other = [(e, t, v, x + {1: 1, 2: -2, 3: 1}.get(t, 0) if v == 0 else x) for e, t, v, x in base]  # count, sum and first moments stay
+    keys = [prior.fingerprints(spark.createDataFrame(rows, "entity int, t long, var int, x long"), BY, "p").first()["key"] for rows in (base, other, base[::-1])]
+    assert keys[0] != keys[1] and keys[0] == keys[2]
+
+
+def test_results_use_finite_values_only(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("m", s, 1, *[x] * 9) for s, x in enumerate((0.5, nan, inf, None, 0.7))], "entity string, seed int, epoch int, " + ", ".join(f"{m} double" for m in report.METRICS))
+    row = report.over_seeds(df).first()
+    assert math.isclose(row["auc_pr_mean"], 0.6) and math.isclose(row["vus_pr_std"], 0.1)
+    assert math.isclose(report.best(df).first()["total"], 3.6)
+
+
+def test_evaluation_slice_and_windows(spark):
+    y = [1, 1, 0, 1, 1, 1, 0, 0, 1, 0]
+    s = [0.5, 0.5, float("nan"), 1.0, 2.0, float("inf"), 0.1, None, 0.9, 0.2]
+    df = spark.createDataFrame([(0, t, a, b) for t, (a, b) in enumerate(zip(y, s, strict=True))] + [(1, 0, 0, 1.0)], "entity int, t long, y int, score double")
+    part = ql.evaluation_slice(df, BY, 1)
+    assert sorted(r["t"] for r in part.collect()) == [1, 3, 4, 6, 8, 9]
+    # by place in the slice: segments of 3 and 1 points
+    assert {r["entity"]: r["win"] for r in ql.evaluation_windows(ql.evaluation_slice(df, BY), BY).collect()} == {0: 2, 1: 100}
+    whole = {r["entity"]: r for r in ql.report(df, BY).collect()}
+    assert whole[0]["auc_roc"] is not None and whole[0]["vus_roc"] is not None and whole[1]["auc_roc"] is None
+
+
+def test_a_gate_that_falls_with_the_lag_is_monotone(spark):
+    rows = [(0, tau, 0, 0, 0.5, g) for tau, g in ((1, 0.9), (2, 0.5), (3, 0.7))]
+    df = spark.createDataFrame(rows, "entity int, tau int, src int, tgt int, weight double, gate double")
+    assert math.isclose(edges.run(edges.MONITORS, BY, {"weights": df, "prior": df}).first()["monotone"], 0.1)

@@ -14,8 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOSEN = [
     "s06_paired_entities", "s08_ingest_report", "c04_finite_values", "c05_interpolate", "c07_standardise", "c11_text_label", "c13_long_enough", "c14_check_lengths",
     "w01_sliding_windows", "w02_environments", "w03_lag_windows", "w05_chunks", "e01_segments", "e04_user_ranges", "e06_median_length", "e09_merge_buffered", "e10_soft_labels", "e11_soft_labels_share",
-    "flagship_rank_quality", "q05_point_adjust", "q06_adjusted_f1", "q10_range_f1", "q18_affiliation_f", "q19_vus", "q22_vus_of_predictions", "p03_transfer_entropy", "p11_graph_prior", "p14_priors_to_compute",
-    "f05_forecast", "i05_rollups", "m02_edge_monitors", "g04_strength_deviation", "g09_timeline", "a02_over_epochs", "a04_macro_average", "u01_applied_model",
+    "flagship_rank_quality", "q05_point_adjust", "q06_adjusted_f1", "q10_range_f1", "q18_affiliation_f", "q19_vus", "q22_vus_of_predictions", "q01_evaluation_slice", "p03_transfer_entropy", "p11_graph_prior", "p15_density", "p14_priors_to_compute",
+    "f05_forecast", "f07_reference", "i05_rollups", "m02_edge_monitors", "g05_weight_deviation", "g09_timeline", "u01_applied_model",
 ]
 
 
@@ -49,11 +49,14 @@ def test_against_sql(spark, con, name):
     assert all(alike(x, y) for a, b in zip(got, expected, strict=True) for x, y in zip(a, b, strict=True))
 
 
-def test_similarity_covers_all_hours_and_lags(spark, con):
-    test_against_sql(spark, con, "f03_similarity_whole")
-    got = registry.QUERIES["f03_similarity_whole"](spark, SF).agg({"t": "min", "tau": "max", "*": "count"}).first()
-    part = registry.QUERIES["f03_similarity"](spark, SF).count()
-    assert got["min(t)"] < 600 and got["max(tau)"] == 3 and got["count(1)"] > 5 * part
+def test_planted_confounders_are_found_and_used(spark, con):
+    for name in ("p05_driven_confounders", "p04_driven_conditional_entropy", "p06_driven_conditional_prior"):
+        test_against_sql(spark, con, name)
+    assert con.sql(registry.ORACLES["p04_driven_conditional_entropy"]).fetchall()
+
+
+def test_every_query_but_two_fits_has_sql():
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"f06_ridge_values", "p12_lag_graph"}
 
 
 def test_entry_points(spark):
