@@ -46,7 +46,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 #: Keys that join_back() broadcasts at most; and rows of a key that are no burden to a task.
-FREQUENT, BEARABLE = 20_000, 1_000
+FREQUENT, BEARABLE = 20_000, 100_000
 
 
 def few(number: int) -> bool:

@@ -38,7 +38,7 @@ TABLES = 3
 BANDS, ROWS = 24, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 #: By how much the pivots of a band's texts grow with each round.
-MORE = 4
+MORE = 8
 #: Parts in which a text meets its candidates.
 PARTS = 64
 SIMILARITY = 0.8
