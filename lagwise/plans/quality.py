@@ -73,4 +73,4 @@ def slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("q01_evaluation_slice", ["n", "positives", "total", "win"], BY, slices, "select null")
-query("q26_report", ["auc_roc", "auc_pr", "f1", "pa_f1", "event_f1", "r_f", "aff_f", "vus_roc", "vus_pr"], BY, lambda s, d: ql.report(scratch(fx.scores(s, d)), BY, start=START), "select null")
+query("q26_report", ["auc_roc", "auc_pr", "f1", "pa_f1", "event_f1", "r_f", "aff_f", "vus_roc", "vus_pr"], BY, lambda s, d: ql.report(scratch(sliced(s, d)), BY, start=START), "select null")
