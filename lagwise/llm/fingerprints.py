@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, numbered, scratch, texts
+from .common import SPACE, keyed, numbered, scratch, texts
 
 SHINGLE = 5
 K = 64
@@ -82,25 +82,31 @@ def compare_with_next(df: DataFrame, shingle: int = SHINGLE, k: int = K) -> Data
     """Fingerprints of each document and of an edited one, and their likeness.
 
     The edited text is the text whose last floor(n_chars / 2) characters give way to as many first ones (or all) of the
-    next document by doc_id; after the last comes the first. Of rows that share a doc_id the shortest stands for all. A
-    single document is its own next one. An empty table gives no rows.
+    next document by doc_id; after the last comes the first. Rows that share a doc_id but not the text are documents of
+    their own, next to each other; a document given twice gives equal rows and is not its own next one. A single document
+    is. An empty table gives no rows.
 
-    Only (doc_id, length) are ordered to find neighbours. Texts are shuffled once, by doc_id, with their sketches; each
-    then sends its first characters and its sketch to the document before it.
+    Only (key, length) are ordered to find neighbours. Texts are shuffled once, by key, with their sketches; each
+    document then sends its first characters and its sketch to the one before it.
     """
-    docs = texts(df).select("doc_id", "text", F.char_length("text").alias("n"), F.xxhash64("text").alias("h"))
-    ids = docs.groupBy("doc_id").agg(F.min(F.struct("n", "h")).alias("x")).select("doc_id", F.col("x.n").alias("n"))
-    placed = numbered(ids, [], ["doc_id"], "pos", total="docs")
-    before = placed.select(F.pmod(F.col("pos") + 1, F.col("docs")).alias("pos"), F.col("doc_id").alias("to"), F.col("n").alias("to_n"))
-    links = scratch(placed.select("pos", "doc_id").join(before, "pos").select("doc_id", "to", "to_n"), "neighbours")
-
-    docs = with_sketch(docs, "text", "fp", shingle, k)
-    one = Window.partitionBy("doc_id").orderBy("n", "h")
-    docs = docs.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k", "h")
-    heads = docs.join(links, "doc_id").select(
-        F.col("to").alias("doc_id"), F.expr("substring(text, 1, cast(to_n div 2 as int))").alias("head"), F.col("fp").alias("next_fp")
+    docs = keyed(texts(df)).withColumn("n", F.char_length("text"))
+    ids = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    placed = numbered(ids, [], ["key"], "pos", total="docs")
+    before = placed.select(
+        F.pmod(F.col("pos") + 1, F.col("docs")).alias("pos"), F.col("key").alias("to"), F.col("doc_id").alias("to_id"), F.col("n").alias("to_n")
     )
-    both = docs.join(heads, "doc_id").withColumn("edited", F.expr("concat(substring(text, 1, n - cast(n div 2 as int)), head)"))
+    links = scratch(placed.select("pos", "key").join(before, "pos").select("key", "to", "to_id", "to_n"), "neighbours")
+
+    docs = with_sketch(docs.select("key", "text", "n"), "text", "fp", shingle, k)
+    # the first row of a key sends; a lag, since a limit by row number would be a shuffle apart
+    first = docs.withColumn("_first", F.lag("n").over(Window.partitionBy("key").orderBy("n")).isNull()).where("_first").drop("_first")
+    heads = first.join(links, "key").select(
+        F.col("to").alias("key"),
+        F.col("to_id").alias("doc_id"),
+        F.expr("substring(text, 1, cast(to_n div 2 as int))").alias("head"),
+        F.col("fp").alias("next_fp"),
+    )
+    both = docs.join(heads, "key").withColumn("edited", F.expr("concat(substring(text, 1, n - cast(n div 2 as int)), head)"))
     both = with_sketch(both.drop("text", "head"), "edited", "edited_fp", shingle, k)
     return both.select(
         "doc_id",
