@@ -8,8 +8,9 @@ r"""Toxicity by weak supervision.
 3. Label model: a mixture of two classes with an accuracy for each voter and class, fitted to those counts by
    expectation-maximisation that starts from, and is held near, the rates on labelled rows. Voters that agree within a
    class more than independent ones would count for less.
-4. Classifier: logistic regression on counts of lexicon hits and of patterns, fitted to posterior labels of the bounded
-   sample, in which a row's given label is one more voter, of accuracy GIVEN; it scores every whole text.
+4. Classifier: logistic regression on counts of lexicon hits and of patterns, fitted to posterior labels of two bounded
+   samples: labelled rows, whose given label is one more voter of accuracy GIVEN, and rows without a label, whose
+   posterior is the label model's alone; it scores every whole text.
 
 Labels come from fitting rows only (crc32 of the doc_id as text, modulo 5, is not 0). A document with several labels is
 toxic if one says so; null labels do not count. Null and empty texts get the score of a text without hits. Without
@@ -26,11 +27,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop, scratch
+
 #: Labelled rows for lexicons and classifier, at most (those whose id hashes lowest).
 SAMPLE = 20_000
+#: Rows without a label for the classifier, at most (those whose id hashes lowest).
+UNLABELLED = 10_000
 #: Entries of all lexicons together, at most; the best by likelihood ratio.
 ENTRIES = 4_000
 #: Least likelihood ratio (G squared) of an entry, and least ratio of its rates.
@@ -113,12 +119,20 @@ class Lexicon:
         return bits, np.append(at, np.arange(size, size + INPUTS)), np.log1p(np.append(k, more))
 
 
-def fitting_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most `bound` labelled fitting rows. Their ids, so few, are broadcast; texts stay."""
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+def fitting_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, unlabelled: int = UNLABELLED) -> DataFrame:
+    """(doc_id, text, toxic) of at most `bound` labelled fitting rows and `unlabelled` others, whose toxic is null.
+
+    Held-out rows are in neither part. The ids of both, so few, are broadcast; texts stay.
+    """
+    id_ = F.col("doc_id").cast("long").alias("doc_id")
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(id_).agg(F.max("toxic").cast("int").alias("toxic"))
+    other = docs.select(id_).where("doc_id is not null").join(known, "doc_id", "left_anti").withColumn("toxic", F.lit(None).cast("int"))
+
+    def lowest(ids: DataFrame, n: int) -> DataFrame:
+        return ids.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+    chosen = lowest(known, bound).unionByName(lowest(other, unlabelled).distinct())
+    return docs.select(id_, "text").join(F.broadcast(chosen), "doc_id")
 
 
 def find_entries(sample: DataFrame, entries: int = ENTRIES) -> tuple[Lexicon, int, int]:
@@ -134,7 +148,7 @@ def find_entries(sample: DataFrame, entries: int = ENTRIES) -> tuple[Lexicon, in
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(n[:, 1]), pa.array(n[:, 0])], names=["entry", "p", "n"])
 
     counts = sample.mapInArrow(run, "entry string, p long, n long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    counts = counts.where("p >= 3").persist()
+    counts = scratch(counts.where("p >= 3"), "entries")
     try:
         whole = counts.where("entry = ''").first()
         rest = counts.where("entry <> ''")
@@ -148,7 +162,7 @@ def find_entries(sample: DataFrame, entries: int = ENTRIES) -> tuple[Lexicon, in
         rest = rest.where(f"p / {toxic}.0D >= {LEAST_RATIO} * n / {clean}.0D").withColumn("g", F.expr(g)).where(f"g >= {LEAST_G}")
         best = rest.orderBy(F.desc("g"), "entry").select("entry", "p", "n").limit(entries).collect()
     finally:
-        counts.unpersist()
+        drop(counts)
     ratios = np.array([(r["p"] + 0.5) / (toxic + 1) / ((r["n"] + 0.5) / (clean + 1)) for r in best])
     return Lexicon({r["entry"]: i for i, r in enumerate(best)}, ratios), toxic, clean
 
@@ -232,9 +246,15 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """An Arrow column of lists as arrays, views of one."""
+    a = column.combine_chunks()
+    return np.split(a.flatten().to_numpy(), np.cumsum(pc.list_value_length(a).to_numpy())[:-1]) if len(a) else []
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, entries: int = ENTRIES) -> Scorer:
     sample = fitting_sample(docs, labels, bound)
-    lexicon, toxic, clean = find_entries(sample, entries)
+    lexicon, toxic, clean = find_entries(sample.where("toxic is not null"), entries)
     share = toxic / (toxic + clean) if toxic + clean else 0.0
     if not lexicon.entries:
         return Scorer(lexicon, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
@@ -252,13 +272,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, entries: int =
 
     corpus = docs.select("text").mapInArrow(cast, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
     patterns = np.array([tuple(r) for r in corpus.collect()], np.int64).reshape(-1, 2)  # 2^VOTERS rows at most
-    rows = sample.mapInArrow(known, "votes long, at array<long>, x array<double>, toxic int").collect()  # `bound` rows at most
-    votes, labelled = np.array([r["votes"] for r in rows], np.int64), np.array([r["toxic"] for r in rows])
-    model = fit_label_model(patterns[:, 0], patterns[:, 1].astype(float), votes, (labelled > 0).astype(int))
+    rows = sample.mapInArrow(known, "votes long, at array<long>, x array<double>, toxic int").toArrow().combine_chunks()  # both bounds at most
+    votes, given = rows["votes"].to_numpy(), rows["toxic"].to_pandas().to_numpy(float)
+    labelled, toxic_ = ~np.isnan(given), given > 0
+    model = fit_label_model(patterns[:, 0], patterns[:, 1].astype(float), votes[labelled], toxic_[labelled].astype(int))
     odds = model.posterior(bits(votes))
-    odds = odds / np.maximum(1 - odds, 1e-12) * np.where(labelled > 0, GIVEN / (1 - GIVEN), (1 - GIVEN) / GIVEN)
-    target = odds / (1 + odds)
-    w, b = fit_classifier([np.array(r["at"], np.int64) for r in rows], [np.array(r["x"]) for r in rows], target, len(lexicon.entries) + INPUTS)
+    told = np.where(labelled, np.where(toxic_, GIVEN / (1 - GIVEN), (1 - GIVEN) / GIVEN), 1.0)
+    odds = odds / np.maximum(1 - odds, 1e-12) * told
+    w, b = fit_classifier(_lists(rows["at"]), _lists(rows["x"]), odds / (1 + odds), len(lexicon.entries) + INPUTS)
     return Scorer(lexicon, w, b)
 
 

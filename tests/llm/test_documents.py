@@ -90,6 +90,21 @@ def test_fingerprints(spark):
     assert fingerprints.compare_with_next(table(spark, [])).count() == 0
 
 
+def test_fingerprints_of_texts_that_share_an_id(spark):
+    """Each text of an id is a document, next to the others of that id; a document given twice gives equal rows."""
+    rows = [(1, "a b c d e f"), (2, "one two three four five six seven"), (2, "x y z"), (2, "x y z"), (7, None)]
+    got = fingerprints.compare_with_next(table(spark, rows)).collect()
+    assert sorted(x["doc_id"] for x in got) == [1, 2, 2, 2, 7]
+    twice = [tuple(x) for x in got if x["n_chars"] == 5]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    edits = {(x["doc_id"], x["n_chars"]): x["edited_sha256"] for x in got}
+    of = lambda t, u: hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()
+    a, b, c = rows[0][1], rows[1][1], "x y z"
+    first, second = (b, c) if edits[(1, len(a))] == of(a, b) else (c, b)
+    want = {(1, len(a)): of(a, first), (2, len(first)): of(first, second), (2, len(second)): of(second, ""), (7, 0): of("", a)}
+    assert edits == want
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
@@ -374,3 +389,34 @@ def test_toxicity_held_out(spark):
     assert 420 <= kept.count() <= 460 and kept.columns == table(spark, rows).columns
     assert all(x["score"] < 1e-6 for x in toxicity.score(table(spark, rows[:3]), marks.where("false")).collect())
     assert toxicity.score(table(spark, []), marks).count() == 0
+
+
+def test_label_model_finds_planted_rates():
+    """Voters with known rates in two classes, one of them cast three times over: rates, prior and posteriors come back."""
+    import numpy as np
+
+    r = np.random.default_rng(11)
+    n, prior = 40_000, 0.2
+    y = r.random(n) < prior
+    rates = np.stack([r.uniform(0.02, 0.1, toxicity.VOTERS), r.uniform(0.5, 0.9, toxicity.VOTERS)])
+    cast = r.random((n, toxicity.VOTERS)) < rates[y.astype(int)]
+    cast[:, 1] = cast[:, 2] = cast[:, 0]
+    rates[:, 1] = rates[:, 2] = rates[:, 0]
+    votes = (cast * (1 << np.arange(toxicity.VOTERS))).sum(axis=1)
+    patterns, count = np.unique(votes, return_counts=True)
+    model = toxicity.fit_label_model(patterns, count.astype(float), votes[:500], y[:500].astype(int))
+    assert abs(model.prior - prior) < 0.02 and np.abs(model.rates - rates).max() < 0.05
+    assert model.weights[:3].max() < 0.5 < model.weights[3:].min()
+    assert ((model.posterior(toxicity.bits(votes[500:])) >= 0.5) == y[500:]).mean() > 0.99
+
+
+def test_rows_without_a_label_train_the_classifier(spark):
+    """The sample has them, none held out, none twice; labels do not reach them."""
+    rows = [(i, f"text {i}") for i in range(200)] + [(3, "text 3"), (None, "no id")]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(0, 200, 4)], "doc_id long, toxic int")
+    got = toxicity.fitting_sample(table(spark, rows), marks, bound=10, unlabelled=50).collect()
+    known = [x for x in got if x["toxic"] is not None]
+    others = [x["doc_id"] for x in got if x["toxic"] is None]
+    assert len(known) == 10 and 49 <= len(set(others)) <= 50
+    assert all(x["doc_id"] % 4 == 0 for x in known) and all(d % 4 for d in others)
+    assert all(zlib.crc32(str(x["doc_id"]).encode()) % 5 for x in got)
