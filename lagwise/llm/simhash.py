@@ -39,6 +39,8 @@ BANDS, ROWS = 24, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 #: By how much the pivots of a band's texts grow with each round.
 MORE = 8
+#: Bytes of shingle sets that a task of verified() keeps for texts that it meets again.
+KEPT = 1 << 25
 #: Parts in which a text meets its candidates.
 PARTS = 64
 SIMILARITY = 0.8
@@ -285,13 +287,21 @@ def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, heads = None, []
+        sets: dict[int, np.ndarray] = {}
+        size = 0
         for batch in batches:
             found = []
             for x, part, side, node, data in zip(*batch.columns, strict=True):
                 here = (x.as_py(), part.as_py())
                 if here != at:
                     at, heads = here, []
-                mine = np.unique(shingle_hashes(zlib.decompress(data.as_py()), 5))
+                mine = sets.get(node.as_py())
+                if mine is None:
+                    mine = np.unique(shingle_hashes(zlib.decompress(data.as_py()), 5))
+                    size += mine.nbytes + 256
+                    if size > KEPT:
+                        sets, size = {}, mine.nbytes + 256
+                    sets[node.as_py()] = mine
                 if side.as_py() == 0:
                     heads.append(mine)  # more than one only where texts share a doc_id
                     continue
@@ -347,7 +357,7 @@ def _groups(docs: DataFrame, similarity: float, distance: int) -> DataFrame:
     met = scratch(close_fingerprints(nodes, distance).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "close")
     wanted = left.select("node").union(met.select("x")).union(met.select("y")).distinct()
     packed = scratch(packed_texts(docs, wanted), "packed")
-    sure, pivots = None, 1
+    sure, pivots, compared = None, 1, []
     # sets that differ more in size cannot overlap enough
     fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
     while True:
@@ -357,6 +367,10 @@ def _groups(docs: DataFrame, similarity: float, distance: int) -> DataFrame:
         # the pivot is x, as it may have many candidates; of two pivots the smaller
         pairs = left.join(chosen, "band").where((F.col("root") != F.col("pivot_root")) & fit("n", "pivot_n"))
         pairs = pairs.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.min("pivot").alias("x"))
+        for before in compared:  # in another band, in vain
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = scratch(pairs, "pairs")
+        compared.append(pairs.select("a", "b"))
         new = verified(pairs.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), packed, similarity)
         sure = scratch(new if sure is None else sure.union(new), "links")
         roots = scratch(components(sure, "x", "y"), "roots")
