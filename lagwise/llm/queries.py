@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, fingerprints, lines, packing, phrases, pii, sharding, simhash, substrings, toxicity
+from . import avi, bpe, fingerprints, lines, nearest, packing, phrases, pii, sharding, simhash, substrings, toxicity, whitening
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +56,20 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_toxicity_scores, op2_avi_clips, op3_repeated_words, op4_line_windows, op5_bpe_round_trip, op6_bottom_k, op7_jump_shards, op8_best_fit_packing, op9_pii_spans, op10_simhash_components, op13_phrase_collocations)
+    for f in (op1_toxicity_scores, op2_avi_clips, op3_repeated_words, op4_line_windows, op5_bpe_round_trip, op6_bottom_k, op7_jump_shards, op8_best_fit_packing, op9_pii_spans, op10_simhash_components, op11_embedding_links, op12_embedding_whitening, op13_phrase_collocations)
 }
 ORACLES: dict[str, str] = {"op3_repeated_words": substrings.ORACLE, "op4_line_windows": lines.ORACLE, "op13_phrase_collocations": phrases.ORACLE}
