@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import listed, same, sql
+from . import blocks
 
 # Fixed value: names of columns that hold time (searched anywhere in the name, as letters only, hence `runtime` as well).
 TIME_LIKE = re.compile("time|timestamp|date|index|idx", re.IGNORECASE)
+# Fixed value: the same for tables whose columns are numbered or indexed by name: an index is a feature there.
+CLOCK_LIKE = re.compile("time|date|timestamp", re.IGNORECASE)
 # Words that label a row as an anomaly or as normal; the first list is tested first.
 ANOMALOUS = "attack|anomaly|abnormal|fault|1|true|yes"
 NORMAL = "normal|0|false|no"
@@ -26,10 +29,10 @@ def drop_time_columns(df: DataFrame) -> DataFrame:
 
 
 def numeric_columns(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Names stripped; unnamed, time-like, `extra` and non-numeric columns gone."""
+    """Names stripped; unnamed columns, those named for time or date, `extra` and non-numeric ones gone."""
     df = df.withColumnsRenamed({c: c.strip() for c in df.columns if c != c.strip()})
     kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
-    keep = [c for c, t in df.dtypes if (t in kinds or t.startswith("decimal")) and not c.lower().startswith("unnamed") and not TIME_LIKE.search(c) and c not in extra]
+    keep = [c for c, t in df.dtypes if (t in kinds or t.startswith("decimal")) and not c.lower().startswith("unnamed") and not CLOCK_LIKE.search(c) and c not in extra]
     return df.select(*[f"`{c}`" for c in keep])
 
 
@@ -55,19 +58,15 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
-def interpolate(cells: DataFrame, by: list[str], t: str = "t", x: str = "x") -> DataFrame:
-    """x filled linearly by position between neighbours, by the nearest one at the edges, 0 where there is none."""
-    k = listed(by)
-    return sql(
-        f"""
-        with near as (
-          select *, last(case when {x} is not null then struct({t} as t, {x} as x) end, true) over (partition by {k} order by {t} rows between unbounded preceding and current row) as a,
-                    first(case when {x} is not null then struct({t} as t, {x} as x) end, true) over (partition by {k} order by {t} rows between current row and unbounded following) as b
-          from {{cells}})
-        select {k}, {t}, coalesce(case when b.t > a.t then a.x + (b.x - a.x) * ({t} - a.t) / (b.t - a.t) end, a.x, b.x, 0) as {x} from near
-        """,
-        cells=cells,
-    )
+def interpolate(cells: DataFrame, by: list[str], t: str = "t", x: str = "x", size: int = blocks.SIZE) -> DataFrame:
+    """x filled linearly by position between neighbours, by the nearest one at the edges, 0 where there is none.
+
+    The nearest known values are found in blocks of `size` times and carried over from the blocks around.
+    """
+    known = F.when(F.col(x).isNotNull(), F.struct(F.col(t).alias("t"), F.col(x).alias("x")))
+    near = blocks.nearest_known(cells.select(*by, t, x), by, known, t, size)
+    line = f"case when _after.t > _before.t then _before.x + (_after.x - _before.x) * ({t} - _before.t) / (_after.t - _before.t) end"
+    return near.select(*by, t, F.expr(f"coalesce({line}, _before.x, _after.x, 0)").alias(x))
 
 
 def train_means(cells: DataFrame, by: list[str], train: str) -> DataFrame:

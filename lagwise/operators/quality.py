@@ -1,10 +1,11 @@
 """How well scores (by, t, y, score) find labelled anomalies; every metric for all series of `by` at once.
 
 Entity, component, seed or epoch are keys in `by`. A sweep's 100 thresholds lie evenly between a series' least and
-largest score and a point is predicted if its score is larger. Points are first counted by the number of thresholds
-below them, so that a sweep works on at most 101 counts a series, not on 100 copies of it; only the metrics on
-predicted segments list a point once for each threshold below it. A series without a positive label has NULL metrics.
-The texts hold for Spark SQL and for other engines alike: $k stands for the keys, {name} for a table.
+largest score and a point is predicted if its score is larger. A point's level is the number of thresholds below it. No
+metric copies points by threshold: sums over points are counts by level, added up; segments come with the range of
+thresholds in which they live (levels.py); and a zone's integrals are sums over its points and over its gaps. No window
+covers a whole series: places and running sums are scans over blocks (blocks.py). A series without a positive label has
+NULL metrics. In the texts $k stands for the keys, {name} for a table; they hold for Spark SQL and for other engines.
 """
 
 from __future__ import annotations
@@ -14,85 +15,73 @@ from string import Template
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import sql
-from . import segments
+from ..functions.frames import scratch, sql
+from . import blocks, segments
 from .ingest import finite
+from .levels import THRESHOLDS, levels
 
 
 def text(template: str, by: list[str]) -> str:
     return Template(template).substitute(k=", ".join(by))
 
 
+def ranked(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """(by, score, p, n, cp, cn, tp, tn): each different score's positives and others, those at or above it, and all."""
+    given = scores.where("score is not null").groupBy(*by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    cut = blocks.by_value(given, by, "score", size)
+    return blocks.running(cut, by, [F.col("score").desc()], {"cp": F.col("p"), "cn": F.col("n")}, {"tp": "cp", "tn": "cn"})
+
+
 RANK = """
-with g as (select $k, score, sum(y) as p, sum(1 - y) as n from {scores} where score is not null group by $k, score),
-     c as (select $k, p, n, sum(p) over (partition by $k order by score desc) as cp, sum(n) over (partition by $k order by score desc) as cn,
-                  sum(p) over (partition by $k) as tp, sum(n) over (partition by $k) as tn from g)
 select $k, sum(n * (cp - p + p / 2e0)) / nullif(max(tp) * max(tn) * 1e0, 0e0) as auc_roc,
        case when max(tp) > 0 then sum(p * (cp / (cp + cn + 0e0))) / max(tp * 1e0) end as auc_pr,
        case when max(tp) > 0 then max(2e0 * (cp / (cp + cn + 0e0)) * (cp / nullif(tp, 0)) / (cp / (cp + cn + 0e0) + cp / nullif(tp, 0) + 1e-5)) end as f1
-from c group by $k"""
-
-#: Points with their place i, and nb, the number of thresholds below the score; seg: the run of labels that holds it.
-POINTS = """
-p0 as (select $k, t, y, score, cast(row_number() over (partition by $k order by t) - 1 as bigint) as i,
-              min(score) over (partition by $k) as lo, max(score) over (partition by $k) as hi, sum(1 - y) over (partition by $k order by t) as normal from {scores} where score is not null),
-p1 as (select *, (hi - lo) / 99e0 as st, cast(floor((score - lo) / nullif((hi - lo) / 99e0, 0e0)) as bigint) as j from p0),
-pts as (select $k, t, i, y, score, case when y > 0 then normal end as seg,
-               cast(greatest(coalesce(j, 0) - 1, 0) + case when j between 1 and 100 and score > lo + (j - 1) * st then 1 else 0 end
-               + case when j between 0 and 99 and score > case when j = 99 then hi else lo + j * st end then 1 else 0 end
-               + case when j between 0 and 98 and score > case when j = 98 then hi else lo + (j + 1) * st end then 1 else 0 end as bigint) as nb from p1),
-thr as (select $k, i as th from (select distinct $k from pts) a cross join range(100) r(i))"""
+from {ranked} group by $k"""
+
+#: The number of the thresholds lo, lo + st, ..., hi that lie below a score.
+_LEVEL = """cast(greatest(coalesce(j, 0) - 1, 0) + case when j between 1 and 100 and score > lo + (j - 1) * st then 1 else 0 end
+ + case when j between 0 and 99 and score > case when j = 99 then hi else lo + j * st end then 1 else 0 end
+ + case when j between 0 and 98 and score > case when j = 98 then hi else lo + (j + 1) * st end then 1 else 0 end as int)"""
+
+
+def places(rows: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """Adds i, the place in the series from 0; seg, which names the run of labels that holds the point; n and pos, the points and positives."""
+    given = blocks.by_time(rows, "t", size)
+    out = blocks.running(given, by, [F.col("t")], {"i": F.lit(1).cast("long"), "_normal": 1 - F.col("y"), "_pos": F.col("y")}, {"n": "i", "pos": "_pos"})
+    return out.withColumns({"i": F.col("i") - 1, "seg": F.when(F.col("y") > 0, F.col("_normal"))}).drop(blocks.BLOCK, "_normal", "_pos")
+
+
+def points(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """(by, t, i, y, score, seg, n, nb): the points with a score; nb is their level."""
+    given = scores.where("score is not null").select(*by, "t", "y", "score")
+    ends = given.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    placed = places(given, by, size).join(ends, by).withColumn("st", F.expr("(hi - lo) / 99e0"))
+    placed = placed.withColumn("j", F.expr("cast(floor((score - lo) / nullif(st, 0e0)) as bigint)"))
+    return placed.select(*by, "t", "i", "y", "score", "seg", "n", F.expr(_LEVEL).alias("nb"))
+
+
+def at_thresholds(changes: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, th, columns) for each threshold from the changes at it: what a change adds holds from its threshold down."""
+    grid = changes.select(*by).distinct().withColumn("th", F.explode(F.sequence(F.lit(0), F.lit(THRESHOLDS - 1))))
+    summed = changes.where(F.col("th") >= 0).groupBy(*by, "th").agg(*[F.sum(c).alias(c) for c in columns])
+    down = Window.partitionBy(*by).orderBy(F.col("th").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = grid.join(summed, [*by, "th"], "left")
+    return out.select(*by, "th", *[F.coalesce(F.sum(c).over(down), F.lit(0)).alias(c) for c in columns])
+
 
 #: Counts at each threshold th: tp, fp points; tpa points after adjustment; hits and segments; positives.
-SWEEP = (
-    "with "
-    + POINTS
-    + """,
-sg as (select $k, seg, min(i) as s, count(*) as len, max(nb) as top, max(case when i = 0 then nb end) as nb0 from pts where y > 0 group by $k, seg),
-cn as (select $k, nb, sum(y) as p, sum(1 - y) as n from pts group by $k, nb),
-pt as (select $k, th, sum(case when nb > th then p else 0 end) as tp, sum(case when nb > th then n else 0 end) as fp from thr join cn using ($k) group by $k, th),
-st as (select $k, th, sum(case when top > th then len - case when s = 0 and nb0 <= th then 1 else 0 end else 0 end) as tpa,
-              sum(case when top > th then 1 else 0 end) as hits, count(*) as n_seg, sum(len) as pos from thr join sg using ($k) group by $k, th)
-select $k, th, tp, fp, tpa, hits, n_seg, pos from pt join st using ($k, th)"""
-)
+_SEGMENTS = "select $k, seg, min(i) as s, count(*) as len, max(nb) as top, max(case when i = 0 then nb end) as nb0 from {points} where y > 0 group by $k, seg"
+_CHANGES = """
+select $k, nb - 1 as th, sum(y) as tp, sum(1 - y) as fp, 0 as tpa, 0 as hits from {points} group by $k, nb
+union all select $k, top - 1 as th, 0, 0, len, 1 from {segments}
+union all select $k, top - 1 as th, 0, 0, -1, 0 from {segments} where s = 0
+union all select $k, nb0 - 1 as th, 0, 0, 1, 0 from {segments} where s = 0"""
 ADJUSTED = "select $k, max(2e0 * tpa / (tpa + pos + fp)) as pa_f1 from {sweep} group by $k"
 EVENT = """
 select $k, max(2e0 * (hits / (n_seg * 1e0)) * coalesce(tp / nullif(tp + fp + 0e0, 0e0), 0e0) / (hits / (n_seg * 1e0) + coalesce(tp / nullif(tp + fp + 0e0, 0e0), 0e0) + 1e-15)) as event_f1
 from {sweep} group by $k"""
-#: One threshold: points predicted by `pred` (0/1) instead of a sweep.
-ADJUST = """
-with p0 as (select $k, t, y, pred, row_number() over (partition by $k order by t) - 1 as i, sum(1 - y) over (partition by $k order by t) as normal from {preds}),
-     p1 as (select *, case when y > 0 then max(pred) over (partition by $k, y, normal) end as hit, min(case when pred > 0 then i end) over (partition by $k, y, normal) as first_hit,
-                   min(i) over (partition by $k, y, normal) as s from p0)
-select $k, t, y, case when y > 0 and hit > 0 and i > 0 then 1 else pred end as adjusted,
-       case when y > 0 and hit > 0 and i > 0 and i < first_hit then 1 else 0 end as filled, case when y > 0 and hit > 0 and i = s then 1 else 0 end as event from p1"""
-
-#: Predicted points of each threshold with their predicted and true segments.
-PREDICTED = POINTS + """,
-up as (select $k, th, i, seg, i - row_number() over (partition by $k, th order by i) as ps from (select $k, r.th as th, p.i, p.seg from pts p join range(100) r(th) on r.th < p.nb) x)"""
-RANGE = (
-    "with "
-    + PREDICTED
-    + """,
-sg as (select $k, seg, count(*) as len from pts where y > 0 group by $k, seg),
-ng as (select $k, count(*) as n_true from sg group by $k),
-pr as (select $k, th, seg, ps, count(*) as nn from up where seg is not null group by $k, th, seg, ps),
-rc as (select $k, th, seg, sum(nn) as hits, count(*) as card from pr group by $k, th, seg),
-rr as (select $k, th, count(*) as exist, sum(hits / (len * 1e0) / card) as overlap from rc join sg using ($k, seg) group by $k, th),
-pl as (select $k, th, ps, count(*) as len from up group by $k, th, ps),
-pc as (select $k, th, ps, sum(nn) as hits, count(*) as card from pr group by $k, th, ps),
-pp as (select $k, th, count(*) as n_pred, sum(coalesce(hits, 0) / (len * 1e0) / coalesce(card, 1)) as overlap from pl left join pc using ($k, th, ps) group by $k, th)
-select $k, th, coalesce((0.2e0 * exist + 0.8e0 * rr.overlap) / n_true, 0e0) as r_recall, coalesce(exist / (n_true * 1e0), 0e0) as existence, coalesce(rr.overlap / n_true, 0e0) as overlap, pp.overlap / n_pred as r_precision
-from pp join ng using ($k) left join rr using ($k, th)"""
-)
 RANGE_F = "select $k, max(case when r_recall + r_precision > 0 then 2e0 * r_recall * r_precision / (r_recall + r_precision) else 0e0 end) as r_f from {ranges} group by $k"
 
-#: Zones of true events: halfway to the neighbours, the outer ones to the ends of the series.
-ZONES = POINTS + """,
-tr as (select $k, seg, cast(min(i) as double) as js, max(i) + 1e0 as je from pts where y > 0 group by $k, seg),
-sz as (select $k, count(*) as n from pts group by $k),
-zn as (select $k, seg, js, je, coalesce((lag(je) over (partition by $k order by js) + js) / 2e0, 0e0) as e0, coalesce((je + lead(js) over (partition by $k order by js)) / 2e0, n * 1e0) as e1 from tr join sz using ($k))"""
-
 
 def _outside(a: str, b: str) -> str:
     """Integral of the precision probability over the piece [a, b], which lies beside the event."""
@@ -117,37 +106,12 @@ def _recall(a: str, b: str, p: str, right: bool) -> str:
     return f"case when {b} > {a} and {p} > e0 and {p} < e1 then ({b} - {a}) - ({' + '.join(parts)}) / (e1 - e0) else 0e0 end"
 
 
-#: Precision, recall and their distances of each zone and threshold that has predictions in it.
-AFFILIATION_ZONES = (
-    "with "
-    + ZONES
-    + """,
-up as (select $k, th, i, i - row_number() over (partition by $k, th order by i) as ps from (select $k, r.th as th, p.i from pts p join range(100) r(th) on r.th < p.nb) x),
-ev as (select $k, th, cast(min(i) as double) as s, max(i) + 1e0 as e from up group by $k, th, ps),
-pc as (select $k, th, seg, js, je, e0, e1, greatest(s, e0) as a, least(e, e1) as b from ev join zn using ($k) where greatest(s, e0) < least(e, e1)),
-nb as (select *, coalesce((lag(b) over (partition by $k, th, seg order by a) + a) / 2e0, js) as r0, coalesce((b + lead(a) over (partition by $k, th, seg order by a)) / 2e0, je) as r1 from pc),
-jr as (select *, greatest(js, r0) as j0, least(je, r1) as j1 from nb)
-select $k, th, seg, sum(b - a) as pred_len,
-       sum("""
-    + _outside("a", "least(b, js)") + " + greatest(0e0, least(b, je) - greatest(a, js)) + " + _outside("greatest(a, je)", "b")
-    + """) / sum(b - a) as precision_p,
-       sum(case when j1 > j0 then """
-    + _recall("j0", "least(j1, a)", "a", True) + " + greatest(0e0, least(j1, b) - greatest(j0, a)) + " + _recall("greatest(j0, b)", "j1", "b", False)
-    + """ else 0e0 end) / max(je - js) as recall_p,
-       sum(power(greatest(0e0, js - a), 2) / 2e0 - power(greatest(0e0, js - b), 2) / 2e0 + power(greatest(0e0, b - je), 2) / 2e0 - power(greatest(0e0, a - je), 2) / 2e0) / sum(b - a) as precision_d,
-       sum(case when j1 > j0 then power(greatest(0e0, a - j0), 2) / 2e0 - power(greatest(0e0, a - j1), 2) / 2e0 + power(greatest(0e0, j1 - b), 2) / 2e0 - power(greatest(0e0, j0 - b), 2) / 2e0 else 0e0 end) / max(je - js) as recall_d
-from jr group by $k, th, seg"""
-)
-AFFILIATION = """
-with nz as (select $k, count(*) as zones from (select $k, n0 from (select $k, sum(1 - y) over (partition by $k order by t) as n0, y from {scores} where score is not null) x where y > 0 group by $k, n0) z group by $k)
-select $k, th, avg(precision_p) as aff_precision, sum(recall_p) / max(zones * 1e0) as aff_recall from {zones} join nz using ($k) group by $k, th"""
+AFFILIATION = "select $k, th, avg(precision_p) as aff_precision, sum(recall_p) / max(zones * 1e0) as aff_recall from {values} join (select $k, count(*) as zones from {zones} group by $k) z using ($k) group by $k, th"
 AFFILIATION_F = "select $k, max(2e0 * aff_precision * aff_recall / (aff_precision + aff_recall + 1e-15)) as aff_f from {affiliation} group by $k"
 
 #: Volume under the surface: range AUC and AP, averaged over margins w = 0..W, at K rank thresholds.
 VUS = """
-with p0 as (select $k, t, y, score, cast(row_number() over (partition by $k order by t) - 1 as bigint) as i, rank() over (partition by $k order by score desc) - 1 as f, count(*) over (partition by $k) as n,
-                   sum(y) over (partition by $k) as pos, sum(1 - y) over (partition by $k order by t) as normal from {scores} where score is not null),
-     pts as (select $k, i, y, n, pos, case when y > 0 then normal end as seg, cast(ceil(f * (<K> - 1e0) / (n - 1e0) - 1e-9) as bigint) as k0 from p0 where pos > 0),
+with pts as (select $k, i, y, n, pos, seg, cast(ceil(f * (<K> - 1e0) / (n - 1e0) - 1e-9) as bigint) as k0 from {placed} where pos > 0),
      tot as (select $k, max(n) as n, max(pos) as pos from pts group by $k),
      sg as (select $k, seg, min(i) as s, max(i) as e, min(k0) as m0 from pts where y > 0 group by $k, seg),
      mg as (select $k, seg, d, i from (select $k, seg, d, e + d as i from sg cross join range(1, <W> / 2 + 1) r(d) union all select $k, seg, d, s - d from sg cross join range(1, <W> / 2 + 1) r(d)) u),
@@ -175,9 +139,8 @@ VUS_MEAN = VUS + "select $k, avg(auc) as vus_roc, avg(ap) as vus_pr from pw grou
 VUS_AT = VUS + "select $k, w, auc, ap from pw"
 #: The same for given predictions: precision, recall and F over margins 0..W; each margin starts from the true labels.
 VUS_PRED = """
-with p0 as (select $k, t, y, pred, cast(row_number() over (partition by $k order by t) - 1 as bigint) as i, sum(y) over (partition by $k) as pos, sum(pred) over (partition by $k) as n_pred, sum(1 - y) over (partition by $k order by t) as normal from {preds}),
-     pts as (select $k, i, y, pred, pos, n_pred, case when y > 0 then normal end as seg from p0 where pos > 0),
-     tot as (select $k, max(pos) as pos, max(n_pred) as n_pred, sum(y * pred) as tp_in from pts group by $k),
+with pts as (select $k, i, y, pred, pos, seg from {placed} where pos > 0),
+     tot as (select $k, max(pos) as pos, sum(pred) as n_pred, sum(y * pred) as tp_in from pts group by $k),
      sg as (select $k, seg, min(i) as s, max(i) as e from pts where y > 0 group by $k, seg),
      ws as (select w from range(<W> + 1) r(w)),
      mg as (select $k, seg, d, i from (select $k, seg, d, e + d as i from sg cross join range(1, <W> / 2 + 1) r(d) union all select $k, seg, d, s - d from sg cross join range(1, <W> / 2 + 1) r(d)) u),
@@ -191,13 +154,18 @@ def _vus(template: str, by: list[str], window: int, thresholds: int = 250) -> st
     return text(template.replace("<W> / 2", str(window // 2)).replace("<W>", str(window)).replace("<K>", str(thresholds)), by)
 
 
-def rank_metrics(scores: DataFrame, by: list[str]) -> DataFrame:
+def rank_metrics(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
     """auc_roc (ties count half), auc_pr (average precision) and f1 (the best over all thresholds)."""
-    return sql(text(RANK, by), scores=scores)
+    return sql(text(RANK, by), ranked=ranked(scores, by, size))
 
 
-def sweep(scores: DataFrame, by: list[str]) -> DataFrame:
-    return sql(text(SWEEP, by), scores=scores)
+def sweep(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """(by, th, tp, fp, tpa, hits, n_seg, pos): counts at each threshold, of series with a positive label."""
+    pts = scratch(points(scores, by, size))
+    seg = sql(text(_SEGMENTS, by), points=pts)
+    sums = seg.groupBy(*by).agg(F.count(F.lit(1)).alias("n_seg"), F.sum("len").alias("pos"))
+    counts = at_thresholds(sql(text(_CHANGES, by), points=pts, segments=seg), by, ["tp", "fp", "tpa", "hits"])
+    return counts.join(sums, by)
 
 
 def adjusted_f1(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -210,26 +178,107 @@ def event_f1(scores: DataFrame, by: list[str]) -> DataFrame:
     return sql(text(EVENT, by), sweep=sweep(scores, by))
 
 
-def adjust(preds: DataFrame, by: list[str]) -> DataFrame:
-    return sql(text(ADJUST, by), preds=preds)
+def adjust(preds: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """One threshold: points predicted by `pred` (0/1) instead of a sweep; a hit segment is predicted whole, `filled` up to its first hit."""
+    placed = places(preds.select(*by, "t", "y", "pred"), by, size)
+    seg = placed.where("y > 0").groupBy(*by, "seg").agg(F.max("pred").alias("hit"), F.min(F.when(F.col("pred") > 0, F.col("i"))).alias("first_hit"), F.min("i").alias("s"))
+    found = placed.join(seg, [*by, "seg"], "left")
+    hit = "y > 0 and hit > 0 and i > 0"
+    return found.selectExpr(*by, "t", "y", f"case when {hit} then 1 else pred end as adjusted", f"case when {hit} and i < first_hit then 1 else 0 end as filled", f"case when {hit} and i = s then 1 else 0 end as event")
 
 
-def range_scores(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Range recall (a fifth for existence) and precision at each threshold with predictions."""
-    return sql(text(RANGE, by), scores=scores)
+def range_scores(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """Range recall (a fifth for existence) and precision at each threshold with predictions.
+
+    A predicted segment's precision holds for the thresholds in which it lives. A true segment's hits and predicted
+    pieces change only at its points' levels: at a point's level a hit comes, and a piece where the point before is lower.
+    """
+    pts = scratch(points(scores, by, size))
+    runs = levels(pts, by, ("run",), size).selectExpr(*by, "lo", "hi", "hits / ((e - s + 1) * 1e0) / greatest(card, 1) as v")
+    change = runs.selectExpr(*by, "inline(array(struct(hi as th, v as v, 1 as n_pred), struct(lo - 1 as th, -v as v, -1 as n_pred)))")
+    found = at_thresholds(change, by, ["v", "n_pred"])
+    before = blocks.beside(pts, by, "i", {"nb0": ("nb", -1), "y0": ("y", -1)}, size).where("y > 0").withColumn("nb0", F.expr("case when y0 > 0 then nb0 else 0 end"))
+    sized = pts.where("y > 0").groupBy(*by, "seg").agg(F.count(F.lit(1)).alias("len"))
+    steps = before.selectExpr(*by, "seg", "inline(array(struct(nb - 1 as th, 1 as hits, int(nb > nb0) as card), struct(nb0 - 1 as th, 0 as hits, -int(nb > nb0) as card)))")
+    steps = steps.where("th >= 0").groupBy(*by, "seg", "th").agg(F.sum("hits").alias("hits"), F.sum("card").alias("card"))
+    down = Window.partitionBy(*by, "seg").orderBy(F.col("th").desc())
+    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"hits": F.sum("hits").over(so_far), "card": F.sum("card").over(so_far)}).join(sized, [*by, "seg"])
+    steps = steps.withColumns({"o": F.expr("case when card > 0 then hits / (len * 1e0) / card else 0e0 end"), "x": F.expr("case when hits > 0 then 1 else 0 end")})
+    steps = steps.withColumns({"overlap": F.col("o") - F.coalesce(F.lag("o").over(down), F.lit(0.0)), "exist": F.col("x") - F.coalesce(F.lag("x").over(down), F.lit(0))})
+    recall = at_thresholds(steps.select(*by, "th", "overlap", "exist"), by, ["overlap", "exist"])
+    n_true = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n_true"))
+    out = found.where("n_pred > 0").join(n_true, by).join(recall, [*by, "th"], "left").na.fill(0, ["overlap", "exist"])
+    return out.selectExpr(*by, "th", "(0.2e0 * exist + 0.8e0 * overlap) / n_true as r_recall", "exist / (n_true * 1e0) as existence", "overlap / n_true as overlap", "v / n_pred as r_precision")
 
 
 def range_f1(scores: DataFrame, by: list[str]) -> DataFrame:
     return sql(text(RANGE_F, by), ranges=range_scores(scores, by))
 
 
-def affiliation_zones(scores: DataFrame, by: list[str]) -> DataFrame:
-    return sql(text(AFFILIATION_ZONES, by), scores=scores)
+def zones(pts: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """(by, seg, js, je, e0, e1): true events [js, je) and their zones: halfway to the neighbours, the outer ones to the ends of the series."""
+    events = pts.where("y > 0").groupBy(*by, "seg").agg(F.min("i").alias("s"), F.min("i").cast("double").alias("js"), (F.max("i") + 1.0).alias("je"), F.max("n").alias("n"))
+    events = blocks.beside(events, by, "s", {"je0": ("je", -1), "js1": ("js", 1)}, size)
+    return events.selectExpr(*by, "seg", "js", "je", "coalesce((je0 + js) / 2e0, 0e0) as e0", "coalesce((je + js1) / 2e0, n * 1e0) as e1")
 
 
-def affiliation(scores: DataFrame, by: list[str]) -> DataFrame:
+def affiliation_changes(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> tuple[DataFrame, DataFrame]:
+    """Zones, and what each threshold adds to their sums (by, seg, th, len, pp, pd, rp, rd).
+
+    A predicted point adds the integral of precision over its cell [i, i + 1), clipped to the zone (a cell may lie in
+    two), and of recall if it is in the event. A gap between predictions adds the integral of recall over the event's
+    part in it, towards the nearer end; a gap that leaves a zone has one end there.
+    """
+    pts = scratch(points(scores, by, size))
+    zs = scratch(zones(pts, by, size))
+    near = blocks.nearest_known(pts.select(*by, "i", "y", "nb", "seg"), by, F.expr("case when y > 0 then struct(i, seg) end"), "i", size)
+    near = near.where("_before is not null or _after is not null")
+    mid = "(_before.i + 1 + _after.i) / 2e0"
+    # the zone of a cell's left end and of its right end, and where they meet
+    cells = near.selectExpr(
+        *by, "i", "nb", f"case when _before is null then _after.seg when _after is null or i < {mid} then _before.seg else _after.seg end as z0",
+        f"case when _before is null then _after.seg when _after is null or i + 1 <= {mid} then _before.seg else _after.seg end as z1", f"case when _before.i < _after.i and {mid} > i and {mid} < i + 1 then {mid} end as cut",
+    )
+    cells = scratch(cells)
+    parts = cells.where("nb > 0").selectExpr(*by, "nb - 1 as th", "inline(case when cut is null then array(struct(z0 as seg, i * 1e0 as a, i + 1e0 as b)) else array(struct(z0 as seg, i * 1e0 as a, cut as b), struct(z1 as seg, cut as a, i + 1e0 as b)) end)")
+    inside = "greatest(0e0, least(b, je) - greatest(a, js))"
+    parts = parts.join(zs, [*by, "seg"]).selectExpr(
+        *by, "seg", "th", "b - a as len", _outside("a", "least(b, js)") + f" + {inside} + " + _outside("greatest(a, je)", "b") + " as pp",
+        "power(greatest(0e0, js - a), 2) / 2e0 - power(greatest(0e0, js - b), 2) / 2e0 + power(greatest(0e0, b - je), 2) / 2e0 - power(greatest(0e0, a - je), 2) / 2e0 as pd", f"{inside} as rp", "0e0 as rd",
+    )
+    gaps = levels(pts, by, ("gap",), size).selectExpr(*by, "s", "e + 1 as v", "lo", "hi")
+    left = cells.selectExpr(*by, "i + 1 as s", "z1 as zl")
+    right = cells.selectExpr(*by, "i as v", "z0 as zr")
+    gaps = gaps.join(left, [*by, "s"], "left").join(right, [*by, "v"], "left")
+    half = "(s + v) / 2e0"
+    sides = gaps.selectExpr(*by, "lo", "hi", f"""inline(array(
+        struct(zl as seg, s * 1e0 as p, false as right, s * 1e0 as a, case when zl = zr then {half} else v * 1e0 end as b),
+        struct(zr as seg, v * 1e0 as p, true as right, case when zl = zr then {half} else s * 1e0 end as a, v * 1e0 as b)))""").where("seg is not null")
+    # clipped to the event, which lies within the zone
+    sides = sides.join(zs, [*by, "seg"]).withColumns({"a": F.expr("greatest(a, js)"), "b": F.expr("least(b, je)")}).where("a < b")
+    value = f"case when right then {_recall('a', 'b', 'p', True)} else {_recall('a', 'b', 'p', False)} end"
+    sides = sides.selectExpr(*by, "seg", "lo", "hi", f"{value} as rp", "abs(power(b - p, 2) - power(a - p, 2)) / 2e0 as rd")
+    sides = sides.selectExpr(*by, "seg", "0e0 as len", "0e0 as pp", "0e0 as pd", "inline(array(struct(hi as th, rp as rp, rd as rd), struct(lo - 1 as th, -rp as rp, -rd as rd)))")
+    sums = [F.sum(c).alias(c) for c in ("len", "pp", "pd", "rp", "rd")]
+    return zs, scratch(parts.unionByName(sides).where("th >= 0").groupBy(*by, "seg", "th").agg(*sums))
+
+
+def affiliation_zones(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """Precision, recall and their distances of each zone and threshold that has predictions in it."""
+    zs, changes = affiliation_changes(scores, by, size)
+    return _zone_values(zs, changes, by)
+
+
+def _zone_values(zs: DataFrame, changes: DataFrame, by: list[str]) -> DataFrame:
+    found = at_thresholds(changes, [*by, "seg"], ["len", "pp", "pd", "rp", "rd"]).where("len > 0").join(zs, [*by, "seg"])
+    return found.selectExpr(*by, "th", "seg", "len as pred_len", "pp / len as precision_p", "rp / (je - js) as recall_p", "pd / len as precision_d", "rd / (je - js) as recall_d")
+
+
+def affiliation(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
     """Precision over zones with predictions and recall over all zones, at each threshold."""
-    return sql(text(AFFILIATION, by), scores=scores, zones=affiliation_zones(scores, by))
+    zs, changes = affiliation_changes(scores, by, size)
+    return sql(text(AFFILIATION, by), values=_zone_values(zs, changes, by), zones=zs)
 
 
 def affiliation_f(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -243,19 +292,27 @@ def windows(scores: DataFrame, by: list[str], window: int | DataFrame) -> tuple[
     return window, window.agg(F.max("win")).first()[0] or 0
 
 
+def _ranked_places(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """The points with their places and f, the number of points with a larger score."""
+    given = scores.where("score is not null").select(*by, "t", "y", "score")
+    given = scratch(given)
+    above = ranked(given, by, size).selectExpr(*by, "score", "cp + cn - p - n as f")
+    return scratch(places(given, by, size).join(above, [*by, "score"]))
+
+
 def vus(scores: DataFrame, by: list[str], window: int | DataFrame = 20, thresholds: int = 250) -> DataFrame:
     table, most = windows(scores, by, window)
-    return sql(_vus(VUS_MEAN, by, most, thresholds), scores=scores, windows=table)
+    return sql(_vus(VUS_MEAN, by, most, thresholds), placed=_ranked_places(scores, by), windows=table)
 
 
 def range_auc(scores: DataFrame, by: list[str], window: int | DataFrame = 20, thresholds: int = 250) -> DataFrame:
     """Range AUC and AP of each margin 0 to the window."""
     table, most = windows(scores, by, window)
-    return sql(_vus(VUS_AT, by, most, thresholds), scores=scores, windows=table)
+    return sql(_vus(VUS_AT, by, most, thresholds), placed=_ranked_places(scores, by), windows=table)
 
 
 def vus_of_predictions(preds: DataFrame, by: list[str], window: int = 20) -> DataFrame:
-    return sql(_vus(VUS_PRED, by, window), preds=preds)
+    return sql(_vus(VUS_PRED, by, window), placed=scratch(places(preds.select(*by, "t", "y", "pred"), by)))
 
 
 def evaluation_slice(scores: DataFrame, by: list[str], start: int = 0) -> DataFrame:
@@ -265,8 +322,7 @@ def evaluation_slice(scores: DataFrame, by: list[str], start: int = 0) -> DataFr
 
 def evaluation_windows(scores: DataFrame, by: list[str], default: int = 100) -> DataFrame:
     """(by, win): the median length of each series' segments of positive labels, by place in the slice; `default` without any."""
-    order = Window.partitionBy(*by).orderBy("t")
-    placed = scores.select(*by, "y", F.row_number().over(order).cast("bigint").alias("t"))
+    placed = blocks.placed(scores.select(*by, "t", "y"), by).select(*by, "y", (F.col("_place") + 1).alias("t"))
     found = segments.median_length(segments.runs(placed, by), scores.select(*by).distinct(), by, default)
     return found.withColumnRenamed("width", "win")
 

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.frames import listed, same, sql
+from . import blocks
 
 
-def runs(labels: DataFrame, by: list[str], y: str = "y") -> DataFrame:
-    """(by, seg_id from 1, s, e, e_excl) of each run of y > 0 over consecutive t."""
-    k = listed(by)
-    return sql(
-        f"""
-        with p as (select {k}, t, t - row_number() over (partition by {k} order by t) as g from {{labels}} where {y} > 0),
-             r as (select {k}, min(t) as s, max(t) as e from p group by {k}, g)
-        select {k}, row_number() over (partition by {k} order by s) as seg_id, s, e, e + 1 as e_excl from r
-        """,
-        labels=labels,
-    )
+def runs(labels: DataFrame, by: list[str], y: str = "y", size: int = blocks.SIZE) -> DataFrame:
+    """(by, seg_id from 1, s, e, e_excl) of each run of y > 0 over consecutive t, in blocks of `size` times."""
+    found = blocks.by_time(blocks.islands(labels.where(F.col(y) > 0), by, size=size), "s", size)
+    numbered = blocks.running(found, by, [F.col("s")], {"seg_id": F.lit(1)})
+    return numbered.select(*by, F.col("seg_id").cast("int").alias("seg_id"), "s", "e", (F.col("e") + 1).alias("e_excl"))
 
 
 def count_segments(series: DataFrame, by: list[str], x: str) -> DataFrame:

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.frames import listed, same, sql
+from . import blocks
 
 
-def sliding(frames: DataFrame, by: list[str], length: int, xs: str = "xs") -> DataFrame:
-    """(by, win, t_end, xs): the last `length` rows of each row that has as many; a series' last length - 1 rows before."""
-    k = listed(by)
-    return sql(
-        f"""
-        with w as (select {k}, t, collect_list({xs}) over (partition by {k} order by t rows between {length - 1} preceding and current row) as xs from {{frames}})
-        select {k}, t - {length - 1} as win, t as t_end, xs from w where size(xs) = {length}
-        """,
-        frames=frames,
-    )
+def sliding(frames: DataFrame, by: list[str], length: int, xs: str = "xs", size: int = blocks.SIZE) -> DataFrame:
+    """(by, win, t_end, xs): the last `length` rows of each row that has as many; a series' last length - 1 rows before.
+
+    In blocks of `size` rows that see the length - 1 rows before them.
+    """
+    rows, keys = blocks.with_halo(frames.select(*by, "t", F.col(xs).alias("_x")), by, length - 1, size=size)
+    last = Window.partitionBy(*keys).orderBy("t").rowsBetween(1 - length, 0)
+    out = rows.withColumn("xs", F.collect_list("_x").over(last)).where(F.col("_own") & (F.size("xs") == length))
+    return out.select(*by, (F.col("t") - (length - 1)).alias("win"), F.col("t").alias("t_end"), "xs")
 
 
 def environments(windows: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -31,17 +32,21 @@ def environments(windows: DataFrame, by: list[str], k: int) -> DataFrame:
     )
 
 
-def lag_windows(cells: DataFrame, by: list[str], lag: int, width: int, length: int) -> DataFrame:
+def lag_windows(cells: DataFrame, by: list[str], lag: int, width: int, length: int, size: int = blocks.SIZE) -> DataFrame:
     """Adds xs: the `width` values that end `lag` rows before each row, clipped to its window of `length` rows."""
     first = min(lag + width - 1, length - 1)
-    return sql(f"select *, collect_list(x) over (partition by {listed(by)} order by t rows between {first} preceding and {lag} preceding) as xs from {{cells}}", cells=cells)
+    rows, keys = blocks.with_halo(cells, by, first, size=size)
+    xs = F.collect_list("x").over(Window.partitionBy(*keys).orderBy("t").rowsBetween(-first, -lag))
+    return rows.withColumn("xs", xs).where("_own").select(*cells.columns, "xs")
 
 
-def lagged_pairs(cells: DataFrame, by: list[str], tau_max: int) -> DataFrame:
+def lagged_pairs(cells: DataFrame, by: list[str], tau_max: int, size: int = blocks.SIZE) -> DataFrame:
     """(by, var, t, tau, y, x): each value with that of the same variable tau rows before, tau from 1 to tau_max."""
-    k = listed([*by, "var"])
-    lags = ", ".join(f"named_struct('tau', {i}, 'x', lag(x, {i}) over (partition by {k} order by t))" for i in range(1, tau_max + 1))
-    return sql(f"with a as (select {k}, t, x as y, array({lags}) as ls from {{cells}}) select {k}, t, l.tau, y, l.x from a lateral view explode(ls) as l where l.x is not null", cells=cells)
+    rows, keys = blocks.with_halo(cells, [*by, "var"], tau_max, size=size)
+    order = Window.partitionBy(*keys).orderBy("t")
+    lags = F.array(*[F.struct(F.lit(i).alias("tau"), F.lag("x", i).over(order).alias("x")) for i in range(1, tau_max + 1)])
+    out = rows.withColumn("_lags", lags).where("_own").select(*by, "var", "t", F.col("x").alias("y"), F.explode("_lags").alias("_l"))
+    return out.select(*by, "var", "t", "_l.tau", "y", "_l.x").where("x is not null")
 
 
 def chunk_bounds(frames: DataFrame, by: list[str], starts: list[float], chunk: int, tau_max: int) -> DataFrame:

@@ -7,6 +7,7 @@ functions, the texts here join and count anew.
 from __future__ import annotations
 
 from ..operators import quality as ql
+from . import by_threshold as bt
 from . import fixtures as fx
 from . import priors as pq
 from . import quality as qq
@@ -315,7 +316,7 @@ NINE = ["auc_pr", "auc_roc", "f1", "pa_f1", "event_f1", "r_f", "aff_f", "vus_roc
 
 def nine(windows: str) -> str:
     """The metrics of `scores`, whose entity may name a run."""
-    aff = ql.text(ql.AFFILIATION_F, ["entity"]).format(affiliation=f"({qq.AFF})")
+    aff = ql.text(bt.AFFILIATION_F, ["entity"]).format(affiliation=f"({qq.AFF})")
     return f"{RANKS},{SWEEP},{RANGES},{vus(windows)}, nine as (select r.*, pa_f1, event_f1, r_f, aff_f, vus_roc, vus_pr from ranks r left join pa using (entity) left join evf using (entity) left join rf using (entity) left join ({aff}) using (entity) left join vm using (entity))"
 
 

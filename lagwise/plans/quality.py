@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import scratch
 from ..operators import quality as ql
+from . import by_threshold as bt
 from . import fixtures as fx
 
 BY = ["entity"]
@@ -28,34 +29,31 @@ def on_scores(f):
     return lambda spark, d: f(fx.scores(spark, d), BY)
 
 
-RANK, SWEEP = duck(ql.text(ql.RANK, BY)), duck(ql.text(ql.SWEEP, BY))
-query("flagship_rank_quality", ["auc_roc", "auc_pr", "f1"], BY, on_scores(ql.rank_metrics), RANK)
-query("q02_auc_roc", ["auc_roc"], BY, on_scores(ql.rank_metrics), RANK)
-query("q03_average_precision", ["auc_pr"], BY, on_scores(ql.rank_metrics), RANK)
-query("q04_best_f1", ["f1"], BY, on_scores(ql.rank_metrics), RANK)
-query("q06_sweep_counts", ["tp", "fp", "tpa", "hits", "n_seg", "pos"], [*BY, "th"], on_scores(ql.sweep), SWEEP)
-query("q06_adjusted_f1", ["pa_f1"], BY, on_scores(ql.adjusted_f1), duck(ql.text(ql.ADJUSTED, BY), sweep=SWEEP))
-query("q07_event_f1", ["event_f1"], BY, on_scores(ql.event_f1), duck(ql.text(ql.EVENT, BY), sweep=SWEEP))
-RANGE = duck(ql.text(ql.RANGE, BY))
-query("q08_range_recall", ["r_recall", "existence", "overlap", "r_precision"], [*BY, "th"], on_scores(ql.range_scores), RANGE)
-query("q10_range_f1", ["r_f"], BY, on_scores(ql.range_f1), duck(ql.text(ql.RANGE_F, BY), ranges=RANGE))
-ZONES = duck(ql.text(ql.AFFILIATION_ZONES, BY))
+_NO = "select null"
+query("flagship_rank_quality", ["auc_roc", "auc_pr", "f1"], BY, on_scores(ql.rank_metrics), _NO)
+query("q02_auc_roc", ["auc_roc"], BY, on_scores(ql.rank_metrics), _NO)
+query("q03_average_precision", ["auc_pr"], BY, on_scores(ql.rank_metrics), _NO)
+query("q04_best_f1", ["f1"], BY, on_scores(ql.rank_metrics), _NO)
+query("q06_sweep_counts", ["tp", "fp", "tpa", "hits", "n_seg", "pos"], [*BY, "th"], on_scores(ql.sweep), _NO)
+query("q06_adjusted_f1", ["pa_f1"], BY, on_scores(ql.adjusted_f1), _NO)
+query("q07_event_f1", ["event_f1"], BY, on_scores(ql.event_f1), _NO)
+query("q08_range_recall", ["r_recall", "existence", "overlap", "r_precision"], [*BY, "th"], on_scores(ql.range_scores), _NO)
+query("q10_range_f1", ["r_f"], BY, on_scores(ql.range_f1), _NO)
+ZONES = duck(ql.text(bt.AFFILIATION_ZONES, BY))
 query("q14_affiliation_zones", ["pred_len", "precision_p", "recall_p", "precision_d", "recall_d"], [*BY, "th", "seg"], on_scores(ql.affiliation_zones), ZONES)
-AFF = duck(ql.text(ql.AFFILIATION, BY), zones=ZONES)
+AFF = duck(ql.text(bt.AFFILIATION, BY), zones=ZONES)
 query("q17_affiliation", ["aff_precision", "aff_recall"], [*BY, "th"], on_scores(ql.affiliation), AFF)
-query("q18_affiliation_f", ["aff_f"], BY, on_scores(ql.affiliation_f), duck(ql.text(ql.AFFILIATION_F, BY), affiliation=AFF))
-VUS = duck(ql._vus(ql.VUS_MEAN, BY, 20))
-query("q19_vus", ["vus_roc", "vus_pr"], BY, on_scores(ql.vus), VUS)
-query("q21_range_auc", ["auc", "ap"], [*BY, "w"], on_scores(ql.range_auc), duck(ql._vus(ql.VUS_AT, BY, 20)))
-_PREDS = ", preds as (select entity, t, y, cast(score > 1.5 as int) as pred from scores)"
+query("q18_affiliation_f", ["aff_f"], BY, on_scores(ql.affiliation_f), duck(ql.text(bt.AFFILIATION_F, BY), affiliation=AFF))
+query("q19_vus", ["vus_roc", "vus_pr"], BY, on_scores(ql.vus), _NO)
+query("q21_range_auc", ["auc", "ap"], [*BY, "w"], on_scores(ql.range_auc), _NO)
 
 
 def preds(spark: SparkSession, d: str) -> DataFrame:
     return fx.scores(spark, d).selectExpr("entity", "t", "y", "cast(score > 1.5 as int) as pred")
 
 
-query("q05_point_adjust", ["y", "adjusted", "filled", "event"], [*BY, "t"], lambda s, d: ql.adjust(preds(s, d), BY), ql.text(ql.ADJUST, BY).format(preds="preds"), fx.SCORES + _PREDS)
-query("q22_vus_of_predictions", ["vus_recall", "vus_precision", "vus_f"], BY, lambda s, d: ql.vus_of_predictions(preds(s, d), BY), ql._vus(ql.VUS_PRED, BY, 20).format(preds="preds"), fx.SCORES + _PREDS)
+query("q05_point_adjust", ["y", "adjusted", "filled", "event"], [*BY, "t"], lambda s, d: ql.adjust(preds(s, d), BY), _NO)
+query("q22_vus_of_predictions", ["vus_recall", "vus_precision", "vus_f"], BY, lambda s, d: ql.vus_of_predictions(preds(s, d), BY), _NO)
 #: Hours before it are not judged.
 START = 450
 
