@@ -13,7 +13,8 @@ fingerprints are one entry. A list gives links that connect it as all its links
 near_duplicates() follows fingerprints of word shingles to their components. similar_texts() finds texts whose
 five-word shingles overlap by 0.8 or more: candidates share a fingerprint of single words up to two bits in one of
 several tables (a shingle's fingerprint turns too many bits for that overlap) or a band of MinHashes of the five-word
-shingles, and are verified by the exact overlap of their sets of five-word shingles. A band's texts meet pivots in rounds, until all that are left are linked.
+shingles; each MinHash gives a positional byte, shared bytes are tallied per pair, and pairs that reach the minimum are
+verified by the exact overlap of their sets of five-word shingles.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, join_back, keyed, partitions, scratch, texts
@@ -37,8 +38,10 @@ TABLES = 3
 #: Bands of MinHashes of five-word shingles, and MinHashes of a band: of pairs of 0.8 all but 1 in 300,000 share a band.
 BANDS, ROWS = 24, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-#: By how much the pivots of a band's texts grow with each round.
-MORE = 8
+#: Positional bytes that a pair must share; of two texts of overlap 0.8 it is reached by all but one in ten thousand.
+MATCHES = 62
+#: Texts of a list that are tallied pair by pair; and the number of bands after which a longer list is not split further.
+LIST, DEEP = 1024, 4
 #: Bytes of shingle sets that a task of verified() keeps for texts that it meets again.
 KEPT = 1 << 25
 #: Parts in which a text meets its candidates.
@@ -216,25 +219,28 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     text is an empty one, and texts without words link like any others, by their fingerprint zero. Empty in, empty out.
     """
     marks = scratch(fingerprints(df, shingle), "fingerprints")
-    nodes = scratch(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = scratch(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
     roots = components(links(nodes.select("fp"), distance), "a", "b")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = scratch(join_back(rooted, lowest, "root", "n", nodes.count()).select("fp", "component_id"), "named")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch(join_back(rooted, lowest, "root", "n", nodes.count()).select("fp", "copies", "component_id"), "named")
+    return join_back(marks, named, "fp", "copies", marks.count()).select("doc_id", "fp", "component_id")
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """For each band a hash of its number and its MinHashes; texts without words share all."""
+def minhashes(hashes: np.ndarray) -> np.ndarray:
+    """BANDS x ROWS MinHashes; texts without words share all."""
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(hashes), 1024):
         least = np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + 1024]).min(axis=1))
-    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+    return least
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, h, t0.. of single words, bands b0.. of five-word shingles, the number n of these, text_key) of every text."""
-    names = [*[f"t{i}" for i in range(TABLES)], *[f"b{i}" for i in range(BANDS)], "n"]
+    """(key, doc_id, h, t0.. of single words, n, bands, places, text_key) of every text.
+
+    n is the number of five-word shingles, bands the hashes of each band's MinHashes, places the bytes of all MinHashes.
+    """
+    names = [*[f"t{i}" for i in range(TABLES)], "n"]
 
     def several(h: np.ndarray, n: int) -> list[int]:
         """Fingerprints by n independent hashes, made from one."""
@@ -248,18 +254,35 @@ def marks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = [], []
+            rows, keys, bands, places = [], [], [], []
             for t in batch.column("text"):
                 text = t.as_py()
                 h = np.unique(shingle_hashes(text, 5))
-                rows.append([*several(shingle_hashes(text, 1), TABLES), *bands(h), len(h)])
+                least = minhashes(h)
+                rows.append([*several(shingle_hashes(text, 1), TABLES), len(h)])
+                bands.append([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)])
+                # MinHashes are small numbers where shingles are many: their bytes are taken behind a mix
+                places.append(((least ^ least >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8).tobytes())
                 keys.append(xxhash.xxh128_hexdigest(text.encode("utf-8", "surrogatepass")))
             columns = np.array(rows, np.int64).reshape(-1, len(names)).T
             given = [batch.column(c) for c in ("key", "doc_id", "h")]
-            yield pa.RecordBatch.from_arrays([*given, *[pa.array(c) for c in columns], pa.array(keys, pa.string())], names=["key", "doc_id", "h", *names, "text_key"])
+            more = [pa.array(bands, pa.list_(pa.int64())), pa.array(places, pa.binary()), pa.array(keys, pa.string())]
+            yield pa.RecordBatch.from_arrays([*given, *[pa.array(c) for c in columns], *more], names=["key", "doc_id", "h", *names, "bands", "places", "text_key"])
 
     docs = docs.select("key", "doc_id", F.xxhash64("text").alias("h"), "text")
-    return docs.mapInArrow(run, ", ".join(["key long", "doc_id long", "h long", *[f"{n} long" for n in names], "text_key string"]))
+    return docs.mapInArrow(run, ", ".join(["key long", "doc_id long", "h long", *[f"{n} long" for n in names], "bands array<long>", "places binary", "text_key string"]))
+
+
+def tallied(pairs: DataFrame) -> DataFrame:
+    """(x, y): of pairs (x, y, xp, yp) those whose tally of shared positional bytes reaches MATCHES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("xp", "yp")]
+            keep = pa.array((sides[0] == sides[1]).sum(axis=1) >= MATCHES) if batch.num_rows else pa.array([], pa.bool_())
+            yield batch.select(["x", "y"]).filter(keep)
+
+    return pairs.select("x", "y", "xp", "yp").mapInArrow(run, "x long, y long")
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -318,11 +341,11 @@ def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFram
 
 
 def close_fingerprints(nodes: DataFrame, distance: int) -> DataFrame:
-    """(x, y): in each table a fingerprint's texts with the smallest of them, and the smallest of close fingerprints."""
+    """(x, y): in each table a fingerprint's texts with the smallest of them, and the smallest of fingerprints that the index links."""
     found, number = None, nodes.count()
     for i in range(TABLES):
         heads = nodes.groupBy(F.col(f"t{i}").alias("fp")).agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
-        close = links(heads.select("fp"), distance, every=True)
+        close = links(heads.select("fp"), distance)
         a, b = heads.selectExpr("fp as a", "head as x"), heads.selectExpr("fp as b", "head as y")
         across = close.join(a, "a").join(b, "b").select("x", "y")
         within = join_back(nodes.select("node", F.col(f"t{i}").alias("fp")), heads, "fp", "n", number).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
@@ -334,61 +357,124 @@ def close_fingerprints(nodes: DataFrame, distance: int) -> DataFrame:
 def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, component_id): components of documents with equal texts or verified links; the id is the smallest doc_id.
 
-    A node is a text, named by its smallest doc_id. Candidates come from the bands, then from close_fingerprints(). In a
-    round a band's texts meet its pivots, those that share most bands with others; then the links are verified, and the
-    pivots, which have met all, go. A band is settled when the texts left are of one component, so each two texts of a
-    band are linked, or were compared, or are in one component; no list gives all its pairs unless hardly any is alike.
-    Texts without words are alike to each other only. Documents that share a doc_id may be in different groups.
+    Texts that share a band are candidates, and those whose fingerprints the index links. A candidate's tally of shared
+    positional bytes must reach MATCHES, then the overlap is verified exactly. First a list (the texts of a band) meets
+    one pivot, that which shares most bands with others, then another one, by hash: of very many near copies nearly all
+    are then of one component. Lists that still hold several components and more than LIST texts are split by further
+    bands, which two texts of the wanted overlap share as well; then each two texts of a list are tallied, in blocks.
+    So a list's work is bounded by LIST texts each, unless texts agree in DEEP bands and yet not in a component.
+    Texts without words are alike to each other only. Documents that share a doc_id may be in different groups. Empty
+    in, empty out; very long texts are held one at a time, as hashes of their shingles.
     """
     found = _groups(keyed(texts(df)), similarity, distance)
     return found.select("doc_id", "component_id")
 
 
+def _fit(a: str, b: str, similarity: float) -> Column:
+    """Sets that differ more in size cannot overlap enough."""
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+
+
+def _pivots(left: DataFrame, nodes: DataFrame, score: Column, similarity: float) -> DataFrame:
+    """(x, y, xp, yp): the texts of each list (list, node, root) with its pivot, that of the highest score, if of another component."""
+    lists = left.groupBy("list").agg(F.max(F.struct(score.alias("score"), "node", "root")).alias("p"), F.count(F.lit(1)).alias("size"))
+    lists = lists.select("list", "size", F.col("p.node").alias("x"), F.col("p.root").alias("x_root"))
+    pairs = join_back(left.select("list", "node", "root"), lists, "list", "size", left.count()).where("root <> x_root").select("x", F.col("node").alias("y"), "list")
+    # the pivot's bytes come with the list, so that a pivot of very many texts never meets them in one task
+    known = lists.select("list", "size", "x").join(nodes.select(F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("places").alias("xp")), "x")
+    pairs = scratch(pairs.groupBy("x", "y").agg(F.min("list").alias("list")), "pairs")
+    pairs = join_back(pairs, known.drop("x"), "list", "size", pairs.count())
+    pairs = pairs.join(nodes.select(F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("places").alias("yp")), "y")
+    return pairs.where(_fit("x_n", "y_n", similarity))
+
+
+def _unsettled(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (list, node, ...) of lists that hold several components, with the component as root."""
+    left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = scratch(left, "lists")
+    open_ = left.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("list", "size")
+    return scratch(join_back(left, open_, "list", "size", left.count()).drop("size"), "lists")
+
+
+def _deeper(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Lists of at most LIST texts, or of DEEP bands: longer ones are split by each further band."""
+    depth, done = 1, None
+    while True:
+        sizes = left.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("list", "size")
+        sized = scratch(join_back(left, sizes, "list", "size", left.count()), "sized")
+        fine = sized if depth == DEEP else sized.where(F.col("size") <= LIST)
+        done = fine if done is None else done.unionByName(fine)
+        long_ = sized.where(F.col("size") > LIST)
+        if depth == DEEP or long_.isEmpty():
+            return done
+        # the further bands behind the last one of the list, so that a choice of bands comes once
+        more = long_.join(nodes.select("node", "bands"), "node").select("node", "root", "last", "list", F.posexplode("bands").alias("at", "band")).where("at > last")
+        left = scratch(more.select(F.xxhash64("list", "band").alias("list"), "node", "root", F.col("at").alias("last")), "deeper")
+        depth += 1
+
+
+def _all_pairs(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): pairs of a list, of different components, whose tally reaches MATCHES; long lists meet block by block."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / LIST)).cast("long")
+    at = lists.select("list", "size", "node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")).distinct()
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q")))
+    rows = at.select("list", "node", "root", "part", F.explode(pair).alias("pair")).select("list", "node", "root", "part", "pair.*")
+    rows = rows.join(nodes.select("node", "n", "places"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, n, part = (table.column(c).to_numpy() for c in ("node", "root", "n", "part"))
+        places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8).reshape(len(node), -1)
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        xs, ys = [], []
+        for i in left.tolist():
+            other = right[(root[right] != root[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]) - 1e-9)]
+            if p == q:
+                other = other[node[other] > node[i]]
+            other = other[(places[other] == places[i]).sum(axis=1) >= MATCHES]
+            xs += [node[i]] * len(other)
+            ys += node[other].tolist()
+        x, y = np.array(xs, np.int64), np.array(ys, np.int64)
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+    return rows.groupBy("list", "p", "q").applyInArrow(run, "x long, y long").distinct()
+
+
 def _groups(docs: DataFrame, similarity: float, distance: int) -> DataFrame:
     """(key, doc_id, h, component, component_id) of (key, doc_id, text); component is the smallest key, component_id its doc_id."""
     rows = scratch(marks(docs), "marks")
-    data = [c for c in rows.columns if c not in ("key", "doc_id", "h", "text_key")]
-    nodes = rows.groupBy("text_key").agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in data])
+    data = [*[f"t{i}" for i in range(TABLES)], "n", "bands", "places"]
+    nodes = rows.groupBy("text_key").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in data])
     nodes = scratch(nodes, "texts")
-    lists = nodes.select("node", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
-    shared = join_back(lists, lists.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band", "size", BANDS * nodes.count())
+    number = nodes.count()
+    lists = nodes.select("node", F.posexplode("bands").alias("last", "list"))
+    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = scratch(join_back(lists, sizes, "list", "size", BANDS * number), "shared")
     central = shared.groupBy("node").agg(F.sum("size").alias("score"))
-    left = scratch(shared.drop("size").join(central, "node").withColumn("root", F.col("node")), "bands")
-    met = scratch(close_fingerprints(nodes, distance).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "close")
-    wanted = left.select("node").union(met.select("x")).union(met.select("y")).distinct()
+    left = scratch(shared.drop("size").join(central, "node").withColumn("root", F.col("node")), "lists")
+    more = close_fingerprints(nodes, distance).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    more = scratch(more, "close")
+    for end in "xy":  # the head of a fingerprint may have very many texts
+        known = more.groupBy(end).agg(F.count(F.lit(1)).alias("size")).join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("places").alias(f"{end}p")), end)
+        more = join_back(more, known, end, "size", more.count()).drop("size")
+    met = scratch(tallied(more.where(_fit("x_n", "y_n", similarity))), "close")
+    wanted = shared.select("node").union(met.select("x")).union(met.select("y")).distinct()
     packed = scratch(packed_texts(docs, wanted), "packed")
-    sure, pivots, compared = None, 1, []
-    # sets that differ more in size cannot overlap enough
-    fit = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-    while True:
-        cell = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("cell")
-        chosen = left.groupBy("band", cell).agg(F.max(F.struct("score", "node", "n", "root")).alias("p"))
-        chosen = scratch(chosen.select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.root").alias("pivot_root")), "pivots")
-        # the pivot is x, as it may have many candidates; of two pivots the smaller
-        pairs = left.join(chosen, "band").where((F.col("root") != F.col("pivot_root")) & fit("n", "pivot_n"))
-        pairs = pairs.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.min("pivot").alias("x"))
-        for before in compared:  # in another band, in vain
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = scratch(pairs, "pairs")
-        compared.append(pairs.select("a", "b"))
-        new = verified(pairs.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), packed, similarity)
-        sure = scratch(new if sure is None else sure.union(new), "links")
-        roots = scratch(components(sure, "x", "y"), "roots")
-        left = left.join(chosen.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti").drop("root")
-        left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        unsettled = left.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-        left = scratch(left.join(unsettled, "band"), "bands")
-        if left.isEmpty():
-            break
-        pivots *= MORE
-    known = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    ends = [known.withColumnsRenamed({"node": e, "n": f"{e}_n", "root": f"{e}_root"}) for e in "xy"]
-    more = met.join(ends[0], "x").join(ends[1], "y").where((F.col("x_root") != F.col("y_root")) & fit("x_n", "y_n")).select("x", "y").distinct()
-    roots = components(sure.union(verified(more, packed, similarity)), "x", "y")
+    links = scratch(verified(tallied(_pivots(left, nodes, F.col("score"), similarity)).union(met).distinct(), packed, similarity), "links")
+    roots = scratch(components(links, "x", "y"), "roots")
+    left = _unsettled(left, roots)
+    links = scratch(links.union(verified(tallied(_pivots(left, nodes, F.xxhash64("list", "node"), similarity)), packed, similarity)), "links")
+    roots = scratch(components(links, "x", "y"), "roots")
+    left = _unsettled(left, roots).select("list", "node", "root", "last")
+    links = links.union(verified(scratch(_all_pairs(_deeper(left, nodes), nodes, similarity), "pairs"), packed, similarity))
+    roots = components(scratch(links, "links"), "x", "y")
     names = rows.select("key", F.col("doc_id").alias("component_id")).distinct()
-    named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("key"))
-    named = scratch(named.join(names, "key").withColumnRenamed("key", "component"), "named")
-    return rows.select("key", "doc_id", "h", "text_key").join(named, "text_key").drop("text_key")
+    named = nodes.join(roots, "node", "left").select("text_key", "copies", F.coalesce("root", "node").alias("component"))
+    # the smallest keys of components are few beside the texts that name them: counted, then told to them
+    firsts = named.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(names.withColumnRenamed("key", "component"), "component")
+    named = scratch(named, "named")
+    named = scratch(join_back(named, firsts, "component", "size", number), "named").select("text_key", "copies", "component", "component_id")
+    return join_back(rows.select("key", "doc_id", "h", "text_key"), named, "text_key", "copies", rows.count()).select("key", "doc_id", "h", "component", "component_id")
 
 
 def keep_one(df: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
