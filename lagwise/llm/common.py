@@ -11,9 +11,12 @@ Conventions of every operator in this subpackage
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,22 @@ from pyspark.sql import types as T
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: What this process, a worker, remembers between tasks: by operator how to give it up.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(operator: str, give_up: Callable[[], object]) -> None:
+    _KEPT[operator] = give_up
+
+
+def turn_to(operator: str) -> None:
+    """A worker that turns to another operator gives up what it remembers of the others."""
+    for other in [k for k in _KEPT if k != operator]:
+        _KEPT.pop(other)()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, scratch, texts
+from .common import keeps, numbered, scratch, texts, turn_to
 
 LENGTH = 1024
 #: Tokens on a side of a tile of attention; tiles that a sequence may fill beyond those of one piece of full length; and
@@ -172,6 +172,8 @@ def tokenized(df: DataFrame, path: str, length: int = LENGTH, end: int = END, ke
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("packing")
+        keeps("packing", words.cache_clear)
         coder = words(path)
         for batch in batches:
             doc_ids = iter(batch.column("doc_id").to_pylist())

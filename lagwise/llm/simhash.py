@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_back, keyed, partitions, scratch, texts
+from .common import drop, join_back, keyed, partitions, scratch, texts, turn_to
 from .components import components
 
 SEED = 42
@@ -253,6 +253,7 @@ def marks(docs: DataFrame) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("simhash")
         for batch in batches:
             rows, keys, bands, places = [], [], [], []
             for t in batch.column("text"):
@@ -309,6 +310,7 @@ def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFram
     met = met.repartition(partitions(met.sparkSession), "x", "part").sortWithinPartitions("x", "part", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("simhash")
         at, heads = None, []
         sets: dict[int, np.ndarray] = {}
         size = 0

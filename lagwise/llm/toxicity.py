@@ -31,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, scratch
+from .common import drop, scratch, turn_to
 
 #: Labelled rows for lexicons and classifier, at most (those whose id hashes lowest).
 SAMPLE = 20_000
-#: Rows without a label for the classifier, at most (those whose id hashes lowest).
-UNLABELLED = 10_000
+#: Passes over all fitting rows' posteriors, size of a step, and their weight beside the labelled rows'.
+PASSES, STEP, SHARE = 10, 0.03, 0.5
 #: Entries of all lexicons together, at most; the best by likelihood ratio.
 ENTRIES = 4_000
 #: Least likelihood ratio (G squared) of an entry, and least ratio of its rates.
@@ -119,20 +119,27 @@ class Lexicon:
         return bits, np.append(at, np.arange(size, size + INPUTS)), np.log1p(np.append(k, more))
 
 
-def fitting_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, unlabelled: int = UNLABELLED) -> DataFrame:
-    """(doc_id, text, toxic) of at most `bound` labelled fitting rows and `unlabelled` others, whose toxic is null.
-
-    Held-out rows are in neither part. The ids of both, so few, are broadcast; texts stay.
-    """
+def fitting_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) of at most `bound` labelled rows that are not held out. Their ids, so few, are broadcast; texts stay."""
     id_ = F.col("doc_id").cast("long").alias("doc_id")
     known = labels.where("doc_id is not null and toxic is not null").groupBy(id_).agg(F.max("toxic").cast("int").alias("toxic"))
-    other = docs.select(id_).where("doc_id is not null").join(known, "doc_id", "left_anti").withColumn("toxic", F.lit(None).cast("int"))
+    chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return docs.select(id_, "text").join(F.broadcast(chosen), "doc_id")
 
-    def lowest(ids: DataFrame, n: int) -> DataFrame:
-        return ids.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
-    chosen = lowest(known, bound).unionByName(lowest(other, unlabelled).distinct())
-    return docs.select(id_, "text").join(F.broadcast(chosen), "doc_id")
+def voted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(doc_id, held_out, votes, at, x): each text's votes, and the classifier's inputs that are not zero. One pass over the texts, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
+        for batch in batches:
+            rows = [lexicon.votes(t.as_py()) for t in batch.column("text")]
+            lists = [pa.array([r[i].tolist() for r in rows], pa.list_(t)) for i, t in ((1, pa.int32()), (2, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([r[0] for r in rows], pa.int64()), *lists], names=["doc_id", "held_out", "votes", "at", "x"])
+
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(ids, held_out(F.col("doc_id")).alias("held_out"), "text")
+    return scratch(rows.mapInArrow(run, "doc_id long, held_out boolean, votes long, at array<int>, x array<double>"), "votes")
 
 
 def find_entries(sample: DataFrame, entries: int = ENTRIES) -> tuple[Lexicon, int, int]:
@@ -252,55 +259,97 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(a.flatten().to_numpy(), np.cumsum(pc.list_value_length(a).to_numpy())[:-1]) if len(a) else []
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, entries: int = ENTRIES) -> Scorer:
+def _slopes(rows: DataFrame, model: LabelModel, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """The mean slope of the loss on the posteriors of all rows, by weight, and that of the constant."""
+    size = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 2)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, x = (batch.column(c).flatten().to_numpy() for c in ("at", "x"))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("at")).to_numpy())
+            z = np.bincount(row, weights=x * w[at], minlength=batch.num_rows) + b
+            e = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - model.posterior(bits(batch.column("votes").to_numpy()))
+            total[:size] += np.bincount(at, weights=x * e[row], minlength=size)
+            total[size] += e.sum()
+            total[size + 1] += batch.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "v"])
+
+    out = np.zeros(size + 2)
+    for r in rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # a row an input
+        out[r["i"]] = r["v"]
+    n = max(out[size + 1], 1.0)
+    return out[:size] / n, out[size] / n
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, entries: int = ENTRIES) -> tuple[Scorer, DataFrame | None]:
+    """The classifier, and the table of votes and inputs of docs (None without a lexicon).
+
+    The label model is fitted to the vote patterns of all documents. The classifier is fitted to the posteriors of the
+    labelled sample, whose labels are one more voter, and then to these and the posteriors of all rows that are not held
+    out, in PASSES over the table of inputs.
+    """
     sample = fitting_sample(docs, labels, bound)
-    lexicon, toxic, clean = find_entries(sample.where("toxic is not null"), entries)
+    lexicon, toxic, clean = find_entries(sample, entries)
     share = toxic / (toxic + clean) if toxic + clean else 0.0
     if not lexicon.entries:
-        return Scorer(lexicon, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-
-    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count = Counter(lexicon.votes(t.as_py())[0] for t in batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["votes", "n"])
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [lexicon.votes(t.as_py()) for t in batch.column("text")]
-            lists = [pa.array([r[i].tolist() for r in rows], pa.list_(t)) for i, t in ((1, pa.int64()), (2, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *lists, batch.column("toxic")], names=["votes", "at", "x", "toxic"])
-
-    corpus = docs.select("text").mapInArrow(cast, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+        return Scorer(lexicon, np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))), None
+    table = voted(docs, lexicon)
+    corpus = table.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
     patterns = np.array([tuple(r) for r in corpus.collect()], np.int64).reshape(-1, 2)  # 2^VOTERS rows at most
-    rows = sample.mapInArrow(known, "votes long, at array<long>, x array<double>, toxic int").toArrow().combine_chunks()  # both bounds at most
-    votes, given = rows["votes"].to_numpy(), rows["toxic"].to_pandas().to_numpy(float)
-    labelled, toxic_ = ~np.isnan(given), given > 0
-    model = fit_label_model(patterns[:, 0], patterns[:, 1].astype(float), votes[labelled], toxic_[labelled].astype(int))
+    known = sample.select("doc_id", "toxic").distinct()
+    rows = table.join(F.broadcast(known), "doc_id").select("votes", "at", "x", "toxic").toArrow().combine_chunks()  # the bound at most, but for repeated ids
+    votes, toxic_ = rows["votes"].to_numpy(), rows["toxic"].to_numpy() > 0
+    model = fit_label_model(patterns[:, 0], patterns[:, 1].astype(float), votes, toxic_.astype(int))
     odds = model.posterior(bits(votes))
-    told = np.where(labelled, np.where(toxic_, GIVEN / (1 - GIVEN), (1 - GIVEN) / GIVEN), 1.0)
-    odds = odds / np.maximum(1 - odds, 1e-12) * told
-    w, b = fit_classifier(_lists(rows["at"]), _lists(rows["x"]), odds / (1 + odds), len(lexicon.entries) + INPUTS)
-    return Scorer(lexicon, w, b)
+    odds = odds / np.maximum(1 - odds, 1e-12) * np.where(toxic_, GIVEN / (1 - GIVEN), (1 - GIVEN) / GIVEN)
+    target, size = odds / (1 + odds), len(lexicon.entries) + INPUTS
+    at, x = _lists(rows["at"]), _lists(rows["x"])
+    w, b = fit_classifier(at, x, target, size)
+    row, at, x = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at), np.concatenate(x)
+    others = table.where("not held_out").select("votes", "at", "x")
+    m, v, n = np.zeros(size + 1), np.zeros(size + 1), max(len(target), 1)
+    for t in range(1, PASSES + 1):
+        slope, first = _slopes(others, model, w, b)
+        e = (1 / (1 + np.exp(-np.clip(np.bincount(row, weights=x * w[at], minlength=len(target)) + b, -50, 50))) - target) / n
+        own = np.bincount(at, weights=x * e[row], minlength=size) + RIDGE / n * w
+        g = np.append(own + SHARE * slope, e.sum() + SHARE * first)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        move = STEP * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-8)
+        w, b = w - move[:size], b - move[size]
+    return Scorer(lexicon, w, float(b)), table
 
 
 def score(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, entries: int = ENTRIES) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    scorer = fit(docs, labels, bound, entries)
+    scorer, table = fit(docs, labels, bound, entries)
+    w, b = scorer.weights, scorer.constant
+    if table is None:
+        ids = F.col("doc_id").cast("long").alias("doc_id")
+        flat = 1 / (1 + np.exp(-b))
+        return docs.select(ids, held_out(F.col("doc_id")).alias("held_out"), F.lit(float(flat)).alias("score"), F.lit(int(flat >= 0.5)).alias("predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.array([scorer.score(t.as_py()) for t in batch.column("text")], float)
+            at, x = (batch.column(c).flatten().to_numpy() for c in ("at", "x"))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("at")).to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+            z = np.bincount(row, weights=x * w[at], minlength=batch.num_rows) + b
+            s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    ids = F.col("doc_id").cast("long").alias("doc_id")
-    return docs.select(ids, held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return table.select("doc_id", "held_out", "at", "x").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, entries: int = ENTRIES) -> DataFrame:
     """The rows of docs whose text scores below 0.5, all columns kept."""
-    scorer = fit(docs, labels, bound, entries)
+    scorer, table = fit(docs, labels, bound, entries)
+    drop(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t.as_py()) < 0.5 for t in batch.column("text")], pa.bool_()))
 

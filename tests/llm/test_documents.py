@@ -410,13 +410,26 @@ def test_label_model_finds_planted_rates():
     assert ((model.posterior(toxicity.bits(votes[500:])) >= 0.5) == y[500:]).mean() > 0.99
 
 
-def test_rows_without_a_label_train_the_classifier(spark):
-    """The sample has them, none held out, none twice; labels do not reach them."""
-    rows = [(i, f"text {i}") for i in range(200)] + [(3, "text 3"), (None, "no id")]
-    marks = spark.createDataFrame([(i, i % 2) for i in range(0, 200, 4)], "doc_id long, toxic int")
-    got = toxicity.fitting_sample(table(spark, rows), marks, bound=10, unlabelled=50).collect()
-    known = [x for x in got if x["toxic"] is not None]
-    others = [x["doc_id"] for x in got if x["toxic"] is None]
-    assert len(known) == 10 and 49 <= len(set(others)) <= 50
-    assert all(x["doc_id"] % 4 == 0 for x in known) and all(d % 4 for d in others)
+def test_every_fitting_row_trains_the_classifier(spark):
+    """The labelled sample is bounded and holds no held-out row; the slopes run over all rows that are not held out."""
+    rows = [(i, f"text {i} " + "dolt swine " * (i % 2)) for i in range(200)] + [(3, "text 3 dolt swine"), (None, "no id")]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(0, 200)], "doc_id long, toxic int")
+    got = toxicity.fitting_sample(table(spark, rows), marks, bound=10).collect()
+    assert len({x["doc_id"] for x in got}) == 10
     assert all(zlib.crc32(str(x["doc_id"]).encode()) % 5 for x in got)
+    lexicon = toxicity.Lexicon({"dolt": 0, "swine": 1}, np.array([60.0, 60.0]))
+    found = toxicity.voted(table(spark, rows), lexicon)
+    assert found.count() == len(rows)
+    fitting = found.where("not held_out")
+    model = toxicity.LabelModel(0.5, np.full((2, toxicity.VOTERS), 0.5), np.ones(toxicity.VOTERS))
+    w = np.linspace(-1, 1, 2 + toxicity.INPUTS)
+    slope, first = toxicity._slopes(fitting, model, w, 0.3)
+    want, n = np.zeros(len(w) + 1), 0
+    for d, t in rows:
+        if d is not None and zlib.crc32(str(d).encode()) % 5:
+            votes, at, x = lexicon.votes(t)
+            e = 1 / (1 + np.exp(-(x @ w[at] + 0.3))) - model.posterior(toxicity.bits(np.array([votes])))[0]
+            np.add.at(want, at, x * e)
+            want[-1] += e
+            n += 1
+    assert np.allclose(slope, want[:-1] / n) and np.isclose(first, want[-1] / n)
