@@ -16,31 +16,10 @@ select $k, tau, src, tgt, (0.05e0 + 0.95e0 * gate) / (1e0 + exp(-(ln(<GATE> / (1
 SOFTMAX = """
 with s as (select *, exp((logit - max(logit) over (partition by $k, tgt)) / <TEMP>) * gate as e from {logits})
 select $k, tau, src, tgt, e / (sum(e) over (partition by $k, tgt) + 1e-12) as weight from s"""
-#: Similarity of source and target over the lag window that ends tau rows before t, for each lag.
-SIMILARITY = """
-with p as (select $k, a.t as t, a.var as src, b.var as tgt, a.z * b.z as d from {series} a join (select $k, t, var, z from {series}) b using ($k, t))
-<LAGS>"""
-_ONE_LAG = "select $k, t, <TAU> as tau, src, tgt, sum(d) over (partition by $k, src, tgt order by t rows between <FIRST> preceding and <TAU> preceding) / sqrt(<H> * 1e0) as similarity from p"
-#: Weights of each time: the softmax with the similarity added to the logits (none yet: 0).
-WEIGHTS_AT = """
-with s as (select $k, t, tau, src, tgt, gate, (logit + coalesce(similarity, 0e0)) / <TEMP> as l from {similarity} join {logits} g using ($k, tau, src, tgt)),
-     e as (select *, exp(l - max(l) over (partition by $k, t, tgt)) * gate as e from s)
-select $k, t, tau, src, tgt, e / (sum(e) over (partition by $k, t, tgt) + 1e-12) as weight from e"""
-WEIGHT_REFERENCE = "select $k, tau, src, tgt, avg(weight) as v from {weights} where t < <SPLIT> group by $k, tau, src, tgt"
-#: Effects w * x of each edge at each time that has all lags.
-EFFECTS = """
-with x as (select $k, var as src, t as tx, z from {series}),
-     y as (select $k, t, min(t) over (partition by $k) as t0 from (select distinct $k, t from {series}) q),
-     l as (select $k, t, tau, t - tau as tx from y cross join range(1, <T> + 1) r(tau) where t - t0 >= <T>)
-select $k, t, tau, src, tgt, weight * z as effect, weight * abs(z) as strength from l join x using ($k, tx) join {weights} w using ($k, tau, src)"""
-FORECAST = "select $k, t, tgt, sum(effect) as predicted from {effects} group by $k, t, tgt"
-ERRORS = "select $k, t, s.var as tgt, z as actual, predicted, z - predicted as err from {forecast} f join (select $k, t, var, z from {series}) s using ($k, t) where s.var = f.tgt"
-REFERENCE = "select $k, tau, src, tgt, avg(strength) as ref from {effects} where t < <SPLIT> group by $k, tau, src, tgt"
 #: Values normalised over (tau, src) per target, a target without mass keeping itself at lag 1.
 #: What an edge is worth: its mean gain where it was intervened on, else the reference before, else the prior's weight, else itself.
 GAIN_REFERENCE = "select $k, tau, src, tgt, coalesce(g.positive_delta, o.v, p.weight, case when tau = 1 and src = tgt then 1e0 else 0e0 end) as v from {prior} p left join {gains} g using ($k, tau, src, tgt) left join {before} o using ($k, tau, src, tgt)"
 NORMAL = "select $k, tau, src, tgt, case when sum(greatest(v, 0e0)) over (partition by $k, tgt) > 1e-12 then greatest(v, 0e0) / sum(greatest(v, 0e0)) over (partition by $k, tgt) when tau = 1 and src = tgt then 1e0 else 0e0 end as v from {edges}"
-EMA = "select $k, tau, src, tgt, case when <BETA> <= 0 then n.v else coalesce(<BETA> * o.v + (1e0 - <BETA>) * n.v, n.v) end as v from {new} n left join (select $k, tau, src, tgt, v from {old}) o using ($k, tau, src, tgt)"
 MONITORS = """
 with a as (select $k, tau, src, tgt, greatest(w.weight, 1e-8) as p, greatest(p.weight, 1e-8) as q, w.weight as w, p.weight as r, w.gate as g, least(greatest(w.gate, 1e-4), 0.9999e0) as gc, p.gate as pg from {weights} w join (select $k, tau, src, tgt, weight, gate from {prior}) p using ($k, tau, src, tgt)),
      b as (select *, lead(g) over (partition by $k, src, tgt order by tau) as g2 from a),
@@ -52,16 +31,6 @@ select $k, sum(0.5e0 * (p * ln(p / ((p + q) / 2e0)) + q * ln(q / ((p + q) / 2e0)
        max(w) as max_weight, max(g) as max_gate, avg(w) as mean_weight, stddev_pop(w) as std_weight
 from b join n using ($k) join h using ($k) group by $k"""
 ERROR_SIZE = "with r as (select $k, t, sum(err * err) as s2, sum(abs(err)) as s1, count(*) as n from {errors} group by $k, t) select $k, sum(s1) / sum(n) as mean_abs, avg(sqrt(s2)) as mean_l2 from r group by $k"
-#: How much an edge's mean strength varies over the environments that split the time.
-ENVIRONMENTS = """
-with e as (select *, min(t) over (partition by $k) as t0, max(t) over (partition by $k) as t1 from {effects}),
-     m as (select $k, tau, src, tgt, floor((t - t0) * <N> / (t1 - t0 + 1e0)) as env, avg(strength) as v from e group by $k, tau, src, tgt, floor((t - t0) * <N> / (t1 - t0 + 1e0))),
-     s as (select $k, tau, src, tgt, var_pop(v) as v from m group by $k, tau, src, tgt)
-select $k, avg(v) as variance from s group by $k"""
-#: What each edge's loss does to the error: its source input replaced by <FILL>.
-CONTRIBUTIONS = """
-with d as (select $k, t, tau, src, tgt, abs(err + effect - w.weight * <FILL>) - abs(err) as delta from {effects} e join (select $k, t, tgt, err from {errors}) r using ($k, t, tgt) join (select $k, tau, src, tgt, weight from {weights}) w using ($k, tau, src, tgt))
-select $k, tau, src, tgt, avg(delta) as raw_delta, avg(greatest(delta, 0e0)) as positive_delta from d group by $k, tau, src, tgt"""
 ROLLUP = """
 select $k, 'lags' as part, cast(null as int) as tau, src, tgt, avg(raw_delta) as raw_mean, max(raw_delta) as raw_max, avg(positive_delta) as positive_mean, max(positive_delta) as positive_max, cast(null as double) as strength from {gains} group by $k, src, tgt
 union all select $k, 'source', tau, src, cast(null as int), null, null, null, null, sum(positive_delta) from {gains} group by $k, tau, src
@@ -91,28 +60,6 @@ def weights(prior: DataFrame, by: list[str]) -> DataFrame:
     return run(SOFTMAX, by, {"logits": logits}).join(gates, [*by, "tau", "src", "tgt"])
 
 
-def effects(series: DataFrame, edge_weights: DataFrame, by: list[str], tau_max: int) -> DataFrame:
-    return run(EFFECTS, by, {"series": series, "weights": edge_weights}, T=tau_max)
-
-
-def errors(edge_effects: DataFrame, series: DataFrame, by: list[str]) -> DataFrame:
-    """(by, t, tgt, actual, predicted, err)"""
-    return run(ERRORS, by, {"forecast": run(FORECAST, by, {"effects": edge_effects}), "series": series})
-
-
-def similarity(series: DataFrame, by: list[str], tau_max: int, width: int) -> DataFrame:
-    """(by, t, tau, src, tgt, similarity): of `width` rows that end tau rows before t, for each lag to tau_max."""
-    lags = " union all ".join(_ONE_LAG.replace("<TAU>", str(t)).replace("<FIRST>", str(t + width - 1)) for t in range(1, tau_max + 1))
-    return run(SIMILARITY.replace("<LAGS>", lags), by, {"series": series}, H=width)
-
-
-def weights_at(series: DataFrame, prior: DataFrame, by: list[str], tau_max: int, width: int) -> DataFrame:
-    """(by, t, tau, src, tgt, weight): the edges' weights at each time."""
-    gates = run(GATES, by, {"prior": prior})
-    logits = run(LOGITS, by, {"prior": prior}).drop("gate").join(gates, [*by, "tau", "src", "tgt"])
-    return run(WEIGHTS_AT, by, {"similarity": similarity(series, by, tau_max, width), "logits": logits})
-
-
 def gain_reference(gains: DataFrame, prior: DataFrame, by: list[str], sampled: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """(by, tau, src, tgt, v), normalised over (tau, src) per target; gains count for the sampled (by, tau, src) only, if given."""
     if sampled is not None:

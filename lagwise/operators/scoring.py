@@ -3,29 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.frames import sql
 from .prior import DUCK as _DUCK
 from .prior import fill
 
-#: The size of a time's errors: mean, largest, and mean of the <N> largest.
-ERROR = """
-with r as (select *, row_number() over (partition by $k, t order by abs(err) desc, tgt) as place from {errors})
-select $k, t, avg(abs(err)) as p_mean, max(abs(err)) as p_max, avg(case when place <= <N> then abs(err) end) as p_top from r group by $k, t"""
-#: Deviation of a time's normalised edge strengths from the reference: per lag, then over lags. Rows are sources.
-DEVIATION = """
-with n as (select $k, t, tau, src, tgt, case when sum(strength) over (partition by $k, t, tgt) > 1e-12 then strength / sum(strength) over (partition by $k, t, tgt) when tau = 1 and src = tgt then 1e0 else 0e0 end as v from {effects}),
-<FROM_VALUES>"""
-#: Deviation of a time's weights from the mean weights of the reference.
-WEIGHT_DEVIATION = """
-with n as (select $k, t, tau, src, tgt, weight as v from {weights}),
-<FROM_VALUES>"""
-_FROM_VALUES = """     d as (select $k, t, tau, src, tgt, v - ref as d from n join (select $k, tau, src, tgt, v as ref from {reference}) r using ($k, tau, src, tgt)),
-     w as (select $k, t, tau, src, sum(d * d) as d2, sum(abs(d)) / count(*) as row_dev, count(*) as n from d group by $k, t, tau, src),
-     o as (select *, row_number() over (partition by $k, t, tau order by row_dev desc, src) as place from w),
-     l as (select $k, t, tau, sqrt(sum(d2) / sum(n) + 1e-12) as fro, max(row_dev) as max_row, avg(case when place <= <N> then row_dev end) as top_rows from o group by $k, t, tau)
-select $k, t, avg(fro) as c_mean, max(fro) as c_max, avg(max_row) as row_mean, avg(top_rows) as top_mean from l group by $k, t"""
-DEVIATION, WEIGHT_DEVIATION = (x.replace("<FROM_VALUES>", _FROM_VALUES) for x in (DEVIATION, WEIGHT_DEVIATION))
 COMBINE = "select $k, t, p_mean as p, c_mean as c, g, <ALPHA> * c_mean + <BETA> * g as s, p_mean * (<ALPHA> * c_mean + <BETA> * g) as a from {error} e join (select $k, t, c_mean from {deviation}) d using ($k, t) join (select $k, t, c_mean as g from {weights}) h using ($k, t)"
 #: Centre (median) and scale (1.4826 times the median deviation; else the deviation; else 1) of x over the rows that fit.
 ROBUST = """
@@ -49,3 +32,22 @@ def filled(template: str, by: list[str], duck: bool = False, **values: object) -
 
 def run(template: str, by: list[str], frames: dict[str, DataFrame], **values: object) -> DataFrame:
     return sql(filled(template, by, **values), **frames)
+
+
+#: The components that are calibrated, by number.
+COMPONENTS = ("p", "c", "g")
+
+
+def calibrators(raw: DataFrame, by: list[str], fit: str) -> DataFrame:
+    """(by, component, centre, scale): robust centre and scale of each raw component of each run over the rows that `fit`; component is its place in COMPONENTS."""
+    each = ", ".join(f"named_struct('component', {i}, 'x', {c})" for i, c in enumerate(COMPONENTS))
+    long = raw.selectExpr(*by, "t", f"inline(array({each}))")
+    return run(ROBUST, [*by, "component"], {"values": long.where("x is not null")}, FIT=fit)
+
+
+def calibrated(raw: DataFrame, found: DataFrame, by: list[str], alpha: float = 1.0, beta: float = 1.0, least: float = 0.0) -> DataFrame:
+    """(by, t, p, c, g, s, a): each component by its calibrator, at least `least`; then s = alpha c + beta g and a = p s."""
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("component") == i, F.col(x))).alias(f"_{x}_{c}") for i, c in enumerate(COMPONENTS) for x in ("centre", "scale")])
+    z = raw.join(wide, by).select(*by, "t", *[F.greatest((F.col(c) - F.col(f"_centre_{c}")) / F.greatest(F.col(f"_scale_{c}"), F.lit(1e-6)), F.lit(least)).alias(c) for c in COMPONENTS])
+    s = alpha * F.col("c") + beta * F.col("g")
+    return z.withColumn("s", s).withColumn("a", F.col("p") * F.col("s"))

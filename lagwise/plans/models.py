@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import scratch, sql
 from ..operators import linear
+from ..operators import prior as pr
 from ..operators import quality as ql
+from ..operators import report as rp
 from . import fixtures as fx
 from . import forecasts as fc
+from . import priors as pq
 from . import quality as qq
 
 BY, TAU = ["entity"], 3
@@ -33,6 +36,7 @@ def applied(spark: SparkSession, d: str) -> DataFrame:
 Q["f06_ridge_values"], Q["p12_lag_graph"], Q["u01_applied_model"] = ridge, lag_graph, applied
 O["u01_applied_model"] = f"with {fx.SCALED}, w as (select entity, t, var as tgt, avg(z) over v as predicted, count(*) over v as n from scaled window v as (partition by entity, var order by t rows between {TAU} preceding and 1 preceding)) select entity, t, tgt, round(predicted, 6) + 0.0 as predicted from w where n = {TAU}"
 
+_PRIOR = "digits as (" + pr.fill(pr.DIGITISE, BY, B=pq.BINS).format(cells="full_cells") + "), bins as (select *, 0 as chunk from digits), prior as (" + pq.normal(pq.TE) + ")"
 #: Draws of edges in proportion to their gates, at even places of the running sum.
 DRAWS = """
 with g as (select $k, tau, src, sum(gate) as mass from {prior} group by $k, tau, src),
@@ -40,7 +44,7 @@ with g as (select $k, tau, src, sum(gate) as mass from {prior} group by $k, tau,
      c as (select $k, tau, src, round(sum(mass) over (partition by $k order by tau, src) / sum(mass) over (partition by $k), 10) as hi, round((sum(mass) over (partition by $k order by tau, src) - mass) / sum(mass) over (partition by $k), 10) as lo from m)
 select $k, cast(draw as bigint) as draw, cast(tau as bigint) as tau, cast(src as bigint) as src from c join range(64) r(draw) on (draw + 0.5e0) / 64e0 >= lo and (draw + 0.5e0) / 64e0 < hi"""
 Q["i03_sampled_edges"] = lambda s, d: sql(ql.text(DRAWS, BY), prior=fc.Tables(s, d).prior.withColumn("gate", F.round("gate", 10)))
-O["i03_sampled_edges"] = f"with {fc._ONE} select * from ({ql.text(DRAWS, BY).format(prior='(select entity, tau, src, tgt, round(gate, 10) as gate from prior)')}) q"
+O["i03_sampled_edges"] = f"with {fx.SCALED}{pq._FULL}, {_PRIOR} select * from ({ql.text(DRAWS, BY).format(prior='(select entity, tau, src, tgt, round(gate, 10) as gate from prior)')}) q"
 
 #: Recall of true segments whose points count by their place: more in front, at the back or in the middle.
 BIAS = """
@@ -75,13 +79,13 @@ query("q09_biased_recall", [*BY, "th"], qq_cols, lambda s, d: biased_recall(fx.s
 query("q23_classic_report", BY, ["prec", "rec", "f", "precision_at_k"], lambda s, d: sql(ql.text(CLASSIC, BY), scores=fx.scores(s, d)), ql.text(CLASSIC, BY).format(scores="scores"))
 query("q28_plain_f", [*BY, "th"], ["f"], lambda s, d: sql(ql.text(F_PLAIN, BY), affiliation=ql.affiliation(fx.scores(s, d), BY)), ql.text(F_PLAIN, BY).format(affiliation=f"({qq.AFF})"))
 
-_STACK = "select entity, component, t, y, round(score, 7) as score from ({c}) x"
-
 
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """The nine metrics of each component by itself, and of both products."""
     c = fc.combined(fc.Tables(spark, d)).select("entity", "t", F.expr("stack(5, 'P', p, 'C', c, 'G', g, 'S', s, 'A', a) as (component, score)"))
-    m = ql.rank_metrics(c.withColumn("score", F.round("score", 7)).join(fx.labels(spark, d), ["entity", "t"]), ["entity", "component"])
-    return m.select("entity", "component", *[F.round(x, 6).alias(x) for x in ("auc_roc", "auc_pr", "f1")])
+    scores = scratch(c.withColumn("score", F.round("score", 5)).join(fx.labels(spark, d), ["entity", "t"]))
+    m = ql.report(scores, ["entity", "component"])
+    return m.select("entity", "component", *[F.round(x, 6).alias(x) for x in rp.METRICS])
 
 
 Q["q27_component_quality"] = diagnostics

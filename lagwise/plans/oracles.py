@@ -19,7 +19,8 @@ EDGE = ["entity", "tau", "src", "tgt"]
 
 def put(name: str, before: str, keys: list[str], columns: list[str], body: str, digits: int = 8, whole: bool = False, zero: str = "") -> None:
     ks = ", ".join(f"cast({k} as bigint) as {k}" if whole else k for k in keys)
-    O[name] = f"with {before} select {ks}, {', '.join(f'round(cast({c} as double), {digits}){zero} as {c}' for c in columns)} from ({body}) res"
+    values = "".join(f", round(cast({c} as double), {digits}){zero} as {c}" for c in columns)
+    O[name] = f"with {before} select {ks}{values} from ({body}) res"
 
 
 # Ranks: every pair, every threshold.
@@ -238,8 +239,20 @@ def gains(name: str, fill: str = "0", where: str = "true") -> str:
 
 
 E_GAINS = f"{E_EFFECTS}, {gains('gains', where='t >= 0')}"
-E_REF = E_EFFECTS + f""", {gains('train_gains', where=fx.TRAIN)},
-worth as (select p.entity, p.tau, p.src, p.tgt, greatest(0, case when (p.tau + p.src) % 2 = 0 then g.positive_delta else p.weight end) as v from prior p left join train_gains g on g.entity = p.entity and g.tau = p.tau and g.src = p.src and g.tgt = p.tgt),
+RUNS_OF = "select * from (select distinct entity from scaled), range(1, 4) s(seed), range(1, 4) e(epoch) where not (entity = 3 and seed > 1)"
+
+
+def drawn(name: str, runs: str) -> str:
+    """(entity, seed, epoch, draw, tau, src): sixteen draws a run by the running shares of the gates' sums."""
+    return f"""{name}_mass as (select entity, tau, src, sum(round(gate, 10)) as m from prior group by all),
+{name}_even as (select x.entity, tau, src, case when (select sum(m) from {name}_mass y where y.entity = x.entity) > 1e-8 then m else 1 end as m from {name}_mass x),
+{name}_cdf as (select x.entity, x.tau, x.src, round((select sum(m) from {name}_even y where y.entity = x.entity and (y.tau, y.src) <= (x.tau, x.src)) / (select sum(m) from {name}_even y where y.entity = x.entity), 10) as hi from {name}_even x),
+{name}_u as (select r.*, d.draw, ('0x' || substr(md5(r.entity || '|' || r.seed || '|' || r.epoch || '|' || d.draw), 1, 8))::bigint / 4294967296::double as u from ({runs}) r, range(16) d(draw)),
+{name} as (select u.entity, seed, epoch, draw, c.tau, c.src from {name}_u u join {name}_cdf c on c.entity = u.entity and c.hi > u.u and not exists (select 1 from {name}_cdf k where k.entity = u.entity and k.hi > u.u and (k.tau, k.src) < (c.tau, c.src)))"""
+
+
+E_REF = E_EFFECTS + f""", {gains('train_gains', where=fx.TRAIN)}, {drawn('drawn', 'select distinct entity, 0 as seed, 0 as epoch from scaled')},
+worth as (select p.entity, p.tau, p.src, p.tgt, greatest(0, case when exists (select 1 from drawn d where d.entity = p.entity and d.tau = p.tau and d.src = p.src) then g.positive_delta else p.weight end) as v from prior p left join train_gains g on g.entity = p.entity and g.tau = p.tau and g.src = p.src and g.tgt = p.tgt),
 ref as (select w.entity, tau, src, w.tgt, case when total > 1e-12 then v / total when tau = 1 and src = w.tgt then 1 else 0 end as v from worth w join (select entity, tgt, sum(v) as total from worth group by all) s on s.entity = w.entity and s.tgt = w.tgt)"""
 
 
@@ -247,6 +260,13 @@ def edge(name: str, before: str, keys: list[str], columns: list[str], body: str)
     put(name, before, keys, columns, body, 7, True, " + 0.0")
 
 
+put("i03_drawn_edges", f"{E_WEIGHTS}, {drawn('drawn', RUNS_OF)}", ["entity", "seed", "epoch", "draw", "tau", "src"], [], "select * from drawn", whole=True)
+edge("i01_rotated_source", fx.SCALED + """,
+    p as (select entity, t, z, row_number() over (partition by entity order by t) - 1 as i from scaled where var = 2),
+    b as (select *, i // 50 as block, i % 50 as place, least(50, 720 - i // 50 * 50) as n from p)""", ["entity", "t"], ["before", "after"], "select x.entity, x.t, x.z as before, y.z as after from b x join b y on x.entity = y.entity and x.block = y.block and x.place = (y.place + 7) % y.n")
+edge("i01_permuted_source", fx.SCALED + """,
+    p as (select entity, t, z, (t // 50) as block, ('0x' || substr(md5(entity || '|' || t || '|7'), 1, 8))::bigint as u from scaled where var = 2),
+    b as (select p.*, t % 50 as place, (select count(*) from p q where q.entity = p.entity and q.block = p.block and (q.u, q.t) < (p.u, p.t)) as rank from p)""", ["entity", "t"], ["before", "after"], "select x.entity, x.t, x.z as before, y.z as after from b x join b y on x.entity = y.entity and x.block = y.block and y.rank = x.place")
 edge("f01_edge_logits", E_WEIGHTS, EDGE, ["logit"], "select * from logits")
 edge("f02_edge_gates", E_WEIGHTS, EDGE, ["gate"], "select * from gates")
 edge("f04_edge_weights", E_WEIGHTS, EDGE, ["weight", "gate"], "select * from weights")
@@ -300,16 +320,25 @@ edge("g05_weight_deviation", E_DEV, ["entity", "t"], _C, "select * from dev_g")
 E_COMB = E_DEV + """,
 comb as (select p.entity, p.t, p.p, c.c_mean as c, g.c_mean as g, (c.c_mean + g.c_mean) / 2 as s, p.p * (c.c_mean + g.c_mean) / 2 as a from (select entity, t, avg(abs(err)) as p from errors group by all) p join dev_c c on c.entity = p.entity and c.t = p.t join dev_g g on g.entity = p.entity and g.t = p.t)"""
 edge("g06_combined_score", E_COMB, ["entity", "t"], ["p", "c", "g", "s", "a"], "select * from comb")
-E_ROBUST = E_COMB + f""",
-vals as (select entity, t, round(a, 9) as x from comb),
-mid as (select entity, median(x) as centre, stddev_pop(x) as sd from vals where {fx.TRAIN} group by all),
-robust as (select entity, centre, case when mad >= 1e-6 then mad when sd >= 1e-6 then sd else 1 end as scale from (select m.entity, any_value(centre) as centre, any_value(sd) as sd, 1.4826 * median(abs(x - centre)) as mad from vals v join mid m on m.entity = v.entity where {fx.TRAIN} group by m.entity))"""
-edge("g07_robust_scale", E_ROBUST, ["entity"], ["centre", "scale"], "select * from robust")
-edge("g08_robust_z", E_ROBUST, ["entity", "t"], ["z"], "select v.entity, t, greatest((x - centre) / greatest(scale, 1e-6), -3) as z from vals v join robust r on r.entity = v.entity")
-O["g10_scored_quality"] = f"with {E_ROBUST}{fx._LABELS}, scores as (select v.entity, v.t, y, round(greatest((x - centre) / greatest(scale, 1e-6), -3), 6) as score from vals v join robust r on r.entity = v.entity join labels l on l.entity = v.entity and l.t = v.t),{RANKS} select entity, round(auc_roc, 7) as auc_roc, round(auc_pr, 7) as auc_pr, round(f1, 7) as f1 from ranks"
-_LONG = " union all ".join(f"select entity, t, '{k.upper()}' as component, round({k}, 7) as score from comb" for k in "pcgsa")
-O["q27_component_quality"] = f"with {E_COMB}{fx._LABELS}, scores as (select l.entity || '|' || component as entity, l.t, y, score from ({_LONG}) l join labels b on b.entity = l.entity and b.t = l.t),{RANKS} select cast(split_part(entity, '|', 1) as bigint) as entity, split_part(entity, '|', 2) as component, round(auc_roc, 6) as auc_roc, round(auc_pr, 6) as auc_pr, round(f1, 6) as f1 from ranks"
 
+
+def calibrated(raw: str, keys: list[str]) -> str:
+    """From raw scores (keys, t, p, c, g) to scores: centre and scale of each component over the training hours, then the products."""
+    k, on = ", ".join(keys), lambda a, b: " and ".join(f"{a}.{x} = {b}.{x}" for x in keys)
+    parts = " union all ".join(f"select {k}, t, {i} as component, {c} as x from {raw}" for i, c in enumerate("pcg"))
+    same_ = f"{on('v', 'm')} and v.component = m.component"
+    return f"""long as ({parts}),
+mid as (select {k}, component, median(x) as centre, stddev_pop(x) as sd from long where {fx.TRAIN} group by all),
+robust as (select {', '.join(f'm.{x}' for x in keys)}, m.component, any_value(centre) as centre, case when 1.4826 * median(abs(x - centre)) >= 1e-6 then 1.4826 * median(abs(x - centre)) when any_value(sd) >= 1e-6 then any_value(sd) else 1 end as scale from long v join mid m on {same_} where {fx.TRAIN} group by {', '.join(f'm.{x}' for x in keys)}, m.component),
+zs as (select v.*, greatest((x - centre) / greatest(scale, 1e-6), 0) as z from long v join robust m on {same_}),
+cal as (select a.{k.replace(', ', ', a.')}, a.t, a.z as p, b.z as c, d.z as g, b.z + d.z as s, a.z * (b.z + d.z) as a from zs a join zs b on {on('a', 'b')} and a.t = b.t join zs d on {on('a', 'd')} and a.t = d.t where a.component = 0 and b.component = 1 and d.component = 2)"""
+
+
+E_ROBUST = f"{E_COMB}, raw1 as (select entity, t, round(p, 6) as p, round(c, 6) as c, round(g, 6) as g from comb), {calibrated("raw1", ["entity"])}"
+edge("g07_robust_scale", E_ROBUST, ["entity", "component"], ["centre", "scale"], "select * from robust")
+edge("g08_robust_z", E_ROBUST, ["entity", "t"], ["p", "c", "g", "s", "a"], "select * from cal")
+O["g10_scored_quality"] = f"with {E_ROBUST}{fx._LABELS}, scores as (select v.entity, v.t, y, round(v.a, 6) as score from cal v join labels l on l.entity = v.entity and l.t = v.t),{RANKS} select entity, round(auc_roc, 7) as auc_roc, round(auc_pr, 7) as auc_pr, round(f1, 7) as f1 from ranks"
+_LONG = " union all ".join(f"select entity, t, '{k.upper()}' as component, round({k}, 5) as score from comb" for k in "pcgsa")
 # Results over runs: nine metrics of each; the affiliation's are from the text of the operator, which tests hold against integration.
 NINE = ["auc_pr", "auc_roc", "f1", "pa_f1", "event_f1", "r_f", "aff_f", "vus_roc", "vus_pr"]
 
@@ -321,8 +350,46 @@ def nine(windows: str) -> str:
 
 
 put("q26_report", f"{SLICED},{nine(WIDTHS)}", ["entity"], NINE, "select * from nine")
-_RUNS = fx.SCORES.replace("scores as (", "all_scores as (") + """,
-scores as (select entity || '|' || seed || '|' || epoch as entity, t, y, round(score * (1 + ((t * (seed + 2) * epoch) % 11) / 25::double), 6) as score from all_scores, range(1, 4) s(seed), range(1, 5) e(epoch) where not (entity = 3 and seed > 1))"""
+E_PARTS = f"{E_COMB}{fx._LABELS}, scores as (select l.entity || '|' || component as entity, l.t, y, score from ({_LONG}) l join labels b on b.entity = l.entity and b.t = l.t), {nine(WIDTHS)}"
+O["q27_component_quality"] = f"with {E_PARTS} select cast(split_part(entity, '|', 1) as bigint) as entity, split_part(entity, '|', 2) as component, {', '.join(f'round({m}, 6) as {m}' for m in NINE)} from nine"
+#: Runs: references folded epoch by epoch, one after the other.
+_SHARE = "case when sum(greatest({v}, 0)) over (partition by {k}) > 1e-12 then greatest({v}, 0) / sum(greatest({v}, 0)) over (partition by {k}) when tau = 1 and src = tgt then 1 else 0 end"
+
+
+def folded(e: int) -> str:
+    """Both references after epoch e, from those before."""
+    first = e == 1
+    before = "prior" if first else f"cls{e - 1}"
+    at = " and ".join(f"b.{x} = r.{x}" for x in ["entity", "tau", "src", "tgt", *([] if first else ["seed"])])
+    new = f"""got{e} as (select r.entity, r.seed, b.tau, b.src, b.tgt, case when exists (select 1 from drawn d where d.entity = r.entity and d.seed = r.seed and d.epoch = {e} and d.tau = b.tau and d.src = b.src) then g.positive_delta else b.{'weight' if first else 'v'} end as v
+ from (select distinct entity, seed from ({RUNS_OF})) r join {before} b on b.entity = r.entity{'' if first else ' and b.seed = r.seed'} left join gains{e} g on g.entity = r.entity and g.tau = b.tau and g.src = b.src and g.tgt = b.tgt),
+new{e} as (select entity, seed, tau, src, tgt, {_SHARE.format(v='v', k='entity, seed, tgt')} as v from got{e}),
+wnew{e} as (select entity, tau, src, tgt, avg(weight) as v from weights_at where {fx.TRAIN} and t * 3 // {fx.SPLIT} = {e - 1} group by all)"""
+    if first:
+        return new + f", cls{e} as (select * from new{e}), wref{e} as (select * from wnew{e})"
+    return new + f""", mix{e} as (select r.entity, r.seed, r.tau, r.src, r.tgt, 0.9 * b.v + 0.1 * r.v as v from new{e} r join cls{e - 1} b on {at}),
+cls{e} as (select entity, seed, tau, src, tgt, {_SHARE.format(v='v', k='entity, seed, tgt')} as v from mix{e}),
+wref{e} as (select r.entity, r.tau, r.src, r.tgt, 0.9 * b.v + 0.1 * r.v as v from wnew{e} r join wref{e - 1} b on b.entity = r.entity and b.tau = r.tau and b.src = r.src and b.tgt = r.tgt)"""
+
+
+_PARTS = ", ".join(gains(f"gains{e}", where=f"{fx.TRAIN} and e.t * 3 // {fx.SPLIT} = {e - 1}") for e in (1, 2, 3))
+E_RUNS = f"""{E_AT}, {_PARTS}, {drawn('drawn', RUNS_OF)}, {', '.join(map(folded, (1, 2, 3)))},
+cls_all as (select *, 1 as epoch from cls1 union all select *, 2 from cls2 union all select *, 3 from cls3), w_all as (select *, 1 as epoch from wref1 union all select *, 2 from wref2 union all select *, 3 from wref3)""".replace("drawn as (", "drawn_ as (", 0)
+E_RUNS = E_RUNS.replace(drawn('drawn', 'select distinct entity, 0 as seed, 0 as epoch from scaled'), drawn('drawn0', 'select distinct entity, 0 as seed, 0 as epoch from scaled')).replace("from drawn d where d.entity = p.entity", "from drawn0 d where d.entity = p.entity")
+edge("f08_weight_references", E_RUNS, [*EDGE, "epoch"], ["ref"], "select *, v as ref from w_all")
+edge("f08_gain_references", E_RUNS, [*EDGE, "seed", "epoch"], ["ref"], "select *, v as ref from cls_all")
+
+
+def run_deviation(name: str, values: str, refs: str, keys: str) -> str:
+    """Per run and time: the mean over lags of the root mean square deviation."""
+    return f"{name} as (select {keys}, t, avg(fro) as v from (select n.entity, {keys.replace('entity, ', '')}, n.t, n.tau, sqrt(avg((n.v - r.v) ** 2) + 1e-12) as fro from ({values}) n join {refs} r on r.entity = n.entity and r.tau = n.tau and r.src = n.src and r.tgt = n.tgt group by all) group by all)"
+
+
+E_RUN_SCORES = f"""{E_RUNS}, {run_deviation('run_c', _STRENGTHS, 'cls_all', 'entity, seed, epoch')}, {run_deviation('run_g', 'select entity, t, tau, src, tgt, weight as v from weights_at', 'w_all', 'entity, epoch')},
+run_p as (select entity, t, avg(abs(err)) as v from errors group by all),
+raw2 as (select c.entity, c.seed, c.epoch, c.t, round(p.v, 6) as p, round(c.v, 6) as c, round(g.v, 6) as g from run_c c join run_g g on g.entity = c.entity and g.epoch = c.epoch and g.t = c.t join run_p p on p.entity = c.entity and p.t = c.t), {calibrated("raw2", ["entity", "seed", "epoch"])}"""
+_RUNS = f"""{E_RUN_SCORES}{fx._LABELS},
+scores as (select v.entity || '|' || seed || '|' || epoch as entity, v.t, y, round(v.a, 6) as score from cal v join labels l on l.entity = v.entity and l.t = v.t)"""
 _ROUNDED = ", ".join(f"round({m}, 9) as {m}" for m in NINE)
 _MISSING = "seed = 2 and epoch = 2"
 RUNS = f"""{_RUNS},{nine("select distinct entity, 4 as win from scores")},
