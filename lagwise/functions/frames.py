@@ -2,58 +2,34 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-#: Words that may follow a table's name and are no alias of it.
-AFTER_TABLE = {"where", "group", "order", "join", "left", "right", "inner", "cross", "full", "on", "using", "union", "window", "lateral", "having", "limit"}
-_TABLE = re.compile(r"\b(from|join)\s+(\w+)\b(?=(?:\s+(\w+)\b)?)")
+#: A query, or several by name, in order: each may read those before it, the last is the result.
+Query = str | dict[str, str]
 
 
-def _steps(text: str) -> list[tuple[str, str]]:
-    """The named queries of a WITH list in their order, and the last one, without a name."""
-    out, at = [], text.index("with ") + 5
-    while True:
-        head = re.compile(r"\s*(\w+) as \(").match(text, at)
-        if head is None:
-            return [*out, ("", text[at:])]
-        depth, end = 1, head.end()
-        while depth:
-            depth += {"(": 1, ")": -1}.get(text[end], 0)
-            end += 1
-        out.append((head[1], text[head.end() : end - 1]))
-        rest = text[end:].lstrip()
-        if not rest.startswith(","):
-            return [*out, ("", rest)]
-        at = text.index(",", end) + 1
+def each(query: Query, f: Callable[[str], str]) -> Query:
+    """The query, or each of several, through f."""
+    return f(query) if isinstance(query, str) else {name: f(text) for name, text in query.items()}
 
 
-def sql(text: str, **frames: DataFrame) -> DataFrame:
-    """The query's rows; {name} in it stands for a DataFrame.
+def sql(query: Query, **frames: DataFrame) -> DataFrame:
+    """The query's rows; {name} in it stands for a DataFrame, or for the rows of a query before it.
 
-    The queries of a WITH list become DataFrames of their own: plans in which lists are nested several deep, as they are
-    when one operator's result enters the next, would not always survive the optimizer's inlining.
+    Queries by name are DataFrames of their own: nested WITH lists, as they are when one operator's result enters the
+    next, take the optimizer minutes.
     """
     spark = next(iter(frames.values())).sparkSession
     frames = dict(frames)
-
-    def named(m: re.Match) -> str:
-        if m[2] not in frames:
-            return m[0]
-        alias = "" if m[3] and m[3] not in AFTER_TABLE else f" {m[2]}"
-        return f"{m[1]} {{{m[2]}}}{alias}"
-
-    for name, step in _steps(text) if text.lstrip().startswith("with ") else [("", text)]:
-        step = _TABLE.sub(named, step)
-        used = {k: v for k, v in frames.items() if f"{{{k}}}" in step}
-        frame = spark.sql(step, **used)
-        if not name:
-            return frame
+    frame = None
+    for name, text in ({"result": query} if isinstance(query, str) else query).items():
+        frame = spark.sql(text, **{k: v for k, v in frames.items() if f"{{{k}}}" in text})
         frames[name] = frame
-    raise ValueError("a WITH list must end in a query")
+    return frame
 
 
 def scratch(df: DataFrame) -> DataFrame:

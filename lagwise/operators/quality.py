@@ -15,14 +15,14 @@ from string import Template
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import scratch, sql
+from ..functions.frames import Query, each, scratch, sql
 from . import blocks, segments
 from .ingest import finite
 from .levels import THRESHOLDS, levels
 
 
-def text(template: str, by: list[str]) -> str:
-    return Template(template).substitute(k=", ".join(by))
+def text(template: Query, by: list[str]) -> Query:
+    return each(template, lambda t: Template(t).substitute(k=", ".join(by)))
 
 
 def ranked(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
@@ -110,48 +110,47 @@ AFFILIATION = "select $k, th, avg(precision_p) as aff_precision, sum(recall_p) /
 AFFILIATION_F = "select $k, max(2e0 * aff_precision * aff_recall / (aff_precision + aff_recall + 1e-15)) as aff_f from {affiliation} group by $k"
 
 #: Volume under the surface: range AUC and AP, averaged over margins w = 0..W, at K rank thresholds.
-VUS = """
-with pts as (select $k, i, y, n, pos, seg, cast(ceil(f * (<K> - 1e0) / (n - 1e0) - 1e-9) as bigint) as k0 from {placed} where pos > 0),
-     tot as (select $k, max(n) as n, max(pos) as pos from pts group by $k),
-     sg as (select $k, seg, min(i) as s, max(i) as e, min(k0) as m0 from pts where y > 0 group by $k, seg),
-     mg as (select $k, seg, d, i from (select $k, seg, d, e + d as i from sg cross join range(1, <W> / 2 + 1) r(d) union all select $k, seg, d, s - d from sg cross join range(1, <W> / 2 + 1) r(d)) u),
-     mp as (select $k, m.seg as seg, d, i, k0, p.y as y from mg m join (select $k, i, k0, y from pts) p using ($k, i)),
-     ws as (select $k, w from {windows} cross join range(<W> + 1) r(w) where w <= win),
-     lb as (select $k, w, i, k0, least(1e0, sum(sqrt(1 - d / (w * 1e0)))) as soft from mp join ws using ($k) where 2 * d <= w and y = 0 group by $k, w, i, k0),
-     sl as (select $k, w, k0, sum(soft) as soft from lb group by $k, w, k0),
-     hp as (select $k, k0, count(*) as n_pred, sum(y) as p_in from pts group by $k, k0),
-     mm as (select $k, seg, w, min(k0) as mk from mp join ws using ($k) where 2 * d <= w group by $k, seg, w),
-     sw as (select $k, seg, w, s, e, m0 from sg join ws using ($k)),
-     sm as (select $k, seg, w, s, e, least(m0, coalesce(mk, m0)) as mk, case when lag(e) over (partition by $k, w order by s) + floor(w / 2e0) < s - floor(w / 2e0) then 1 else 0 end as cut from sw left join mm using ($k, seg, w)),
-     sc as (select $k, w, mk, sum(cut) over (partition by $k, w order by s) as grp from sm),
-     me as (select $k, w, grp, min(mk) as mk from sc group by $k, w, grp),
-     mc as (select $k, w, mk as k0, count(*) as m from me group by $k, w, mk),
-     mt as (select $k, w, count(*) as merged from me group by $k, w),
-     gr as (select $k, w, n, pos, q as k0 from tot join ws using ($k) cross join range(<K>) r(q)),
-     al as (select $k, w, n, pos, k0, sum(coalesce(n_pred, 0)) over v as npred, sum(coalesce(p_in, 0)) over v as tp_in, sum(coalesce(soft, 0e0)) over v as tp_out, sum(coalesce(m, 0)) over v as found
-            from gr left join hp using ($k, k0) left join sl using ($k, w, k0) left join mc using ($k, w, k0) window v as (partition by $k, w order by k0)),
-     rt as (select $k, w, k0, least((tp_in + tp_out) / ((pos + pos + tp_out) / 2e0), 1e0) * found / merged as tpr, (npred - tp_in - tp_out) / (n - (pos + pos + tp_out) / 2e0) as fpr, (tp_in + tp_out) / npred as prec
-            from al join mt using ($k, w)),
-     st as (select $k, w, k0, tpr, fpr, prec, coalesce(lag(tpr) over (partition by $k, w order by k0), 0e0) as tpr0, coalesce(lag(fpr) over (partition by $k, w order by k0), 0e0) as fpr0 from rt),
-     pw as (select $k, w, sum((fpr - fpr0) * (tpr + tpr0) / 2e0) + max(case when k0 = <K> - 1 then (1e0 - fpr) * (1e0 + tpr) / 2e0 end) as auc, sum((tpr - tpr0) * prec) as ap from st group by $k, w)
-"""
-VUS_MEAN = VUS + "select $k, avg(auc) as vus_roc, avg(ap) as vus_pr from pw group by $k"
-VUS_AT = VUS + "select $k, w, auc, ap from pw"
+VUS = {
+    "pts": "select $k, i, y, n, pos, seg, cast(ceil(f * (<K> - 1e0) / (n - 1e0) - 1e-9) as bigint) as k0 from {placed} where pos > 0",
+    "tot": "select $k, max(n) as n, max(pos) as pos from {pts} pts group by $k",
+    "sg": "select $k, seg, min(i) as s, max(i) as e, min(k0) as m0 from {pts} pts where y > 0 group by $k, seg",
+    "mg": "select $k, seg, d, i from (select $k, seg, d, e + d as i from {sg} sg cross join range(1, <W> / 2 + 1) r(d) union all select $k, seg, d, s - d from {sg} sg cross join range(1, <W> / 2 + 1) r(d)) u",
+    "mp": "select $k, m.seg as seg, d, i, k0, p.y as y from {mg} m join (select $k, i, k0, y from {pts} pts) p using ($k, i)",
+    "ws": "select $k, w from {windows} cross join range(<W> + 1) r(w) where w <= win",
+    "lb": "select $k, w, i, k0, least(1e0, sum(sqrt(1 - d / (w * 1e0)))) as soft from {mp} mp join {ws} ws using ($k) where 2 * d <= w and y = 0 group by $k, w, i, k0",
+    "sl": "select $k, w, k0, sum(soft) as soft from {lb} lb group by $k, w, k0",
+    "hp": "select $k, k0, count(*) as n_pred, sum(y) as p_in from {pts} pts group by $k, k0",
+    "mm": "select $k, seg, w, min(k0) as mk from {mp} mp join {ws} ws using ($k) where 2 * d <= w group by $k, seg, w",
+    "sw": "select $k, seg, w, s, e, m0 from {sg} sg join {ws} ws using ($k)",
+    "sm": "select $k, seg, w, s, e, least(m0, coalesce(mk, m0)) as mk, case when lag(e) over (partition by $k, w order by s) + floor(w / 2e0) < s - floor(w / 2e0) then 1 else 0 end as cut from {sw} sw left join {mm} mm using ($k, seg, w)",
+    "sc": "select $k, w, mk, sum(cut) over (partition by $k, w order by s) as grp from {sm} sm",
+    "me": "select $k, w, grp, min(mk) as mk from {sc} sc group by $k, w, grp",
+    "mc": "select $k, w, mk as k0, count(*) as m from {me} me group by $k, w, mk",
+    "mt": "select $k, w, count(*) as merged from {me} me group by $k, w",
+    "gr": "select $k, w, n, pos, q as k0 from {tot} tot join {ws} ws using ($k) cross join range(<K>) r(q)",
+    "al": "select $k, w, n, pos, k0, sum(coalesce(n_pred, 0)) over v as npred, sum(coalesce(p_in, 0)) over v as tp_in, sum(coalesce(soft, 0e0)) over v as tp_out, sum(coalesce(m, 0)) over v as found from {gr} gr left join {hp} hp using ($k, k0) left join {sl} sl using ($k, w, k0) left join {mc} mc using ($k, w, k0) window v as (partition by $k, w order by k0)",
+    "rt": "select $k, w, k0, least((tp_in + tp_out) / ((pos + pos + tp_out) / 2e0), 1e0) * found / merged as tpr, (npred - tp_in - tp_out) / (n - (pos + pos + tp_out) / 2e0) as fpr, (tp_in + tp_out) / npred as prec from {al} al join {mt} mt using ($k, w)",
+    "st": "select $k, w, k0, tpr, fpr, prec, coalesce(lag(tpr) over (partition by $k, w order by k0), 0e0) as tpr0, coalesce(lag(fpr) over (partition by $k, w order by k0), 0e0) as fpr0 from {rt} rt",
+    "pw": "select $k, w, sum((fpr - fpr0) * (tpr + tpr0) / 2e0) + max(case when k0 = <K> - 1 then (1e0 - fpr) * (1e0 + tpr) / 2e0 end) as auc, sum((tpr - tpr0) * prec) as ap from {st} st group by $k, w",
+}
+VUS_MEAN = {**VUS, "result": "select $k, avg(auc) as vus_roc, avg(ap) as vus_pr from {pw} group by $k"}
+VUS_AT = {**VUS, "result": "select $k, w, auc, ap from {pw}"}
 #: The same for given predictions: precision, recall and F over margins 0..W; each margin starts from the true labels.
-VUS_PRED = """
-with pts as (select $k, i, y, pred, pos, seg from {placed} where pos > 0),
-     tot as (select $k, max(pos) as pos, sum(pred) as n_pred, sum(y * pred) as tp_in from pts group by $k),
-     sg as (select $k, seg, min(i) as s, max(i) as e from pts where y > 0 group by $k, seg),
-     ws as (select w from range(<W> + 1) r(w)),
-     mg as (select $k, seg, d, i from (select $k, seg, d, e + d as i from sg cross join range(1, <W> / 2 + 1) r(d) union all select $k, seg, d, s - d from sg cross join range(1, <W> / 2 + 1) r(d)) u),
-     lb as (select $k, w, i, least(1e0, sum(sqrt(1 - d / (w * 1e0)))) as soft from mg join (select $k, i, pred, y from pts where y = 0 and pred = 1) p using ($k, i) join ws on 2 * d <= w group by $k, w, i),
-     sl as (select $k, w, sum(soft) as soft from lb group by $k, w),
-     al as (select $k, w, least((tp_in + coalesce(soft, 0e0)) / ((pos + pos + coalesce(soft, 0e0)) / 2e0), 1e0) as r, coalesce((tp_in + coalesce(soft, 0e0)) / nullif(n_pred * 1e0, 0e0), 0e0) as p from tot cross join ws left join sl using ($k, w))
-select $k, avg(r) as vus_recall, avg(p) as vus_precision, avg(case when p + r > 0 then 2e0 * p * r / (p + r) else 0e0 end) as vus_f from al group by $k"""
-
-
-def _vus(template: str, by: list[str], window: int, thresholds: int = 250) -> str:
-    return text(template.replace("<W> / 2", str(window // 2)).replace("<W>", str(window)).replace("<K>", str(thresholds)), by)
+VUS_PRED = {
+    "pts": "select $k, i, y, pred, pos, seg from {placed} where pos > 0",
+    "tot": "select $k, max(pos) as pos, sum(pred) as n_pred, sum(y * pred) as tp_in from {pts} pts group by $k",
+    "sg": "select $k, seg, min(i) as s, max(i) as e from {pts} pts where y > 0 group by $k, seg",
+    "ws": "select w from range(<W> + 1) r(w)",
+    "mg": "select $k, seg, d, i from (select $k, seg, d, e + d as i from {sg} sg cross join range(1, <W> / 2 + 1) r(d) union all select $k, seg, d, s - d from {sg} sg cross join range(1, <W> / 2 + 1) r(d)) u",
+    "lb": "select $k, w, i, least(1e0, sum(sqrt(1 - d / (w * 1e0)))) as soft from {mg} mg join (select $k, i, pred, y from {pts} pts where y = 0 and pred = 1) p using ($k, i) join {ws} ws on 2 * d <= w group by $k, w, i",
+    "sl": "select $k, w, sum(soft) as soft from {lb} lb group by $k, w",
+    "al": "select $k, w, least((tp_in + coalesce(soft, 0e0)) / ((pos + pos + coalesce(soft, 0e0)) / 2e0), 1e0) as r, coalesce((tp_in + coalesce(soft, 0e0)) / nullif(n_pred * 1e0, 0e0), 0e0) as p from {tot} tot cross join {ws} ws left join {sl} sl using ($k, w)",
+    "result": "select $k, avg(r) as vus_recall, avg(p) as vus_precision, avg(case when p + r > 0 then 2e0 * p * r / (p + r) else 0e0 end) as vus_f from {al} al group by $k",
+}
+
+
+def _vus(template: Query, by: list[str], window: int, thresholds: int = 250) -> Query:
+    return text(each(template, lambda t: t.replace("<W> / 2", str(window // 2)).replace("<W>", str(window)).replace("<K>", str(thresholds))), by)
 
 
 def rank_metrics(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:

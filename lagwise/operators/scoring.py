@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import sql
+from ..functions.frames import Query, each, sql
 from .prior import DUCK as _DUCK
 from .prior import fill
 
 COMBINE = "select $k, t, p_mean as p, c_mean as c, g, <ALPHA> * c_mean + <BETA> * g as s, p_mean * (<ALPHA> * c_mean + <BETA> * g) as a from {error} e join (select $k, t, c_mean from {deviation}) d using ($k, t) join (select $k, t, c_mean as g from {weights}) h using ($k, t)"
 #: Centre (median) and scale (1.4826 times the median deviation; else the deviation; else 1) of x over the rows that fit.
-ROBUST = """
-with m as (select $k, <MED:x> as centre, stddev_pop(x) as sd from {values} where <FIT> group by $k),
-     d as (select $k, abs(x - centre) as x, centre, sd from {values} v join m using ($k) where <FIT>),
-     s as (select $k, max(centre) as centre, max(sd) as sd, 1.4826e0 * <MED:x> as mad from d group by $k)
-select $k, centre, case when mad >= 1e-6 then mad when sd >= 1e-6 then sd else 1e0 end as scale from s"""
+ROBUST = {
+    "m": "select $k, <MED:x> as centre, stddev_pop(x) as sd from {values} where <FIT> group by $k",
+    "d": "select $k, abs(x - centre) as x, centre, sd from {values} v join {m} m using ($k) where <FIT>",
+    "s": "select $k, max(centre) as centre, max(sd) as sd, 1.4826e0 * <MED:x> as mad from {d} d group by $k",
+    "result": "select $k, centre, case when mad >= 1e-6 then mad when sd >= 1e-6 then sd else 1e0 end as scale from {s} s",
+}
 ROBUST_Z = "select $k, t, greatest((x - centre) / greatest(scale, 1e-6), <CLIP>) as z from {values} v join {robust} r using ($k)"
 TIMELINE = "select $k, t, s.score as score from {times} q left join (select $k, win + <L> - 1 as t, score from {windows}) s using ($k, t)"
 THREE_SIGMA = "select $k, t, score > avg(score) over (partition by $k) + 3e0 * stddev_pop(score) over (partition by $k) as above from {scores}"
@@ -25,12 +26,12 @@ THREE_SIGMA_OF = "select $k, t, score >= mu + 3e0 * sd as above from {scores} s
 PADDED = "select $k, t, coalesce(s.score, 0e0) as score from {times} q left join (select $k, t + cast(ceil(<W> / 2e0) as int) as t, score from {scores}) s using ($k, t)"
 
 
-def filled(template: str, by: list[str], duck: bool = False, **values: object) -> str:
+def filled(template: Query, by: list[str], duck: bool = False, **values: object) -> Query:
     median = "quantile_cont(x, 0.5)" if duck else "percentile(x, 0.5)"
-    return fill(template.replace("<MED:x>", median), by, _DUCK if duck else {}, **values)
+    return fill(each(template, lambda t: t.replace("<MED:x>", median)), by, _DUCK if duck else {}, **values)
 
 
-def run(template: str, by: list[str], frames: dict[str, DataFrame], **values: object) -> DataFrame:
+def run(template: Query, by: list[str], frames: dict[str, DataFrame], **values: object) -> DataFrame:
     return sql(filled(template, by, **values), **frames)
 
 

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import scratch, sql
 from ..operators import linear
-from ..operators import prior as pr
 from ..operators import quality as ql
 from ..operators import report as rp
 from . import fixtures as fx
 from . import forecasts as fc
-from . import priors as pq
 from . import quality as qq
 
 BY, TAU = ["entity"], 3
@@ -36,21 +34,21 @@ def applied(spark: SparkSession, d: str) -> DataFrame:
 Q["f06_ridge_values"], Q["p12_lag_graph"], Q["u01_applied_model"] = ridge, lag_graph, applied
 O["u01_applied_model"] = f"with {fx.SCALED}, w as (select entity, t, var as tgt, avg(z) over v as predicted, count(*) over v as n from scaled window v as (partition by entity, var order by t rows between {TAU} preceding and 1 preceding)) select entity, t, tgt, round(predicted, 6) + 0.0 as predicted from w where n = {TAU}"
 
-_PRIOR = "digits as (" + pr.fill(pr.DIGITISE, BY, B=pq.BINS).format(cells="full_cells") + "), bins as (select *, 0 as chunk from digits), prior as (" + pq.normal(pq.TE) + ")"
 #: Draws of edges in proportion to their gates, at even places of the running sum.
-DRAWS = """
-with g as (select $k, tau, src, sum(gate) as mass from {prior} group by $k, tau, src),
-     m as (select $k, tau, src, case when sum(mass) over (partition by $k) > 0 then mass else 1e0 end as mass from g),
-     c as (select $k, tau, src, round(sum(mass) over (partition by $k order by tau, src) / sum(mass) over (partition by $k), 10) as hi, round((sum(mass) over (partition by $k order by tau, src) - mass) / sum(mass) over (partition by $k), 10) as lo from m)
-select $k, cast(draw as bigint) as draw, cast(tau as bigint) as tau, cast(src as bigint) as src from c join range(64) r(draw) on (draw + 0.5e0) / 64e0 >= lo and (draw + 0.5e0) / 64e0 < hi"""
+DRAWS = {
+    "g": "select $k, tau, src, sum(gate) as mass from {prior} group by $k, tau, src",
+    "m": "select $k, tau, src, case when sum(mass) over (partition by $k) > 0 then mass else 1e0 end as mass from {g} g",
+    "c": "select $k, tau, src, round(sum(mass) over (partition by $k order by tau, src) / sum(mass) over (partition by $k), 10) as hi, round((sum(mass) over (partition by $k order by tau, src) - mass) / sum(mass) over (partition by $k), 10) as lo from {m} m",
+    "result": "select $k, cast(draw as bigint) as draw, cast(tau as bigint) as tau, cast(src as bigint) as src from {c} c join range(64) r(draw) on (draw + 0.5e0) / 64e0 >= lo and (draw + 0.5e0) / 64e0 < hi",
+}
 Q["i03_sampled_edges"] = lambda s, d: sql(ql.text(DRAWS, BY), prior=fc.Tables(s, d).prior.withColumn("gate", F.round("gate", 10)))
-O["i03_sampled_edges"] = f"with {fx.SCALED}{pq._FULL}, {_PRIOR} select * from ({ql.text(DRAWS, BY).format(prior='(select entity, tau, src, tgt, round(gate, 10) as gate from prior)')}) q"
 
 #: Recall of true segments whose points count by their place: more in front, at the back or in the middle.
-BIAS = """
-with w as (select $k, seg, nb, i - s + 1 as q, len from {points} p join (select $k, seg, min(i) as s, count(*) as len from {points} where y > 0 group by $k, seg) g using ($k, seg)),
-b as (select *, len - q + 1e0 as front, q * 1e0 as back, case when q <= len / 2e0 then q * 1e0 else len - q + 1e0 end as middle from w)
-select $k, seg, nb - 1 as th, sum(front) / (len * (len + 1) / 2e0) as front, sum(back) / (len * (len + 1) / 2e0) as back, sum(middle) as middle, sum(middle) / max(total) as part from b join (select $k, seg, sum(middle) as total from b group by $k, seg) t using ($k, seg) group by $k, seg, nb, len"""
+BIAS = {
+    "w": "select $k, seg, nb, i - s + 1 as q, len from {points} p join (select $k, seg, min(i) as s, count(*) as len from {points} where y > 0 group by $k, seg) g using ($k, seg)",
+    "b": "select *, len - q + 1e0 as front, q * 1e0 as back, case when q <= len / 2e0 then q * 1e0 else len - q + 1e0 end as middle from {w} w",
+    "result": "select $k, seg, nb - 1 as th, sum(front) / (len * (len + 1) / 2e0) as front, sum(back) / (len * (len + 1) / 2e0) as back, sum(middle) as middle, sum(middle) / max(total) as part from {b} b join (select $k, seg, sum(middle) as total from {b} b group by $k, seg) t using ($k, seg) group by $k, seg, nb, len",
+}
 
 
 def biased_recall(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -76,7 +74,7 @@ def query(name: str, keys: list[str], columns: list[str], run, body: str) -> Non
 
 
 query("q09_biased_recall", [*BY, "th"], qq_cols, lambda s, d: biased_recall(fx.scores(s, d), BY), "select null")
-query("q23_classic_report", BY, ["prec", "rec", "f", "precision_at_k"], lambda s, d: sql(ql.text(CLASSIC, BY), scores=fx.scores(s, d)), ql.text(CLASSIC, BY).format(scores="scores"))
+query("q23_classic_report", BY, ["prec", "rec", "f", "precision_at_k"], lambda s, d: sql(ql.text(CLASSIC, BY), scores=fx.scores(s, d)), "select null")
 query("q28_plain_f", [*BY, "th"], ["f"], lambda s, d: sql(ql.text(F_PLAIN, BY), affiliation=ql.affiliation(fx.scores(s, d), BY)), ql.text(F_PLAIN, BY).format(affiliation=f"({qq.AFF})"))
 
 

@@ -260,6 +260,9 @@ def edge(name: str, before: str, keys: list[str], columns: list[str], body: str)
     put(name, before, keys, columns, body, 7, True, " + 0.0")
 
 
+put("i03_sampled_edges", f"""{E_WEIGHTS}, sums as (select entity, tau, src, sum(round(gate, 10)) as m from prior group by all),
+cdf as (select x.entity, x.tau, x.src, round((select sum(m) from sums y where y.entity = x.entity and (y.tau, y.src) <= (x.tau, x.src)) / (select sum(m) from sums y where y.entity = x.entity), 10) as hi from sums x)""", ["entity", "draw", "tau", "src"], [],
+    "select c.entity, draw, tau, src from cdf c join range(64) r(draw) on c.hi > (draw + 0.5) / 64::double and not exists (select 1 from cdf k where k.entity = c.entity and k.hi > (draw + 0.5) / 64::double and (k.tau, k.src) < (c.tau, c.src))", whole=True)
 put("i03_drawn_edges", f"{E_WEIGHTS}, {drawn('drawn', RUNS_OF)}", ["entity", "seed", "epoch", "draw", "tau", "src"], [], "select * from drawn", whole=True)
 edge("i01_rotated_source", fx.SCALED + """,
     p as (select entity, t, z, row_number() over (partition by entity order by t) - 1 as i from scaled where var = 2),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import prior as pr
 from ..operators import windows
-from ..operators.quality import text
 from . import fixtures as fx
 
 BY = ["entity"]
@@ -27,33 +26,17 @@ def bins(spark: SparkSession, d: str) -> DataFrame:
     return windows.cut_chunks(pr.digitise(c, BY, BINS), windows.chunk_bounds(c, BY, [0.0, 0.3, 0.6, 1.0], 200, TAU), BY)
 
 
-_FULL = ", full_cells as (select entity, t, var, coalesce(x, 0) as x from cells)"
-_BINNED = _FULL + ", digits as (" + pr.fill(pr.DIGITISE, BY, B=BINS).format(cells="full_cells") + "), " + """
-chunks as (select entity, i as chunk, cast(floor(share * (720 - 200)) as bigint) as s, cast(floor(share * (720 - 200)) + 199 as bigint) as e from (select distinct entity from ev) k, (values (0, 0.0::double), (1, 0.3::double), (2, 0.6::double), (3, 1.0::double)) c(i, share)),
-bins as (select d.*, k.chunk from digits d join chunks k on d.entity = k.entity and d.t between k.s and k.e)"""
-BEFORE = fx.CELLS + _BINNED
-TE = pr.fill(pr.ENTROPY, BY, pr.DUCK, T=TAU).format(bins="bins")
-CONF = pr.fill(pr.CONFOUNDERS, BY, pr.DUCK).format(te=f"({TE})")
-COND = pr.fill(pr.CONDITIONAL, BY, pr.DUCK, T=TAU, B=BINS, Z=BINS // 2).format(bins="bins", confounders=f"({CONF})")
-CTE = text(pr.TWO_STAGE, BY).format(te=f"({TE})", conditional=f"({COND})")
-
-
-def normal(te: str, variables: str = "(select distinct entity, var from bins)") -> str:
-    return pr.fill(pr.NORMALISE, BY, pr.DUCK, T=TAU, MIN="0e0", SELF="2.5e-1").format(te=f"({te})", variables=variables)
-
-
-def query(name: str, keys: list[str], columns: list[str], run, body: str, before: str = BEFORE) -> None:
+def query(name: str, keys: list[str], columns: list[str], run) -> None:
     Q[name] = lambda spark, d: run(spark, d).select(*[F.col(k).cast("bigint").alias(k) for k in keys], *[F.round(F.col(c).cast("double"), 8).alias(c) for c in columns])
-    O[name] = f"with {before} select {', '.join(f'cast({k} as bigint) as {k}' for k in keys)}, {', '.join(f'round(cast({c} as double), 8) as {c}' for c in columns)} from ({body}) res"
 
 
-query("p01_bin_edges", ["entity", "var", "edge"], ["x"], lambda s, d: pr.bin_edges(fx.cells(s, d), BY, BINS), pr.fill(pr.EDGES, BY, B=BINS).format(cells="cells"), fx.CELLS)
-query("p02_digitise", ["entity", "var", "t"], ["b"], lambda s, d: pr.digitise(fx.cells(s, d).fillna({"x": 0}), BY, BINS), "select * from digits")
-query("p03_transfer_entropy", _EDGE, ["te"], lambda s, d: pr.transfer_entropy(bins(s, d), BY, TAU), TE)
-query("p05_confounders", ["entity", "src", "tgt", "z"], ["score"], lambda s, d: pr.confounders(pr.transfer_entropy(bins(s, d), BY, TAU), BY), CONF)
-query("p04_conditional_entropy", _EDGE, ["te"], lambda s, d: pr.conditional_entropy(bins(s, d), pr.confounders(pr.transfer_entropy(bins(s, d), BY, TAU), BY), BY, TAU, BINS), COND)
-query("p06_conditional_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("cte", bins(s, d), BY, TAU, BINS), normal(CTE))
-query("p07_entropy_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("te", bins(s, d), BY, TAU), normal(TE))
+query("p01_bin_edges", ["entity", "var", "edge"], ["x"], lambda s, d: pr.bin_edges(fx.cells(s, d), BY, BINS))
+query("p02_digitise", ["entity", "var", "t"], ["b"], lambda s, d: pr.digitise(fx.cells(s, d).fillna({"x": 0}), BY, BINS))
+query("p03_transfer_entropy", _EDGE, ["te"], lambda s, d: pr.transfer_entropy(bins(s, d), BY, TAU))
+query("p05_confounders", ["entity", "src", "tgt", "z"], ["score"], lambda s, d: pr.confounders(pr.transfer_entropy(bins(s, d), BY, TAU), BY))
+query("p04_conditional_entropy", _EDGE, ["te"], lambda s, d: pr.conditional_entropy(bins(s, d), pr.confounders(pr.transfer_entropy(bins(s, d), BY, TAU), BY), BY, TAU, BINS))
+query("p06_conditional_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("cte", bins(s, d), BY, TAU, BINS))
+query("p07_entropy_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("te", bins(s, d), BY, TAU))
 #: A graph of the entropies: strong edges are arrows, middling ones ambiguous, some without a lag.
 _GRAPH = "select entity, src, tgt, case when (src + tgt) % 3 = 0 and tau = 1 then 0 else tau end as lag, case when te > 0.4 then '-->' when te > 0.2 then 'o-o' when te > 0.1 then 'x-x' else '' end as edge_type, te as val from {te}"
 
@@ -64,10 +47,9 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
     return sql(_GRAPH, te=pr.transfer_entropy(bins(spark, d), BY, TAU).withColumn("te", F.round("te", 10)))
 
 
-_NO = "select null"
-query("p11_graph_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.from_graph(graph(s, d), bins(s, d).select("entity", "var").distinct(), BY, TAU), _NO)
-query("p13_built_from_graph", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("graph", graph(s, d), BY, TAU), _NO)
-query("p15_density", ["entity", "directed", "ambiguous", "empty"], [], lambda s, d: pr.density(pr.from_graph(graph(s, d), bins(s, d).select("entity", "var").distinct(), BY, TAU), BY), _NO)
+query("p11_graph_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.from_graph(graph(s, d), bins(s, d).select("entity", "var").distinct(), BY, TAU))
+query("p13_built_from_graph", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("graph", graph(s, d), BY, TAU))
+query("p15_density", ["entity", "directed", "ambiguous", "empty"], [], lambda s, d: pr.density(pr.from_graph(graph(s, d), bins(s, d).select("entity", "var").distinct(), BY, TAU), BY))
 
 
 def driven(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +72,9 @@ def driven_te(spark: SparkSession, d: str) -> DataFrame:
     return pr.transfer_entropy(driven(spark, d), BY, 2)
 
 
-query("p05_driven_confounders", ["entity", "src", "tgt", "z"], ["score"], lambda s, d: pr.confounders(driven_te(s, d), BY), _NO)
-query("p04_driven_conditional_entropy", _EDGE, ["te"], lambda s, d: pr.conditional_entropy(driven(s, d), pr.confounders(driven_te(s, d), BY), BY, 2, 4), _NO)
-query("p06_driven_conditional_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("cte", driven(s, d), BY, 2, 4), _NO)
+query("p05_driven_confounders", ["entity", "src", "tgt", "z"], ["score"], lambda s, d: pr.confounders(driven_te(s, d), BY))
+query("p04_driven_conditional_entropy", _EDGE, ["te"], lambda s, d: pr.conditional_entropy(driven(s, d), pr.confounders(driven_te(s, d), BY), BY, 2, 4))
+query("p06_driven_conditional_prior", _EDGE, ["raw", "weight", "gate"], lambda s, d: pr.build("cte", driven(s, d), BY, 2, 4))
 
 
 def reuse(spark: SparkSession, d: str) -> DataFrame:
