@@ -181,6 +181,8 @@ def dealt(docs: DataFrame, bits: np.ndarray, heavy: dict[str, set[bytes]], group
 
     def rows(lang: str, ids: Ids, arrays: list[np.ndarray]) -> Iterator[tuple[str, int, bytes, bytes]]:
         found = suffixes(np.concatenate(arrays))
+        if not len(found):
+            return
         g = prefix_groups(found, np.array(ids.keys_, np.uint64), np.array(ids.is_heavy), groups)
         found, counts, g = counted(found, np.ones(len(found), np.int64), g)
         cuts = np.flatnonzero(np.diff(g, prepend=-1))
