@@ -13,20 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import listed, sql
+from .edge_arrays import lag_values
 
 
 def lag_frames(series: DataFrame, by: list[str], tau_max: int, n_vars: int, value: str = "z") -> DataFrame:
-    """(by, t, x): x holds the n_vars values at t, then those at t - 1, ..., t - tau_max."""
-    k = listed(by)
-    return sql(
-        f"""
-        with f as (select {k}, t, transform(array_sort(collect_list(struct(var, {value} as v))), s -> s.v) as xs from {{series}} group by {k}, t),
-             w as (select {k}, t, collect_list(xs) over (partition by {k} order by t rows between {tau_max} preceding and current row) as ws from f where size(xs) = {n_vars})
-        select {k}, t, flatten(reverse(ws)) as x from w where size(ws) = {tau_max + 1}
-        """,
-        series=series,
-    )
+    """(by, t, x): x holds the n_vars values at t, then those at t - 1, ..., t - tau_max; series are cut into blocks."""
+    return lag_values(series, by, tau_max, value).where(F.size("x") == n_vars * (tau_max + 1))
 
 
 def gram(frames: DataFrame, by: list[str], size: int) -> DataFrame:
@@ -81,6 +73,34 @@ def ridge(series: DataFrame, by: list[str], tau_max: int, n_vars: int, penalty:
     return _per_series(gram(lag_frames(series, by, tau_max, n_vars), by, n_vars * (tau_max + 1) + 1), by, "tau int, src int, tgt int, value double", solve)
 
 
+def weighted_ridge(series: DataFrame, weights: DataFrame, by: list[str], tau_max: int, n_vars: int, penalty: float = 1.0) -> DataFrame:
+    """(by, tau, src, tgt, value): coefficients of each target's regression on its lagged inputs times their weights.
+
+    weights are (by, tau, src, tgt, weight). All targets share the series' Gram matrix G of the plain inputs: target i
+    solves with D G D, where D holds its weights. An edge without weight has value 0.
+    """
+
+    def solve(key: tuple, sums: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if not len(sums):
+            return pd.DataFrame({c: [] for c in ("tau", "src", "tgt", "value", *by)})
+        g, lagged = _square(sums), np.arange(n_vars, n_vars * (tau_max + 1))
+        keep = np.append(lagged, len(g) - 1)
+        w = np.zeros((n_vars, len(lagged)))
+        w[edges["tgt"], (edges["tau"] - 1) * n_vars + edges["src"]] = edges["weight"]
+        rows = []
+        for t in range(n_vars):
+            d = np.append(w[t], 1.0)
+            a = d[:, None] * g[np.ix_(keep, keep)] * d + np.diag([penalty] * len(lagged) + [0.0])
+            beta = np.linalg.solve(a + 1e-12 * np.eye(len(a)), d * g[keep, t])
+            rows += [(int(k // n_vars) + 1, int(k % n_vars), t, float(beta[k]) if w[t, k] else 0.0, *key) for k in range(len(lagged))]
+        return pd.DataFrame(rows, columns=["tau", "src", "tgt", "value", *by])
+
+    sums = gram(lag_frames(series, by, tau_max, n_vars), by, n_vars * (tau_max + 1) + 1)
+    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in by)
+    edges = weights.select(*by, "tau", "src", "tgt", "weight")
+    return sums.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(solve, f"tau int, src int, tgt int, value double, {kinds}")
+
+
 def _partial(c: np.ndarray, i: int, j: int, given: list[int]) -> float:
     """Correlation of i and j given others, from a covariance matrix."""
     keep = [i, j, *given]

@@ -21,6 +21,12 @@ def ridge(spark: SparkSession, d: str) -> DataFrame:
     return linear.ridge(fx.scaled(spark, d), BY, TAU, fx.VARS)
 
 
+def weighted_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the edges' inputs times their weights."""
+    t = fc.Tables(spark, d)
+    return linear.weighted_ridge(t.series, t.weights, BY, TAU, fx.VARS)
+
+
 def lag_graph(spark: SparkSession, d: str) -> DataFrame:
     return linear.lag_graph(fx.scaled(spark, d), BY, TAU, fx.VARS)
 
@@ -31,6 +37,7 @@ def applied(spark: SparkSession, d: str) -> DataFrame:
     return linear.apply_model(frames, BY, lambda x: x.reshape(len(x), TAU + 1, fx.VARS)[:, 1:].mean(axis=1), fx.VARS).select("entity", "t", "tgt", (F.round("predicted", 6) + 0.0).alias("predicted"))
 
 
+Q["f06_weighted_values"] = weighted_ridge
 Q["f06_ridge_values"], Q["p12_lag_graph"], Q["u01_applied_model"] = ridge, lag_graph, applied
 O["u01_applied_model"] = f"with {fx.SCALED}, w as (select entity, t, var as tgt, avg(z) over v as predicted, count(*) over v as n from scaled window v as (partition by entity, var order by t rows between {TAU} preceding and 1 preceding)) select entity, t, tgt, round(predicted, 6) + 0.0 as predicted from w where n = {TAU}"
 

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagwise.operators import blocks, ingest, levels, quality, segments, windows
+from lagwise.operators import blocks, draws, edge_arrays, ingest, levels, linear, quality, segments, windows
 
 BY = ["k"]
 
@@ -140,3 +141,48 @@ def test_one_long_series_uses_all_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(parts) == 4 and max(r["count"] for r in parts) < 120_000 and sum(r["count"] for r in parts) == 199_998
+
+
+def test_weighted_fit_against_least_squares(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((60, 2))
+    series = spark.createDataFrame([("a", v, t, float(x[t, v])) for t in range(60) for v in (0, 1)], "k string, var int, t long, z double")
+    w = {(u, s, g): float(r.random()) for u in (1, 2) for s in (0, 1) for g in (0, 1)}
+    w[2, 1, 0] = 0.0
+    edges = spark.createDataFrame([("a", *e, v) for e, v in w.items()], "k string, tau int, src int, tgt int, weight double")
+    got = {(e["tau"], e["src"], e["tgt"]): e["value"] for e in linear.weighted_ridge(series, edges, BY, 2, 2).collect()}
+    places = [(1, 0), (1, 1), (2, 0), (2, 1)]
+    for g in (0, 1):
+        a = np.column_stack([*[w[u, s, g] * x[2 - u : 60 - u, s] for u, s in places], np.ones(58)])
+        beta = np.linalg.solve(a.T @ a + np.diag([1.0] * 4 + [0.0]), a.T @ x[2:, g])
+        assert all(got[u, s, g] == pytest.approx(beta[i] if w[u, s, g] else 0, abs=1e-8) for i, (u, s) in enumerate(places))
+
+
+def test_references_fold_over_ten_batches(spark):
+    r = np.random.default_rng(7)
+    steps = [[None if r.random() < 0.3 else float(r.random()) for _ in range(4)] for _ in range(10)]
+    start = [0.1, 0.2, 0.3, 0.4]
+    df = spark.createDataFrame([("a", 1, start, [(e + 1, a) for e, a in reversed(list(enumerate(steps)))])], "k string, tgt int, start array<double>, steps array<struct<epoch:int,a:array<double>>>")
+    share = lambda a: np.maximum(a, 0) / np.maximum(a, 0).sum()
+    for normalised in (False, True):
+        got = {x["epoch"]: x["ref"] for x in edge_arrays.fold(df, BY, 0.9, normalised).collect()}
+        ref = np.array(start)
+        for e, a in enumerate(steps):
+            new = np.array([o if b is None else b for o, b in zip(ref, a, strict=True)])
+            new = share(new) if normalised else new
+            ref = new if e == 0 else 0.9 * ref + 0.1 * new
+            ref = share(ref) if normalised and e else ref
+            assert got[e + 1] == pytest.approx(ref.tolist())
+
+
+def test_draws_follow_the_gates(spark):
+    prior = spark.createDataFrame([("a", 1, 0, 0, 0.6), ("a", 1, 1, 0, 0.3), ("a", 2, 0, 0, 0.0), ("a", 2, 1, 0, 0.1), ("b", 1, 0, 0, 0.0), ("b", 1, 1, 0, 0.0)], "k string, tau int, src int, tgt int, gate double")
+    runs = spark.createDataFrame([("a", 1), ("b", 1)], "k string, seed int")
+    got = [(x["k"], x["tau"], x["src"]) for x in draws.sampled_edges(prior, runs, BY, ["seed"], 4000).collect()]
+    rate = lambda *e: got.count(e) / 4000
+    assert abs(rate("a", 1, 0) - 0.6) < 0.04 and abs(rate("a", 1, 1) - 0.3) < 0.04 and abs(rate("a", 2, 1) - 0.1) < 0.03 and rate("a", 2, 0) == 0
+    assert abs(rate("b", 1, 0) - 0.5) < 0.04
+    series = spark.createDataFrame([("a", t, float(t)) for t in range(23)], "k string, t long, z double")
+    out = sorted((x["t"], x["before"], x["after"]) for x in draws.permuted(series, BY, 10, 5, size=4).collect())
+    assert [b for _, b, _ in out] == list(range(23)) and out != [(t, t, t) for t in range(23)]
+    assert all(sorted(a for t, _, a in out if t // 10 == k) == [t for t in range(23) if t // 10 == k] for k in range(3))
