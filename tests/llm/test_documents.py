@@ -6,6 +6,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import xxhash
 
@@ -155,7 +156,6 @@ def test_simhash_components(spark):
 
 
 def test_long_lists_and_long_chains(spark):
-    import numpy as np
 
     r = np.random.default_rng(5)
     values = np.unique(r.integers(0, 4096, 1500)).astype(np.int64)
@@ -393,7 +393,6 @@ def test_toxicity_held_out(spark):
 
 def test_label_model_finds_planted_rates():
     """Voters with known rates in two classes, one of them cast three times over: rates, prior and posteriors come back."""
-    import numpy as np
 
     r = np.random.default_rng(11)
     n, prior = 40_000, 0.2
