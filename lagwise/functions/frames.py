@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: A query, or several by name, in order: each may read those before it, the last is the result.
 Query = str | dict[str, str]
@@ -32,16 +32,21 @@ def sql(query: Query, **frames: DataFrame) -> DataFrame:
     return frame
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """The rows as a table in spark.checkpoint.dir, which the driver and all executors share: cuts the lineage, so that many readers cost one run."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir, which the driver and all executors share; in local mode one of its own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{tempfile.gettempdir()}/lagwise-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
-    path = f"{found.rstrip('/')}/series-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: cuts the lineage, so that many readers cost one run."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/series-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

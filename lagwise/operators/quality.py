@@ -60,6 +60,11 @@ def points(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFra
     return placed.select(*by, "t", "i", "y", "score", "seg", "n", F.expr(_LEVEL).alias("nb"))
 
 
+def predicted_points(preds: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """Points of given predictions instead of a sweep: those with pred 1 are predicted at threshold 0, none above it."""
+    return places(preds.select(*by, "t", "y", "pred"), by, size).select(*by, "t", "i", "y", "seg", "n", F.col("pred").cast("int").alias("nb"))
+
+
 def at_thresholds(changes: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by, th, columns) for each threshold from the changes at it: what a change adds holds from its threshold down."""
     grid = changes.select(*by).distinct().withColumn("th", F.explode(F.sequence(F.lit(0), F.lit(THRESHOLDS - 1))))
@@ -192,7 +197,15 @@ def range_scores(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> D
     A predicted segment's precision holds for the thresholds in which it lives. A true segment's hits and predicted
     pieces change only at its points' levels: at a point's level a hit comes, and a piece where the point before is lower.
     """
-    pts = scratch(points(scores, by, size))
+    return _range_scores(scratch(points(scores, by, size)), by, size)
+
+
+def range_scores_of_predictions(preds: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """The same of given predictions `pred` (0/1); series without a predicted or a positive point are left out."""
+    return _range_scores(scratch(predicted_points(preds, by, size)), by, size).where("th = 0").drop("th")
+
+
+def _range_scores(pts: DataFrame, by: list[str], size: int) -> DataFrame:
     runs = levels(pts, by, ("run",), size).selectExpr(*by, "lo", "hi", "hits / ((e - s + 1) * 1e0) / greatest(card, 1) as v")
     change = runs.selectExpr(*by, "inline(array(struct(hi as th, v as v, 1 as n_pred), struct(lo - 1 as th, -v as v, -1 as n_pred)))")
     found = at_thresholds(change, by, ["v", "n_pred"])
@@ -229,7 +242,10 @@ def affiliation_changes(scores: DataFrame, by: list[str], size: int = blocks.SIZ
     two), and of recall if it is in the event. A gap between predictions adds the integral of recall over the event's
     part in it, towards the nearer end; a gap that leaves a zone has one end there.
     """
-    pts = scratch(points(scores, by, size))
+    return _affiliation_changes(scratch(points(scores, by, size)), by, size)
+
+
+def _affiliation_changes(pts: DataFrame, by: list[str], size: int) -> tuple[DataFrame, DataFrame]:
     zs = scratch(zones(pts, by, size))
     near = blocks.nearest_known(pts.select(*by, "i", "y", "nb", "seg"), by, F.expr("case when y > 0 then struct(i, seg) end"), "i", size)
     near = near.where("_before is not null or _after is not null")
@@ -284,6 +300,29 @@ def affiliation_f(scores: DataFrame, by: list[str]) -> DataFrame:
     return sql(text(AFFILIATION_F, by), affiliation=affiliation(scores, by))
 
 
+def affiliation_of_predictions(preds: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """(by, aff_precision, aff_recall, aff_f) of given predictions `pred` (0/1).
+
+    Series without a positive label are left out; without a predicted point the recall is 0, the precision and F are NULL.
+    """
+    zs, changes = _affiliation_changes(scratch(predicted_points(preds, by, size)), by, size)
+    found = sql(text(AFFILIATION, by), values=_zone_values(zs, changes, by), zones=zs).where("th = 0").drop("th")
+    out = zs.select(*by).distinct().join(found, by, "left").withColumn("aff_recall", F.coalesce("aff_recall", F.lit(0.0)))
+    return out.withColumn("aff_f", F.expr("2e0 * aff_precision * aff_recall / nullif(aff_precision + aff_recall, 0e0)"))
+
+
+def batch_affiliation(events: DataFrame, truth: str = "groundtruth", size: int = blocks.SIZE) -> DataFrame:
+    """(dataset, algorithm, aff_precision, aff_recall, aff_f): each algorithm's 0/1 series (dataset, algorithm, t, y) against the dataset's `truth`.
+
+    The truth's times count: where an algorithm has none of them, it predicts nothing there.
+    """
+    keys = ["dataset", "algorithm"]
+    real = events.where(F.col("algorithm") == truth).select("dataset", "t", "y")
+    others = events.where(F.col("algorithm") != truth).select(*keys, "t", F.col("y").alias("pred"))
+    grid = real.join(others.select(*keys).distinct(), "dataset").join(others, [*keys, "t"], "left").na.fill(0, ["pred"])
+    return affiliation_of_predictions(grid, keys, size)
+
+
 def windows(scores: DataFrame, by: list[str], window: int | DataFrame) -> tuple[DataFrame, int]:
     """(by, win) of each series and the largest: a fixed number, or a table such as evaluation_windows() gives."""
     if isinstance(window, int):
@@ -310,6 +349,38 @@ def range_auc(scores: DataFrame, by: list[str], window: int | DataFrame = 20, th
     return sql(_vus(VUS_AT, by, most, thresholds), placed=_ranked_places(scores, by), windows=table)
 
 
+def range_auc_of_share(scores: DataFrame, by: list[str], share: float = 0.2, thresholds: int = 250, size: int = blocks.SIZE) -> DataFrame:
+    """(by, auc, ap): range AUC and AP with margins whose width is a share of each segment's own length, rounded down.
+
+    Margins are those of segments.soft_labels_from_end(). A segment is one of the raw labels; it is found at a threshold
+    if a point of it or of its margins is predicted. Only margins are multiplied out, never points by thresholds.
+    """
+    pts = _ranked_places(scores, by, size).where("pos > 0")
+    pts = pts.withColumn("k", F.expr(f"cast(ceil(f * ({thresholds} - 1e0) / greatest(n - 1e0, 1e0) - 1e-9) as int)")).select(*by, "i", "y", "seg", "n", "pos", "k")
+    segs = pts.where("y > 0").groupBy(*by, "seg").agg(F.min("i").alias("s"), F.max("i").alias("e"), F.min("k").alias("own"))
+    segs = segs.withColumn("w", F.floor((F.col("e") - F.col("s") + 1) * F.lit(share)))
+    margins = segs.where("w > 0").select(*by, "seg", "s", "e", "w", F.explode(F.expr("concat(sequence(s - w, s - 1), sequence(e, e + w - 1))")).alias("i"))
+    margins = scratch(margins.join(pts.select(*by, "i", "y", "k"), [*by, "i"]))
+    near = margins.groupBy(*by, "seg").agg(F.min("k").alias("near"))
+    found = segs.join(near, [*by, "seg"], "left").groupBy(*by, F.expr("least(own, coalesce(near, own))").alias("k")).agg(F.count(F.lit(1)).alias("found"))
+    soft = margins.where("y = 0").withColumn("d", F.expr("sqrt(1 - (case when i >= e then i - e else s - i end) / (2e0 * w))"))
+    soft = soft.groupBy(*by, "i", "k").agg(F.least(F.lit(1.0), F.sum("d")).alias("soft"))
+    soft = soft.groupBy(*by, "k").agg(F.sum("soft").alias("soft"), F.sum(F.expr("case when soft < 1 then soft else 0e0 end")).alias("part"), F.sum(F.expr("int(soft >= 1)")).alias("full"))
+    plain = pts.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("y").alias("inside"))
+    totals = pts.groupBy(*by).agg(F.max("n").alias("n"), F.max("pos").alias("pos")).join(segs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_seg")), by)
+    totals = totals.join(soft.groupBy(*by).agg(F.sum("full").alias("ones")), by, "left").withColumn("ones", F.coalesce("ones", F.lit(0)) + F.col("pos"))
+    at = totals.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))))
+    for part in (plain, soft.drop("full"), found):
+        at = at.join(part, [*by, "k"], "left")
+    down = Window.partitionBy(*by).orderBy("k")
+    at = at.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(down.rowsBetween(Window.unboundedPreceding, 0)) for c in ("n_pred", "inside", "soft", "part", "found")})
+    at = at.withColumns({"tp": F.expr("inside + soft"), "p": F.expr("(pos + ones + part) / 2e0")})
+    at = at.withColumns({"tpr": F.expr("least(tp / p, 1e0) * found / n_seg"), "fpr": F.expr("(n_pred - tp) / nullif(n - p, 0e0)"), "prec": F.expr("tp / n_pred")})
+    at = at.withColumns({f"{c}0": F.coalesce(F.lag(c).over(down), F.lit(0.0)) for c in ("tpr", "fpr")})
+    last = f"case when k = {thresholds - 1} then (1e0 - fpr) * (1e0 + tpr) / 2e0 end"
+    return at.groupBy(*by).agg(F.expr(f"sum((fpr - fpr0) * (tpr + tpr0) / 2e0) + max({last})").alias("auc"), F.expr("sum((tpr - tpr0) * prec)").alias("ap"))
+
+
 def vus_of_predictions(preds: DataFrame, by: list[str], window: int = 20) -> DataFrame:
     return sql(_vus(VUS_PRED, by, window), placed=scratch(places(preds.select(*by, "t", "y", "pred"), by)))
 
@@ -326,6 +397,38 @@ def evaluation_windows(scores: DataFrame, by: list[str], default: int = 100) ->
     return found.withColumnRenamed("width", "win")
 
 
+#: The classic report's columns.
+CLASSIC = ["auc", "prec", "rec", "f", "pa_f1", "r_recall", "existence", "overlap", "r_precision", "r_f", "precision_at_k"]
+
+
+def classic_report(scores: DataFrame, by: list[str], size: int = blocks.SIZE) -> DataFrame:
+    """(by, CLASSIC) at one cut: precision, recall, F, F after adjustment and range scores of the predictions `pred` (0/1).
+
+    Without a column pred, scores more than three standard deviations above the series' mean are predicted. Precision at
+    k is that of the k best scores, k being the number of positives and ties going by t. Series without a positive label
+    are left out; rows without a score too; what has no predictions to divide by is 0.
+    """
+    rows = scores.where("score is not null").select(*by, "t", "y", "score", *[c for c in ("pred",) if c in scores.columns])
+    sums = rows.groupBy(*by).agg((F.avg("score") + 3 * F.stddev_pop("score")).alias("_cut"), F.sum("y").alias("_pos")).where("_pos > 0")
+    rows = rows.join(sums, by)
+    if "pred" not in rows.columns:
+        rows = rows.withColumn("pred", (F.col("score") > F.col("_cut")).cast("int"))
+    rows = scratch(rows.drop("_cut", "_pos"))
+    out = rows.groupBy(*by).agg(F.sum("y").alias("pos"), F.sum("pred").alias("n_pred"), F.sum(F.col("y") * F.col("pred")).alias("tp"))
+    adjusted = adjust(rows, by, size).groupBy(*by).agg(F.sum("adjusted").alias("n_adjusted"), F.sum(F.col("y") * F.col("adjusted")).alias("tpa"))
+    # of the scores not beaten by pos others, the first in time of those that share the last of them
+    best = _ranked_places(rows, by, size).where("f < pos")
+    best = blocks.running(blocks.by_time(best, "i", size), [*by, "score"], [F.col("i")], {"_q": F.lit(1)})
+    top = best.where("f + _q <= pos").groupBy(*by).agg(F.sum("y").alias("top"))
+    for other in (adjusted, top, rank_metrics(rows, by, size).select(*by, F.col("auc_roc").alias("auc")), range_scores_of_predictions(rows, by, size)):
+        out = out.join(other, by, "left")
+    out = out.na.fill(0, ["r_recall", "existence", "overlap", "r_precision"])
+    return out.selectExpr(
+        *by, "auc", "coalesce(tp / nullif(n_pred * 1e0, 0e0), 0e0) as prec", "tp / (pos * 1e0) as rec", "2e0 * tp / (n_pred + pos) as f", "2e0 * tpa / (n_adjusted + pos) as pa_f1", "r_recall", "existence", "overlap", "r_precision",
+        "coalesce(2e0 * r_recall * r_precision / nullif(r_recall + r_precision, 0e0), 0e0) as r_f", "top / (pos * 1e0) as precision_at_k",
+    )
+
+
 def report(scores: DataFrame, by: list[str], window: int | DataFrame | None = None, start: int = 0) -> DataFrame:
     """All nine metrics of each series in one row, of its evaluation slice; window None: the median length of its segments.
 

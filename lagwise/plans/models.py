@@ -67,11 +67,6 @@ def biased_recall(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 qq_cols = ["front", "back", "middle"]
-#: Precision, recall and F at three deviations above the mean, and the precision of the k best scores, k being the number of positives.
-CLASSIC = """
-with s as (select $k, t, y, score, avg(score) over (partition by $k) + 3e0 * stddev_pop(score) over (partition by $k) as cut, sum(y) over (partition by $k) as pos, row_number() over (partition by $k order by score desc, t) as place from {scores} where score is not null),
-     c as (select $k, sum(case when score > cut then y else 0 end) * 1e0 as tp, sum(case when score > cut then 1 else 0 end) * 1e0 as n_pred, max(pos) * 1e0 as pos, sum(case when place <= pos then y else 0 end) * 1e0 as top from s group by $k)
-select $k, coalesce(tp / nullif(n_pred, 0e0), 0e0) as prec, tp / nullif(pos, 0e0) as rec, coalesce(2e0 * tp / nullif(n_pred + pos, 0e0), 0e0) as f, top / nullif(pos, 0e0) as precision_at_k from c"""
 F_PLAIN = "select $k, th, 2e0 * aff_precision * aff_recall / nullif(aff_precision + aff_recall, 0e0) as f from {affiliation}"
 
 
@@ -81,7 +76,7 @@ def query(name: str, keys: list[str], columns: list[str], run, body: str) -> Non
 
 
 query("q09_biased_recall", [*BY, "th"], qq_cols, lambda s, d: biased_recall(fx.scores(s, d), BY), "select null")
-query("q23_classic_report", BY, ["prec", "rec", "f", "precision_at_k"], lambda s, d: sql(ql.text(CLASSIC, BY), scores=fx.scores(s, d)), "select null")
+query("q23_classic_report", BY, ql.CLASSIC, lambda s, d: ql.classic_report(fx.scores(s, d), BY), "select null")
 query("q28_plain_f", [*BY, "th"], ["f"], lambda s, d: sql(ql.text(F_PLAIN, BY), affiliation=ql.affiliation(fx.scores(s, d), BY)), ql.text(F_PLAIN, BY).format(affiliation=f"({qq.AFF})"))
 
 

@@ -84,14 +84,26 @@ put(
     z as (select entity, th, seg, sum(front) filter (where p) / sum(front)::double as front, sum(back) filter (where p) / sum(back)::double as back, sum(middle) filter (where p) / sum(middle)::double as middle from w group by all)""",
     ["entity", "th"], ["front", "back", "middle"], "select entity, th, avg(coalesce(front, 0)) as front, avg(coalesce(back, 0)) as back, avg(coalesce(middle, 0)) as middle from z group by all",
 )
-put(
-    "q23_classic_report", fx.SCORES, ["entity"], ["prec", "rec", "f", "precision_at_k"],
-    """select s.entity, coalesce(tp / nullif(np, 0)::double, 0) as prec, tp / pos::double as rec, coalesce(2 * tp / nullif(np + pos, 0)::double, 0) as f, (select sum(y) from (select y from scores x where x.entity = s.entity order by score desc, t limit s.pos)) / pos::double as precision_at_k
-       from (select entity, count(*) filter (where y = 1 and score > cut) as tp, count(*) filter (where score > cut) as np, sum(y)::bigint as pos from scores join (select entity, avg(score) + 3 * stddev_pop(score) as cut from scores group by all) using (entity) group by all) s""".replace(
-        "(select sum(y) from (select y from scores x where x.entity = s.entity order by score desc, t limit s.pos))",
-        "(select sum(y) from scores x where x.entity = s.entity and (select count(*) from scores z where z.entity = x.entity and (z.score > x.score or z.score = x.score and z.t < x.t)) < s.pos)",
-    ),
-)
+_PLACES = SWEEP[: SWEEP.index("ends as")].rstrip().rstrip(",")
+
+
+def classic(name: str, before: str, condition: str) -> None:
+    """One cut: the predictions' counts, adjusted counts, ranges and the best k by comparing each pair of scores."""
+    put(
+        name, f"""{fx.SCORES},{_PLACES}, cuts as ({before}),
+        pred as (select p.entity, 0 as th, p.i, p.y, seg, {condition} as p from places p join cuts using (entity) left join truth on p.entity = truth.entity and p.i between truth.s and truth.e),
+        {SWEEP[SWEEP.index("found as"):SWEEP.index("pa as")].rstrip().rstrip(",")},{RANGES[:RANGES.index("rf as")].rstrip().rstrip(",")},
+        roc as (select a.entity, avg(case when a.score > b.score then 1.0::double when a.score = b.score then 0.5::double else 0 end) as auc from scores a join scores b on a.entity = b.entity and a.y = 1 and b.y = 0 group by all),
+        top as (select x.entity, sum(x.y) as top from scores x join per on per.entity = x.entity where (select count(*) from scores z where z.entity = x.entity and (z.score > x.score or z.score = x.score and z.t < x.t)) < per.pos group by all)""",
+        ["entity"], ql.CLASSIC,
+        """select per.entity, auc, coalesce(tp / nullif(tp + fp, 0)::double, 0) as prec, tp / pos::double as rec, 2 * tp / (tp + fp + pos)::double as f, 2 * tpa / (tpa + fp + pos)::double as pa_f1, coalesce(r_recall, 0) as r_recall,
+           coalesce(existence, 0) as existence, coalesce(overlap, 0) as overlap, coalesce(r_precision, 0) as r_precision, case when r_recall + r_precision > 0 then 2 * r_recall * r_precision / (r_recall + r_precision) else 0 end as r_f, top / pos::double as precision_at_k
+           from per left join ranges using (entity) left join roc using (entity) left join top using (entity)""",
+    )
+
+
+classic("q23_classic_report", "select entity, avg(score) + 3 * stddev_pop(score) as cut from scores group by all", "score > cut")
+classic("q23_report_of_predictions", "select distinct entity from scores", "score > 1.5")
 
 
 def vus(windows: str) -> str:
@@ -115,10 +127,35 @@ areas as (select b.entity, b.w, sum((b.fpr - a.fpr) * (b.tpr + a.tpr) / 2) as au
 vm as (select entity, avg(auc) as vus_roc, avg(ap) as vus_pr from areas group by all)"""
 
 
-_PLACES = SWEEP[: SWEEP.index("ends as")].rstrip().rstrip(",")
 TWENTY = vus("select distinct entity, 20 as win from scores")
 put("q19_vus", f"{fx.SCORES},{_PLACES},{TWENTY}", ["entity"], ["vus_roc", "vus_pr"], "select * from vm")
 put("q21_range_auc", f"{fx.SCORES},{_PLACES},{TWENTY}", ["entity", "w"], ["auc", "ap"], "select * from areas")
+put(
+    "q21_range_auc_share", f"""{fx.SCORES},{_PLACES},
+    byrank as (select *, row_number() over (partition by entity order by score desc) - 1 as place, count(*) over (partition by entity) as n from places),
+    cuts as (select entity, k, n, score as cut from byrank, range(250) r(k) where place = trunc(k * (n - 1) / 249::double)),
+    wide as (select *, floor((e - s + 1) * 0.5)::bigint as w from truth),
+    lab as (select p.entity, p.i, p.y, p.score, case when p.y = 1 then 1 else least(1, coalesce(sum(sqrt(1 - (case when p.i >= e then p.i - e else s - p.i end) / (2 * w)::double)), 0)) end as lab
+            from places p left join wide g on g.entity = p.entity and w > 0 and (p.i between s - w and s - 1 or p.i between e and e + w - 1) group by p.entity, p.i, p.y, p.score),
+    tops as (select g.entity, seg, max(score) as top from wide g join places p on p.entity = g.entity and p.i between s - w and greatest(e, e + w - 1) group by all),
+    ex as (select entity, k, count(*) filter (where top >= cut) / count(*)::double as found from tops join cuts using (entity) group by all),
+    sums as (select l.entity, k, max(n) as n, (sum(y) + sum(case when lab = 1 then 1 when score >= cut then lab else 0 end)) / 2 as p, sum(lab) filter (where score >= cut) as tp, count(*) filter (where score >= cut) as npred from lab l join cuts using (entity) group by l.entity, k),
+    rates as (select entity, k, least(tp / p, 1) * found as tpr, (npred - tp) / (n - p) as fpr, tp / npred as prec from sums join ex using (entity, k)),
+    curve as (select * from rates union all select distinct entity, -1, 0, 0, null from rates union all select distinct entity, 250, 1, 1, null from rates)""",
+    ["entity"], ["auc", "ap"], "select b.entity, sum((b.fpr - a.fpr) * (b.tpr + a.tpr) / 2) as auc, sum(case when b.k < 250 then (b.tpr - a.tpr) * b.prec end) as ap from curve b join curve a on a.entity = b.entity and a.k = b.k - 1 group by all",
+)
+_FILES = ", ".join(f"('{name}', {cut}::double)" for name, cut in qq.ALGORITHMS.items())
+_FILE_POINTS = """
+pts as (select dataset, algorithm, row_number() over (partition by dataset, algorithm order by t) - 1 as i, y, pred as nb, case when y > 0 then sum(1 - y) over (partition by dataset, algorithm order by t) end as seg from files)"""
+put(
+    "q29_batch_affiliation", f"""{fx.SCORES},
+    files as (select entity as dataset, algorithm, t, y, (score > cut and (algorithm <> 'a2' or t < 700))::int as pred from scores, (values {_FILES}) a(algorithm, cut)),
+    zn0 as ({ql.text(bt.AFFILIATION_ZONES, ["dataset", "algorithm"]).replace(ql.text(bt.POINTS, ["dataset", "algorithm"]), _FILE_POINTS)}),
+    many as (select dataset, count(*) as n from (select distinct dataset, t - (select count(*) from scores b where b.entity = a.dataset and b.y = 1 and b.t <= a.t) as run from files a where y = 1) group by all),
+    pr as (select dataset, algorithm, avg(precision_p) as aff_precision, sum(recall_p) / max(n) as aff_recall from zn0 join many using (dataset) group by all)""",
+    ["dataset", "algorithm"], ["aff_precision", "aff_recall", "aff_f"],
+    "select dataset, algorithm, aff_precision, coalesce(aff_recall, 0) as aff_recall, 2 * aff_precision * aff_recall / (aff_precision + aff_recall) as aff_f from (select distinct dataset, algorithm from files join many using (dataset)) left join pr using (dataset, algorithm)",
+)
 put(
     "q22_vus_of_predictions", f"""{fx.SCORES},{_PLACES}, ws as (select distinct entity, w from scores, range(21) r(w)),
     soft as (select p.entity, w, p.i, p.y, (score > 1.5)::int as pred, case when p.y = 1 then 1 else least(1, coalesce(sum(sqrt(1 - (case when p.i > g.e then p.i - g.e else g.s - p.i end) / w::double)), 0)) end as lab
@@ -221,6 +258,8 @@ O["p15_density"] = f"with {P_TE},{GRAPH} select entity, count(*) filter (where g
 O["p14_priors_to_compute"] = f"""with u as (select user_id as entity, cast(floor(epoch(ts - timestamp '2024-01-01') / 3600) as bigint) as t, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 as var, sum(cast(round(value * 100) as bigint)) as x from events group by all)
  select entity, sha256('tau=3|' || count(*) || '|' || sum(('0x' || substr(md5(t || '|' || var || '|' || x), 1, 15))::bigint)) as key from u where entity % 3 <> 0 group by entity"""
 
+put("p14_stored_priors", f"{P_TE},{prior()}", EDGE, ["raw", "weight", "gate", "reused"], "select *, (entity % 2 = 0)::int as reused from prior", whole=True)
+
 # Edges: one row for each, sums by subquery.
 E_PRIOR = f"{fx.SCALED},{DIGITS}, bins as (select *, 0 as chunk from digits),{entropy()},{prior()}"
 E_WEIGHTS = E_PRIOR + """,

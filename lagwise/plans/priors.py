@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import scratch, shared
 from ..operators import prior as pr
 from ..operators import windows
+from ..sources import store
 from . import fixtures as fx
 
 BY = ["entity"]
@@ -86,3 +90,18 @@ def reuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 Q["p14_priors_to_compute"] = reuse
+
+
+def through_store(spark: SparkSession, d: str) -> DataFrame:
+    """All series' priors from a store that a run before filled with those of even entities."""
+    path = f"{shared(spark)}/priors-{uuid.uuid4().hex}"
+    cells = scratch(fx.cells(spark, d).fillna({"x": 0}))
+
+    def compute(some: DataFrame) -> DataFrame:
+        return pr.build("te", windows.cut_chunks(pr.digitise(some, BY, BINS), windows.chunk_bounds(some, BY, [0.0, 0.3, 0.6, 1.0], 200, TAU), BY), BY, TAU)
+
+    store.reuse(path, cells.where("entity % 2 = 0"), BY, f"te bins={BINS} tau={TAU}", compute)
+    return store.reuse(path, cells, BY, f"te bins={BINS} tau={TAU}", compute)
+
+
+query("p14_stored_priors", [*_EDGE], ["raw", "weight", "gate", "reused"], lambda s, d: through_store(s, d).withColumn("reused", F.col("reused").cast("int")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ query("q18_affiliation_f", ["aff_f"], BY, on_scores(ql.affiliation_f), duck(ql.t
 query("q19_vus", ["vus_roc", "vus_pr"], BY, on_scores(ql.vus), _NO)
 query("q21_range_auc", ["auc", "ap"], [*BY, "w"], on_scores(ql.range_auc), _NO)
 
+query("q21_range_auc_share", ["auc", "ap"], BY, on_scores(lambda x, by: ql.range_auc_of_share(x, by, 0.5)), _NO)
+
 
 def preds(spark: SparkSession, d: str) -> DataFrame:
     return fx.scores(spark, d).selectExpr("entity", "t", "y", "cast(score > 1.5 as int) as pred")
@@ -54,6 +58,20 @@ def preds(spark: SparkSession, d: str) -> DataFrame:
 
 query("q05_point_adjust", ["y", "adjusted", "filled", "event"], [*BY, "t"], lambda s, d: ql.adjust(preds(s, d), BY), _NO)
 query("q22_vus_of_predictions", ["vus_recall", "vus_precision", "vus_f"], BY, lambda s, d: ql.vus_of_predictions(preds(s, d), BY), _NO)
+query("q23_report_of_predictions", ql.CLASSIC, BY, lambda s, d: ql.classic_report(fx.scores(s, d).withColumn("pred", (F.col("score") > 1.5).cast("int")), BY), _NO)
+#: Algorithms that cut the score at a place of their own; the first predicts each hour, the last none.
+ALGORITHMS = {"a0": -1, "a1": 1, "a2": 1.5, "a3": 1e9}
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """What a folder of event files holds: each entity's labels and each algorithm's predictions, one of them cut short."""
+    s = scratch(fx.scores(spark, d))
+    parts = [s.selectExpr("entity as dataset", "'groundtruth' as algorithm", "t", "y")]
+    parts += [s.selectExpr("entity as dataset", f"'{name}' as algorithm", "t", f"int(score > {cut}) as y").where("algorithm <> 'a2' or t < 700") for name, cut in ALGORITHMS.items()]
+    return reduce(DataFrame.union, parts)
+
+
+query("q29_batch_affiliation", ["aff_precision", "aff_recall", "aff_f"], ["dataset", "algorithm"], lambda s, d: ql.batch_affiliation(files(s, d)), _NO)
 #: Hours before it are not judged.
 START = 450
 

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import scratch
 from ..operators.ingest import drop_time_columns, finite
 
 FRAMES = "entity string, split string, t long, xs array<double>"
@@ -23,12 +24,28 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return drop_time_columns(spark.read.option("header", True).option("inferSchema", True).csv(path))
 
 
+def lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, name, t, value): the lines of text files that are not blank, numbered from 0 in each file.
+
+    Plain files are read in byte ranges, each by its own task: a line's number is its place in its range and the lines of
+    the ranges before. A packed file is one range, read line by line. The lines are written once as a table, so that a task
+    that is run again numbers none anew; the table of ranges has a row for each.
+    """
+    reader = spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
+    found = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"), "value")
+    # within a range the ids rise by one
+    found = scratch(found.where(F.col("value").rlike(r"\S")).withColumn("row", F.monotonically_increasing_id()))
+    ranges = found.groupBy("path", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("path", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return found.join(ranges, ["path", "start"]).select("path", "name", (F.col("row") + F.col("shift")).alias("t"), "value")
+
+
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     """(entity, t, xs) of headerless text matrices, one file an entity, values parted by commas or blanks; a single column is an array of one."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("entity"), "value")
-    rows = files.select("entity", F.posexplode(F.split("value", r"\r?\n")).alias("t", "line")).where("trim(line) <> ''")
-    cells = F.transform(F.split(F.trim("line"), r"\s*,\s*|\s+"), lambda v: finite(v.try_cast("double")))
-    return rows.select("entity", F.col("t").cast("long").alias("t"), cells.alias("xs"))
+    entity = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1).alias("entity")
+    cells = F.transform(F.split(F.trim("value"), r"\s*,\s*|\s+"), lambda v: finite(v.try_cast("double")))
+    return lines(spark, path).select(entity, "t", cells.alias("xs"))
 
 
 def _frames(entity: str, split: str, a: np.ndarray) -> pd.DataFrame:
@@ -84,7 +101,10 @@ def read_epoch_metrics(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_epoch_metrics.csv").option("header", True).option("inferSchema", True).csv(path)
     name = r"^(.*)_seed(\d+)_epoch_metrics\.csv$"
     named = files.withColumn("entity", F.regexp_extract("_metadata.file_name", name, 1)).withColumn("seed", F.regexp_extract("_metadata.file_name", name, 2).try_cast("int"))
-    return named.where("seed is not null")
+    named = named.where("seed is not null")
+    if named.isEmpty():
+        raise FileNotFoundError(f"no *_seed{{n}}_epoch_metrics.csv with rows below {path}")
+    return named
 
 
 def write_summary(table: DataFrame, path: str) -> None:
@@ -100,7 +120,6 @@ def write_run(path: str, **tables: DataFrame) -> None:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """(dataset, algorithm, t, y) of {dataset}_{algorithm}.gz files of one digit a line."""
-    files = spark.read.option("pathGlobFilter", "*.gz").text(path, wholetext=True)
     name = r"^(.*)_([^_]*)\.gz$"
-    rows = files.select(F.regexp_extract("_metadata.file_name", name, 1).alias("dataset"), F.regexp_extract("_metadata.file_name", name, 2).alias("algorithm"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\s+")).alias("t", "y"))
-    return rows.select("dataset", "algorithm", F.col("t").cast("long").alias("t"), F.col("y").cast("int").alias("y"))
+    parts = [F.regexp_extract("name", name, i).alias(c) for i, c in ((1, "dataset"), (2, "algorithm"))]
+    return lines(spark, path, "*.gz").select(*parts, "t", F.trim("value").cast("int").alias("y"))

@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOSEN = [
     "s06_paired_entities", "s08_ingest_report", "c04_finite_values", "c05_interpolate", "c07_standardise", "c11_text_label", "c13_long_enough", "c14_check_lengths",
     "w01_sliding_windows", "w02_environments", "w03_lag_windows", "w05_chunks", "e01_segments", "e04_user_ranges", "e06_median_length", "e09_merge_buffered", "e10_soft_labels", "e11_soft_labels_share",
-    "flagship_rank_quality", "q05_point_adjust", "q06_adjusted_f1", "q10_range_f1", "q18_affiliation_f", "q19_vus", "q22_vus_of_predictions", "q01_evaluation_slice", "p03_transfer_entropy", "p11_graph_prior", "p15_density", "p14_priors_to_compute",
+    "flagship_rank_quality", "q05_point_adjust", "q06_adjusted_f1", "q10_range_f1", "q18_affiliation_f", "q19_vus", "q21_range_auc", "q21_range_auc_share", "q22_vus_of_predictions", "q23_classic_report", "q23_report_of_predictions", "q29_batch_affiliation", "q01_evaluation_slice", "p03_transfer_entropy", "p11_graph_prior", "p15_density", "p14_priors_to_compute", "p14_stored_priors",
     "f05_forecast", "f07_reference", "f08_gain_references", "i01_permuted_source", "i03_drawn_edges", "i05_rollups", "m02_edge_monitors", "g05_weight_deviation", "g07_robust_scale", "g10_scored_quality", "q14_affiliation_zones", "g09_timeline", "u01_applied_model",
 ]
 
