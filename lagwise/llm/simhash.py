@@ -342,6 +342,55 @@ def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFram
     return met.mapInArrow(run, "x long, y long")
 
 
+def verified_in_blocks(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+    """The same for pairs (x, y, list, p, q): a text travels once to each block (list, p, q) with a pair of it, not once for each pair.
+
+    A block has at most two times LIST texts, held compressed; sets of shingles are kept as far as KEPT allows.
+    """
+    block = ["list", "p", "q"]
+    sides = pairs.select(*block, F.col("x").alias("node")).union(pairs.select(*block, "y")).distinct()
+    given = sides.join(packed, "node").select(*block, F.lit(0).alias("kind"), "node", F.lit(0).cast("long").alias("y"), "packed")
+    given = given.union(pairs.select(*block, F.lit(1), F.col("x"), "y", F.lit(None).cast("binary")))
+    given = given.repartition(partitions(given.sparkSession), *block).sortWithinPartitions(*block, "kind", "node", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("simhash")
+        at, data = None, {}
+        sets: dict[bytes, np.ndarray] = {}
+        size = 0
+
+        def shingles(text: bytes) -> np.ndarray:
+            nonlocal sets, size
+            mine = sets.get(text)
+            if mine is None:
+                mine = np.unique(shingle_hashes(zlib.decompress(text), 5))
+                size += mine.nbytes + len(text) + 256
+                if size > KEPT:
+                    sets, size = {}, mine.nbytes + len(text) + 256
+                sets[text] = mine
+            return mine
+
+        def alike(one: bytes, two: bytes) -> bool:
+            a, b = shingles(one), shingles(two)
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            union = len(a) + len(b) - common
+            return not union or common / union >= similarity
+
+        for batch in batches:
+            found = []
+            for *here, kind, node, y, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if here != at:
+                    at, data = here, {}
+                if kind == 0:
+                    data.setdefault(node, []).append(text)  # more than one only where texts share a doc_id
+                elif any(alike(a, b) for a in data[node] for b in data[y]):
+                    found.append((node, y))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
+
+    return given.mapInArrow(run, "x long, y long")
+
+
 def close_fingerprints(nodes: DataFrame, distance: int) -> DataFrame:
     """(x, y): in each table a fingerprint's texts with the smallest of them, and the smallest of fingerprints that the index links."""
     found, number = None, nodes.count()
@@ -416,7 +465,7 @@ def _deeper(left: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _all_pairs(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(x, y): pairs of a list, of different components, whose tally reaches MATCHES; long lists meet block by block."""
+    """(x, y, list, p, q): pairs of a list, of different components, whose tally reaches MATCHES, each in one of the blocks where it meets."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / LIST)).cast("long")
     at = lists.select("list", "size", "node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")).distinct()
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q")))
@@ -437,9 +486,11 @@ def _all_pairs(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
             xs += [node[i]] * len(other)
             ys += node[other].tolist()
         x, y = np.array(xs, np.int64), np.array(ys, np.int64)
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+        at = {c: np.full(len(x), table.column(c)[0].as_py(), np.int64) for c in ("list", "p", "q")}
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), **at})
 
-    return rows.groupBy("list", "p", "q").applyInArrow(run, "x long, y long").distinct()
+    met = rows.groupBy("list", "p", "q").applyInArrow(run, "x long, y long, list long, p long, q long")
+    return met.groupBy("x", "y").agg(F.min(F.struct("list", "p", "q")).alias("at")).select("x", "y", "at.*")
 
 
 def _groups(docs: DataFrame, similarity: float, distance: int) -> DataFrame:
@@ -468,7 +519,7 @@ def _groups(docs: DataFrame, similarity: float, distance: int) -> DataFrame:
     links = scratch(links.union(verified(tallied(_pivots(left, nodes, F.xxhash64("list", "node"), similarity)), packed, similarity)), "links")
     roots = scratch(components(links, "x", "y"), "roots")
     left = _unsettled(left, roots).select("list", "node", "root", "last")
-    links = links.union(verified(scratch(_all_pairs(_deeper(left, nodes), nodes, similarity), "pairs"), packed, similarity))
+    links = links.union(verified_in_blocks(scratch(_all_pairs(_deeper(left, nodes), nodes, similarity), "pairs"), packed, similarity))
     roots = components(scratch(links, "links"), "x", "y")
     names = rows.select("key", F.col("doc_id").alias("component_id")).distinct()
     named = nodes.join(roots, "node", "left").select("text_key", "copies", F.coalesce("root", "node").alias("component"))
