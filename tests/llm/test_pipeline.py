@@ -74,3 +74,23 @@ def test_empty_documents(spark, tmp_path):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_pairs_are_verified_in_blocks_as_one_by_one(spark, monkeypatch):
+    """Texts at, above and below the wanted overlap, empty ones, one in several blocks; also where no set can be kept."""
+    from lagwise.llm import simhash
+    from lagwise.llm.common import keyed, texts
+
+    words = [f"w{i}" for i in range(104)]
+    bodies = [" ".join(words[:n]) for n in (104, 100, 90, 84, 83, 60)] + ["", "", "one two"]
+    docs = keyed(texts(spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")))
+    keys = sorted(r["key"] for r in docs.select("key").collect())
+    rows = [(x, y, (x + y) % 3, 0, x % 2) for x in keys for y in keys if x < y]
+    pairs = spark.createDataFrame(rows, "x long, y long, list long, p long, q long")
+    packed = simhash.packed_texts(docs, pairs.select("x").union(pairs.select("y")).distinct().toDF("node"))
+    want = sorted(map(tuple, simhash.verified(pairs.select("x", "y"), packed, 0.8).collect()))
+    assert 0 < len(want) < len(rows)
+    assert sorted(map(tuple, simhash.verified_in_blocks(pairs, packed, 0.8).collect())) == want
+    monkeypatch.setattr(simhash, "KEPT", 1)
+    assert sorted(map(tuple, simhash.verified_in_blocks(pairs, packed, 0.8).collect())) == want
+    assert simhash.verified_in_blocks(pairs.limit(0), packed, 0.8).count() == 0
