@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +36,37 @@ from .common import drop, keyed, scratch, texts
 WINDOW = 20
 #: Words of the shortest runs of the first level, at least.
 SHORTEST = 4
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
-def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+#: Bytes of text whose words are held at once, but for longer texts.
+PART = 1 << 18
+#: Bytes of the longest words that are hashed eight bytes at a time.
+LONG = 64
+#: Which bytes separate words: blank and \x09-\x0D; and by n the mask of a number's first n bytes.
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in the bytes of texts that stand one behind the other; no word goes over a text's end."""
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = BLANK[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True
+    starts = np.flatnonzero(~blank[1:-1] & (blank[:-2] | border[:-1]))
+    return starts, np.flatnonzero(~blank[1:-1] & (blank[2:] | border[1:])) + 1
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's length and bytes, eight at a time; of longer words than LONG bytes XXH64."""
+    size = ends - starts
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))).data, strides=(1,))
+    out = mix(size.astype(np.uint64), eight[starts] & FIRST[np.minimum(size, 8)])
+    at = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, LONG, 8):
+        out[at] = mix(out[at], eight[starts[at] + k] & FIRST[np.minimum(size[at] - k, 8)])
+        at = at[size[at] > k + 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return out
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,39 +99,34 @@ def chosen(runs: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _mapped(df: DataFrame, schema: str, of: Callable[[dict], tuple[np.ndarray, ...]]) -> DataFrame:
-    """Rows of `schema`, key first, from each row of df: `of` gives one array a further column for it."""
+def _parts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Runs of neighbouring rows with PART bytes of text at most (or one row), and their words."""
+    texts_ = batch.column("text").cast(pa.large_binary())
+    offsets = np.frombuffer(texts_.buffers()[1], np.int64)[texts_.offset : texts_.offset + len(texts_) + 1] if len(texts_) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts_.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts_):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART, side="right")) - 1)
+        yield batch.slice(at, end - at), Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], window)
+        at = end
+
+
+def _mapped(df: DataFrame, schema: str, window: int, of: Callable[[pa.RecordBatch, Words], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Rows of `schema`, key first, from each part of df: `of` gives each row's document in the part, and one array a further column."""
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32()}
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, rows = [], 0
-            for row in _rows(batch):
-                columns = of(row)
-                if not len(columns[0]):
-                    continue
-                parts.append([np.full(len(columns[0]), row["key"], np.int64), *columns])
-                rows += len(columns[0])
-                if rows > 200_000:
-                    yield _batch(parts, types, names)
-                    parts, rows = [], 0
-            if parts:
-                yield _batch(parts, types, names)
+            for part, w in _parts(batch, window):
+                row, *columns = of(part, w)
+                columns = [part.column("key").to_numpy()[row], *columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return df.mapInArrow(run, schema)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for values in zip(*batch.columns, strict=True):
-        yield {n: v.as_py() for n, v in zip(batch.schema.names, values, strict=True)}
-
-
-def _batch(parts: list[list[np.ndarray]], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
-
-
 def levels(window: int) -> list[int]:
     """The lengths before the window's own."""
     out = []
@@ -117,28 +136,50 @@ def levels(window: int) -> list[int]:
 
 
 class Words:
-    """A document's words by their hashes, and what the levels passed so far leave of its windows."""
+    """The words of neighbouring documents by their hashes, and what the levels passed so far leave of their windows.
 
-    def __init__(self, text: str | None, window: int) -> None:
-        self.hashes, self.window = word_hashes(words(text)), window
-        self.alive = np.ones(max(len(self.hashes) - window + 1, 0), bool)
+    Places are counted through all of these documents; `first` has each one's first place, and the end.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int) -> None:
+        self.data, self.offsets, self.window = data, offsets, window
+        self.starts, self.ends = bounds(data, offsets)
+        self.hashes = word_hashes(data, self.starts, self.ends)
+        self.first = np.searchsorted(self.starts, offsets)
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        n = max(len(self.hashes) - window + 1, 0)
+        self.alive = self.doc[:n] == self.doc[len(self.doc) - n :]
+
+    def marked(self, places: pa.ListArray) -> np.ndarray:
+        """Which words stand at their document's `places`."""
+        out = np.zeros(len(self.hashes), bool)
+        out[self.first[pc.list_parent_indices(places).to_numpy()] + pc.list_flatten(places).to_numpy()] = True
+        return out
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """Places within the document."""
+        return at - self.first[self.doc[at]]
 
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows alive: each one's chosen run's place; and of their different runs hash, first place and number."""
+        """Of the windows alive: each one's chosen run's place; and of each document's different runs hash, first place and number."""
         if not self.alive.any():
             none = np.zeros(0, np.int64)
             return none, none.astype(np.uint64), none, none
         every = run_hashes(self.hashes, length)
         mine = chosen(every, self.window - length + 1)[self.alive]
-        places = np.unique(mine)
-        values, first, number = np.unique(every[places], return_index=True, return_counts=True)
-        return mine, values, places[first], number
-
-    def pass_level(self, length: int, alone: list[int] | None) -> None:
-        """Windows whose run occurs once, here and anywhere, are out; alone: the first places of runs of this document only."""
+        places = np.zeros(len(every), bool)
+        places[mine] = True
+        places = np.flatnonzero(places)
+        places, new = _firsts(places, self.doc[places], every[places])
+        at = np.flatnonzero(new)
+        return mine, every[places[at]], places[at], np.diff(at, append=len(places))
+
+    def pass_level(self, length: int, alone: np.ndarray) -> None:
+        """Windows whose run occurs once, here and anywhere, are out; alone: marks first places of runs of their document only."""
         mine, _, first, number = self.runs(length)
-        if alone and len(mine):
-            self.alive[self.alive] = ~np.isin(mine, np.intersect1d(first[number == 1], alone))
+        out = np.zeros(len(self.hashes), bool)
+        out[first] = alone[first] & (number == 1)
+        self.alive[self.alive] = ~out[mine]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows alive: places and two hashes."""
@@ -154,18 +195,31 @@ class Words:
         return at, h.view(np.int64), (mix(b, a) >> np.uint64(33)).astype(np.int64)
 
     def own_first(self) -> np.ndarray:
-        """Which of windows() do not start earlier in this document."""
+        """Which of windows() do not start earlier in their document."""
         at, h, g = self.windows()
         first = np.zeros(len(at), bool)
-        first[np.unique(np.stack((h, g), axis=1), axis=0, return_index=True)[1]] = True
+        order, new = _firsts(np.arange(len(at)), self.doc[at], h, g)
+        first[order[new]] = True
         return first
 
 
-def _at_level(row: dict, window: int, passed: list[int]) -> Words:
-    w = Words(row["text"], window)
+def _firsts(places: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places by what `by` says of them, equals in their order; and which of them are the first of equals."""
+    order = np.lexsort(by[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in by], axis=0)
+    return places[order], new
+
+
+def _found(part: pa.RecordBatch, length: int) -> tuple[pa.ListArray, np.ndarray]:
+    """The places that a level found alone, and the documents that have no other run there."""
+    places, n = part.column(f"alone{length}").flatten()
+    return places, pc.fill_null(pc.equal(pc.list_value_length(places), n), False).to_numpy(zero_copy_only=False)
+
+
+def _at_level(part: pa.RecordBatch, w: Words, passed: list[int]) -> Words:
     for length in passed:
-        found = row[f"alone{length}"]
-        w.pass_level(length, found and found["places"])
+        w.pass_level(length, w.marked(_found(part, length)[0]))
     return w
 
 
@@ -175,12 +229,13 @@ def alone(docs: DataFrame, window: int, passed: list[int], length: int) -> DataF
     n is larger than there are places if a run repeats within the document.
     """
 
-    def of(row: dict) -> tuple[np.ndarray, ...]:
-        _, values, first, number = _at_level(row, window, passed).runs(length)
-        n = len(first) + int((number > 1).any())
-        return first, values.view(np.int64), np.full(len(first), n)
+    def of(part: pa.RecordBatch, w: Words) -> tuple[np.ndarray, ...]:
+        _, values, first, number = _at_level(part, w, passed).runs(length)
+        doc = w.doc[first]
+        n = np.bincount(doc, minlength=part.num_rows) + (np.bincount(doc, number > 1, part.num_rows) > 0)
+        return doc, w.own(first), values.view(np.int64), n[doc]
 
-    runs = _mapped(docs, "key long, place int, run long, n int", of)
+    runs = _mapped(docs, "key long, place int, run long, n int", window, of)
     once = runs.groupBy("run").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.min("place").alias("place"), F.min("n").alias("n"))
     # rows of one document given twice have its key both
     once = once.where("key = last").groupBy("key").agg(F.collect_list("place").alias("places"), F.min("n").alias("n"))
@@ -190,12 +245,12 @@ def alone(docs: DataFrame, window: int, passed: list[int], length: int) -> DataF
 def first_places(docs: DataFrame, window: int, passed: list[int]) -> DataFrame:
     """(key, firsts): where windows start of which that is the first occurrence anywhere."""
 
-    def of(row: dict) -> tuple[np.ndarray, ...]:
-        w = _at_level(row, window, passed)
-        first = w.own_first()
-        return tuple(x[first] for x in w.windows())
+    def of(part: pa.RecordBatch, w: Words) -> tuple[np.ndarray, ...]:
+        first = _at_level(part, w, passed).own_first()
+        at, h, g = (x[first] for x in w.windows())
+        return w.doc[at], w.own(at), h, g
 
-    found = _mapped(docs, "key long, place int, h long, g int", of)
+    found = _mapped(docs, "key long, place int, h long, g int", window, of)
     # a document has a window once here, so the place of the smallest key is the first one
     first = found.groupBy("h", "g").agg(F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
     return first.groupBy("key").agg(F.collect_list("place").alias("firsts"))
@@ -233,46 +288,60 @@ def repeats(df: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
     return docs.join(first_places(_open(docs, passed), window, passed), "key", "left"), passed
 
 
-def kept(row: dict, window: int, passed: list[int]) -> tuple[list[bytes], int]:
-    """The words that stay, and the number of all."""
-    found = words(row["text"])
-    if not row["head"]:
-        return (found if len(found) < window else []), len(found)
-    if any(row[f"alone{n}"] and len(row[f"alone{n}"]["places"]) == row[f"alone{n}"]["n"] for n in passed) or len(found) < window:
-        return found, len(found)
-    w = _at_level(row, window, passed)
-    at = np.flatnonzero(w.alive)
-    at = at[~(w.own_first() & np.isin(at, row["firsts"] or []))]
-    edge = np.zeros(len(found) + 1, np.int64)
+def kept(part: pa.RecordBatch, w: Words, passed: list[int]) -> np.ndarray:
+    """Which words stay."""
+    head = pc.fill_null(part.column("head"), False).to_numpy(zero_copy_only=False)
+    done = ~head
+    for length in passed:
+        done |= _found(part, length)[1]
+    w.alive &= ~done[w.doc[: len(w.alive)]]
+    at = np.flatnonzero(_at_level(part, w, passed).alive)
+    at = at[~(w.own_first() & w.marked(part.column("firsts"))[at])]
+    edge = np.zeros(len(w.hashes) + 1, np.int64)
     edge[at] += 1
-    edge[at + window] -= 1
-    stays = edge.cumsum()[: len(found)] == 0
-    return [found[i] for i in np.flatnonzero(stays).tolist()], len(found)
+    edge[at + w.window] -= 1
+    # a later copy of a text keeps what is too short for a window
+    return (edge.cumsum()[:-1] == 0) & (head | (np.diff(w.first) < w.window))[w.doc]
+
+
+def joined(w: Words, stays: np.ndarray) -> list[memoryview]:
+    """Each document's words that stay, joined by one blank."""
+    at = np.flatnonzero(stays)
+    # a word that another one of its document follows takes the blank behind it along
+    inner = at[:-1][w.doc[at[:-1]] == w.doc[at[1:]]] if len(at) else at
+    data, edge = w.data.copy(), np.zeros(len(w.data) + 1, np.int8)
+    data[w.ends[inner]] = 0x20
+    edge[w.starts[at]] += 1
+    edge[w.ends[at]] -= 1
+    taken = edge[:-1].cumsum(dtype=np.int8).view(bool)
+    taken[w.ends[inner]] = True
+    ends = np.concatenate(([0], taken.cumsum()))[w.offsets].tolist()
+    out = memoryview(data[taken])
+    return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def dedup_words(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, text): the words that stay, joined by one blank."""
-    return _removed(df, window, lambda ws: b" ".join(ws).decode("utf-8", "surrogatepass"), "text")
+    return _removed(df, window, lambda b: str(b, "utf-8", "surrogatepass"), "text")
 
 
 def digests(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of what dedup_words() keeps."""
-    return _removed(df, window, lambda ws: hashlib.sha256(b" ".join(ws)).hexdigest(), "kept_sha256")
+    return _removed(df, window, lambda b: hashlib.sha256(b).hexdigest(), "kept_sha256")
 
 
-def _removed(df: DataFrame, window: int, show: Callable[[list[bytes]], str], name: str) -> DataFrame:
+def _removed(df: DataFrame, window: int, show: Callable[[memoryview], str], name: str) -> DataFrame:
     docs, passed = repeats(df, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, out = [], [], []
-            for row in _rows(batch):
-                stay, every = kept(row, window, passed)
-                n.append(every)
-                gone.append(every - len(stay))
-                out.append(show(stay))
-            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", name])
+            for part, w in _parts(batch, window):
+                stays = kept(part, w, passed)
+                every = np.diff(w.first)
+                gone = np.bincount(w.doc[~stays], minlength=part.num_rows)
+                out = [show(b) for b in joined(w, stays)]
+                arrays = [part.column("doc_id"), pa.array(every, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", name])
 
     return docs.drop("key").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
 
@@ -284,7 +353,12 @@ def passages(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     docs = keyed(texts(df)).withColumn("head", F.lit(True))
     state, passed = survivors(docs, window)
-    found = _mapped(_open(state, passed), "key long, place int, h long, g int", lambda row: _at_level(row, window, passed).windows())
+
+    def of(part: pa.RecordBatch, w: Words) -> tuple[np.ndarray, ...]:
+        at, h, g = _at_level(part, w, passed).windows()
+        return w.doc[at], w.own(at), h, g
+
+    found = _mapped(_open(state, passed), "key long, place int, h long, g int", window, of)
     out, length = None, window
     while True:
         once = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("place").alias("place")).where("n = 1")
@@ -296,20 +370,22 @@ def passages(df: DataFrame, window: int = WINDOW) -> DataFrame:
         out = level if out is None else out.union(level)
         length *= 2
         both = docs.join(level.groupBy("key").agg(F.collect_list("place").alias("places")), "key")
-        found = _mapped(both, "key long, place int, h long, g int", _extended(length))
+        found = _mapped(both, "key long, place int, h long, g int", length, _extended(length))
     if out is None:
         return docs.where("false").select("doc_id", F.lit(0).alias("place"), F.lit(0).alias("length"))
     return out.join(docs.select("key", "doc_id").distinct(), "key").select("doc_id", "place", "length")
 
 
-def _extended(length: int) -> Callable[[dict], tuple[np.ndarray, ...]]:
+def _extended(length: int) -> Callable[[pa.RecordBatch, Words], tuple[np.ndarray, ...]]:
     """Windows of `length` words both of whose halves start at the document's `places`."""
-
-    def of(row: dict) -> tuple[np.ndarray, ...]:
-        halves = run_hashes(word_hashes(words(row["text"])), length // 2)
-        at = np.intersect1d(row["places"], np.array(row["places"]) - length // 2)
-        a, b = halves[at], halves[at + length // 2]
-        return at, mix(a, b).view(np.int64), (mix(b, a) >> np.uint64(33)).astype(np.int64)
+    half = length // 2
+
+    def of(part: pa.RecordBatch, w: Words) -> tuple[np.ndarray, ...]:
+        starts = w.marked(part.column("places"))
+        n = len(w.alive)
+        w.alive &= starts[:n] & starts[half : half + n]
+        at, h, g = w.windows()
+        return w.doc[at], w.own(at), h, g
 
     return of
 

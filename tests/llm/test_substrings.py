@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from lagwise.llm import substrings
 
 SCHEMA = "doc_id long, text string, places string"
@@ -72,3 +75,48 @@ def test_passages_double(spark):
     rows = substrings.passages(df, 20).collect()
     assert {r["length"] for r in rows} == {20, 40, 80}
     assert sum(r["length"] == 80 for r in rows) == 22 and sum(r["length"] == 20 for r in rows) == 142
+
+
+def test_words_of_many_texts_at_once():
+    """Neighbouring texts share no word, and words of any length have hashes of their own."""
+    texts = ["ab", "", "cd  ef\x1c\t" + "g" * 63, "g" * 64 + " " + "g" * 65, " \n", "hé ab " + "12345678 123456789 " * 2, "g" * 66 + "\x85g"]
+    want = [w for t in texts for w in t.encode().split()]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    w = substrings.Words(data, np.cumsum([0, *[len(t.encode()) for t in texts]]), 2)
+    assert [bytes(data[a:b]) for a, b in zip(w.starts, w.ends, strict=True)] == want
+    assert w.doc.tolist() == [i for i, t in enumerate(texts) for _ in t.encode().split()]
+    of = {}
+    for word, h in zip(want, w.hashes.tolist(), strict=True):
+        assert of.setdefault(word, h) == h
+    assert len(set(of.values())) == len(of)
+    stays = np.arange(len(want)) % 3 != 1
+    kept = [[x for x, s, d in zip(want, stays, w.doc, strict=True) if s and d == i] for i in range(len(texts))]
+    assert [bytes(b) for b in substrings.joined(w, stays)] == [b" ".join(x) for x in kept]
+    assert all(w.doc[i] == w.doc[i + 1] for i in np.flatnonzero(w.alive)) and w.alive.sum() == sum(max(len(t.split()) - 1, 0) for t in (x.encode() for x in texts))
+
+
+def test_parts_of_a_batch(spark, monkeypatch):
+    """Rows are the same whatever texts are taken together."""
+    rows = sample()
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t or "" for _, t in rows], pa.string())}).slice(3)
+    whole = None
+    for size in (1, 300, 1 << 18):
+        monkeypatch.setattr(substrings, "PART", size)
+        parts = list(substrings._parts(batch, 20))
+        assert sum(p.num_rows for p, _ in parts) == batch.num_rows and all(p.num_rows == len(w.first) - 1 for p, w in parts)
+        found = [np.concatenate([getattr(w, name) for _, w in parts]).tolist() for name in ("hashes",)] + [[n for _, w in parts for n in np.diff(w.first).tolist()]]
+        whole = whole or found
+        assert found == whole
+    assert len(parts) == 1
+
+
+def test_calls_do_not_grow_with_the_number_of_texts(monkeypatch):
+    calls, mix = [], substrings.mix
+    monkeypatch.setattr(substrings, "mix", lambda a, b: calls.append(1) or mix(a, b))
+    for n in (2, 500):
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([" ".join(f"w{i}{j}" for j in range(30)) for i in range(n)], pa.string())})
+        for _, w in substrings._parts(batch, 20):
+            assert [len(x) for x in w.runs(5)[1:]] == [len(w.runs(5)[1])] * 3 and w.own_first().all()
+        calls.append(0)
+    few, many = calls.index(0), len(calls) - calls.index(0) - 2
+    assert few == many
