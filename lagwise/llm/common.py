@@ -11,10 +11,12 @@ Conventions of every operator in this subpackage
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: What this process, a worker, remembers between tasks: by operator how to give it up.
 _KEPT: dict[str, Callable[[], object]] = {}
+#: The operator that it works for.
+_AT: str | None = None
 
 
 def keeps(operator: str, give_up: Callable[[], object]) -> None:
@@ -34,11 +38,28 @@ def keeps(operator: str, give_up: Callable[[], object]) -> None:
 
 
 def turn_to(operator: str) -> None:
-    """A worker that turns to another operator gives up what it remembers of the others."""
+    """A worker that turns to another operator gives up what it remembers of the others, and what it holds free."""
+    global _AT
     for other in [k for k in _KEPT if k != operator]:
         _KEPT.pop(other)()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    if _AT != operator:
+        _AT = operator
+        release()
+
+
+def release() -> None:
+    """Gives memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # the GNU library's allocator keeps it otherwise
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most so many: what is made of a batch's texts lies beside them, in the worker and in the executor."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import insort
@@ -40,9 +41,9 @@ BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PR
 BLANK = chr(BYTES[0x20])
 END = 2
 #: Bytes, roughly, of chunks and their ids that a worker remembers at most; beyond that it forgets all and starts anew. No result depends on it.
-REMEMBERED = 200_000_000
+REMEMBERED = 100_000_000
 #: Characters of text that are encoded together.
-TOGETHER = 3_000_000
+TOGETHER = 2_000_000
 #: A blank that white space or the end follows: there the chunk goes on.
 LOOSE = re.compile(r" (?:\s|\Z)")
 #: Weights of tokens, documents and cost in the norm and the dot product; tokens decide, the others break ties.
@@ -84,6 +85,8 @@ class Words:
     """
 
     def __init__(self, path: str, special: bool = True) -> None:
+        # a worker has one core: the library's threads, one for each of the machine's, would each keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}  # from a chunk that follows a blank to the ids of both

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import slices, texts, turn_to
 
 KINDS = ("email", "ip", "card", "phone")
 # The four detectors, as the contract of the query states them.
@@ -298,7 +298,8 @@ def mask_pii(df: DataFrame) -> DataFrame:
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        turn_to("pii")
+        for batch in slices(batches):
             new = [mask(t.as_py(), sign) for t, sign in zip(batch.column("text"), disguised(batch.column("text")), strict=True)]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(new, pa.string())}
             if "n_chars" in columns:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_back, keyed, partitions, scratch, texts, turn_to
+from .common import drop, join_back, keyed, partitions, scratch, slices, texts, turn_to
 from .components import components
 
 SEED = 42
@@ -254,7 +254,7 @@ def marks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("simhash")
-        for batch in batches:
+        for batch in slices(batches):
             rows, keys, bands, places = [], [], [], []
             for t in batch.column("text"):
                 text = t.as_py()
@@ -290,7 +290,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, packed): the compressed texts whose key is a node of wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             packed = [zlib.compress(t.as_py().encode("utf-8", "surrogatepass"), 3) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(packed, pa.binary())], names=["node", "packed"])
 

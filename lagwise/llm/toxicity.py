@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, scratch, turn_to
+from .common import drop, scratch, slices, turn_to
 
 #: Labelled rows for lexicons and classifier, at most (those whose id hashes lowest).
 SAMPLE = 20_000
@@ -132,7 +132,7 @@ def voted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("toxicity")
-        for batch in batches:
+        for batch in slices(batches):
             rows = [lexicon.votes(t.as_py()) for t in batch.column("text")]
             lists = [pa.array([r[i].tolist() for r in rows], pa.list_(t)) for i, t in ((1, pa.int32()), (2, pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([r[0] for r in rows], pa.int64()), *lists], names=["doc_id", "held_out", "votes", "at", "x"])
@@ -350,7 +350,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, entries:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("toxicity")
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scorer.score(t.as_py()) < 0.5 for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,18 +2,22 @@
 
 import base64
 import hashlib
+import os
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lagwise.llm import avi, bpe, packing
+from lagwise.llm import avi, bpe, common, packing
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", "a  b", " \n x", "a \n", "x\n  y  ", "　 a 　b", "don't 's  's", "a\x1c b\x1d\x1e c", "  ", "\t \t", "é  x 12 345!!  <|endoftext|> z", ".\x85\x85 a", "aaaaaaaaaaaaaaaa" * 20, "é \U0001f600"]
@@ -202,3 +206,23 @@ def test_shots_at_cuts():
     scenes = [np.full((20, avi.FRAME), v, np.uint8) for v in (10, 200, 90)]
     frames = np.concatenate(scenes)
     assert avi.shots(avi.histograms(frames)) == [0, 20, 40]
+
+
+def test_a_packing_worker_starts_no_threads():
+    code = f"""
+import os
+from lagwise.llm import packing
+count = lambda: len(os.listdir("/proc/self/task"))
+words, before = packing.Words({JSON!r}), count()
+found = list(words.encode([" ".join(f"w{{i}}-{{j}}" for j in range(300)) for i in range(300)]))
+assert len(found) == 300 and count() == before, (before, count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+
+
+def test_batches_go_in_slices():
+    whole = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (2500, 0, 1000)]
+    parts = list(common.slices(iter(whole)))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500, 0, 1000]
+    assert [x for p in parts for x in p.column("x").to_pylist()] == [*range(2500), *range(1000)]
