@@ -41,7 +41,7 @@ BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PR
 BLANK = chr(BYTES[0x20])
 END = 2
 #: Bytes, roughly, of chunks and their ids that a worker remembers at most; beyond that it forgets all and starts anew. No result depends on it.
-REMEMBERED = 100_000_000
+REMEMBERED = 50_000_000
 #: Characters of text that are encoded together.
 TOGETHER = 2_000_000
 #: A blank that white space or the end follows: there the chunk goes on.

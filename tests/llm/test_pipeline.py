@@ -94,3 +94,37 @@ def test_pairs_are_verified_in_blocks_as_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(simhash, "KEPT", 1)
     assert sorted(map(tuple, simhash.verified_in_blocks(pairs, packed, 0.8).collect())) == want
     assert simhash.verified_in_blocks(pairs.limit(0), packed, 0.8).count() == 0
+
+
+def test_stages_send_texts_to_workers_in_small_batches(spark):
+    """A batch lies in the executor beside its heap: the stages bound its rows, and leave a smaller bound as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"rows": [batch.num_rows]})
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 8) for i in range(2500)], SCHEMA).coalesce(1)
+    try:
+        for given, most in ((before, 1000), ("0", 1000), ("70", 70)):
+            spark.conf.set(key, given)
+            out = dict(corpus_pipeline.STAGES)["PII"](spark, docs, "")
+            assert out.count() == 2500
+            found = [r["rows"] for r in docs.mapInArrow(sizes, "rows long").collect()]
+            assert sum(found) == 2500 and max(found) <= most
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_packing_is_the_same_however_little_a_worker_remembers(monkeypatch):
+    """A worker's memory of chunks is bounded to 50 MB, and forgetting changes no ids."""
+    r = random.Random(3)
+    path = corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")
+    texts = [[prose(r, 40) for _ in range(5)] for _ in range(6)]
+    want = [list(packing.Words(path).encode(t)) for t in texts]
+    assert packing.REMEMBERED <= 50_000_000
+    monkeypatch.setattr(packing, "REMEMBERED", 1)
+    one = packing.Words(path)
+    assert [list(one.encode(t)) for t in texts] == want
+    assert len(one.known) <= 5 * 40
