@@ -128,3 +128,43 @@ def test_packing_is_the_same_however_little_a_worker_remembers(monkeypatch):
     one = packing.Words(path)
     assert [list(one.encode(t)) for t in texts] == want
     assert len(one.known) <= 5 * 40
+
+
+def test_near_copies_of_a_base_that_is_not_the_smallest_and_pairs_about_the_bound(spark):
+    """No text depends on a single partner: 120 variants hang together by a base in their midst alone; groups are those of exact overlap."""
+    r = random.Random(21)
+
+    def edited(ws, share):
+        at = set(r.sample(range(len(ws)), max(1, round(len(ws) * share))))
+        return [f"new{r.randrange(10**9)}" if i in at else w for i, w in enumerate(ws)]
+
+    base = prose(r, 430).split()
+    bodies = [edited(base, 0.019) for _ in range(120)]
+    bodies.insert(60, base)
+    for n in (50, 120, 320):
+        for share in (0.01, 0.02, 0.022, 0.025, 0.03, 0.04):
+            for _ in range(6):
+                one = prose(r, n).split()
+                bodies += [one, edited(one, share)]
+    sets = [{tuple(b[i : i + 5]) for i in range(len(b) - 4)} for b in bodies]
+    root = list(range(len(bodies)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for j, b in enumerate(sets):
+        for i in range(j):
+            common = len(sets[i] & b)
+            if common and common / (len(sets[i]) + len(b) - common) >= 0.8:
+                links += 1
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    want = {i: top(i) for i in range(len(bodies))}
+    alone = sum(want[i] == i and list(want.values()).count(i) == 1 for i in want)
+    assert {want[i] for i in range(121)} == {0} and links > 150 and alone > 60
+    from lagwise.llm import simhash
+
+    docs = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bodies)], "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(docs).collect()} == want
