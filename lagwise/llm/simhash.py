@@ -42,7 +42,7 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint
 MATCHES = 62
 #: Texts of a list that are tallied pair by pair; and the number of bands after which a longer list is not split further.
 LIST, DEEP = 1024, 4
-#: Bytes of shingle sets that a task of verified() keeps for texts that it meets again.
+#: Bytes of shingle sets that a task of verified(), or a block of a list, keeps for texts that it meets again.
 KEPT = 1 << 25
 #: Parts in which a text meets its candidates.
 PARTS = 64
@@ -342,6 +342,30 @@ def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFram
     return met.mapInArrow(run, "x long, y long")
 
 
+class Sets:
+    """The sets of five-word shingles of compressed texts; those known are given up when they pass `kept` bytes."""
+
+    def __init__(self, kept: int) -> None:
+        self.known: dict[bytes, np.ndarray] = {}
+        self.size, self.kept = 0, kept
+
+    def of(self, text: bytes) -> np.ndarray:
+        mine = self.known.get(text)
+        if mine is None:
+            mine = np.unique(shingle_hashes(zlib.decompress(text), 5))
+            self.size += mine.nbytes + len(text) + 256
+            if self.size > self.kept:
+                self.known, self.size = {}, mine.nbytes + len(text) + 256
+            self.known[text] = mine
+        return mine
+
+    def alike(self, one: bytes, two: bytes, similarity: float) -> bool:
+        a, b = self.of(one), self.of(two)
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        union = len(a) + len(b) - common
+        return not union or common / union >= similarity
+
+
 def verified_in_blocks(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
     """The same for pairs (x, y, list, p, q): a text travels once to each block (list, p, q) with a pair of it, not once for each pair.
 
@@ -355,27 +379,7 @@ def verified_in_blocks(pairs: DataFrame, packed: DataFrame, similarity: float) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("simhash")
-        at, data = None, {}
-        sets: dict[bytes, np.ndarray] = {}
-        size = 0
-
-        def shingles(text: bytes) -> np.ndarray:
-            nonlocal sets, size
-            mine = sets.get(text)
-            if mine is None:
-                mine = np.unique(shingle_hashes(zlib.decompress(text), 5))
-                size += mine.nbytes + len(text) + 256
-                if size > KEPT:
-                    sets, size = {}, mine.nbytes + len(text) + 256
-                sets[text] = mine
-            return mine
-
-        def alike(one: bytes, two: bytes) -> bool:
-            a, b = shingles(one), shingles(two)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            union = len(a) + len(b) - common
-            return not union or common / union >= similarity
-
+        at, data, sets = None, {}, Sets(KEPT)
         for batch in batches:
             found = []
             for *here, kind, node, y, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -383,7 +387,7 @@ def verified_in_blocks(pairs: DataFrame, packed: DataFrame, similarity: float) -
                     at, data = here, {}
                 if kind == 0:
                     data.setdefault(node, []).append(text)  # more than one only where texts share a doc_id
-                elif any(alike(a, b) for a in data[node] for b in data[y]):
+                elif any(sets.alike(a, b, similarity) for a in data[node] for b in data[y]):
                     found.append((node, y))
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "y"])
@@ -412,8 +416,9 @@ def similar_texts(df: DataFrame, similarity: float = SIMILARITY, distance: int =
     positional bytes must reach MATCHES, then the overlap is verified exactly. First a list (the texts of a band) meets
     one pivot, that which shares most bands with others, then another one, by hash: of very many near copies nearly all
     are then of one component. Lists that still hold several components and more than LIST texts are split by further
-    bands, which two texts of the wanted overlap share as well; then each two texts of a list are tallied, in blocks.
-    So a list's work is bounded by LIST texts each, unless texts agree in DEEP bands and yet not in a component.
+    bands, which two texts of the wanted overlap share as well; then each two texts of a list are tallied, in blocks,
+    and a block gives the links that connect its texts, not their pairs. So a list's work is bounded by LIST texts
+    each, unless texts agree in DEEP bands and yet not in a component.
     Texts without words are alike to each other only. Documents that share a doc_id may be in different groups. Empty
     in, empty out; very long texts are held one at a time, as hashes of their shingles.
     """
@@ -448,12 +453,12 @@ def _unsettled(left: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _deeper(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Lists of at most LIST texts, or of DEEP bands: longer ones are split by each further band."""
+    """Lists of at most LIST texts, or of DEEP bands: longer ones are split by each further band. `depth` is the number of bands."""
     depth, done = 1, None
     while True:
         sizes = left.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("list", "size")
         sized = scratch(join_back(left, sizes, "list", "size", left.count()), "sized")
-        fine = sized if depth == DEEP else sized.where(F.col("size") <= LIST)
+        fine = (sized if depth == DEEP else sized.where(F.col("size") <= LIST)).withColumn("depth", F.lit(depth))
         done = fine if done is None else done.unionByName(fine)
         long_ = sized.where(F.col("size") > LIST)
         if depth == DEEP or long_.isEmpty():
@@ -464,33 +469,66 @@ def _deeper(left: DataFrame, nodes: DataFrame) -> DataFrame:
         depth += 1
 
 
-def _all_pairs(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(x, y, list, p, q): pairs of a list, of different components, whose tally reaches MATCHES, each in one of the blocks where it meets."""
+def _candidates(table: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Places in a block's table: a text and those of other components with which its tally reaches MATCHES.
+
+    A pair that shares DEEP bands or more is met in one list only, that of the first bands it shares: those bands' list
+    is split until it is done, so it has one.
+    """
+    root, n, part = (table.column(c).to_numpy() for c in ("root", "n", "part"))
+    p, q, last, depth = (table.column(c)[0].as_py() for c in ("p", "q", "last", "depth"))
+    places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8).reshape(len(n), -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+    across = np.ascontiguousarray(places[right].T)
+    for k, i in enumerate(left.tolist()):
+        at = k + 1 if p == q else 0
+        tally = (across[:, at:] == places[i][:, None]).sum(axis=0, dtype=np.uint8)
+        other = right[at:][tally >= MATCHES]
+        other = other[(root[other] != root[i]) & (np.minimum(n[other], n[i]) >= similarity * np.maximum(n[other], n[i]) - 1e-9)]
+        shared = bands[other] == bands[i]
+        yield i, other[(shared.sum(axis=1) < DEEP) | (shared[:, : last + 1].sum(axis=1) == depth)]
+
+
+def _linked_lists(lists: DataFrame, nodes: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): links that connect the texts of each list as all its pairs of the wanted overlap would.
+
+    Each two texts of different components are tallied, in blocks of at most two times LIST texts. A block first says
+    which texts have a candidate in it; with these texts it verifies the pairs that its links so far leave in different
+    components. Rows out of a block: its texts, then at most one link less than it has components; never its pairs.
+    """
+    block = ["list", "p", "q"]
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / LIST)).cast("long")
-    at = lists.select("list", "size", "node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")).distinct()
+    at = lists.select("list", "last", "depth", "node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")).distinct()
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q")))
-    rows = at.select("list", "node", "root", "part", F.explode(pair).alias("pair")).select("list", "node", "root", "part", "pair.*")
-    rows = rows.join(nodes.select("node", "n", "places"), "node")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, root, n, part = (table.column(c).to_numpy() for c in ("node", "root", "n", "part"))
-        places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8).reshape(len(node), -1)
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+    rows = at.withColumn("pair", F.explode(pair)).select("list", "pair.*", "last", "depth", "node", "root", "part")
+    rows = rows.join(nodes.select("node", "n", "places", "bands"), "node")
+
+    def open_(table: pa.Table) -> pa.Table:
+        some = np.zeros(table.num_rows, bool)
+        for i, other in _candidates(table, similarity):
+            some[other] = True
+            some[i] |= len(other) > 0
+        return table.filter(pa.array(some))
+
+    def link(table: pa.Table) -> pa.Table:
+        turn_to("simhash")
+        node, data, sets = table.column("node").to_numpy(), table.column("packed"), Sets(KEPT)
+        label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
         xs, ys = [], []
-        for i in left.tolist():
-            other = right[(root[right] != root[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]) - 1e-9)]
-            if p == q:
-                other = other[node[other] > node[i]]
-            other = other[(places[other] == places[i]).sum(axis=1) >= MATCHES]
-            xs += [node[i]] * len(other)
-            ys += node[other].tolist()
+        for i, other in _candidates(table, similarity):
+            for j in other[label[other] != label[i]].tolist():
+                if label[i] != label[j] and sets.alike(data[i].as_py(), data[j].as_py(), similarity):
+                    label[label == label[j]] = label[i]
+                    xs.append(node[i])
+                    ys.append(node[j])
         x, y = np.array(xs, np.int64), np.array(ys, np.int64)
-        at = {c: np.full(len(x), table.column(c)[0].as_py(), np.int64) for c in ("list", "p", "q")}
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), **at})
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
 
-    met = rows.groupBy("list", "p", "q").applyInArrow(run, "x long, y long, list long, p long, q long")
-    return met.groupBy("x", "y").agg(F.min(F.struct("list", "p", "q")).alias("at")).select("x", "y", "at.*")
+    # blocks are small and their work is not: they are dealt to all tasks, whatever their bytes
+    number = partitions(nodes.sparkSession)
+    met = rows.repartition(number, *block).groupBy(*block).applyInArrow(open_, rows.schema)
+    return met.join(packed, "node").repartition(number, *block).groupBy(*block).applyInArrow(link, "x long, y long")
 
 
 def _groups(docs: DataFrame, similarity: float, distance: int) -> DataFrame:
@@ -519,7 +557,7 @@ def _groups(docs: DataFrame, similarity: float, distance: int) -> DataFrame:
     links = scratch(links.union(verified(tallied(_pivots(left, nodes, F.xxhash64("list", "node"), similarity)), packed, similarity)), "links")
     roots = scratch(components(links, "x", "y"), "roots")
     left = _unsettled(left, roots).select("list", "node", "root", "last")
-    links = links.union(verified_in_blocks(scratch(_all_pairs(_deeper(left, nodes), nodes, similarity), "pairs"), packed, similarity))
+    links = links.union(_linked_lists(_deeper(left, nodes), nodes, packed, similarity))
     roots = components(scratch(links, "links"), "x", "y")
     names = rows.select("key", F.col("doc_id").alias("component_id")).distinct()
     named = nodes.join(roots, "node", "left").select("text_key", "copies", F.coalesce("root", "node").alias("component"))

@@ -167,3 +167,63 @@ def test_near_copies_of_a_base_that_is_not_the_smallest_and_pairs_about_the_boun
 
     docs = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bodies)], "doc_id long, text string")
     assert {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(docs).collect()} == want
+
+
+def near_variants(r, number):
+    """Variants of a base that is not among them: nearly all pass the tally, some overlap by 0.8; and what groups they form."""
+    base = prose(r, 300).split()
+    bodies = []
+    for i in range(number):
+        at = set(r.sample(range(300), 3 if i % 4 == 0 else 6))
+        bodies.append([f"v{i}x{k}" if k in at else w for k, w in enumerate(base)])
+    sets = [{tuple(b[k : k + 5]) for k in range(len(b) - 4)} for b in bodies]
+    root = list(range(number))
+    for j in range(number):
+        for i in range(j):
+            common = len(sets[i] & sets[j])
+            if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return [" ".join(b) for b in bodies], root
+
+
+def test_tables_of_near_dedup_grow_with_the_texts_not_with_their_pairs(spark, monkeypatch):
+    """A large group of near copies of which many stay apart: no table between jobs has a row for each pair of it."""
+    from lagwise.llm import simhash
+
+    bodies, root = near_variants(random.Random(5), 200)
+    assert 20 < len(set(root)) < 180
+    rows, plain = {}, simhash.scratch
+
+    def counted(df, name="table"):
+        out = plain(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "scratch", counted)
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(docs).collect()} == dict(enumerate(root))
+    assert max(rows["links"]) <= 3 * len(bodies) and max(max(n) for n in rows.values()) <= simhash.BANDS * len(bodies)
+
+
+def test_lists_in_several_blocks_give_the_links_that_connect_them(spark, monkeypatch):
+    """Lists of all texts and their split ones, cut into many blocks: few links, and the groups of brute force."""
+    from lagwise.llm import simhash
+    from lagwise.llm.common import keyed, texts
+
+    bodies, root = near_variants(random.Random(6), 90)
+    docs = keyed(texts(spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")))
+    nodes = simhash.marks(docs).withColumnRenamed("key", "node").localCheckpoint()
+    packed = simhash.packed_texts(docs, nodes.select("node"))
+    left = nodes.selectExpr("node", "node as root", "posexplode(bands) as (last, list)").select("list", "node", "root", "last")
+    monkeypatch.setattr(simhash, "LIST", 16)
+    lists = simhash._deeper(left, nodes).localCheckpoint()
+    depths = {x["depth"]: x["n"] for x in lists.selectExpr("depth", "size").groupBy("depth").agg({"size": "max"}).toDF("depth", "n").collect()}
+    assert len(depths) > 1 and max(depths.values()) > 16
+    links = [tuple(x) for x in simhash._linked_lists(lists, nodes, packed, 0.8).collect()]
+    found = list(range(len(bodies)))
+    for x, y in links:
+        low, high = sorted((found[x], found[y]))
+        found = [low if f == high else f for f in found]
+    assert found == root
+    assert simhash._linked_lists(lists.limit(0), nodes, packed, 0.8).count() == 0
